@@ -53,3 +53,136 @@ def cumulative(df: DataFrame, keys, order: str, sums: dict) -> DataFrame:
     for name in sums:
         d = d.withColumn(name, F.col(name) + F.col(f"_b_{name}"))
     return d.drop("_cell", *[f"_{p}_{s}" for s in sums for p in ("v", "b")])
+
+
+def limits(df: DataFrame, keys, value: str) -> DataFrame:
+    return df.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+
+
+def bin_index(value: Column, lo: Column, hi: Column, bins: int) -> Column:
+    """Half-open bins, the last one closed; outside the range there is no bin."""
+    width = (hi - lo) / bins
+    index = F.when(value == hi, F.lit(bins - 1)).otherwise(F.floor((value - lo) / F.nullif(width, F.lit(0.0))).cast("int"))
+    return F.when((value >= lo) & (value <= hi), index)
+
+
+def edge(k: Column, lo: Column, hi: Column, bins: int) -> Column:
+    return lo + k * ((hi - lo) / bins)
+
+
+def histogram(df: DataFrame, keys, value: str, edges: DataFrame, bins: int, split: str | None = None, labels=()) -> DataFrame:
+    """Counts and density per key and bin, empty bins included.
+
+    ``edges`` has one ``lo``/``hi`` per key. With ``split`` the rows are counted per
+    label in the same pass (columns ``n_<label>``, ``density_<label>``).
+    """
+    keys = list(keys)
+    d = df.join(edges, keys) if keys else df.withColumn("_k", F.lit(1)).join(edges.withColumn("_k", F.lit(1)), "_k")
+    d = d.withColumn("bin", bin_index(F.col(value), F.col("lo"), F.col("hi"), bins)).filter("bin is not null")
+    if split is None:
+        counts = [F.count(F.lit(1)).alias("n")]
+        names = [""]
+    else:
+        counts = [F.count_if(F.col(split) == label).alias(f"n_{label}") for label in labels]
+        names = [f"_{label}" for label in labels]
+    counted = d.groupBy(*keys, "bin").agg(*counts)
+    every = edges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    out = every.join(counted, [*keys, "bin"], "left")
+    # the bins of one key are few: a window over them is bounded
+    over = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
+    width = (F.col("hi") - F.col("lo")) / bins
+    for s in names:
+        out = out.withColumn(f"n{s}", F.coalesce(F.col(f"n{s}"), F.lit(0)))
+    for s in names:
+        out = out.withColumn(f"density{s}", F.try_divide(F.col(f"n{s}"), F.sum(f"n{s}").over(over) * width))
+    return out.withColumn("edge", edge(F.col("bin"), F.col("lo"), F.col("hi"), bins))
+
+
+def cdf(hist: DataFrame, keys, count: str = "n") -> DataFrame:
+    """Cumulative share over the (bounded) bins of a histogram."""
+    over = Window.partitionBy(*keys)
+    up_to = over.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    return hist.withColumn("cdf", F.try_divide(F.sum(count).over(up_to), F.sum(count).over(over)))
+
+
+def share_curve(df: DataFrame, keys, value: str) -> DataFrame:
+    """Cumulative sum of the sorted values over their total, one row per distinct value.
+
+    ``n`` tells how many equal values end at ``share``; the single steps in between are
+    ``share - k * value / total``.
+    """
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    d = cumulative(counts, keys, value, {"cum": F.col(value) * F.col("n")})
+    totals = counts.groupBy(*keys).agg(F.sum(F.col(value) * F.col("n")).alias("total"))
+    return d.join(totals, list(keys)).withColumn("share", F.col("cum") / F.col("total"))
+
+
+def size_distribution(df: DataFrame, keys, value: str, steps: int = 50) -> DataFrame:
+    """For equal thresholds: how many values do not exceed it (missing where none does)."""
+    lim = limits(df, keys, value)
+    d = df.join(lim, list(keys))
+    step = (F.col("hi") - F.col("lo")) / (steps - 1)
+    k = F.ceil((F.col(value) - F.col("lo")) / F.nullif(step, F.lit(0.0))).cast("int")
+    k = F.coalesce(k, F.lit(0))
+    at = lambda i: F.col("lo") + i * step
+    first = F.when((k > 0) & (at(k - 1) >= F.col(value)), k - 1).when(at(k) < F.col(value), k + 1).otherwise(k)
+    counted = d.withColumn("step", F.least(first, F.lit(steps - 1))).groupBy(*keys, "step").agg(F.count(F.lit(1)).alias("c"))
+    every = lim.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    w = Window.partitionBy(*keys)
+    d = every.join(counted, [*keys, "step"], "left").withColumn(
+        "index", F.sum(F.coalesce("c", F.lit(0))).over(w.orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
+    )
+    total = F.sum(F.coalesce("c", F.lit(0))).over(w)
+    return d.withColumn("threshold", at(F.col("step"))).withColumn(
+        "index", F.when(F.col("index") < total, F.col("index"))
+    )
+
+
+def kde(df: DataFrame, keys, value: str, points: int = 1000) -> DataFrame:
+    """Gaussian kernel density on equal points between minimum and maximum.
+
+    Equal values are merged first, and every task adds up its values per point before the
+    shuffle, so the cost is (distinct values x points) and the shuffle (keys x points).
+    """
+    keys = list(keys)
+    d = df.filter(F.col(value).isNotNull() & ~F.isnan(value))
+    stats = d.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.min(value).alias("_lo"),
+        F.max(value).alias("_hi"),
+        F.stddev_samp(value).alias("_s"),
+    )
+    counts = d.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")).join(stats, keys)
+    counts = counts.withColumn("_bw", F.col("_s") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
+    counts = counts.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    x = F.col("_lo") + F.col("k") * ((F.col("_hi") - F.col("_lo")) / (points - 1))
+    z = (x - F.col(value)) / F.col("_bw")
+    weight = F.col("_c") * F.exp(-0.5 * z * z) / (F.col("_n") * F.col("_bw") * math.sqrt(2 * math.pi))
+    return counts.withColumn("x", x).groupBy(*keys, "k", "x").agg(F.sum(weight).alias("density"))
+
+
+def mode(df: DataFrame, keys, value: str, points: int = 1000) -> DataFrame:
+    """Most probable value: where the density is largest, and its share of all points."""
+    d = kde(df, keys, value, points)
+    return d.groupBy(*keys).agg(
+        F.max_by("x", F.struct("density", -F.col("k"))).alias("mode"),
+        (F.max("density") / F.sum("density")).alias("probability"),
+    )
+
+
+def moving_average(df: DataFrame, keys, x: str, ys, edges) -> DataFrame:
+    """Mean and deviation per bin of ``x``; half-open bins, the last one open-ended.
+
+    All edges appear in the result; bins without rows have missing values.
+    """
+    keys = list(keys)
+    edges = [float(e) for e in edges]
+    table = F.array(*[F.lit(e) for e in edges])
+    d = df.filter(F.col(x).isNotNull() & ~F.isnan(x))
+    d = d.withColumn("bin", F.size(F.filter(table, lambda e: e <= F.col(x))) - 1).filter("bin >= 0")
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for y in ys:
+        aggs += [F.avg(y).alias(y), F.stddev_pop(y).alias(f"{y}_std")]
+    binned = d.groupBy(*keys, "bin").agg(*aggs)
+    every = d.select(*keys).distinct().select(*keys, F.posexplode(table).alias("bin", "edge"))
+    return every.join(binned, [*keys, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
