@@ -1,7 +1,7 @@
 """Contour geometry. A contour is ``array<struct<px:int,py:int>>``, closed implicitly.
 
-Everything that sums over the edges stays a Column expression; only the convex hull and
-the contour simplification run as Arrow functions.
+Sums over the edges, the convex hull and the simplification run on whole Arrow batches;
+everything derived from them is a Column expression.
 """
 
 from __future__ import annotations
@@ -10,64 +10,81 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def rotated(contour: str | Column) -> Column:
-    """The contour shifted by one point, so that zipping yields the closed edges."""
-    n = F.size(contour)
-    return F.concat(F.slice(contour, F.lit(2), n - 1), F.slice(contour, F.lit(1), F.lit(1)))
-
-
-def _length(a: Column, b: Column) -> Column:
-    dx, dy = b["px"] - a["px"], b["py"] - a["py"]
-    return F.sqrt((dx * dx + dy * dy).cast("double"))
-
-
-def perimeter(contour: str, closed: bool = True) -> Column:
-    n = F.size(contour)
-    if closed:
-        parts = F.zip_with(contour, rotated(contour), _length)
-    else:
-        parts = F.zip_with(F.slice(contour, F.lit(1), n - 1), F.slice(contour, F.lit(2), n - 1), _length)
-    return F.aggregate(parts, F.lit(0.0), lambda acc, v: acc + v)
-
+# Sums over the edges of a contour, relative to its first point and free of rounding:
+# a = 2 m00, bx/by = 6 m10/m01, cxx/cyy = 12 m20/m02, cxy = 24 m11; peri/open are the
+# lengths with and without the closing edge.
+MEASURES = "struct<a:bigint,bx:bigint,by:bigint,cxx:bigint,cyy:bigint,cxy:bigint,peri:double,open:double>"
+
+
+def flat(contours: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All points of a batch in a row: x, y, first position and length per contour."""
+    points = contours.flatten()
+    x = points.field("px").to_numpy(zero_copy_only=False).astype("int64")
+    y = points.field("py").to_numpy(zero_copy_only=False).astype("int64")
+    counts = contours.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype("int64")
+    return x, y, np.cumsum(counts) - counts, counts
+
+
+def _measure(contours: pa.Array) -> pa.Array:
+    x, y, start, n = flat(contours)
+    owner = np.repeat(np.arange(len(n)), n)
+    following = np.arange(len(x)) + 1
+    closing = following == (start + n)[owner]
+    following = np.where(closing, start[owner], following)
+    x0, y0 = x[start[owner]], y[start[owner]]
+    x, y = x - x0, y - y0
+    u, v = x[following], y[following]
+    cross = x * v - u * y
+    length = np.sqrt(((u - x) ** 2 + (v - y) ** 2).astype(float))
+
+    def add(values):
+        # an empty contour has no first position to reduce from
+        full = n > 0
+        out = np.zeros(len(n), values.dtype)
+        if full.any():
+            out[full] = np.add.reduceat(values, start[full])
+        return out
+
+    total = [
+        add(cross),
+        add(cross * (x + u)),
+        add(cross * (y + v)),
+        add(cross * (x * x + x * u + u * u)),
+        add(cross * (y * y + y * v + v * v)),
+        add(cross * (x * (2 * y + v) + u * (y + 2 * v))),
+        add(length),
+        add(np.where(closing, 0.0, length)),
+    ]
+    return pa.StructArray.from_arrays(
+        [pa.array(t) for t in total], ["a", "bx", "by", "cxx", "cyy", "cxy", "peri", "open"]
+    )
 
-def moments(contour: str) -> Column:
-    """Area moments relative to the first point, in exact integers times their divisor.
 
-    ``a`` = 2 m00, ``bx``/``by`` = 6 m10/m01, ``cxx``/``cyy`` = 12 m20/m02, ``cxy`` = 24 m11.
-    """
-    p0 = F.get(contour, F.lit(0))
-
-    def edge(p, q):
-        x, y = (p["px"] - p0["px"]).cast("bigint"), (p["py"] - p0["py"]).cast("bigint")
-        u, v = (q["px"] - p0["px"]).cast("bigint"), (q["py"] - p0["py"]).cast("bigint")
-        cross = x * v - u * y
-        return F.struct(
-            cross.alias("a"),
-            (cross * (x + u)).alias("bx"),
-            (cross * (y + v)).alias("by"),
-            (cross * (x * x + x * u + u * u)).alias("cxx"),
-            (cross * (y * y + y * v + v * v)).alias("cyy"),
-            (cross * (x * (2 * y + v) + u * (y + 2 * v))).alias("cxy"),
-        )
-
-    names = ("a", "bx", "by", "cxx", "cyy", "cxy")
-    zero = F.struct(*[F.lit(0).cast("bigint").alias(n) for n in names])
-    edges = F.zip_with(contour, rotated(contour), edge)
-    return F.aggregate(edges, zero, lambda s, e: F.struct(*[(s[n] + e[n]).alias(n) for n in names]))
+def measures(contour: str | Column) -> Column:
+    """Moments and lengths of each contour, a whole Arrow batch of edges at a time."""
+    return F.arrow_udf(_measure, MEASURES)(contour)
 
 
 @dataclass
 class Shape:
-    """Column expressions derived from one moments column (and the contour)."""
+    """Column expressions derived from one measures column (and the contour)."""
 
     m: Column
     contour: str = "contour"
 
+    @property
+    def perimeter(self) -> Column:
+        return self.m["peri"]
+
+    @property
+    def open_length(self) -> Column:
+        return self.m["open"]
+
     @property
     def area_px(self) -> Column:
         return F.abs(self.m["a"]) / 2.0
@@ -161,14 +178,12 @@ def ellipse_radius(a: Column, b: Column, theta: Column) -> Column:
 # ---- hull and simplification ------------------------------------------------------------
 
 
-def _padded(values: pd.Series) -> np.ndarray:
-    """Ragged contours as one array, short ones padded with their first point."""
-    width = max(len(v) for v in values)
-    out = np.empty((len(values), width))
-    for row, v in zip(out, values):
-        row[: len(v)] = v
-        row[len(v) :] = v[0]
-    return out
+def _padded(contours: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ragged contours as two arrays, short ones padded with their first point."""
+    x, y, start, n = flat(contours)
+    column = np.arange(n.max())
+    take = start[:, None] + np.where(column[None, :] < n[:, None], column[None, :], 0)
+    return x[take], y[take]
 
 
 def hull_points(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,12 +211,12 @@ def hull_points(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.stack(hx, 1), np.stack(hy, 1)
 
 
-def hull_box(px: pd.Series, py: pd.Series) -> pd.DataFrame:
+def hull_box(contours: pa.Array) -> pa.Array:
     """Hull perimeter and the smallest enclosing rectangle of each contour.
 
     ``la`` runs along the unit vector ``(ux, uy)`` of a hull edge, ``lb`` across it.
     """
-    x, y = hull_points(_padded(px), _padded(py))
+    x, y = hull_points(*_padded(contours))
     dx, dy = np.diff(x, axis=1), np.diff(y, axis=1)
     length = np.hypot(dx, dy)
     with np.errstate(invalid="ignore", divide="ignore"):
@@ -213,22 +228,12 @@ def hull_box(px: pd.Series, py: pd.Series) -> pd.DataFrame:
     size = np.where(length > 0, la * lb, np.inf)
     best = size.argmin(1)
     rows = np.arange(len(x))
-    return pd.DataFrame(
-        {
-            "hull": length.sum(1),
-            "la": la[rows, best],
-            "lb": lb[rows, best],
-            "ux": ux[rows, best],
-            "uy": uy[rows, best],
-        }
-    )
+    columns = [length.sum(1), la[rows, best], lb[rows, best], ux[rows, best], uy[rows, best]]
+    return pa.StructArray.from_arrays([pa.array(c) for c in columns], ["hull", "la", "lb", "ux", "uy"])
 
 
-def hull_columns(contour: str = "contour") -> Column:
-    box = F.pandas_udf(hull_box, "struct<hull:double,la:double,lb:double,ux:double,uy:double>")
-    return box(
-        F.transform(contour, lambda p: p["px"].cast("double")), F.transform(contour, lambda p: p["py"].cast("double"))
-    )
+def hull_columns(contour: str | Column = "contour") -> Column:
+    return F.arrow_udf(hull_box, "struct<hull:double,la:double,lb:double,ux:double,uy:double>")(contour)
 
 
 def _keep_far(points: np.ndarray, tolerance: float) -> np.ndarray:
@@ -266,12 +271,10 @@ def simplified(points: np.ndarray, share: float) -> np.ndarray:
 def simplify(contour: str = "contour", share: float = 0.02) -> Column:
     """Thinned contour as ``array<array<double>>``."""
 
-    @F.pandas_udf("array<array<double>>")
-    def thin(px: pd.Series, py: pd.Series) -> pd.Series:
-        return pd.Series(
-            [simplified(np.column_stack([a, b]), share).tolist() for a, b in zip(px, py)], dtype=object
-        )
+    def thin(contours: pa.Array) -> pa.Array:
+        x, y, start, n = flat(contours)
+        points = np.column_stack([x, y]).astype(float)
+        thinned = [simplified(points[a : a + k], share).tolist() for a, k in zip(start, n)]
+        return pa.array(thinned, pa.list_(pa.list_(pa.float64())))
 
-    return thin(
-        F.transform(contour, lambda p: p["px"].cast("double")), F.transform(contour, lambda p: p["py"].cast("double"))
-    )
+    return F.arrow_udf(thin, "array<array<double>>")(contour)

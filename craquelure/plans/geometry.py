@@ -23,7 +23,7 @@ h as (select *, degrees(0.5e0*atan2(2e0*mu11, mu20-mu02)) as deg0 from g), s as
 
 
 def shaped(t):
-    d = t.contour.withColumn("m", G.moments("contour"))
+    d = t.contour.withColumn("m", G.measures("contour"))
     return d, G.Shape(F.col("m"))
 
 
@@ -35,10 +35,9 @@ def g1(t):
 
 @query("g2_perimeter", EDGES + "select splinter_key, round(peri/8e0,6) as closed, round(open_len/8e0,6) as open from s")
 def g2(t):
-    return t.contour.select(
-        "splinter_key",
-        F.round(G.perimeter("contour") / 8.0, 6).alias("closed"),
-        F.round(G.perimeter("contour", closed=False) / 8.0, 6).alias("open"),
+    d, s = shaped(t)
+    return d.select(
+        "splinter_key", F.round(s.perimeter / 8.0, 6).alias("closed"), F.round(s.open_length / 8.0, 6).alias("open")
     )
 
 
@@ -74,7 +73,7 @@ def g4(t):
 @query("g5_roundness", EDGES + "select splinter_key, round(abs(a)/2e0/(peri*peri/(4e0*pi())),8) as roundness from s")
 def g5(t):
     d, s = shaped(t)
-    return d.select("splinter_key", F.round(G.roundness(s.area_px, G.perimeter("contour")), 8).alias("roundness"))
+    return d.select("splinter_key", F.round(G.roundness(s.area_px, s.perimeter), 8).alias("roundness"))
 
 
 POINTS = "pt as (select distinct splinter_key, px, py from contour_point)"
@@ -131,7 +130,7 @@ def g9(t):
  from s join splinter q using (splinter_key) join specimen p on p.specimen_id = q.specimen_id where x_mm <> ip_x or y_mm <> ip_y""",
 )
 def g10(t):
-    d = prepared(t).filter("x_mm <> ip_x or y_mm <> ip_y").withColumn("m", G.moments("contour"))
+    d = prepared(t).filter("x_mm <> ip_x or y_mm <> ip_y").withColumn("m", G.measures("contour"))
     s = G.Shape(F.col("m"))
     mu20, mu02, mu11 = s.central
     clear = (F.abs(mu11) > 1e-3 * (mu20 + mu02)) | (F.abs(mu20 - mu02) > 1e-3 * (mu20 + mu02))

@@ -221,8 +221,12 @@ s as (select e.specimen_id, sqrt(cast((nx-px)*(nx-px)+(ny-py)*(ny-py) as double)
 select specimen_id, round(sum(((t+l)+sqrt(t*t+l*l))/2e0*len/2e0),2) as crack_surface from s group by 1""",
 )
 def a25(t):
-    d = t.contour.join(t.specimen.select("specimen_id", "measured_thickness"), "specimen_id")
-    surface = panes.edge_surface("contour", F.col("measured_thickness"), F.col("area").cast("int") / 50.0)
+    from craquelure.functions.geometry import measures
+
+    # the width is constant along a contour here, so its edges add up to the open length
+    d = t.contour.select("specimen_id", "area", (measures("contour")["open"] / 8.0).alias("length"))
+    d = d.join(t.specimen.select("specimen_id", "measured_thickness"), "specimen_id")
+    surface = panes.edge_surface(F.col("length"), F.col("measured_thickness"), F.col("area").cast("int") / 50.0)
     return d.groupBy("specimen_id").agg(F.round(F.sum(surface), 2).alias("crack_surface"))
 
 

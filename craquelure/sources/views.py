@@ -28,6 +28,15 @@ class Tables:
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str, *by: str) -> DataFrame:
+        """A table of few input splits, spread over the cores; a large one stays as it is.
+
+        Splits grow with the data, so the extra shuffle only happens on small inputs.
+        """
+        df = self.base(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores, *by) if df.rdd.getNumPartitions() < cores else df
+
     @cached_property
     def specimen(self) -> DataFrame:
         return (
@@ -59,7 +68,7 @@ class Tables:
 
     @cached_property
     def splinter(self) -> DataFrame:
-        return self.base("lineitem").selectExpr(
+        return self.spread("lineitem", "l_orderkey", "l_partkey").selectExpr(
             "l_suppkey as specimen_id",
             "concat_ws('-',cast(l_orderkey as string),cast(l_partkey as string),cast(l_suppkey as string),cast(l_linenumber as string)) as splinter_key",
             "cast((l_partkey*7919 + l_linenumber*104729 + l_orderkey*31) % 5000 as double)/10e0 as x_mm",
