@@ -50,3 +50,40 @@ def numbered(df: DataFrame, keys, order: str, out: str = "nr", prefix: int = 3)
         .withColumn(out, (F.col(out) + F.col("_start")).cast("bigint"))
         .drop("_p", "_start")
     )
+
+
+def wide_channels(df: DataFrame, channels, key: str = "specimen_id") -> DataFrame:
+    """Recording as a wide table: three summary rows, then one row per sample number.
+
+    The channel list is given, so the pivot needs no extra pass; short channels end in
+    missing values.
+    """
+    from craquelure.operators.signals import extremes
+
+    channels = list(channels)
+    body = df.groupBy(key, "seq").pivot("channel", channels).agg(F.first("value"))
+    body = body.select(key, F.lit("").alias("label"), F.col("seq").cast("bigint").alias("seq"), *channels)
+    summary = extremes(df, (key, "channel"))
+    parts = [("Maximum", "maximum"), ("Minimum", "minimum"), ("Time of Maximum", "t_maximum")]
+    rows = F.array(
+        *[F.struct(F.lit(i - len(parts)).alias("seq"), F.lit(name).alias("label"), F.col(c).alias("v")) for i, (name, c) in enumerate(parts)]
+    )
+    head = summary.select(key, "channel", F.explode(rows).alias("_r")).select(key, "channel", "_r.*")
+    head = head.groupBy(key, "label", "seq").pivot("channel", channels).agg(F.first("v"))
+    return head.select(key, "label", F.col("seq").cast("bigint").alias("seq"), *channels).unionByName(body)
+
+
+def write_csv(df: DataFrame, path: str, sep: str = ";", decimal: str = ".", order=()) -> None:
+    """Distributed CSV; a decimal comma is applied to the numeric columns only."""
+    d = df
+    if decimal != ".":
+        for field in df.schema.fields:
+            if field.dataType.typeName() in ("double", "float"):
+                d = d.withColumn(field.name, F.translate(F.col(field.name).cast("string"), ".", decimal))
+    if order:
+        d = d.repartitionByRange(*order).sortWithinPartitions(*order)
+    d.write.mode("overwrite").option("sep", sep).option("header", True).csv(path)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").json(path)

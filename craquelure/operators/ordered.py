@@ -130,3 +130,14 @@ def neighbour(column: str, offset: int):
 def framed(agg, before: int, after: int):
     """Aggregate over ``rowsBetween(-before, after)`` for :func:`rolling`."""
     return lambda w: agg.over(w.rowsBetween(-before, after))
+
+
+def python_groups(df: DataFrame, *keys: str):
+    """Groups for a Python function, on as many partitions as shuffles are set to.
+
+    Such stages are bound by CPU, not by bytes, so they must not be merged into a few
+    partitions just because their input is small. Grouping by the same keys needs no
+    further shuffle.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).groupBy(*keys)
