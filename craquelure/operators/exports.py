@@ -87,3 +87,40 @@ def write_csv(df: DataFrame, path: str, sep: str = ";", decimal: str = ".", orde
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+# Fields of a simulation record.
+SIMULATION_SCHEMA = (
+    "energy double, fracture_intensity double, hc_radius double, acceptance double, "
+    "impact_position array<double>, area double, size array<double>, nue double, sizef double, "
+    "reference string, reference_sigma double, reference_thickness double, mse double"
+)
+
+
+def fixed(x: Column, digits: int) -> Column:
+    """Text with a fixed number of digits, ties to even."""
+    return F.format_string(f"%.{digits}f", F.bround(x.cast("double"), digits))
+
+
+def appendix_table(df: DataFrame) -> DataFrame:
+    """Formatted table, ordered by thickness, stress, boundary and number.
+
+    Rows of unknown boundary and rows with any missing column are dropped.
+    """
+    scalp = lambda c: F.when(F.col("has_scalp"), c)
+    area_m2 = (F.col("w_mm") * 1e-3) * (F.col("h_mm") * 1e-3)
+    d = df.filter(F.col("boundary").isin("A", "B", "Z")).orderBy("thickness", "nom_stress", "boundary", "nbr", "specimen_id")
+    return d.select(
+        "thickness",
+        fixed(F.col("nom_stress"), 0).alias("stress"),
+        "boundary",
+        "nbr",
+        scalp(fixed(F.col("measured_thickness"), 2)).alias("t_real"),
+        scalp(fixed(-F.col("sig_h"), 0)).alias("stress_real"),
+        F.when(F.col("has_splinters"), fixed(F.col("n50"), 0)).alias("n50"),
+        scalp(fixed(F.col("u") * area_m2, 1)).alias("ut"),
+        scalp(fixed(F.col("u"), 0)).alias("u"),
+        scalp(fixed(F.col("u_d"), 0)).alias("ud"),
+        fixed(F.col("crack_surface") * 1e-6, 2).alias("farea"),
+        "specimen_id",
+    ).na.drop("any")
