@@ -73,11 +73,17 @@ def scan_type(path: Column) -> Column:
     return F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit(""))
 
 
+def two_digits(number: Column) -> Column:
+    """At least two digits; longer numbers stay whole."""
+    text = number.cast("string")
+    return F.when(F.length(text) < 2, F.concat(F.lit("0"), text)).otherwise(text)
+
+
 def normalised_name(col: Column) -> Column:
     """Four-part names get a two-digit number; a suffix after ``-`` stays."""
     parts = F.split(col, "\\.")
     tail = F.split(parts.getItem(3), "-")
-    number = F.lpad(tail.getItem(0).cast("int").cast("string"), 2, "0")
+    number = two_digits(tail.getItem(0).cast("int"))
     last = F.when(F.size(tail) > 1, F.concat_ws("-", number, tail.getItem(1))).otherwise(number)
     four = F.concat_ws(".", parts.getItem(0), parts.getItem(1), parts.getItem(2), last)
     return F.when(F.size(parts) == 4, four).otherwise(col)

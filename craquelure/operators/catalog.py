@@ -158,7 +158,7 @@ def free_labels(spark, used: DataFrame, thicknesses, stresses, boundaries, numbe
         F.col("thickness").cast("string"),
         F.col("nom_stress").cast("string"),
         F.col("boundary"),
-        F.lpad(F.col("nbr").cast("string"), 2, "0"),
+        names.two_digits(F.col("nbr")),
     )
     product = grid(
         spark,

@@ -114,12 +114,13 @@ def lines(df: DataFrame, keys, x: str, y: str) -> DataFrame:
     )
 
 
-# Models with a nonlinear parameter: (function of x and parameters, number of parameters).
-MODELS: dict[str, tuple[Callable, int]] = {
-    "exponential": (lambda x, p: p[0] * F.exp(p[1] * x), 2),
-    "logarithmic": (lambda x, p: p[0] * F.log(p[1] * x + p[2]) + p[3], 4),
-    "hyperbolic": (lambda x, p: p[0] + p[1] / (p[2] + x), 3),
-    "fourth_power": (lambda x, p: F.pow(p[0] * x / 14.96, F.lit(4.0)) + p[1] * x, 2),
+# Models with a nonlinear parameter, written for numpy arrays (``m = numpy``) and for
+# columns (``m = pyspark.sql.functions``) alike.
+MODELS: dict[str, Callable] = {
+    "exponential": lambda x, p, m: p[0] * m.exp(p[1] * x),
+    "logarithmic": lambda x, p, m: p[0] * m.log(p[1] * x + p[2]) + p[3],
+    "hyperbolic": lambda x, p, m: p[0] + p[1] / (p[2] + x),
+    "fourth_power": lambda x, p, m: (p[0] * x / 14.96) * (p[0] * x / 14.96) * (p[0] * x / 14.96) * (p[0] * x / 14.96) + p[1] * x,
 }
 
 
@@ -131,38 +132,43 @@ def nonlinear(
     start,
     bounds=None,
     steps: int = 60,
-    tolerance: float = 1e-10,
+    tolerance: float = 1e-9,
 ) -> list[float] | None:
     """Damped Gauss-Newton over the whole table.
 
-    Every step is one distributed aggregation of ``JᵀJ``, ``Jᵀr`` and the squared residual;
-    only these few sums reach the driver. Returns the parameters, or None on failure.
+    Every step is one distributed pass: tasks reduce their batches to ``JᵀJ``, ``Jᵀr`` and
+    the squared residual, and only the sum of these few numbers reaches the driver.
+    Returns the parameters, or None on failure.
     """
-    f = MODELS[model][0] if isinstance(model, str) else model
+    f = MODELS[model] if isinstance(model, str) else model
     m = len(start)
     d = df.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).filter("_x is not null and _y is not null")
     # every step reads the points again: keep the two columns, not what led to them
     d = checkpointed(d)
+    names = [f"s{i}" for i in range(1 + m + m * m)]
 
     def sums(p):
-        value = f(F.col("_x"), [F.lit(float(v)) for v in p])
-        cols = [value.alias("_f")]
-        for k in range(m):
-            h = 1e-6 * max(abs(p[k]), 1e-3)
-            up = [F.lit(float(v + (h if i == k else 0.0))) for i, v in enumerate(p)]
-            down = [F.lit(float(v - (h if i == k else 0.0))) for i, v in enumerate(p)]
-            cols.append(((f(F.col("_x"), up) - f(F.col("_x"), down)) / (2 * h)).alias(f"_j{k}"))
-        e = d.select("_y", *cols)
-        r = F.col("_y") - F.col("_f")
-        j = [F.col(f"_j{k}") for k in range(m)]
-        aggs = [F.sum(r * r)] + [F.sum(c * r) for c in j] + [F.sum(j[a] * j[b]) for a in range(m) for b in range(a, m)]
-        row = e.agg(*[a.alias(f"s{i}") for i, a in enumerate(aggs)]).first()
+        def batches(frames):
+            total = np.zeros(len(names))
+            with np.errstate(all="ignore"):
+                for pdf in frames:
+                    u, v = pdf["_x"].to_numpy(), pdf["_y"].to_numpy()
+                    r = v - f(u, p, np)
+                    jac = []
+                    for k in range(m):
+                        h = np.zeros(m)
+                        h[k] = 1e-6 * max(abs(p[k]), 1e-3)
+                        jac.append((f(u, p + h, np) - f(u, p - h, np)) / (2 * h[k]) + 0 * u)
+                    jac = np.array(jac)
+                    total += np.concatenate([[r @ r], jac @ r, (jac @ jac.T).ravel()])
+            yield pd.DataFrame([total], columns=names)
+
+        parts = d.mapInPandas(batches, ", ".join(f"{n} double" for n in names))
+        row = parts.agg(*[F.sum(n) for n in names]).first()
         return None if any(v is None or not math.isfinite(v) for v in row) else np.array(row, float)
 
     def clip(p):
-        if bounds is None:
-            return p
-        return np.clip(p, *np.asarray(bounds, float).T)
+        return p if bounds is None else np.clip(p, *np.asarray(bounds, float).T)
 
     p = clip(np.asarray(start, float))
     s = sums(p)
@@ -170,21 +176,19 @@ def nonlinear(
         return None
     damping = 1e-3
     for _ in range(steps):
-        g, a = s[1 : m + 1], np.zeros((m, m))
-        for v, (i, k) in zip(s[m + 1 :], [(i, k) for i in range(m) for k in range(i, m)]):
-            a[i, k] = a[k, i] = v
-        step = np.linalg.lstsq(a + damping * np.diag(np.diag(a) + 1e-300), g, rcond=None)[0]
+        a = s[m + 1 :].reshape(m, m)
+        step = np.linalg.lstsq(a + damping * np.diag(np.diag(a) + 1e-300), s[1 : m + 1], rcond=None)[0]
         trial = clip(p + step)
         t = sums(trial)
         if t is not None and t[0] <= s[0]:
             small = np.abs(trial - p).max() <= tolerance * (np.abs(p).max() + tolerance)
-            flat = s[0] - t[0] <= 1e-14 * s[0]
+            flat = s[0] - t[0] <= 1e-12 * s[0]
             p, s, damping = trial, t, max(damping / 10, 1e-12)
             if small or flat:
                 break
         else:
             damping *= 10
-            if damping > 1e12:
+            if damping > 1e9:
                 break
     return [float(v) for v in p]
 
@@ -192,12 +196,12 @@ def nonlinear(
 def fitted_curve(df: DataFrame, model: str | Callable, x: str, y: str, start, bounds=None, points: int = 100) -> DataFrame:
     """Parameters, R² and an evenly spaced curve of a nonlinear fit; empty if it fails."""
     spark = df.sparkSession
-    f = MODELS[model][0] if isinstance(model, str) else model
+    f = MODELS[model] if isinstance(model, str) else model
     p = nonlinear(df, model, x, y, start, bounds)
     if p is None:
         return spark.createDataFrame([], "k int, x double, y double, r2 double, params array<double>")
     lit = [F.lit(v) for v in p]
-    fit = f(F.col(x).cast("double"), lit)
+    fit = f(F.col(x).cast("double"), lit, F)
     res = F.col(y) - fit
     quality = df.agg(
         F.min(x).cast("double").alias("lo"),
@@ -206,4 +210,4 @@ def fitted_curve(df: DataFrame, model: str | Callable, x: str, y: str, start, bo
     )
     d = quality.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     d = d.withColumn("x", F.col("lo") + F.col("k") * ((F.col("hi") - F.col("lo")) / (points - 1)))
-    return d.select("k", "x", f(F.col("x"), lit).alias("y"), "r2", F.array(*lit).alias("params"))
+    return d.select("k", "x", f(F.col("x"), lit, F).alias("y"), "r2", F.array(*lit).alias("params"))
