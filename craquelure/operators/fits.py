@@ -145,7 +145,7 @@ def nonlinear(
     d = df.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).filter("_x is not null and _y is not null")
     # every step reads the points again: keep the two columns, not what led to them
     d = checkpointed(d)
-    names = [f"s{i}" for i in range(1 + m + m * m)]
+    names = [f"s{i}" for i in range(2 + m + m * m)]
 
     def sums(p):
         def batches(frames):
@@ -160,12 +160,13 @@ def nonlinear(
                         h[k] = 1e-6 * max(abs(p[k]), 1e-3)
                         jac.append((f(u, p + h, np) - f(u, p - h, np)) / (2 * h[k]) + 0 * u)
                     jac = np.array(jac)
-                    total += np.concatenate([[r @ r], jac @ r, (jac @ jac.T).ravel()])
+                    total += np.concatenate([[r @ r], jac @ r, (jac @ jac.T).ravel(), [len(u)]])
             yield pd.DataFrame([total], columns=names)
 
         parts = d.mapInPandas(batches, ", ".join(f"{n} double" for n in names))
         row = parts.agg(*[F.sum(n) for n in names]).first()
-        return None if any(v is None or not math.isfinite(v) for v in row) else np.array(row, float)
+        usable = all(v is not None and math.isfinite(v) for v in row) and row[-1] >= m
+        return np.array(row, float)[:-1] if usable else None
 
     def clip(p):
         return p if bounds is None else np.clip(p, *np.asarray(bounds, float).T)
@@ -182,13 +183,13 @@ def nonlinear(
         t = sums(trial)
         if t is not None and t[0] <= s[0]:
             small = np.abs(trial - p).max() <= tolerance * (np.abs(p).max() + tolerance)
-            flat = s[0] - t[0] <= 1e-12 * s[0]
+            flat = s[0] - t[0] <= 1e-10 * s[0]
             p, s, damping = trial, t, max(damping / 10, 1e-12)
             if small or flat:
                 break
         else:
             damping *= 10
-            if damping > 1e9:
+            if damping > 1e6:
                 break
     return [float(v) for v in p]
 

@@ -10,47 +10,58 @@ from pyspark.sql import functions as F
 
 from craquelure.operators.distributions import bin_index, cumulative
 
-R, M = F.col("ref"), F.col("meas")
+def _pair(r, m) -> tuple[Column, Column]:
+    return F.col(r), F.col(m)
 
 
-def pearson(r=R, m=M) -> Column:
+def pearson(ref: str = "ref", meas: str = "meas") -> Column:
+    r, m = _pair(ref, meas)
     return F.corr(r.cast("double"), m.cast("double")) * 100
 
 
-def mse(r=R, m=M) -> Column:
+def mse(ref: str = "ref", meas: str = "meas") -> Column:
+    r, m = _pair(ref, meas)
     return F.avg((r - m) * (r - m))
 
 
-def lb_error(r=R, m=M) -> Column:
-    return (1 - F.try_divide(mse(r, m), F.var_pop(r) + F.var_pop(m))) * 100
+def lb_error(ref: str = "ref", meas: str = "meas") -> Column:
+    r, m = _pair(ref, meas)
+    return (1 - F.try_divide(mse(ref, meas), F.var_pop(r) + F.var_pop(m))) * 100
 
 
-def mae(r=R, m=M) -> Column:
+def mae(ref: str = "ref", meas: str = "meas") -> Column:
+    r, m = _pair(ref, meas)
     return F.avg(F.abs(r - m))
 
 
-def abs_error(r=R, m=M) -> Column:
+def abs_error(ref: str = "ref", meas: str = "meas") -> Column:
+    r, m = _pair(ref, meas)
     return F.sum(F.abs(r - m))
 
 
-def nrmse(r=R, m=M) -> Column:
-    return F.try_divide(F.sqrt(mse(r, m)), F.avg(r))
+def nrmse(ref: str = "ref", meas: str = "meas") -> Column:
+    r, m = _pair(ref, meas)
+    return F.try_divide(F.sqrt(mse(ref, meas)), F.avg(r))
 
 
-def determination(r=R, m=M) -> Column:
-    return (1 - F.try_divide(mse(r, m), F.var_pop(r))) * 100
+def determination(ref: str = "ref", meas: str = "meas") -> Column:
+    r, m = _pair(ref, meas)
+    return (1 - F.try_divide(mse(ref, meas), F.var_pop(r))) * 100
 
 
-def smape(r=R, m=M) -> Column:
+def smape(ref: str = "ref", meas: str = "meas") -> Column:
     """The half is applied to the quotient, not to the denominator."""
+    r, m = _pair(ref, meas)
     return 100 * F.avg(F.try_divide(F.abs(r - m), F.abs(r) + F.abs(m)) / 2)
 
 
-def mape(r=R, m=M) -> Column:
+def mape(ref: str = "ref", meas: str = "meas") -> Column:
+    r, m = _pair(ref, meas)
     return 100 * (1 - F.avg(F.abs(r - m) / F.when(r == 0, 1).otherwise(r)))
 
 
-def jaccard(r=R, m=M) -> Column:
+def jaccard(ref: str = "ref", meas: str = "meas") -> Column:
+    r, m = _pair(ref, meas)
     return F.try_divide(F.sum(F.least(r, m)), F.sum(F.greatest(r, m))) * 100
 
 
@@ -100,7 +111,7 @@ def ks(df: DataFrame, keys, value: str, sample: str) -> DataFrame:
 
 def stacked(df: DataFrame, keys, pos: str = "pos") -> DataFrame:
     """Both vectors below each other: ``sample`` 0 is the reference."""
-    return df.select(*keys, pos, F.posexplode(F.array(R.cast("double"), M.cast("double"))).alias("sample", "value"))
+    return df.select(*keys, pos, F.posexplode(F.array(F.col("ref").cast("double"), F.col("meas").cast("double"))).alias("sample", "value"))
 
 
 def rebinned_ks(df: DataFrame, keys, edges, pos: str = "pos") -> DataFrame:
@@ -150,7 +161,7 @@ def similarity(df: DataFrame, keys, edges, pos: str = "pos") -> DataFrame:
 def even_data(df: DataFrame, keys, n: int = 50, pos: str = "pos") -> DataFrame:
     """Both vectors read at ``n`` abscissae that run from their first to their last value."""
     keys = list(keys)
-    vec = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), R.cast("double").alias("r"), M.cast("double").alias("m"))))
+    vec = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col("ref").cast("double").alias("r"), F.col("meas").cast("double").alias("m"))))
     d = df.groupBy(*keys).agg(vec.alias("_v"))
     d = d.withColumn("_r", F.transform("_v", lambda s: s["r"])).withColumn("_m", F.transform("_v", lambda s: s["m"]))
     top = F.greatest(F.array_max("_r"), F.array_max("_m"))

@@ -17,10 +17,10 @@ def locations(df: DataFrame, keys=("specimen_id", "location"), order: str = "ord
     ``(keys, orientation, stress0)`` for directions that were not measured.
     """
     keys = list(keys)
-    d = df.select(*keys, F.lower("orientation").alias("_o"), F.col("stress0").alias("_v"), F.struct(F.lit(1), F.col(order)).alias("_at"))
+    d = df.select(*keys, F.lower("orientation").alias("_o"), F.col("stress0").alias("_v"), F.struct(F.lit(1).alias("m"), F.col(order).alias("o")).alias("_at"))
     if manual is not None:
         entered = manual.select(*keys, F.lower("orientation").alias("_o"), F.col("stress0").alias("_v"))
-        d = d.unionByName(entered.withColumn("_at", F.struct(F.lit(0), F.lit(None).cast(df.schema[order].dataType))))
+        d = d.unionByName(entered.withColumn("_at", F.struct(F.lit(0).alias("m"), F.lit(None).cast(df.schema[order].dataType).alias("o"))))
     last = [F.max_by("_v", F.when(F.col("_o") == o, F.col("_at"))).alias(f"s_{o}") for o in DIRECTIONS]
     valid = [F.bool_or(F.col("_o") == o) for o in DIRECTIONS]
     d = d.groupBy(*keys).agg(*last, (valid[0] & valid[1] & valid[2]).alias("valid"))

@@ -204,7 +204,7 @@ def savgol_weights(window: int, order: int, at: float) -> np.ndarray:
     return np.linalg.pinv(basis)[0]
 
 
-def savgol(df: DataFrame, window: int, order: int, keys=KEYS) -> DataFrame:
+def savgol(df: DataFrame, window: int, order: int, keys=KEYS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Polynomial smoothing; at the ends the polynomial of the outermost window is read.
 
     An even window reads between its two middle samples. Too short series are missing.
@@ -228,7 +228,7 @@ def savgol(df: DataFrame, window: int, order: int, keys=KEYS) -> DataFrame:
                 y[-i] = savgol_weights(window, order, window - i) @ x[-window:]
         return y
 
-    d = by_chunk(df, keys, fit, window, window)
+    d = by_chunk(df, keys, fit, window, window, chunk_rows=chunk_rows)
     return d.withColumn("smooth", F.when(~F.isnan("smooth"), F.col("smooth")))
 
 
@@ -337,7 +337,7 @@ def butterworth(df: DataFrame, kind: str, edges, keys=KEYS, order: int = 4) -> D
     return filter_chain(df, [(kind, edges)], keys, order)
 
 
-def filter_chain(df: DataFrame, stages, keys=KEYS, order: int = 4) -> DataFrame:
+def filter_chain(df: DataFrame, stages, keys=KEYS, order: int = 4, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Zero-phase Butterworth filters ``(kind, edges)`` one after the other, in one pass.
 
     The response of a filter dies out after a known number of samples, which is the
@@ -383,7 +383,7 @@ def filter_chain(df: DataFrame, stages, keys=KEYS, order: int = 4) -> DataFrame:
     heads = heads.withColumn("_reach", F.pandas_udf(overlap, "bigint")("_h0", "_h1"))
     d = df.join(heads, keys)
     reach = F.col("_reach")
-    d = by_chunk(d, keys, run, reach, reach, {"_t0": F.first("_h0"), "_t1": F.first("_h1")})
+    d = by_chunk(d, keys, run, reach, reach, {"_t0": F.first("_h0"), "_t1": F.first("_h1")}, chunk_rows)
     return d.withColumn("smooth", F.when(~F.isnan("smooth"), F.col("smooth")))
 
 
