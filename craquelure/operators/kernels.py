@@ -97,9 +97,10 @@ def custom(
 ) -> DataFrame:
     """User-defined window calculator.
 
-    ``state`` turns a batch of one cell's splinters into ``n_state`` additive numbers;
-    Spark adds them up and ``finish`` turns the totals into (value, deviation). A cell
-    therefore never has to fit into one task.
+    ``state`` turns a batch of splinters into ``n_state`` additive contributions per row
+    (arrays as long as the batch). They are added up per cell, within the batch and then
+    by Spark, and ``finish`` turns the totals into (value, deviation). A cell therefore
+    never has to fit into one task.
     """
     keys = list(keys)
     names = [f"s{k}" for k in range(n_state)]
@@ -108,11 +109,8 @@ def custom(
 
     def batches(frames):
         for pdf in frames:
-            rows = [
-                [*(key if isinstance(key, tuple) else (key,)), *state(part)]
-                for key, part in pdf.groupby(keys, sort=False)
-            ]
-            yield pd.DataFrame(rows, columns=keys + names)
+            part = pdf[keys].assign(**dict(zip(names, state(pdf))))
+            yield part.groupby(keys, as_index=False, sort=False).sum()
 
     states = cells.select(*keys, *[c for c in columns if c not in keys]).mapInPandas(batches, schema)
     totals = states.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names])

@@ -125,21 +125,41 @@ def nearest(points: DataFrame, keys, ident: str, k: int, x="x_mm", y="y_mm") ->
 # ---- contours that touch ----------------------------------------------------------------
 
 
-def touching(contour_points: DataFrame, keys=("specimen_id",), ident: str = "splinter_key") -> DataFrame:
-    """Pairs of splinters with a common contour point, each pair once (``id_a < id_b``)."""
+def contested(contour_points: DataFrame, keys, owner) -> DataFrame:
+    """Contour points claimed more than once by different ``owner`` values.
+
+    Found by one aggregate over numbers only; the few points that are left then go
+    through the self join instead of all of them.
+    """
+    place = [*keys, "px", "py"]
+    tag = F.xxhash64(*owner)
+    shared = contour_points.groupBy(*place).agg(F.min(tag).alias("_a"), F.max(tag).alias("_b")).filter("_a <> _b")
+    return contour_points.join(shared.select(*place), place, "left_semi")
+
+
+def common_points(contour_points: DataFrame, keys=("specimen_id",), ident: str = "splinter_key") -> DataFrame:
+    """Pairs of splinters with a common contour point (``id_a < id_b``) and their number."""
     keys = list(keys)
-    p = contour_points.select(*keys, ident, "px", "py").distinct()
+    p = contested(contour_points, keys, [ident]).select(*keys, ident, "px", "py").distinct()
     on = [*keys, "px", "py"]
     pairs = p.withColumnRenamed(ident, "id_a").join(p.withColumnRenamed(ident, "id_b"), on).filter("id_a < id_b")
-    return pairs.select(*keys, "id_a", "id_b").distinct()
+    return pairs.groupBy(*keys, "id_a", "id_b").agg(F.count(F.lit(1)).alias("n"))
+
+
+def touching(contour_points: DataFrame, keys=("specimen_id",), ident: str = "splinter_key") -> DataFrame:
+    """Pairs of splinters with a common contour point, each pair once (``id_a < id_b``)."""
+    return common_points(contour_points, keys, ident).drop("n")
 
 
 def shared_points(contour_points: DataFrame, keys=("specimen_id",), ident="splinter_key") -> DataFrame:
     """Matching entries of the flat point list, the earlier entry first."""
     keys = list(keys)
-    p = contour_points.select(*keys, "px", "py", F.struct(ident, "k").alias("e"))
+    p = contested(contour_points, keys, [ident, "k"])
+    p = p.select(*keys, "px", "py", F.struct(ident, "k").alias("e"))
     pairs = p.withColumnRenamed("e", "a").join(p.withColumnRenamed("e", "b"), [*keys, "px", "py"]).filter("a < b")
-    return pairs.select(*keys, "px", "py", F.col(f"a.{ident}").alias("id_a"), F.col("a.k").alias("k_a"), F.col(f"b.{ident}").alias("id_b"), F.col("b.k").alias("k_b"))
+    return pairs.select(
+        *keys, "px", "py", F.col(f"a.{ident}").alias("id_a"), F.col("a.k").alias("k_a"), F.col(f"b.{ident}").alias("id_b"), F.col("b.k").alias("k_b")
+    )
 
 
 def symmetric(edges: DataFrame, keys=("specimen_id",)) -> DataFrame:

@@ -365,7 +365,7 @@ def x2(t):
 
     def state(pdf: pd.DataFrame):
         w, v = pdf["area"], pdf["circ"]
-        return float(w.sum()), float((w * v).sum()), float((w * v * v).sum())
+        return w, w * v, w * v * v
 
     def finish(w, wv, wvv):
         mean = wv / w

@@ -86,9 +86,7 @@ def j8(t):
 
 @query("u4_common_points", f"with cp as (select distinct specimen_id, splinter_key, px, py from contour_point) select a.specimen_id, a.splinter_key as id_a, b.splinter_key as id_b, count(*) as n from cp a join cp b on a.specimen_id=b.specimen_id and a.px=b.px and a.py=b.py and a.splinter_key < b.splinter_key group by 1,2,3")
 def u4(t):
-    p = t.contour_point.select("specimen_id", "splinter_key", "px", "py").distinct()
-    d = p.withColumnRenamed("splinter_key", "id_a").join(p.withColumnRenamed("splinter_key", "id_b"), ["specimen_id", "px", "py"])
-    return d.filter("id_a < id_b").groupBy("specimen_id", "id_a", "id_b").agg(F.count(F.lit(1)).alias("n"))
+    return N.common_points(t.contour_point)
 
 
 COUNTS = f"{TOUCH}, nc as (select s.specimen_id, s.splinter_key, count(id_b) as n from splinter s left join sy on sy.specimen_id=s.specimen_id and sy.id_a=s.splinter_key group by 1,2)"

@@ -99,9 +99,18 @@ class Tables:
 
     @cached_property
     def contour_point(self) -> DataFrame:
-        return self.contour.select(
-            "specimen_id", "splinter_key", F.posexplode("contour").alias("k", "p")
-        ).select("specimen_id", "splinter_key", "k", "p.px", "p.py")
+        offsets = F.array(
+            *[F.struct(F.lit(k).alias("k"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for k, dx, dy in OCTAGON]
+        )
+        return self.splinter.select(
+            "specimen_id", "splinter_key", "x_mm", "y_mm", "q", "l_partkey", F.explode(offsets).alias("o")
+        ).selectExpr(
+            "specimen_id",
+            "splinter_key",
+            "o.k as k",
+            "cast(floor(x_mm*8e0) as int) + o.dx*q + cast((l_partkey+o.k) % 3 as int) as px",
+            "cast(floor(y_mm*8e0) as int) + o.dy*q as py",
+        )
 
     @cached_property
     def channel(self) -> DataFrame:
