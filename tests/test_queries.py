@@ -17,7 +17,7 @@ def con(folder):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_as_sql(name, spark, folder, con):
     problem, _ = compare(QUERIES[name](spark, folder), con, ORACLES[name])
-    assert problem is None
+    assert problem is None, problem
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
