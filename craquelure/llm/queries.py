@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from craquelure.llm import bpe
+from craquelure.llm import bpe, licenses, quality
 from craquelure.llm.common import table
 
 QUERIES: dict = {}
@@ -33,3 +33,28 @@ def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality.judge(docs, quality.fit(docs, table(spark, folder, "labels")))
+
+
+@query
+def op5_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scanned = licenses.scan(docs, licenses.Index(*licenses.document_frequencies(docs)))
+    base = F.sort_array(F.array_distinct("places.label"))
+    every = F.sort_array(F.array_distinct(F.concat("places.label", "spans.label")))
+    best = F.coalesce(F.array_max("spans.share"), F.lit(0.0))
+    return scanned.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min("places.first").alias("first_word"),
+        F.array_max("places.first").alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"),
+        F.array_join(every, ",").alias("labels"),
+        F.when(F.size("places") > 0, F.lit(1.0)).otherwise(best).alias("score"),
+    )
