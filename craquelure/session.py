@@ -38,14 +38,27 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     return tune(spark)
 
 
-def checkpointed(df):
-    """Cut the lineage of ``df`` in reliable storage.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that ``spark.checkpoint.dir`` names.
 
-    The cluster names the shared folder in ``spark.checkpoint.dir``; a folder of our
-    own is taken only where none is configured (tests, local runs).
+    Only a session on one machine that names none (tests, local runs) gets a folder of its
+    own; executors of a cluster could not share it, so there the setting is required.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir", None)
+    if folder is None and sc.getCheckpointDir() is not None:
+        # Spark appends a folder of its own to the one that was set
+        folder = sc.getCheckpointDir().rstrip("/").rpartition("/")[0]
+    if folder is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="craquelure-")
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="craquelure-"))
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def checkpointed(df):
+    """Cut the lineage of ``df`` in reliable storage."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
