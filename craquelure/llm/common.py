@@ -74,3 +74,15 @@ def words_of(text: Column) -> Column:
 def row_key(*columns: str) -> Column:
     """A digest that tells rows apart by the given columns; missing values count as values."""
     return F.md5(F.to_json(F.struct(*columns)))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """URI of a new folder below the shared one that ``spark.checkpoint.dir`` names."""
+    import uuid
+
+    from craquelure.session import checkpoint_folder
+
+    root = checkpoint_folder(spark)
+    if "://" not in root and not root.startswith("file:"):
+        root = f"file://{root}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from craquelure.llm import bpe, licenses, quality
-from craquelure.llm.common import table
+from craquelure.llm import bpe, licenses, quality, warc
+from craquelure.llm.common import shared_folder, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -58,3 +58,22 @@ def op5_licenses(spark: SparkSession, folder: str) -> DataFrame:
         F.array_join(every, ",").alias("labels"),
         F.when(F.size("places") > 0, F.lit(1.0)).otherwise(best).alias("score"),
     )
+
+
+@query
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    _, records = warc.archive(table(spark, folder, "pages"), shared_folder(spark, "warc"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op8_warc"] = """
+with p as (
+  select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages
+), f as (
+  select payload_digest, min(page_id) as first from p where payload_bytes >= 100 group by payload_digest
+)
+select p.page_id, cast(p.payload_bytes as bigint) as payload_bytes, p.payload_digest,
+  case when f.first < p.page_id then 'revisit' else 'response' end as record_type,
+  case when f.first < p.page_id then f.first end as refers_to
+from p left join f on f.payload_digest = p.payload_digest and p.payload_bytes >= 100
+"""
