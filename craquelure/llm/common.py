@@ -86,3 +86,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if "://" not in root and not root.startswith("file:"):
         root = f"file://{root}"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def broadcast_if_small(df: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """``df`` with a broadcast hint if it has ``most`` rows or fewer, and whether it has.
+
+    The caller chooses ``most`` by the width of a row; beyond it the join is left to a shuffle.
+    """
+    small = df.limit(most + 1).count() <= most
+    return (F.broadcast(df), True) if small else (df, False)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from craquelure.llm import bpe, licenses, quality, warc
+from craquelure.llm import bpe, licenses, quality, toxicity, warc
 from craquelure.llm.common import shared_folder, table
 
 QUERIES: dict = {}
@@ -77,3 +77,15 @@ select p.page_id, cast(p.payload_bytes as bigint) as payload_bytes, p.payload_di
   case when f.first < p.page_id then f.first end as refers_to
 from p left join f on f.payload_digest = p.payload_digest and p.payload_bytes >= 100
 """
+
+
+@query
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+    return scored.select(
+        "doc_id",
+        F.coalesce(toxicity.fold() == toxicity.HELD_OUT, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
