@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from craquelure.llm import bpe, licenses, quality, toxicity, warc
+from craquelure.llm import bpe, decontamination, licenses, quality, toxicity, warc
 from craquelure.llm.common import shared_folder, table
 
 QUERIES: dict = {}
@@ -89,3 +89,21 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+@query
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = decontamination.leaks(docs, table(spark, folder, "benchmark"))
+    by_row = found.groupBy(F.col("doc_id").alias("leak_id"), "text_hash").agg(
+        F.sort_array(F.collect_set("item_id")).alias("items"), F.max("share").alias("share")
+    )
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("leak_id")) & (F.col("hash") == F.col("text_hash"))
+    return rows.join(by_row, same, "left").select(
+        "doc_id",
+        F.col("text_hash").isNotNull().alias("contaminated"),
+        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+        F.array_join(F.col("items").cast("array<string>"), ",").alias("items"),
+        F.coalesce("share", F.lit(0.0)).alias("share"),
+    )
