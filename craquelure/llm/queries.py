@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from craquelure.llm import bpe, decontamination, licenses, quality, toxicity, warc
+from craquelure.llm import bpe, decontamination, licenses, quality, suffixes, toxicity, warc
 from craquelure.llm.common import shared_folder, table
 
 QUERIES: dict = {}
@@ -107,3 +107,15 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         F.array_join(F.col("items").cast("array<string>"), ",").alias("items"),
         F.coalesce("share", F.lit(0.0)).alias("share"),
     )
+
+
+@query
+def op9_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return suffixes.dedup(table(spark, folder, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
