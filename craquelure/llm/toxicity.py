@@ -30,9 +30,13 @@ from pyspark.sql import functions as F
 from craquelure.llm.common import broadcast_if_small, by_batch, checkpointed, with_text
 
 ORDER = 6
+# lengths of the n-grams that the shared distribution backs off to
+BACKOFF = (5, 3, 1)
 DISCOUNT = 0.75
 SLOTS = 22
 SPAN = 12
+# characters that are scored in one numpy pass
+STRETCH = 1 << 19
 HIGHEST = 3
 # labelled rows that fit the logistic curve, at most
 CALIBRATION = 20_000
@@ -91,7 +95,8 @@ def count(rows: DataFrame) -> DataFrame:
             # predicted bytes: a letter, or the blank that ends a word
             used = raw != 32
             used[1:] |= used[:-1]
-            g, c = np.unique(key[used], return_counts=True)
+            key = key[used]
+            g, c = np.unique(key, return_counts=True)
             grams.append(g.astype(np.int64))
             n.append([c * (k == j) for j in range(4)])
         made = {name: pa.array(np.concatenate([x[j] for x in n]).astype(np.int64)) for j, name in enumerate(names)}
@@ -113,18 +118,20 @@ def _context(gram: str) -> Column:
 
 
 def shared_backoff(grams: DataFrame, discount: float = DISCOUNT) -> DataFrame:
-    """``suffix, backoff``: Kneser-Ney probability of the last byte given the ones before, both classes pooled."""
+    """``suffix, backoff``: Kneser-Ney probability of the last byte given the ones before, both classes pooled.
+
+    An n-gram of a lower level counts how many of the level above end in it.
+    """
     levels = {}
-    below = grams.select("gram")
-    for length in range(ORDER - 1, 0, -1):
-        below = below.groupBy(_suffix("gram", length).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
-        levels[length] = below
-    total = levels[1].agg(F.sum("n").alias("total"))
-    smoothed = levels[1].join(F.broadcast(total)).select(
-        "gram", (F.col("n") * 0.99 / F.col("total") + 0.01 / 256).alias("p")
-    )
-    for length in range(2, ORDER):
-        here = levels[length].withColumn("context", _context("gram")).withColumn("tail", _suffix("gram", length - 1))
+    above = grams.select("gram")
+    for length in BACKOFF:
+        above = above.groupBy(_suffix("gram", length).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        levels[length] = above
+    lowest = levels[BACKOFF[-1]]
+    total = F.broadcast(lowest.agg(F.sum("n").alias("total")))
+    smoothed = lowest.join(total).select("gram", (F.col("n") * 0.99 / F.col("total") + 0.01 / 256).alias("p"))
+    for length, shorter in zip(BACKOFF[-2::-1], BACKOFF[::-1]):
+        here = levels[length].withColumn("context", _context("gram")).withColumn("tail", _suffix("gram", shorter))
         contexts = here.groupBy("context").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds"))
         lower = smoothed.select(F.col("gram").alias("tail"), "p")
         own = F.greatest(F.col("n") - discount, F.lit(0.0)) + discount * F.col("kinds") * F.col("p")
@@ -133,28 +140,41 @@ def shared_backoff(grams: DataFrame, discount: float = DISCOUNT) -> DataFrame:
 
 
 def ratios(grams: DataFrame, discount: float = DISCOUNT) -> DataFrame:
-    """``gram, seen, ratio``: log of the last byte's probability in toxic over that in ordinary texts."""
-    here = grams.withColumn("context", _context("gram")).withColumn("suffix", _suffix("gram", ORDER - 1))
-    contexts = here.groupBy("context").agg(
-        F.sum("toxic").alias("all_toxic"),
-        F.sum("plain").alias("all_plain"),
-        F.count_if(F.col("toxic") > 0).alias("kinds_toxic"),
-        F.count_if(F.col("plain") > 0).alias("kinds_plain"),
+    """``gram, seen, ratio, early``: log of the last byte's probability in toxic over that in ordinary texts.
+
+    ``early`` leaves the counts of the calibrating fold out of both classes.
+    """
+    counts = {
+        "toxic": F.col("toxic") + F.col("late_toxic"),
+        "plain": F.col("plain") + F.col("late_plain"),
+        "early_toxic": F.col("toxic"),
+        "early_plain": F.col("plain"),
+    }
+    here = grams.select(
+        "gram",
+        _context("gram").alias("context"),
+        _suffix("gram", ORDER - 1).alias("suffix"),
+        *(c.alias(f"n_{k}") for k, c in counts.items()),
     )
+    sums = [F.sum(f"n_{k}").alias(f"all_{k}") for k in counts]
+    kinds = [F.count_if(F.col(f"n_{k}") > 0).alias(f"kinds_{k}") for k in counts]
+    contexts = here.groupBy("context").agg(*sums, *kinds)
 
     def likelihood(kind: str) -> Column:
-        own = F.greatest(F.col(kind) - discount, F.lit(0.0))
+        own = F.greatest(F.col(f"n_{kind}") - discount, F.lit(0.0))
         held_back = discount * F.col(f"kinds_{kind}") * F.col("backoff")
         # a context that the class never saw leaves the shared distribution alone
         return F.when(F.col(f"all_{kind}") > 0, (own + held_back) / F.col(f"all_{kind}")).otherwise(F.col("backoff"))
 
+    early_seen = F.col("n_early_toxic") + F.col("n_early_plain") > 0
     return (
         here.join(contexts, "context")
         .join(shared_backoff(grams, discount), "suffix")
         .select(
             "gram",
-            (F.col("toxic") + F.col("plain")).alias("seen"),
+            (F.col("n_toxic") + F.col("n_plain")).alias("seen"),
             F.ln(likelihood("toxic") / likelihood("plain")).alias("ratio"),
+            F.when(early_seen, F.ln(likelihood("early_toxic") / likelihood("early_plain"))).otherwise(0.0).alias("early"),
         )
     )
 
@@ -169,10 +189,21 @@ class Model:
 
     def evidence(self, texts: list[str]) -> np.ndarray:
         """Mean ratio of each text and its highest windows' mean ratios."""
+        held, size, out = [], 0, []
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= STRETCH:
+                out.append(self._evidence(held))
+                held, size = [], 0
+        out.append(self._evidence(held))
+        return np.concatenate(out)
+
+    def _evidence(self, texts: list[str]) -> np.ndarray:
         raw, key, starts = _keys(texts)
-        mixed = key * _MIX
-        slot = (mixed >> np.uint64(64 - SLOTS)).astype(np.int64)
-        tag = (mixed >> np.uint64(64 - SLOTS - 16)).astype(np.uint16)
+        key *= _MIX
+        slot = (key >> np.uint64(64 - SLOTS)).astype(np.int32)
+        tag = (key >> np.uint64(64 - SLOTS - 16)).astype(np.uint16)
         ratio = np.where(self.tags[slot] == tag, self.ratio[slot], np.float32(0))
         letter = raw != 32
         total = np.concatenate([[0.0], np.cumsum(ratio, dtype=np.float64)])
@@ -217,31 +248,31 @@ def _logistic(evidence: np.ndarray, toxic: np.ndarray, ridge: float = 0.03) -> n
     return weights
 
 
-def _model(grams: DataFrame) -> Model:
-    """The table of ratios; at most one row a slot reaches the driver."""
+def fit(docs: DataFrame, labels: DataFrame, *, calibration: int = CALIBRATION) -> Model | None:
+    """Models from all labelled training rows; the curve is fitted with counts that leave its own fold out."""
+    rows = labelled(docs, labels)
+    grams = checkpointed(count(rows))
+    # at most one row a slot reaches the driver
     owners = (
-        by_batch(ratios(grams), "slot int, tag int", _slots, keep=("seen", "gram", "ratio"))
+        by_batch(ratios(grams), "slot int, tag int", _slots, keep=("seen", "gram", "ratio", "early"))
         .groupBy("slot")
-        .agg(F.max_by(F.struct("tag", "ratio"), F.struct("seen", "gram")).alias("owner"))
-        .select("slot", "owner.tag", F.col("owner.ratio").cast("float").alias("ratio"))
+        .agg(F.max_by(F.struct("tag", "ratio", "early"), F.struct("seen", "gram")).alias("owner"))
+        .select("slot", "owner.tag", *(F.col(f"owner.{n}").cast("float").alias(n) for n in ("ratio", "early")))
         .toArrow()
     )
     slot = owners.column("slot").to_numpy()
-    tags, ratio = np.zeros(1 << SLOTS, np.uint16), np.zeros(1 << SLOTS, np.float32)
+    tags = np.zeros(1 << SLOTS, np.uint16)
     tags[slot] = owners.column("tag").to_numpy()
-    ratio[slot] = owners.column("ratio").to_numpy()
-    return Model(tags, ratio, np.zeros(2 + HIGHEST))
 
+    def model(name: str) -> Model:
+        ratio = np.zeros(1 << SLOTS, np.float32)
+        ratio[slot] = owners.column(name).to_numpy()
+        return Model(tags, ratio, np.zeros(2 + HIGHEST))
 
-def fit(docs: DataFrame, labels: DataFrame, *, calibration: int = CALIBRATION) -> Model | None:
-    """Models from all labelled training rows; the curve is fitted with counts that leave its own fold out."""
-    rows = labelled(docs, labels)
-    grams = checkpointed(count(rows))
-    early = _model(grams.select("gram", "toxic", "plain").filter("toxic + plain > 0"))
     marked = labels.select("doc_id").filter(fold() == CALIBRATED).distinct()
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration)
     sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi")
-    sent = docs.sparkSession.sparkContext.broadcast(early)
+    sent = docs.sparkSession.sparkContext.broadcast(model("early"))
 
     def measure(batch: pa.RecordBatch) -> dict:
         x = sent.value.evidence(batch.column("text").to_pylist())
@@ -253,12 +284,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, calibration: int = CALIBRATION) -
     toxic = np.array([r.toxic for r in seen], float)
     if not len(toxic) or toxic.min() == toxic.max():
         return None
-    every = grams.select(
-        "gram", (F.col("toxic") + F.col("late_toxic")).alias("toxic"), (F.col("plain") + F.col("late_plain")).alias("plain")
-    )
-    model = _model(every)
-    model.weights = _logistic(np.array([r.evidence for r in seen]), toxic)
-    return model
+    fitted = model("ratio")
+    fitted.weights = _logistic(np.array([r.evidence for r in seen]), toxic)
+    return fitted
 
 
 def _slots(batch: pa.RecordBatch) -> dict:

@@ -22,8 +22,9 @@ def brute_ratios(toxic, plain):
                     counts[kind][raw[i - 5 : i + 1]] += 1
     level = {6: set(counts["t"]) | set(counts["p"])}
     kinds = {}
-    for n in range(5, 0, -1):
-        kinds[n] = Counter(g[1:] for g in level[n + 1])
+    below = {5: 3, 3: 1}
+    for above, n in ((6, 5), (5, 3), (3, 1)):
+        kinds[n] = Counter(g[-n:] for g in level[above])
         level[n] = set(kinds[n])
 
     def shared(g):
@@ -31,7 +32,7 @@ def brute_ratios(toxic, plain):
         if n == 1:
             return kinds[1][g] * 0.99 / sum(kinds[1].values()) + 0.01 / 256
         same = [c for h, c in kinds[n].items() if h[:-1] == g[:-1]]
-        return (max(kinds[n][g] - D, 0) + D * len(same) * shared(g[1:])) / sum(same)
+        return (max(kinds[n][g] - D, 0) + D * len(same) * shared(g[-below[n] :])) / sum(same)
 
     contexts = {k: defaultdict(list) for k in counts}
     for k, c in counts.items():
