@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from craquelure.llm import bpe, decontamination, licenses, quality, simhash, suffixes, toxicity, warc
+from craquelure.llm import bpe, decontamination, licenses, lines, quality, simhash, suffixes, toxicity, warc
 from craquelure.llm.common import shared_folder, table
 
 QUERIES: dict = {}
@@ -126,3 +126,46 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.groups(table(spark, folder, "documents")).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+@query
+def op1_lines(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return lines.dedup(docs, count=True).select(
+        "doc_id", "n_lines", "n_exact", "n_near", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
+    )
+
+
+ORACLES["op1_lines"] = """
+with s as (
+  select doc_id, text, string_split(text, chr(10)) as ls from documents
+), l as (
+  select doc_id, unnest(range(0, len(ls))) as number, unnest(ls) as line from s
+), f as (
+  select doc_id, number, line, row_number() over (partition by line order by doc_id, number) as copy,
+    translate(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13), '') = '' as blank from l
+), d as (
+  select row_number() over (order by doc_id, number) as place, doc_id, number, line, length(line) as n
+  from f where copy = 1 and not blank and length(line) >= 16
+), g as (
+  select place, line, n, unnest(range(1, n + 1)) as gap from d
+), v as (
+  select place, gap, hash(substr(line, 1, gap - 1) || substr(line, gap + 1)) as variant, n from g
+), near as (
+  select v.place from v join (select gap, variant, n, min(place) as least from v group by gap, variant, n) m
+    on v.gap = m.gap and v.variant = m.variant and v.n = m.n and m.least < v.place
+  union select greatest(v.place, d.place) from v join d on v.variant = hash(d.line) and d.n = v.n - 1
+), gone as (
+  select doc_id, number, 0 as near from f where copy > 1 and not blank
+  union all select doc_id, number, 1 from d where place in (select place from near)
+), kept as (
+  select l.doc_id, string_agg(l.line, chr(10) order by l.number) as text
+  from l anti join gone on l.doc_id = gone.doc_id and l.number = gone.number group by l.doc_id
+), n as (
+  select doc_id, count(*) filter (near = 0) as n_exact, count(*) filter (near = 1) as n_near from gone group by doc_id
+)
+select s.doc_id, cast(coalesce(len(s.ls), 0) as bigint) as n_lines, cast(coalesce(n.n_exact, 0) as bigint) as n_exact,
+  cast(coalesce(n.n_near, 0) as bigint) as n_near,
+  case when s.text is not null then sha256(coalesce(kept.text, '')) end as text_sha256
+from s left join kept using (doc_id) left join n using (doc_id)
+"""
