@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from craquelure.llm import bpe, decontamination, licenses, lines, quality, simhash, suffixes, toxicity, warc
+from craquelure.llm import bpe, decontamination, html, licenses, lines, quality, simhash, suffixes, toxicity, warc
 from craquelure.llm.common import shared_folder, table
 
 QUERIES: dict = {}
@@ -169,3 +169,9 @@ select s.doc_id, cast(coalesce(len(s.ls), 0) as bigint) as n_lines, cast(coalesc
   case when s.text is not null then sha256(coalesce(kept.text, '')) end as text_sha256
 from s left join kept using (doc_id) left join n using (doc_id)
 """
+
+
+@query
+def op2_html(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return html.extract(pages, html.fit(pages)).withColumn("n_chars", F.length("text").cast("long"))
