@@ -10,14 +10,14 @@ one byte in thirty starts a suffix.
    and cuts the suffixes into ranges; each bucket is sorted by multikey sort. Within a
    token, a segment that was there before is a copy from end to end. Segments seen first
    beside others of their token may still share a part with them.
-2. The texts of those segments are fetched, put in ranges of (token, document, place), and
-   the strings of each token are sorted by their bytes, eight at a time, each pass only
-   over what all earlier passes left tied; equal neighbours are copies of the first.
-
-A token may run over several buckets, so a bucket decides nothing about its first and last
-token: it hands over the first of each kind, and an aggregation compares those across the
-boundaries. Copies of one kind within a bucket are decided there, so a hot group adds one
-row for each bucket it runs through. Rows that must outlive their job are written to the
+2. The texts of those segments are fetched, put in ranges of (token, suffix), and the
+   strings of each token are sorted by their bytes, eight at a time, each pass only over
+   what all earlier passes left tied; equal neighbours are copies of the first.
+
+A token may run over several buckets, so of its first and last token a bucket hands over
+the first of each kind that may lie beyond its boundary too, and an aggregation compares
+those. Copies of one kind within a bucket are decided there, so a hot group adds one row
+for each bucket it runs through. Rows that must outlive their job are written to the
 shared folder.
 
 Defined results: a missing or empty text is zero bytes and stays; documents without an id
@@ -247,7 +247,7 @@ def _anchor(place: Column) -> Column:
 
 
 def segments(candidates: DataFrame, texts: DataFrame) -> DataFrame:
-    """The candidates with the bytes of their segments."""
+    """The candidates with the bytes of their segments before the anchor and from it on."""
     wanted = (
         candidates.withColumn("sig", F.shiftright("place", _SIG))
         .groupBy("doc", "sig")
@@ -257,25 +257,40 @@ def segments(candidates: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = {"token": [], "doc": [], "place": [], "piece": []}
+            made = {"token": [], "doc": [], "place": [], "before": [], "suffix": []}
             for doc, data, wanted in zip(*(batch.column(n).to_pylist() for n in ("doc", "bytes", "wanted"))):
                 raw = _unpack(data)
                 for w in wanted:
                     place = w["place"]
-                    start = (place >> _POS & (1 << (_SIG - _POS)) - 1) - (place >> _LEFT & 127)
+                    anchor, left = place >> _POS & (1 << (_SIG - _POS)) - 1, place >> _LEFT & 127
                     made["token"].append(w["token"])
                     made["doc"].append(doc)
                     made["place"].append(place)
-                    made["piece"].append(raw[start : start + (place & 127) + LENGTH])
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                    made["before"].append(raw[anchor - left : anchor])
+                    made["suffix"].append(raw[anchor : anchor - left + (place & 127) + LENGTH])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_pydict({n: pa.array(v, k) for (n, v), k in zip(made.items(), kinds)})
 
     arrow_bounds(rows.sparkSession)
-    return rows.mapInArrow(run, "token bigint, doc bigint, place bigint, piece binary")
+    return rows.mapInArrow(run, "token bigint, doc bigint, place bigint, before binary, suffix binary")
+
+
+def _common(suffixes: list[bytes], other: bytes) -> np.ndarray:
+    """Bytes that each suffix has in common with another one from the start."""
+    wide = max(len(other), 1)
+    rows = np.frombuffer(b"".join(x[:wide].ljust(wide, b"\0") for x in suffixes), np.uint8).reshape(-1, wide)
+    differs = rows != np.frombuffer(other.ljust(wide, b"\0"), np.uint8)
+    first = np.where(differs.any(1), differs.argmax(1), wide)
+    return np.minimum(first, np.minimum([len(x) for x in suffixes], len(other)))
 
 
 def compare_strings(found: DataFrame) -> DataFrame:
-    """``string, doc, sig, start, strings``: runs of copied strings; with ``string`` set, one that is still open."""
+    """``string, doc, sig, start, strings``: runs of copied strings; with ``string`` set, one that is still open.
+
+    Ranges follow (token, suffix). Equal strings have equal suffixes as far as the string
+    reaches, so they lie side by side, and a boundary parts them only if both its
+    neighbours share that much: only such strings stay open.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = _gathered(batches)
@@ -287,12 +302,16 @@ def compare_strings(found: DataFrame) -> DataFrame:
         # a repeated row is the same place again
         own = np.r_[True, (token[1:] != token[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])]
         order, token, doc, place = order[own], token[own], doc[own], place[own]
-        pieces = bucket.column("piece").combine_chunks().take(pa.array(order)).to_pylist()
+        before, suffix = (
+            bucket.column(n).combine_chunks().take(pa.array(order)).to_pylist() for n in ("before", "suffix")
+        )
+        pieces = [a + b for a, b in zip(before, suffix)]
         raw = np.frombuffer(b"".join(pieces) + bytes(16), np.uint8)
         eight = np.zeros(len(raw) - 8, np.uint64)
         for k in range(8):
             eight |= raw[k : k - 8].astype(np.uint64) << np.uint64(56 - 8 * k)
         counts = (place & 127) + 1
+        left = place >> _LEFT & 127
         base = np.cumsum([0] + [len(p) for p in pieces])[:-1]
         row = np.repeat(np.arange(len(token)), counts)
         inner = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -304,11 +323,18 @@ def compare_strings(found: DataFrame) -> DataFrame:
         order, group = multikey_order(len(row), levels)
         copy = np.zeros(len(row), bool)
         copy[order[1:]] = group[1:] == group[:-1]
-        start = (place >> _POS & (1 << (_SIG - _POS)) - 1) - (place >> _LEFT & 127)
+        start = (place >> _POS & (1 << (_SIG - _POS)) - 1) - left
         begins = copy & np.r_[True, ~copy[:-1] | (row[1:] != row[:-1])]
         first = np.flatnonzero(begins)
         runs = np.add.reduceat(copy, first) if len(first) else np.zeros(0, np.int64)
-        undecided = np.flatnonzero(_outer(token)[row] & ~copy)
+        # how far each suffix agrees with the bucket's outermost one, where its token may run on
+        shared = np.zeros(len(token), np.int64)
+        for name, pick in ((token[0], min), (token[-1], max)):
+            same = np.flatnonzero(token == name)
+            here = [suffix[i] for i in same]
+            shared[same] = np.maximum(shared[same], _common(here, pick(here)))
+        reach = LENGTH - left[row] + inner
+        undecided = np.flatnonzero(~copy & (reach <= shared[row]))
         both = np.concatenate([first, undecided])
         strings = [None] * len(first) + [raw[a : a + LENGTH].tobytes() for a in at[undecided]]
         yield pa.RecordBatch.from_pydict(
@@ -322,7 +348,7 @@ def compare_strings(found: DataFrame) -> DataFrame:
         )
 
     arrow_bounds(found.sparkSession)
-    ranged = found.repartitionByRange("token", "doc", "place")
+    ranged = found.repartitionByRange("token", "suffix", "doc", "place")
     return ranged.mapInArrow(run, "string binary, doc bigint, sig bigint, start bigint, strings bigint")
 
 
