@@ -17,7 +17,8 @@ def query(fn):
     return fn
 
 
-def _ranks() -> tuple[str, str]:
+def ranks() -> tuple[str, str]:
+    """Path of the rank file and the pattern of pre-tokens."""
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -25,8 +26,7 @@ def _ranks() -> tuple[str, str]:
 
 @query
 def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    ranks = _ranks()
-    coded = bpe.decode(bpe.encode(table(spark, folder, "documents"), *ranks), *ranks)
+    coded = bpe.decode(bpe.encode(table(spark, folder, "documents"), *ranks()), *ranks())
     return coded.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),

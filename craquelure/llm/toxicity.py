@@ -20,6 +20,7 @@ kinds every score is 0. Other columns are ignored; lang, source, labels and ids
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from craquelure.llm.common import broadcast_if_small, by_batch, checkpointed, with_text
+from craquelure.llm.common import arrow_bounds, broadcast_if_small, by_batch, checkpointed, with_text
 
 ORDER = 6
 # lengths of the n-grams that the shared distribution backs off to
@@ -38,6 +39,8 @@ SPAN = 12
 # characters that are scored in one numpy pass
 STRETCH = 1 << 19
 HIGHEST = 3
+# weights of one, of the mean and of the highest windows that the curve's fit starts from
+PRIOR = (-5.0, 2.0, 6.0, 3.0, 1.0)
 # labelled rows that fit the logistic curve, at most
 CALIBRATION = 20_000
 # labels up to this many rows (12 bytes each) are sent to the tasks, more are joined by a shuffle
@@ -233,15 +236,16 @@ def _design(evidence: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(evidence)), evidence])
 
 
-def _logistic(evidence: np.ndarray, toxic: np.ndarray, ridge: float = 0.03) -> np.ndarray:
+def _logistic(evidence: np.ndarray, toxic: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+    """Weights of the curve; few labelled rows leave them near ``PRIOR``."""
     x = _design(evidence)
-    weights = np.zeros(x.shape[1])
+    prior = np.array(PRIOR)
+    weights = prior.copy()
     penalty = ridge * np.eye(len(weights))
-    penalty[0, 0] = 1e-6
     for _ in range(50):
         p = _sigmoid(x @ weights)
         hessian = (x * (p * (1 - p))[:, None]).T @ x + penalty
-        step = np.linalg.solve(hessian, x.T @ (toxic - p) - penalty @ weights)
+        step = np.linalg.solve(hessian, x.T @ (toxic - p) - penalty @ (weights - prior))
         weights += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
@@ -307,3 +311,19 @@ def score(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
 
     columns = tuple(dict.fromkeys(("doc_id", *keep)))
     return by_batch(with_text(docs, *columns), "score double", run, keep=columns)
+
+
+def keep_below(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` with a score below the threshold, columns as they were."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows and sent.value is not None:
+                score = sent.value.score([t or "" for t in batch.column(at).to_pylist()])
+                batch = batch.filter(pa.array(score < threshold))
+            yield batch
+
+    arrow_bounds(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
