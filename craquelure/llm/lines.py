@@ -28,14 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from craquelure.llm.common import broadcast_if_small
+from craquelure.llm.common import broadcast_if_small, checkpointed
 
 LEAST = 16
 EDITS = 1
 BLOCK, SHORT_BLOCK = 256, 16
 # a shared hash is 8 bytes
 HASHES_SENT = 2_000_000
-_BLANKS = " \t\n\x0b\x0c\r"
+_FILLED = r"[^ \t\n\x0B\f\r]"
 _NO_ID = (1 << 63) - 1
 
 
@@ -51,7 +51,7 @@ def lines(docs: DataFrame) -> DataFrame:
     split = docs.filter(F.col("text").isNotNull()).select(
         *_place(), F.posexplode(F.split("text", "\n")).alias("number", "line")
     )
-    filled = split.filter(F.translate("line", _BLANKS, "") != "")
+    filled = split.filter(F.col("line").rlike(_FILLED))
     return filled.select(F.struct("doc", "text_hash", "number").alias("at"), "line")
 
 
@@ -69,7 +69,7 @@ def _pieces(rows: DataFrame, size: int) -> DataFrame:
     cut = cut.withColumn("first", edge(F.col("block"))).withColumn("last", edge(F.col("block") + 1))
     missing = F.col("longer") - F.length("body")
     before = F.substring("body", F.lit(1), F.col("first"))
-    after = F.right("body", F.col("longer") - F.col("last"))
+    after = F.expr("substring(body, last - (longer - length(body)) + 1)")
     return cut.select(
         F.xxhash64("key", "longer", "block", before, after).alias("key"),
         (F.col("last") - F.col("first")).alias("longer"),
@@ -99,11 +99,13 @@ def near_copies(found: DataFrame, *, sent: int = HASHES_SENT) -> DataFrame:
         "at",
     )
     outer = _pieces(whole, BLOCK)
-    shared = broadcast_if_small(_shared(outer), sent)[0]
-    inner = _pieces(_earliest(outer.join(shared, "key", "left_semi")), SHORT_BLOCK)
+    # both results are far smaller than what they are found in, and are read several times
+    shared = broadcast_if_small(checkpointed(_shared(outer)), sent)[0]
+    inner = _pieces(checkpointed(_earliest(outer.join(shared, "key", "left_semi"))), SHORT_BLOCK)
     inner = _earliest(inner.join(_shared(inner), "key", "left_semi"))
     # bodies of one key by place, so that a number stands for the place
-    ranked = inner.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("at")))
+    by_place = Window.partitionBy("key").orderBy("at")
+    ranked = checkpointed(inner.withColumn("rank", F.row_number().over(by_place)))
 
     full = ranked.filter(F.length("body") == F.col("longer"))
     gaps = full.select("key", "rank", "body", F.explode(F.sequence(F.lit(1), F.length("body"))).alias("gap"))
