@@ -71,9 +71,9 @@ def scan(
     decider: Column | None = None,
     value: Column | None = None,
     sort_by=None,
-    max_n: int | None = 1000,
+    max_n: int | None = None,
 ) -> DataFrame:
-    """Filter, project, order and cap; hidden entries (leading dot) never show."""
+    """Filter, project, order and, if asked to, cap; hidden entries (leading dot) never show."""
     d = catalog.filter(~F.col("name").startswith("."))
     if decider is not None:
         d = d.filter(decider)

@@ -115,5 +115,5 @@ def ring_areas(positions: DataFrame, dr: float = 25.0, r_min: float = 20.0) -> D
 
 
 def bucket(x: Column, low: Column, high: Column, n: int) -> Column:
-    """Half-open cell number of ``x`` on ``n`` equal cells; the maximum has none."""
-    return F.floor((x - low) / ((high - low) / n)).cast("int")
+    """Half-open cell number of ``x`` on ``n`` equal cells; the maximum has none, nor has a range without extent."""
+    return F.floor((x - low) / F.nullif((high - low) / n, F.lit(0.0))).cast("int")

@@ -114,7 +114,7 @@ def share_curve(df: DataFrame, keys, value: str) -> DataFrame:
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     d = cumulative(counts, keys, value, {"cum": F.col(value) * F.col("n")})
     totals = counts.groupBy(*keys).agg(F.sum(F.col(value) * F.col("n")).alias("total"))
-    return d.join(totals, list(keys)).withColumn("share", F.col("cum") / F.col("total"))
+    return d.join(totals, list(keys)).withColumn("share", F.try_divide("cum", "total"))
 
 
 def size_distribution(df: DataFrame, keys, value: str, steps: int = 50) -> DataFrame:
@@ -156,17 +156,22 @@ def kde(df: DataFrame, keys, value: str, points: int = 1000) -> DataFrame:
     counts = counts.withColumn("_bw", F.col("_s") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
     counts = counts.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     x = F.col("_lo") + F.col("k") * ((F.col("_hi") - F.col("_lo")) / (points - 1))
-    z = (x - F.col(value)) / F.col("_bw")
-    weight = F.col("_c") * F.exp(-0.5 * z * z) / (F.col("_n") * F.col("_bw") * math.sqrt(2 * math.pi))
+    # one value only, or one kind of value, has no bandwidth: its density is missing
+    width = F.nullif(F.col("_bw"), F.lit(0.0))
+    z = (x - F.col(value)) / width
+    weight = F.col("_c") * F.exp(-0.5 * z * z) / (F.col("_n") * width * math.sqrt(2 * math.pi))
     return counts.withColumn("x", x).groupBy(*keys, "k", "x").agg(F.sum(weight).alias("density"))
 
 
 def mode(df: DataFrame, keys, value: str, points: int = 1000) -> DataFrame:
-    """Most probable value: where the density is largest, and its share of all points."""
+    """Most probable value: where the density is largest, and its share of all points.
+
+    Without a density (equal values) both are missing.
+    """
     d = kde(df, keys, value, points)
     return d.groupBy(*keys).agg(
-        F.max_by("x", F.struct("density", -F.col("k"))).alias("mode"),
-        (F.max("density") / F.sum("density")).alias("probability"),
+        F.max_by("x", F.when(F.col("density").isNotNull(), F.struct("density", -F.col("k")))).alias("mode"),
+        F.try_divide(F.max("density"), F.sum("density")).alias("probability"),
     )
 
 

@@ -64,7 +64,7 @@ def fill_gaps(grid: DataFrame, keys, flat: str, values) -> DataFrame:
         known = F.when(clean(v).isNotNull(), F.struct(F.col(flat).alias("p"), F.col(v).alias("v")))
         a, b = F.last(known, ignorenulls=True).over(back), F.first(known, ignorenulls=True).over(on)
         d = d.withColumn("_a", a).withColumn("_b", b)
-        share = (F.col(flat) - F.col("_a.p")) / (F.col("_b.p") - F.col("_a.p"))
+        share = F.try_divide(F.col(flat) - F.col("_a.p"), F.col("_b.p") - F.col("_a.p"))
         between = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * share
         d = d.withColumn(
             v,

@@ -97,15 +97,16 @@ def ks(df: DataFrame, keys, value: str, sample: str) -> DataFrame:
     )
     totals = counts.groupBy(*keys).agg(F.sum("_a").alias("_na"), F.sum("_b").alias("_nb"))
     d = cumulative(counts, keys, value, {"_ca": F.col("_a"), "_cb": F.col("_b")}).join(totals, keys)
-    gap = F.abs(F.col("_ca") / F.col("_na") - F.col("_cb") / F.col("_nb"))
+    # where one sample is empty there is no statistic
+    gap = F.abs(F.try_divide("_ca", "_na") - F.try_divide("_cb", "_nb"))
     d = d.groupBy(*keys, "_na", "_nb").agg(F.max(gap).alias("d"))
-    lam = F.sqrt(F.col("_na") * F.col("_nb") / (F.col("_na") + F.col("_nb"))) * F.col("d")
+    lam = F.sqrt(F.try_divide(F.col("_na") * F.col("_nb"), F.col("_na") + F.col("_nb"))) * F.col("d")
     series = F.aggregate(
         F.sequence(F.lit(1), F.lit(100)),
         F.lit(0.0),
         lambda acc, k: acc + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * lam * lam),
     )
-    p = F.when(lam < 0.2, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), series)))
+    p = F.when(lam < 0.2, F.lit(1.0)).when(lam.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), series)))
     return d.select(*keys, "d", p.alias("p"))
 
 

@@ -10,8 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Fixed rule: cell sizes (mm) of the neighbour search, halved from level to level.
-LEVEL_SIZES = [512.0 / 2**k for k in range(9)]
+# Levels of the neighbour search around the one at which a cell of an even pane holds twice
+# the wanted points; a level halves the cell of the one before, level 0 is the whole pane.
+# Panes with crowded places (some such cell holds CROWDED times the wanted points) get finer ones.
+LEVELS_AROUND = [-2, -1, 0]
+LEVELS_CROWDED = [-4, -2, -1, 0, 2, 4, 7, 10]
+CROWDED = 8
 # the cell itself and the four cells "ahead"; the other four are reached from there
 HALF_BLOCK = [(0, 0), (1, -1), (1, 0), (1, 1), (0, 1)]
 
@@ -82,6 +86,8 @@ def nearest(points: DataFrame, keys, ident: str, k: int, x="x_mm", y="y_mm") ->
        the smallest id can be among anybody's nearest (ties go by id), which a limited
        ranking keeps before the shuffle.
     2. Each location takes the finest grid level at which its own cell holds ``k`` points.
+       The levels follow the extent and the number of the key's locations; the coarsest
+       cell covers the whole pane, so a pane of fewer than ``k`` points gives all of them.
     3. The k-th distance inside that cell bounds the true one, so the cells within that
        radius hold the exact answer.
     """
@@ -90,18 +96,35 @@ def nearest(points: DataFrame, keys, ident: str, k: int, x="x_mm", y="y_mm") ->
     rank_here = F.row_number().over(Window.partitionBy(*place).orderBy(ident))
     cand = points.select(*place, ident).withColumn("_r", rank_here).filter(F.col("_r") <= k).drop("_r")
     loc = cand.select(*place).distinct()
-    sizes = F.array(*[F.lit(s) for s in LEVEL_SIZES])
+    extent = loc.groupBy(*keys).agg(
+        F.min(x).alias("_x0"),
+        F.min(y).alias("_y0"),
+        (F.greatest(F.max(x) - F.min(x), F.max(y) - F.min(y), F.lit(1e-9)) * 1.000001).alias("_top"),
+        F.greatest(F.lit(0.0), F.round(F.log2(F.count(F.lit(1)) / (2.0 * k)) / 2)).cast("int").alias("_even"),
+    )
+
+    def celled(df: DataFrame, level: str) -> DataFrame:
+        d = df.withColumn("_s", F.col("_top") / F.pow(F.lit(2.0), F.col(level)))
+        d = d.withColumn("_cx", F.floor((F.col(x) - F.col("_x0")) / F.col("_s")))
+        return d.withColumn("_cy", F.floor((F.col(y) - F.col("_y0")) / F.col("_s")))
+
+    even = celled(cand.join(extent, keys), "_even").groupBy(*keys, "_cx", "_cy").agg(F.count(F.lit(1)).alias("_n"))
+    crowd = even.groupBy(*keys).agg((F.max("_n") >= CROWDED * k).alias("_crowded"))
+    extent = extent.join(crowd, keys)
+    choice = lambda steps: F.array(F.lit(0), *[F.greatest(F.lit(0), F.col("_even") + step) for step in steps])
+    levels = F.array_distinct(F.when(F.col("_crowded"), choice(LEVELS_CROWDED)).otherwise(choice(LEVELS_AROUND)))
 
     def levelled(df: DataFrame) -> DataFrame:
-        d = df.select("*", F.posexplode(sizes).alias("_lvl", "_s"))
-        return d.withColumn("_cx", F.floor(F.col(x) / F.col("_s"))).withColumn("_cy", F.floor(F.col(y) / F.col("_s")))
+        d = df.join(extent, keys).select("*", F.explode(levels).alias("_lvl")).drop("_even", "_crowded")
+        return celled(d, "_lvl")
 
     at = [*keys, "_lvl", "_cx", "_cy"]
     spread = levelled(cand)
     full = spread.groupBy(*at).agg(F.count(F.lit(1)).alias("_n"))
     full = full.filter((F.col("_n") >= k) | (F.col("_lvl") == 0)).select(*at)
     own = levelled(loc).join(full, at, "left_semi")
-    own = own.groupBy(*place).agg(F.max(F.struct("_lvl", "_s", "_cx", "_cy")).alias("_q")).select(*place, "_q.*")
+    finest = F.max(F.struct("_lvl", "_s", "_cx", "_cy", "_x0", "_y0")).alias("_q")
+    own = own.groupBy(*place).agg(finest).select(*place, "_q.*")
 
     right = spread.select(*at, F.col(x).alias("_x"), F.col(y).alias("_y"), F.col(ident).alias("neighbour"))
     dx, dy = F.col(x) - F.col("_x"), F.col(y) - F.col("_y")
@@ -109,12 +132,15 @@ def nearest(points: DataFrame, keys, ident: str, k: int, x="x_mm", y="y_mm") ->
 
     inside = own.join(right, at).withColumn("dist", F.sqrt(dx * dx + dy * dy))
     inside = inside.withColumn("rank", F.row_number().over(by_dist)).filter(F.col("rank") <= k)
-    bound = inside.groupBy(*place, "_lvl", "_s").agg(
-        F.when(F.count(F.lit(1)) >= k, F.max("dist")).otherwise(F.lit(2.0) * F.max("_s")).alias("_bound")
+    # with fewer than k inside, the cell is the whole pane: no point is farther than its diagonal
+    bound = inside.groupBy(*place, "_lvl", "_s", "_x0", "_y0").agg(
+        F.when(F.count(F.lit(1)) >= k, F.max("dist")).otherwise(F.lit(1.5) * F.max("_s")).alias("_bound")
     )
-    reach = lambda c, sign: F.floor((F.col(c) + sign * F.col("_bound")) / F.col("_s"))
-    around = bound.withColumn("_cx", F.explode(F.sequence(reach(x, -1), reach(x, 1))))
-    around = around.withColumn("_cy", F.explode(F.sequence(reach(y, -1), reach(y, 1))))
+    last = F.pow(F.lit(2.0), F.col("_lvl")).cast("bigint") - 1
+    low = lambda c, c0: F.greatest(F.lit(0), F.floor((F.col(c) - F.col("_bound") - F.col(c0)) / F.col("_s")))
+    high = lambda c, c0: F.least(last, F.floor((F.col(c) + F.col("_bound") - F.col(c0)) / F.col("_s")))
+    around = bound.withColumn("_cx", F.explode(F.sequence(low(x, "_x0"), high(x, "_x0"))))
+    around = around.withColumn("_cy", F.explode(F.sequence(low(y, "_y0"), high(y, "_y0"))))
     hits = around.join(right, at).withColumn("dist", F.sqrt(dx * dx + dy * dy)).filter(F.col("dist") <= F.col("_bound"))
     hits = hits.withColumn("rank", F.row_number().over(by_dist)).filter(F.col("rank") <= k)
     return points.select(*place, ident).join(hits.select(*place, "rank", "neighbour", "dist"), place).select(

@@ -614,12 +614,13 @@ def spectrogram(df: DataFrame, frame: int = 1024, overlap: int = 512, keys=KEYS)
 def track(tips: DataFrame, dt: float = 1.0, ends=(3, 4), key: str = "crack_id", turning: str = "stored", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Kinematics of crack tips ``(key, frame, x_mm, y_mm[, pixel])``.
 
-    The number of tip pixels is the status; a track stops after a closing status. Angles:
+    The number of tip pixels is the status, the first one in image order (row, then column)
+    is the tip; a track stops after a closing status. Angles:
     ``plain`` is the absolute change of heading, ``stored`` compares the heading with the
     previously stored difference, as the original does.
     """
     keys = [key]
-    first = F.min(F.struct("pixel", "x_mm", "y_mm")) if "pixel" in tips.columns else F.min(F.struct("x_mm", "y_mm"))
+    first = F.min(F.struct("pixel", "x_mm", "y_mm")) if "pixel" in tips.columns else F.min(F.struct("y_mm", "x_mm"))
     d = tips.groupBy(key, "frame").agg(F.count(F.lit(1)).alias("status"), first.alias("_p"))
     d = d.select(key, "frame", "status", F.col("_p.x_mm").alias("x_mm"), F.col("_p.y_mm").alias("y_mm"))
     d = key_stats(d, keys, _end=F.min(F.when(F.col("status").isin(list(ends)), F.col("frame"))))

@@ -22,7 +22,7 @@ def with_energy(specimen):
 
 @query(
     "s1_catalog_scan",
-    "select specimen_id, name, thickness, round(sig_h,6) as sig_h from specimen where has_splinters and has_scalp order by sig_h, specimen_id limit 1000",
+    "select specimen_id, name, thickness, round(sig_h,6) as sig_h from specimen where has_splinters and has_scalp order by sig_h, specimen_id",
 )
 def s1(t):
     decider = C.specimen_predicate()

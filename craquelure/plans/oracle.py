@@ -21,9 +21,9 @@ select l_suppkey as specimen_id, concat_ws('-',cast(l_orderkey as varchar),cast(
 select specimen_id, splinter_key, k, cast(floor(x_mm*8e0) as int) + dx*q + cast((l_partkey+k) % 3 as int) as px, cast(floor(y_mm*8e0) as int) + dy*q as py
  from splinter cross join (values (0,8,0),(1,6,6),(2,0,8),(3,-6,6),(4,-8,0),(5,-6,-6),(6,0,-8),(7,6,-6)) as o(k,dx,dy)""",
     "channel": """
-select *, row_number() over (partition by specimen_id, channel order by t, event_id) - 1 as seq from (select event_id, user_id % 100 as specimen_id, event_type as channel, epoch_us(ts)/1e6 as t, value from events) q""",
+select *, row_number() over (partition by specimen_id, channel order by t, event_id) - 1 as seq from (select event_id, user_id % (select count(*) from supplier) as specimen_id, event_type as channel, epoch_us(ts)/1e6 as t, value from events) q""",
     "scalp_measurement": """
-select o_custkey % 100 as specimen_id, case o_orderkey % 3 when 0 then 'ul' when 1 then 'm' else 'or' end as location, case cast(floor(o_orderkey/3e0) as bigint) % 3 when 0 then 'X' when 1 then 'Xy' else 'Y' end as orientation, o_orderkey as ord, -(40e0 + o_orderkey % 97) - o_totalprice/1e6 as stress0 from orders""",
+select o_custkey % (select count(*) from supplier) as specimen_id, case o_orderkey % 3 when 0 then 'ul' when 1 then 'm' else 'or' end as location, case cast(floor(o_orderkey/3e0) as bigint) % 3 when 0 then 'X' when 1 then 'Xy' else 'Y' end as orientation, o_orderkey as ord, -(40e0 + o_orderkey % 97) - o_totalprice/1e6 as stress0 from orders""",
     "crack_tip": """
 select user_id as crack_id, row_number() over (partition by user_id order by ts, event_id) as frame, value % 40e0 as x_mm, cast(event_id % 250 as double)/10e0 as y_mm from events""",
     "pixel": """

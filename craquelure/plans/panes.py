@@ -296,32 +296,33 @@ def a35(t):
     return panes.resample(d, ["specimen_id"], 10, 6).select("specimen_id", "ix", "iy", *r("cx", "cy", "value"))
 
 
-PIXEL_BOXES = """with bx as (select i, 8e0 + i*(48e0/9e0) as c from (select unnest(range(0,10)) as i)), hh as (select max(y)+1 as h from pixel),
+PIXEL_BOXES = """with hh as (select max(y)+1 as h, max(x)+1 as w from pixel), bx as (select i, 8e0 + i*((w-16e0)/9e0) as c from (select unnest(range(0,10)) as i), hh),
 b as (select i, floor(c-8e0) as lo, floor(c+8e0) as hi from bx), bj as (select i as j, floor(8e0 + i*((h-16e0)/9e0) - 8e0) as lo, floor(8e0 + i*((h-16e0)/9e0) + 8e0) as hi from (select unnest(range(0,10)) as i), hh),
 v as (select b.i, bj.j, count(*) filter (where gray < 127) as value, count(*) as n, avg(gray) as mean_gray from pixel p join b on b.lo <= p.x and p.x < b.hi join bj on bj.lo <= p.y and p.y < bj.hi group by 1,2)
 """
 
 
-def image_height(t):
-    return t.pixel.agg(F.max("y")).first()[0] + 1
+def image_size(t):
+    """Width and height: two numbers of one aggregate."""
+    return tuple(t.pixel.agg(F.max("x") + 1, F.max("y") + 1).first())
 
 
 @query("j15_pixel_windows", PIXEL_BOXES + "select i, j, n as value from v")
 def j15(t):
-    return panes.image_windows(t.pixel, (64, image_height(t)), 16, 10, F.count(F.lit(1)))
+    return panes.image_windows(t.pixel, image_size(t), 16, 10, F.count(F.lit(1)))
 
 
 @query("a16_dark_pixels", PIXEL_BOXES + "select i, j, round(value/(max(value) over ()),6) as value from v")
 def a16(t):
     dark = F.count_if(F.col("gray") < 127)
-    d = panes.image_windows(t.pixel, (64, image_height(t)), 16, 10, dark)
+    d = panes.image_windows(t.pixel, image_size(t), 16, 10, dark)
     # at most n x n windows reach this point
     return d.select("i", "j", F.round(F.col("value") / F.max("value").over(Window.partitionBy(F.lit(1))), 6).alias("value"))
 
 
 @query("x3_image_aggregate", PIXEL_BOXES + "select i, j, round(mean_gray,6) as value from v")
 def x3(t):
-    return panes.image_windows(t.pixel, (64, image_height(t)), 16, 10, F.round(F.avg("gray"), 6))
+    return panes.image_windows(t.pixel, image_size(t), 16, 10, F.round(F.avg("gray"), 6))
 
 
 @query(

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from craquelure.operators.exclusions import measured
@@ -28,14 +28,10 @@ class Tables:
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def spread(self, name: str, *by: str) -> DataFrame:
-        """A table of few input splits, spread over the cores; a large one stays as it is.
-
-        Splits grow with the data, so the extra shuffle only happens on small inputs.
-        """
-        df = self.base(name)
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores, *by) if df.rdd.getNumPartitions() < cores else df
+    @cached_property
+    def panes(self) -> Column:
+        """Number of panes, as a scalar subquery: recordings and measurements are dealt to all of them."""
+        return self.base("supplier").agg(F.count(F.lit(1)).alias("panes")).scalar()
 
     @cached_property
     def specimen(self) -> DataFrame:
@@ -68,7 +64,7 @@ class Tables:
 
     @cached_property
     def splinter(self) -> DataFrame:
-        return self.spread("lineitem", "l_orderkey", "l_partkey").selectExpr(
+        return self.base("lineitem").selectExpr(
             "l_suppkey as specimen_id",
             "concat_ws('-',cast(l_orderkey as string),cast(l_partkey as string),cast(l_suppkey as string),cast(l_linenumber as string)) as splinter_key",
             "cast((l_partkey*7919 + l_linenumber*104729 + l_orderkey*31) % 5000 as double)/10e0 as x_mm",
@@ -116,17 +112,17 @@ class Tables:
     def channel(self) -> DataFrame:
         raw = self.base("events").selectExpr(
             "event_id",
-            "user_id % 100 as specimen_id",
+            "user_id",
             "event_type as channel",
             "unix_micros(cast(ts as timestamp))/1e6 as t",
             "value",
-        )
+        ).select("event_id", (F.col("user_id") % self.panes).alias("specimen_id"), "channel", "t", "value")
         return sequence_number(raw, ["specimen_id", "channel"], "t", ["event_id"])
 
     @cached_property
     def scalp_measurement(self) -> DataFrame:
-        return self.base("orders").selectExpr(
-            "o_custkey % 100 as specimen_id",
+        return self.base("orders").withColumn("specimen_id", F.col("o_custkey") % self.panes).selectExpr(
+            "specimen_id",
             "case o_orderkey % 3 when 0 then 'ul' when 1 then 'm' else 'or' end as location",
             "case cast(floor(o_orderkey/3e0) as bigint) % 3 when 0 then 'X' when 1 then 'Xy' else 'Y' end as orientation",
             "o_orderkey as ord",
