@@ -190,6 +190,27 @@ def f3(t):
     return with_energy(t.specimen).filter(keep).select("specimen_id", "name")
 
 
+@query(
+    "f3_scans_branch",
+    "select specimen_id, name from specimen where has_scalp and has_splinters and specimen_id % 9 <> 4",
+)
+def f3_scans(t):
+    """Neither a stress range nor an energy is given, so the scans are asked for."""
+    d = t.specimen.withColumn("has_scans", F.col("specimen_id") % 9 != 4)
+    return d.filter(C.specimen_predicate(needs_scans=True)).select("specimen_id", "name")
+
+
+@query(
+    "f3_range_before_energy",
+    "select specimen_id, name from specimen where has_scalp and has_splinters and abs(sig_h) between 70e0 and 90e0",
+)
+def f3_order(t):
+    """With a stress range neither energy nor scans are looked at."""
+    d = with_energy(t.specimen).withColumn("has_scans", F.lit(False))
+    keep = C.specimen_predicate(sigmas="80", delta=10, energy=1.0, needs_scans=True)
+    return d.filter(keep).select("specimen_id", "name")
+
+
 @query(
     "f4_stress_range",
     "select specimen_id, name from specimen where has_scalp and has_splinters and abs(sig_h) between 70e0 and 90e0",
@@ -333,19 +354,24 @@ def t8(t):
     return C.every_nth(t.specimen.select("specimen_id", "name"), ["specimen_id"], 3)
 
 
-@query("t9_seeded_sample")
+@query(
+    "t9_seeded_sample",
+    """with c as (select specimen_id, name from specimen where has_splinters order by md5('42-' || cast(specimen_id as varchar)), specimen_id limit 5)
+select specimen_id, name, splinter_key, area, pick from (select c.specimen_id, name, splinter_key, area,
+ row_number() over (partition by c.specimen_id order by md5('42-' || splinter_key), splinter_key) as pick from splinter s join c on c.specimen_id=s.specimen_id) where pick <= 5""",
+)
 def t9(t):
     """Five specimens and five splinters of each, by a seeded hash of their ids."""
-    seed = 42
+    seeded = lambda c: F.md5(F.concat(F.lit("42-"), F.col(c).cast("string")))
     chosen = (
         t.specimen.filter("has_splinters")
         .select("specimen_id", "name")
-        .orderBy(F.xxhash64("specimen_id", F.lit(seed)))
+        .orderBy(seeded("specimen_id"), "specimen_id")
         .limit(5)
     )
     from pyspark.sql import Window
 
-    w = Window.partitionBy("specimen_id").orderBy(F.xxhash64("splinter_key", F.lit(seed)), "splinter_key")
+    w = Window.partitionBy("specimen_id").orderBy(seeded("splinter_key"), "splinter_key")
     return (
         t.splinter.join(chosen, "specimen_id")
         .select("specimen_id", "name", "splinter_key", "area")

@@ -72,7 +72,9 @@ def j6(t):
 
 @query(
     "j7_shared_points",
-    """select a.specimen_id, a.px, a.py, a.splinter_key as id_a, a.k as k_a, b.splinter_key as id_b, b.k as k_b from contour_point a join contour_point b
+    """with twice as (select specimen_id, px, py from contour_point group by 1,2,3 having count(*) > 1),
+few as (select c.* from contour_point c join twice t on c.specimen_id=t.specimen_id and c.px=t.px and c.py=t.py)
+select a.specimen_id, a.px, a.py, a.splinter_key as id_a, a.k as k_a, b.splinter_key as id_b, b.k as k_b from few a join few b
  on a.specimen_id=b.specimen_id and a.px=b.px and a.py=b.py and (a.splinter_key < b.splinter_key or (a.splinter_key = b.splinter_key and a.k < b.k))""",
 )
 def j7(t):
@@ -141,17 +143,34 @@ def p2(t):
     return pane_k(t, 50.0).select("specimen_id", "step", "d", F.round("k", 4).alias("k"))
 
 
-@query(
-    "p2_k_edge_corrected",
-    """with pp as (select a.specimen_id, abs(a.x_mm-b.x_mm) as dx, abs(a.y_mm-b.y_mm) as dy, sqrt((a.x_mm-b.x_mm)*(a.x_mm-b.x_mm)+(a.y_mm-b.y_mm)*(a.y_mm-b.y_mm)) as dist from splinter a join splinter b on a.specimen_id=b.specimen_id and a.splinter_key <> b.splinter_key and abs(a.x_mm-b.x_mm) <= 20e0 and abs(a.y_mm-b.y_mm) <= 20e0),
-pb as (select specimen_id, cast(ceil(dist/(20e0/100e0)) as int) as step, sum(250000e0/((500e0-dx)*(500e0-dy))) as c from pp where dist <= 20e0 group by 1,2), tot as (select specimen_id, cast(count(*) as double) as n from splinter group by 1),
+WEIGHTED = """with pp as (select a.specimen_id, abs(a.x_mm-b.x_mm) as dx, abs(a.y_mm-b.y_mm) as dy, sqrt((a.x_mm-b.x_mm)*(a.x_mm-b.x_mm)+(a.y_mm-b.y_mm)*(a.y_mm-b.y_mm)) as dist from splinter a join splinter b on a.specimen_id=b.specimen_id and a.splinter_key <> b.splinter_key and abs(a.x_mm-b.x_mm) <= 50e0 and abs(a.y_mm-b.y_mm) <= 50e0),
+pb as (select specimen_id, cast(ceil(dist/(50e0/100e0)) as int) as step, sum(250000e0/((500e0-dx)*(500e0-dy))) as c from pp where dist <= 50e0 group by 1,2), tot as (select specimen_id, cast(count(*) as double) as n from splinter group by 1),
 kk as (select tot.specimen_id, s.step, 250000e0*sum(coalesce(c,0e0)) over (partition by tot.specimen_id order by s.step)/(n*n) as k from tot cross join (select unnest(range(0,101)) as step) s left join pb on pb.specimen_id=tot.specimen_id and pb.step=s.step)
-select specimen_id, step, round(k,4) as k from kk where step > 0""",
-)
-def p2w(t):
+"""
+
+
+def weighted_k(t):
+    """With the edge correction and over the whole range of distances."""
     d = pts(t).withColumn("w_mm", F.lit(500.0)).withColumn("h_mm", F.lit(500.0))
-    k = P.k_function(d, ID, 20.0, F.max(F.lit(250000.0)), weight=True)
-    return k.select("specimen_id", "step", F.round("k", 4).alias("k"))
+    return P.k_function(d, ID, 50.0, F.max(F.lit(250000.0)), weight=True)
+
+
+@query("p2_k_edge_corrected", f"{WEIGHTED}select specimen_id, step, round(k,4) as k from kk where step > 0")
+def p2w(t):
+    return weighted_k(t).select("specimen_id", "step", F.round("k", 4).alias("k"))
+
+
+@query("p3_l_edge_corrected", f"{WEIGHTED}select specimen_id, step, round(sqrt(k/pi()),5) as l from kk where step > 0")
+def p3w(t):
+    return weighted_k(t).select("specimen_id", "step", F.round("l", 5).alias("l"))
+
+
+@query(
+    "p4_centred_l_edge_corrected",
+    f"{WEIGHTED}select specimen_id, step, round(sqrt(k/pi()) - step*(50e0/100e0),5) as lc from kk where step > 0",
+)
+def p4w(t):
+    return weighted_k(t).select("specimen_id", "step", F.round("lc", 5).alias("lc"))
 
 
 @query("p3_l_function", f"{K50} select specimen_id, step, d, round(l,5) as l from lc")

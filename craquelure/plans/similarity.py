@@ -64,10 +64,17 @@ def c10(t):
     return S.ks(d, K, "area", "sample").select("specimen_id", F.round("d", 8).alias("d"))
 
 
-@query("c10_ks_p_value")
+P_SQL = """case when {lam} < 0.2e0 then 1e0 else least(1e0, greatest(0e0, list_sum(list_transform(range(1,101), lambda k: (case when k % 2 = 1 then 2e0 else -2e0 end)*exp(-2e0*k*k*{lam}*{lam}))))) end"""
+
+
+@query(
+    "c10_ks_p_value",
+    f"""with {KS}, g as (select specimen_id, max(gap) as d, sqrt(cast(any_value(na*nb) as double)/any_value(na+nb))*max(gap) as lam from f group by 1)
+select specimen_id, round(d,8) as d, round({P_SQL.format(lam='lam')},8) as p from g""",
+)
 def c10p(t):
     d = t.splinter.select("specimen_id", "area", F.when(F.col("source") == "real", 0).otherwise(1).alias("sample"))
-    return S.ks(d, K, "area", "sample")
+    return S.ks(d, K, "area", "sample").select("specimen_id", F.round("d", 8).alias("d"), F.round("p", 8).alias("p"))
 
 
 COUNT = """u as (select specimen_id, pos, 0 as s, cast(ref as double) as val from v union all select specimen_id, pos, 1, cast(meas as double) from v),
