@@ -178,14 +178,38 @@ def ellipse_radius(a: Column, b: Column, theta: Column) -> Column:
 # ---- hull and simplification ------------------------------------------------------------
 
 
-def _padded(contours: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Ragged contours as two arrays, short ones padded with their first point."""
-    x, y, start, n = flat(contours)
+# contours up to so many points are wrapped together, longer ones are chained one by one
+TOGETHER = 64
+# numbers that one array of projections may hold
+PROJECTED = 1 << 22
+
+
+def _padded(x: np.ndarray, y: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ragged contours of similar length as two arrays, short ones padded with their first point."""
     column = np.arange(n.max())
     take = start[:, None] + np.where(column[None, :] < n[:, None], column[None, :], 0)
     return x[take], y[take]
 
 
+def hull_chain(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Closed hull of one contour: the lower and the upper chain over its sorted points."""
+    points = np.unique(np.column_stack([x, y]), axis=0).tolist()
+    if len(points) < 3:
+        ring = points + points[:1]
+        return np.array([p[0] for p in ring]), np.array([p[1] for p in ring])
+
+    def chain(ordered):
+        out = []
+        for p in ordered:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
+                out.pop()
+            out.append(p)
+        return out
+
+    ring = np.array(chain(points)[:-1] + chain(points[::-1]))
+    return ring[:, 0], ring[:, 1]
+
+
 def hull_points(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gift wrapping for a whole batch at once; finished hulls repeat their start."""
     rows = np.arange(len(x))
@@ -211,25 +235,42 @@ def hull_points(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.stack(hx, 1), np.stack(hy, 1)
 
 
-def hull_box(contours: pa.Array) -> pa.Array:
-    """Hull perimeter and the smallest enclosing rectangle of each contour.
-
-    ``la`` runs along the unit vector ``(ux, uy)`` of a hull edge, ``lb`` across it.
-    """
-    x, y = hull_points(*_padded(contours))
+def _boxes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Perimeter, sides and direction of the smallest rectangle around each closed hull."""
     dx, dy = np.diff(x, axis=1), np.diff(y, axis=1)
     length = np.hypot(dx, dy)
     with np.errstate(invalid="ignore", divide="ignore"):
         ux, uy = dx / length, dy / length
-    # projections of every hull point on every edge direction: batch x edges x points
+    # projections of every hull point on every edge direction
     along = ux[:, :, None] * x[:, None, :] + uy[:, :, None] * y[:, None, :]
     across = -uy[:, :, None] * x[:, None, :] + ux[:, :, None] * y[:, None, :]
     la, lb = np.ptp(along, axis=2), np.ptp(across, axis=2)
     size = np.where(length > 0, la * lb, np.inf)
     best = size.argmin(1)
     rows = np.arange(len(x))
-    columns = [length.sum(1), la[rows, best], lb[rows, best], ux[rows, best], uy[rows, best]]
-    return pa.StructArray.from_arrays([pa.array(c) for c in columns], ["hull", "la", "lb", "ux", "uy"])
+    return np.column_stack([length.sum(1), la[rows, best], lb[rows, best], ux[rows, best], uy[rows, best]])
+
+
+def hull_box(contours: pa.Array) -> pa.Array:
+    """Hull perimeter and the smallest enclosing rectangle of each contour; missing for an empty one.
+
+    ``la`` runs along the unit vector ``(ux, uy)`` of a hull edge, ``lb`` across it. Contours
+    are taken together with others of like length, so a long one costs the others nothing.
+    """
+    x, y, start, n = flat(contours)
+    out = np.full((len(n), 5), np.nan)
+    kind = np.ceil(np.log2(np.maximum(n, 1))).astype(int)
+    for k in np.unique(kind[(n > 0) & (n <= TOGETHER)]):
+        rows = np.flatnonzero((kind == k) & (n > 0))
+        many = max(1, PROJECTED // (2**k + 1) ** 2)
+        for at in range(0, len(rows), many):
+            some = rows[at : at + many]
+            out[some] = _boxes(*hull_points(*_padded(x, y, start[some], n[some])))
+    for i in np.flatnonzero(n > TOGETHER):
+        hx, hy = hull_chain(x[start[i] : start[i] + n[i]], y[start[i] : start[i] + n[i]])
+        out[i] = _boxes(hx[None, :], hy[None, :])[0]
+    columns = [pa.array(c, mask=n == 0) for c in out.T]
+    return pa.StructArray.from_arrays(columns, ["hull", "la", "lb", "ux", "uy"])
 
 
 def hull_columns(contour: str | Column = "contour") -> Column:

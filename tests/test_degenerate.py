@@ -79,3 +79,42 @@ def test_tip_is_the_first_pixel_in_image_order(spark):
     tips = spark.createDataFrame(rows, "crack_id int, frame int, x_mm double, y_mm double")
     got = {r.frame: (r.x_mm, r.y_mm) for r in signals.track(tips, turning="plain").collect()}
     assert got == {0: (5.0, 1.0), 1: (8.0, 4.0)}
+
+
+def contour_array(rings):
+    import pyarrow as pa
+
+    point = pa.struct([("px", pa.int32()), ("py", pa.int32())])
+    return pa.array([[{"px": x, "py": y} for x, y in ring] for ring in rings], pa.list_(point))
+
+
+def test_long_and_short_contours_have_the_same_hull():
+    from craquelure.functions import geometry
+
+    r = random.Random(4)
+    rings = [[(r.randrange(60), r.randrange(60)) for _ in range(n)] for n in (1, 2, 3, 8, 40, 64)]
+    # the same outlines with so many repeated points that the other way is taken
+    longer = [ring + [r.choice(ring) for _ in range(200)] for ring in rings]
+    short, long = (geometry.hull_box(contour_array(x)).to_pylist() for x in (rings, longer))
+    for a, b in zip(short, long):
+        assert a["hull"] == pytest.approx(b["hull"])
+        if a["hull"] > 0:
+            assert a["la"] * a["lb"] == pytest.approx(b["la"] * b["lb"])
+
+
+def test_one_long_contour_costs_the_others_nothing():
+    import math
+    import time
+
+    from craquelure.functions import geometry
+
+    octagons = [[(10, 0), (17, 3), (20, 10), (17, 17), (10, 20), (3, 17), (0, 10), (3, 3)]] * 3000
+    ring = [(int(9000 * math.cos(k / 800)), int(9000 * math.sin(k / 800))) for k in range(5000)]
+    alone, both = contour_array(octagons), contour_array([*octagons, ring])
+    geometry.hull_box(alone)
+    start = time.perf_counter()
+    geometry.hull_box(alone)
+    first = time.perf_counter() - start
+    start = time.perf_counter()
+    geometry.hull_box(both)
+    assert time.perf_counter() - start < 2 * first + 0.5
