@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,13 +157,30 @@ def kde(df: DataFrame, keys, value: str, points: int = 1000) -> DataFrame:
     )
     counts = d.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")).join(stats, keys)
     counts = counts.withColumn("_bw", F.col("_s") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
-    counts = counts.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    x = F.col("_lo") + F.col("k") * ((F.col("_hi") - F.col("_lo")) / (points - 1))
-    # one value only, or one kind of value, has no bandwidth: its density is missing
-    width = F.nullif(F.col("_bw"), F.lit(0.0))
-    z = (x - F.col(value)) / width
-    weight = F.col("_c") * F.exp(-0.5 * z * z) / (F.col("_n") * width * math.sqrt(2 * math.pi))
-    return counts.withColumn("x", x).groupBy(*keys, "k", "x").agg(F.sum(weight).alias("density"))
+    kinds = ", ".join(f"`{k}` {counts.schema[k].dataType.simpleString()}" for k in keys)
+    step = np.arange(points)
+
+    def add_up(batches):
+        """Each batch adds its values up per key and point, so rows that leave are keys x points."""
+        for batch in batches:
+            for key, part in batch.groupby(keys, dropna=False, sort=False):
+                n, lo, hi, width = part[["_n", "_lo", "_hi", "_bw"]].iloc[0].astype(float)
+                x = lo + step * ((hi - lo) / (points - 1))
+                density = np.full(points, np.nan)
+                # one value only, or one kind of value, has no bandwidth: its density is missing
+                if width > 0:
+                    density[:] = 0.0
+                    values, many = part[value].to_numpy(float), part["_c"].to_numpy(float)
+                    for at in range(0, len(values), 1024):
+                        z = (x[None, :] - values[at : at + 1024, None]) / width
+                        density += many[at : at + 1024] @ np.exp(-0.5 * z * z)
+                    density /= n * width * math.sqrt(2 * math.pi)
+                out = pd.DataFrame({"k": step, "x": x, "density": density})
+                yield out.assign(**dict(zip(keys, key)))[[*keys, "k", "x", "density"]]
+
+    parts = counts.mapInPandas(add_up, f"{kinds}, k int, x double, density double")
+    density = F.sum(F.when(~F.isnan("density"), F.col("density")))
+    return parts.groupBy(*keys, "k", "x").agg(density.alias("density"))
 
 
 def mode(df: DataFrame, keys, value: str, points: int = 1000) -> DataFrame:
