@@ -183,7 +183,9 @@ def links(points: DataFrame) -> DataFrame:
         some = np.flatnonzero(root != np.arange(len(fp)))
         return pa.table({"a": fp[some], "b": fp[root[some]]})
 
-    return by_batch(points, "shard int, fp bigint", route).groupBy("shard").applyInArrow(compare, "a bigint, b bigint")
+    # shards are small in bytes and costly to compare: a task for each, however few bytes it reads
+    sharded = by_batch(points, "shard int, fp bigint", route).repartition(2**levels, "shard")
+    return sharded.groupBy("shard").applyInArrow(compare, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
