@@ -93,5 +93,5 @@ def broadcast_if_small(df: DataFrame, most: int) -> tuple[DataFrame, bool]:
 
     The caller chooses ``most`` by the width of a row; beyond it the join is left to a shuffle.
     """
-    small = df.limit(most + 1).count() <= most
+    small = df.count() <= most
     return (F.broadcast(df), True) if small else (df, False)

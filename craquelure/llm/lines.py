@@ -33,8 +33,10 @@ from craquelure.llm.common import broadcast_if_small, checkpointed
 LEAST = 16
 EDITS = 1
 BLOCK, SHORT_BLOCK = 256, 16
-# a shared hash is 8 bytes
+# a shared hash is 8 bytes, the first place of a repeated line below 50
 HASHES_SENT = 2_000_000
+COPIES_SENT = 1_000_000
+SALTS = 16
 _FILLED = r"[^ \t\n\x0B\f\r]"
 _NO_ID = (1 << 63) - 1
 
@@ -140,11 +142,21 @@ def near_copies(found: DataFrame, *, sent: int = HASHES_SENT) -> DataFrame:
     return verified.select("at").distinct()
 
 
-def copies(found: DataFrame) -> DataFrame:
-    """``at`` of every line that equals an earlier one."""
+def copies(found: DataFrame, *, sent: int = COPIES_SENT) -> DataFrame:
+    """``at`` of every line that equals an earlier one.
+
+    First places that are too many to send are joined by a shuffle, salted so that one line
+    that stands everywhere spreads over several tasks.
+    """
     hashed = found.select("at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
     first = hashed.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.max("at").alias("last"))
-    return hashed.join(first.filter("first < last"), ["h1", "h2"]).filter("at > first").select("at")
+    first, small = broadcast_if_small(checkpointed(first.filter("first < last").drop("last")), sent)
+    keys = ["h1", "h2"]
+    if not small:
+        hashed = hashed.withColumn("salt", F.pmod(F.xxhash64("at"), F.lit(SALTS)))
+        first = first.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        keys.append("salt")
+    return hashed.join(first, keys).filter("at > first").select("at")
 
 
 def dropped(docs: DataFrame) -> DataFrame:

@@ -57,6 +57,7 @@ def planted(seed, n=60):
 def test_planted_edits(spark, seed, sent, monkeypatch):
     docs = planted(seed)
     monkeypatch.setattr(lines.near_copies, "__kwdefaults__", {"sent": sent})
+    monkeypatch.setattr(lines.copies, "__kwdefaults__", {"sent": sent})
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert {r.doc_id: r.text for r in lines.dedup(df).collect()} == brute(docs)
 
