@@ -27,7 +27,15 @@ from craquelure.llm.common import arrow_bounds, blobs, by_batch, lists, row_key,
 CHUNK_CHARS = 1 << 16
 OVERLAP = 1 << 10
 # pre-tokens whose ids a Python worker remembers before it starts afresh
-REMEMBERED = 400_000
+REMEMBERED = 100_000
+
+
+@lru_cache(maxsize=4)
+def vocabulary(ranks_path: str) -> list[bytes]:
+    """The bytes of every id; ids without a token have none."""
+    with open(ranks_path, "rb") as lines:
+        ranks = {int(b): base64.b64decode(a) for a, b in map(bytes.split, lines)}
+    return [ranks.get(rank, b"") for rank in range(max(ranks) + 1)]
 
 
 class Coder:
@@ -37,16 +45,11 @@ class Coder:
         import regex
         import tiktoken
 
-        with open(ranks_path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        ranks = {token: rank for rank, token in enumerate(vocabulary(ranks_path)) if token}
         self.pattern = regex.compile(pattern)
         # one match is the whole piece: the pre-token was found before
         self.merges = tiktoken.Encoding("piece", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
-        self.vocabulary = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self.vocabulary[rank] = token
-        self.lengths = np.array([len(t) for t in self.vocabulary], np.int64)
 
     def learn(self, piece: str) -> bytes:
         if len(self.known) >= REMEMBERED:
@@ -187,12 +190,11 @@ def _marks(ranks_path: str, pattern: str, chunk_chars: int, overlap: int):
     return mark
 
 
-def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """Every column of ``encoded`` and ``decoded``, the concatenated bytes of ``token_ids``."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        c = coder(ranks_path, pattern)
-        word = c.vocabulary.__getitem__
+        word = vocabulary(ranks_path).__getitem__
         column = batch.column("token_ids")
         ids = column.values.to_numpy(zero_copy_only=False)
         at = column.offsets.to_numpy()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 # a batch handed to Python holds at most so many rows and bytes, so long texts do not pile up in a worker
 BATCH_ROWS = 2000
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def arrow_bounds(spark: SparkSession) -> None:

@@ -26,7 +26,7 @@ def ranks() -> tuple[str, str]:
 
 @query
 def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    coded = bpe.decode(bpe.encode(table(spark, folder, "documents"), *ranks()), *ranks())
+    coded = bpe.decode(bpe.encode(table(spark, folder, "documents"), *ranks()), ranks()[0])
     return coded.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),

@@ -36,7 +36,7 @@ BACKOFF = (5, 3, 1)
 DISCOUNT = 0.75
 SLOTS = 22
 SPAN = 12
-# characters that are scored in one numpy pass
+# characters that are counted or scored in one numpy pass
 STRETCH = 1 << 19
 HIGHEST = 3
 # weights of one, of the mean and of the highest windows that the curve's fit starts from
@@ -72,6 +72,19 @@ def _keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw, key, starts
 
 
+def _stretches(texts: list[str]) -> Iterator[list[str]]:
+    """Neighbouring texts of about ``STRETCH`` characters; one list, if empty, where there are none."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= STRETCH:
+            yield held
+            held, size = [], 0
+    if held or not texts:
+        yield held
+
+
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, text, toxic, fold`` of the labelled rows that are not held out."""
     marks = (
@@ -94,14 +107,14 @@ def count(rows: DataFrame) -> DataFrame:
         kind = (1 - batch.column("toxic").to_numpy()) + 2 * batch.column("late").to_numpy()
         grams, n = [], []
         for k in range(4):
-            raw, key, _ = _keys([t for t, own in zip(texts, kind) if own == k])
-            # predicted bytes: a letter, or the blank that ends a word
-            used = raw != 32
-            used[1:] |= used[:-1]
-            key = key[used]
-            g, c = np.unique(key, return_counts=True)
-            grams.append(g.astype(np.int64))
-            n.append([c * (k == j) for j in range(4)])
+            for some in _stretches([t for t, own in zip(texts, kind) if own == k]):
+                raw, key, _ = _keys(some)
+                # predicted bytes: a letter, or the blank that ends a word
+                used = raw != 32
+                used[1:] |= used[:-1]
+                g, c = np.unique(key[used], return_counts=True)
+                grams.append(g.astype(np.int64))
+                n.append([c * (k == j) for j in range(4)])
         made = {name: pa.array(np.concatenate([x[j] for x in n]).astype(np.int64)) for j, name in enumerate(names)}
         return {"gram": pa.array(np.concatenate(grams))} | made
 
@@ -192,15 +205,7 @@ class Model:
 
     def evidence(self, texts: list[str]) -> np.ndarray:
         """Mean ratio of each text and its highest windows' mean ratios."""
-        held, size, out = [], 0, []
-        for text in texts:
-            held.append(text)
-            size += len(text)
-            if size >= STRETCH:
-                out.append(self._evidence(held))
-                held, size = [], 0
-        out.append(self._evidence(held))
-        return np.concatenate(out)
+        return np.concatenate([self._evidence(some) for some in _stretches(texts)])
 
     def _evidence(self, texts: list[str]) -> np.ndarray:
         raw, key, starts = _keys(texts)

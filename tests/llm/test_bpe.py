@@ -37,7 +37,7 @@ def test_small_chunks_stitch_to_the_same_ids(spark):
     texts += ["a" * 500, " " * 500 + "b", "end " + "9" * 300, texts[-1]]
     docs = spark.createDataFrame(list(enumerate(texts)) + [(9, texts[-1])], "doc_id long, text string")
     enc = library()
-    got = bpe.decode(bpe.encode(docs, RANKS, PATTERN, chunk_chars=64, overlap=24), RANKS, PATTERN).collect()
+    got = bpe.decode(bpe.encode(docs, RANKS, PATTERN, chunk_chars=64, overlap=24), RANKS).collect()
     assert len(got) == len(texts) + 1
     for row in got:
         assert row.token_ids == enc.encode_ordinary(texts[row.doc_id])
