@@ -247,17 +247,22 @@ def _anchor(place: Column) -> Column:
 
 
 def segments(candidates: DataFrame, texts: DataFrame) -> DataFrame:
-    """The candidates with the bytes of their segments before the anchor and from it on."""
+    """The candidates with the bytes of their segments before the anchor and from it on.
+
+    ``many`` is the number of the token's candidates, by which a bucket knows a token that it holds whole.
+    """
+    many = candidates.groupBy("token").agg(F.count(F.lit(1)).alias("many"))
     wanted = (
-        candidates.withColumn("sig", F.shiftright("place", _SIG))
+        candidates.join(many, "token")
+        .withColumn("sig", F.shiftright("place", _SIG))
         .groupBy("doc", "sig")
-        .agg(F.collect_list(F.struct("token", "place")).alias("wanted"))
+        .agg(F.collect_list(F.struct("token", "place", "many")).alias("wanted"))
     )
     rows = packed(texts).drop("doc_id").join(wanted, ["doc", "sig"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = {"token": [], "doc": [], "place": [], "before": [], "suffix": []}
+            made = {"token": [], "doc": [], "place": [], "many": [], "before": [], "suffix": []}
             for doc, data, wanted in zip(*(batch.column(n).to_pylist() for n in ("doc", "bytes", "wanted"))):
                 raw = _unpack(data)
                 for w in wanted:
@@ -266,13 +271,15 @@ def segments(candidates: DataFrame, texts: DataFrame) -> DataFrame:
                     made["token"].append(w["token"])
                     made["doc"].append(doc)
                     made["place"].append(place)
+                    made["many"].append(w["many"])
                     made["before"].append(raw[anchor - left : anchor])
                     made["suffix"].append(raw[anchor : anchor - left + (place & 127) + LENGTH])
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_pydict({n: pa.array(v, k) for (n, v), k in zip(made.items(), kinds)})
 
     arrow_bounds(rows.sparkSession)
-    return rows.mapInArrow(run, "token bigint, doc bigint, place bigint, before binary, suffix binary")
+    schema = "token bigint, doc bigint, place bigint, many bigint, before binary, suffix binary"
+    return rows.mapInArrow(run, schema)
 
 
 def _common(suffixes: list[bytes], other: bytes) -> np.ndarray:
@@ -302,6 +309,7 @@ def compare_strings(found: DataFrame) -> DataFrame:
         # a repeated row is the same place again
         own = np.r_[True, (token[1:] != token[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])]
         order, token, doc, place = order[own], token[own], doc[own], place[own]
+        many = bucket.column("many").to_numpy()[order]
         before, suffix = (
             bucket.column(n).combine_chunks().take(pa.array(order)).to_pylist() for n in ("before", "suffix")
         )
@@ -331,6 +339,8 @@ def compare_strings(found: DataFrame) -> DataFrame:
         shared = np.zeros(len(token), np.int64)
         for name, pick in ((token[0], min), (token[-1], max)):
             same = np.flatnonzero(token == name)
+            if len(same) == many[same[0]]:
+                continue  # all of the token is here
             here = [suffix[i] for i in same]
             shared[same] = np.maximum(shared[same], _common(here, pick(here)))
         reach = LENGTH - left[row] + inner
