@@ -8,9 +8,11 @@ likelihoods per byte. It is summed over the whole text and over every window of
 bytes from a word's start, each divided by its length, and a logistic curve through the
 mean and the highest windows, fitted on a bounded sample, gives the probability.
 
-All counting and smoothing are DataFrame aggregates and joins. The ratios go to the tasks
-as a table of fixed size (``2**SLOTS`` entries): where two n-grams share a slot the more
-frequent one holds it, and a tag tells a stranger from its owner.
+All counting and smoothing are DataFrame aggregates and joins, and every counted n-gram has
+its ratio. Up to ``GRAMS_SENT`` of them go to the tasks as an exact table. Beyond that, texts
+are dealt into chunks of about ``CHUNK`` characters, the different n-grams of a chunk are
+joined with all ratios, and the chunk is scored with what it finds; the scores are the same.
+(Texts are dealt by id and text, so rows that agree in both share a chunk.)
 
 Defined results: a missing or empty text gets the score of a text without evidence; a
 missing ``doc_id`` is never labelled and never held out; repeated rows are scored alike,
@@ -20,13 +22,15 @@ kinds every score is 0. Other columns are ignored; lang, source, labels and ids
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from craquelure.llm.common import arrow_bounds, broadcast_if_small, by_batch, checkpointed, with_text
 
@@ -34,7 +38,10 @@ ORDER = 6
 # lengths of the n-grams that the shared distribution backs off to
 BACKOFF = (5, 3, 1)
 DISCOUNT = 0.75
-SLOTS = 22
+# ratios up to this many (12 to 16 bytes each) are sent to the tasks, more are joined by a shuffle
+GRAMS_SENT = 1 << 22
+# characters of the texts that meet in one group of that join, about
+CHUNK = 1 << 22
 SPAN = 12
 # characters that are counted or scored in one numpy pass
 STRETCH = 1 << 19
@@ -48,7 +55,8 @@ LABELS_SENT = 4_000_000
 FOLDS, HELD_OUT, CALIBRATED = 5, 0, 4
 
 _LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_GAP = b" " * ORDER
+# neither an n-gram nor a window reaches the next text
+_GAP = b" " * max(ORDER, SPAN)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -196,11 +204,47 @@ def ratios(grams: DataFrame, discount: float = DISCOUNT) -> DataFrame:
 
 
 @dataclass
-class Model:
-    """Ratios by slot, the tags of the slots' owners, and the logistic curve."""
+class Ratios:
+    """Ratios by n-gram: mixed keys in order, and where each run of leading bits starts."""
 
-    tags: np.ndarray
+    keys: np.ndarray
     ratio: np.ndarray
+    bits: int
+    starts: np.ndarray
+
+    @classmethod
+    def of(cls, grams: np.ndarray, ratio: np.ndarray) -> Ratios:
+        # an odd factor modulo 2**64 can be undone, so different n-grams have different keys
+        keys = grams.astype(np.uint64) * _MIX
+        order = np.argsort(keys)
+        keys = keys[order]
+        bits = max(1, len(keys).bit_length())
+        slots = np.bincount((keys >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        starts = np.concatenate([[0], np.cumsum(slots)]).astype(np.int32)
+        return cls(keys, ratio[order].astype(np.float32), bits, starts)
+
+    def __call__(self, grams: np.ndarray) -> np.ndarray:
+        """The ratio of each n-gram, 0 for one that was never counted."""
+        keys = grams * _MIX
+        slot = (keys >> np.uint64(64 - self.bits)).astype(np.int32)
+        at, end = self.starts[slot], self.starts[slot + 1]
+        found = np.zeros(len(keys), np.float32)
+        left = np.flatnonzero(at < end)
+        while len(left):
+            here = at[left]
+            hit = self.keys[here] == keys[left]
+            found[left[hit]] = self.ratio[here[hit]]
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return found
+
+
+@dataclass
+class Model:
+    """Ratios of all n-grams, or of those that the texts have, and the logistic curve."""
+
+    ratios: Ratios
     weights: np.ndarray
 
     def evidence(self, texts: list[str]) -> np.ndarray:
@@ -209,10 +253,7 @@ class Model:
 
     def _evidence(self, texts: list[str]) -> np.ndarray:
         raw, key, starts = _keys(texts)
-        key *= _MIX
-        slot = (key >> np.uint64(64 - SLOTS)).astype(np.int32)
-        tag = (key >> np.uint64(64 - SLOTS - 16)).astype(np.uint16)
-        ratio = np.where(self.tags[slot] == tag, self.ratio[slot], np.float32(0))
+        ratio = self.ratios(key)
         letter = raw != 32
         total = np.concatenate([[0.0], np.cumsum(ratio, dtype=np.float64)])
         letters = np.concatenate([[0], np.cumsum(letter)])
@@ -233,6 +274,40 @@ class Model:
         return _sigmoid(_design(self.evidence(texts)) @ self.weights)
 
 
+@dataclass
+class Joined:
+    """As ``Model``, where the ratios are too many to be sent: ``gram`` and the column ``name`` of a table."""
+
+    table: DataFrame
+    name: str
+    weights: np.ndarray
+
+    def by_chunk(self, rows: DataFrame, schema: str | StructType, fn: Callable[[pa.Table, Model], pa.Table]) -> DataFrame:
+        """``fn`` turns the rows of each chunk into others, with a model that has the ratios of their n-grams."""
+        size = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+        chunk = "chunk"
+        while chunk in rows.columns:
+            chunk += "_"
+        dealt_by = F.xxhash64(*(c for c in ("doc_id", "text") if c in rows.columns))
+        dealt = rows.withColumn(chunk, F.pmod(dealt_by, F.lit(-(-size // CHUNK) or 1)).cast("int"))
+        weights = self.weights
+
+        def different(key: tuple, group: pa.Table) -> pa.Table:
+            texts = [t or "" for t in group.column("text").to_pylist()]
+            grams = np.unique(np.concatenate([np.unique(_keys(some)[1]) for some in _stretches(texts)]))
+            number = np.full(len(grams), key[0].as_py(), np.int32)
+            return pa.table({chunk: pa.array(number), "gram": pa.array(grams.astype(np.int64))})
+
+        def judge(group: pa.Table, known: pa.Table) -> pa.Table:
+            ratios = Ratios.of(known.column("gram").to_numpy(), known.column("ratio").to_numpy())
+            return fn(group.drop_columns([chunk]), Model(ratios, weights))
+
+        grams = dealt.select(chunk, "text").groupBy(chunk).applyInArrow(different, f"`{chunk}` int, gram bigint")
+        known = grams.join(self.table.select("gram", F.col(self.name).alias("ratio")), "gram")
+        known = known.select(chunk, "gram", "ratio")
+        return dealt.groupBy(chunk).cogroup(known.groupBy(chunk)).applyInArrow(judge, schema)
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -257,78 +332,84 @@ def _logistic(evidence: np.ndarray, toxic: np.ndarray, ridge: float = 0.1) -> np
     return weights
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, calibration: int = CALIBRATION) -> Model | None:
-    """Models from all labelled training rows; the curve is fitted with counts that leave its own fold out."""
+def fit(
+    docs: DataFrame, labels: DataFrame, *, calibration: int = CALIBRATION, most: int = GRAMS_SENT
+) -> Model | Joined | None:
+    """Models from all labelled training rows; the curve is fitted with counts that leave its own fold out.
+
+    Up to ``most`` ratios come to the driver and are sent, more stay a table.
+    """
     rows = labelled(docs, labels)
     grams = checkpointed(count(rows))
-    # at most one row a slot reaches the driver
-    owners = (
-        by_batch(ratios(grams), "slot int, tag int", _slots, keep=("seen", "gram", "ratio", "early"))
-        .groupBy("slot")
-        .agg(F.max_by(F.struct("tag", "ratio", "early"), F.struct("seen", "gram")).alias("owner"))
-        .select("slot", "owner.tag", *(F.col(f"owner.{n}").cast("float").alias(n) for n in ("ratio", "early")))
-        .toArrow()
-    )
-    slot = owners.column("slot").to_numpy()
-    tags = np.zeros(1 << SLOTS, np.uint16)
-    tags[slot] = owners.column("tag").to_numpy()
-
-    def model(name: str) -> Model:
-        ratio = np.zeros(1 << SLOTS, np.float32)
-        ratio[slot] = owners.column(name).to_numpy()
-        return Model(tags, ratio, np.zeros(2 + HIGHEST))
+    table = ratios(grams).select("gram", *(F.col(n).cast("float").alias(n) for n in ("ratio", "early")))
+    if grams.count() <= most:
+        held = table.toArrow()
+        model = lambda name, weights: Model(
+            Ratios.of(held.column("gram").to_numpy(), held.column(name).to_numpy()), weights
+        )
+    else:
+        model = partial(Joined, checkpointed(table))
 
     marked = labels.select("doc_id").filter(fold() == CALIBRATED).distinct()
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration)
     sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi")
-    sent = docs.sparkSession.sparkContext.broadcast(model("early"))
 
-    def measure(batch: pa.RecordBatch) -> dict:
-        x = sent.value.evidence(batch.column("text").to_pylist())
-        return {"evidence": pa.array(x.tolist(), pa.list_(pa.float64()))}
+    def measure(group: pa.RecordBatch | pa.Table, model: Model) -> dict:
+        x = model.evidence(group.column("text").to_pylist())
+        return {"toxic": group.column("toxic"), "evidence": pa.array(x.tolist(), pa.list_(pa.float64()))}
 
-    measured = by_batch(sample.select("toxic", "text"), "evidence array<double>", measure, keep=("toxic",))
-    seen = measured.limit(calibration).collect()
-    sent.destroy()
+    early = model("early", np.zeros(2 + HIGHEST))
+    seen = _measured(
+        sample.select("doc_id", "toxic", "text"), early, "toxic int, evidence array<double>", measure
+    ).limit(calibration).collect()
     toxic = np.array([r.toxic for r in seen], float)
     if not len(toxic) or toxic.min() == toxic.max():
         return None
-    fitted = model("ratio")
-    fitted.weights = _logistic(np.array([r.evidence for r in seen]), toxic)
-    return fitted
+    return model("ratio", _logistic(np.array([r.evidence for r in seen]), toxic))
 
 
-def _slots(batch: pa.RecordBatch) -> dict:
-    mixed = batch.column("gram").to_numpy().astype(np.uint64) * _MIX
-    return {
-        "slot": pa.array((mixed >> np.uint64(64 - SLOTS)).astype(np.int32)),
-        "tag": pa.array((mixed >> np.uint64(64 - SLOTS - 16)).astype(np.uint16).astype(np.int32)),
-    }
+def _measured(
+    rows: DataFrame,
+    model: Model | Joined | None,
+    schema: str | StructType,
+    fn: Callable[[pa.RecordBatch | pa.Table, Model | None], dict],
+) -> DataFrame:
+    """The columns that ``fn`` makes of rows and a model, which is sent or joined."""
+    if isinstance(model, Joined):
+        return model.by_chunk(rows, schema, lambda group, known: pa.table(fn(group, known)))
+    sent = rows.sparkSession.sparkContext.broadcast(model)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_pydict(fn(batch, sent.value))
 
-def score(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
-    """``doc_id``, ``keep`` and ``score`` (0 to 1) of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    arrow_bounds(rows.sparkSession)
+    return rows.mapInArrow(run, schema)
 
-    def run(batch: pa.RecordBatch) -> dict:
-        texts = batch.column("text").to_pylist()
-        return {"score": pa.array(np.zeros(len(texts)) if sent.value is None else sent.value.score(texts))}
 
+def score(docs: DataFrame, model: Model | Joined | None, *keep: str) -> DataFrame:
+    """``doc_id``, ``keep`` and ``score`` (0 to 1) of every row."""
     columns = tuple(dict.fromkeys(("doc_id", *keep)))
-    return by_batch(with_text(docs, *columns), "score double", run, keep=columns)
+    rows = with_text(docs, *columns)
+    kept = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in columns)
+
+    def run(group: pa.RecordBatch | pa.Table, model: Model | None) -> dict:
+        texts = group.column("text").to_pylist()
+        made = np.zeros(len(texts)) if model is None else model.score(texts)
+        return {n: group.column(n) for n in columns} | {"score": pa.array(made)}
 
+    return _measured(rows, model, f"{kept}, score double", run)
 
-def keep_below(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFrame:
+
+def keep_below(docs: DataFrame, model: Model | Joined | None, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` with a score below the threshold, columns as they were."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    columns = tuple(docs.columns)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and sent.value is not None:
-                score = sent.value.score([t or "" for t in batch.column(at).to_pylist()])
-                batch = batch.filter(pa.array(score < threshold))
-            yield batch
+    def run(group: pa.RecordBatch | pa.Table, model: Model | None) -> dict:
+        if model is not None:
+            below = model.score([t or "" for t in group.column("text").to_pylist()]) < threshold
+            group = group.filter(pa.array(below))
+        return {n: group.column(n) for n in columns}
 
-    arrow_bounds(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return _measured(docs, model, docs.schema, run)

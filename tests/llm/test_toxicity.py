@@ -94,3 +94,36 @@ def test_odd_rows(model, odd, empty, spark):
 def test_long_texts_keep_their_evidence(model):
     quiet = "a quiet day by the sea " * 4000
     assert model.score([quiet + " stupid idiot " + quiet])[0] > 2 * model.score([quiet])[0]
+
+
+def test_every_n_gram_keeps_its_ratio():
+    # many times more n-grams than slots of a bounded table would hold apart
+    grams = np.unique(np.random.default_rng(1).integers(0, 1 << 48, 1_000_000).astype(np.uint64))
+    ratio = np.arange(len(grams), dtype=np.float32) + 1
+    table = toxicity.Ratios.of(grams.astype(np.int64), ratio)
+    assert (table(grams) == ratio).all()
+    strange = np.setdiff1d(grams + np.uint64(1), grams)
+    assert not table(strange).any()
+    assert not toxicity.Ratios.of(grams[:0].astype(np.int64), ratio[:0])(grams).any()
+
+
+def test_joined_ratios_score_as_sent_ones(spark, folder, odd, monkeypatch):
+    monkeypatch.setattr(toxicity, "CHUNK", 1 << 18)
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    sent = toxicity.fit(docs, labels)
+    joined = toxicity.fit(docs, labels, most=1000)
+    assert isinstance(sent, toxicity.Model) and isinstance(joined, toxicity.Joined)
+    assert np.allclose(sent.weights, joined.weights)
+    want = {r.doc_id: r.score for r in toxicity.score(docs, sent).collect()}
+    got = {r.doc_id: r.score for r in toxicity.score(docs, joined).collect()}
+    assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-6
+    below = toxicity.keep_below(docs, joined)
+    assert below.schema == docs.schema
+    assert sorted(r.doc_id for r in below.collect()) == sorted(i for i, s in want.items() if s < 0.5)
+    assert toxicity.score(odd, joined).count() == odd.count() == toxicity.keep_below(odd, joined, 2.0).count()
+    assert toxicity.score(odd.limit(0), joined).count() == 0
+
+
+def test_a_score_does_not_depend_on_the_next_text(model):
+    alone = model.score(["go away, a"])[0]
+    assert model.score(["go away, a", "stupid idiot"])[0] == pytest.approx(alone, abs=1e-12)
