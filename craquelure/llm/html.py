@@ -24,6 +24,7 @@ from __future__ import annotations
 import html as references
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -245,9 +246,9 @@ def features(page: Page) -> np.ndarray:
         for j, k in enumerate(kids):
             size[k], index[k] = len(kids), j / len(kids)
             rank[k] = sums[k, 0] / max(1.0, most)
-        counts = {t: tags.count(t) for t in set(tags)} if len(tags) < 1000 else {}
+        counts = Counter(tags)
         for k, t in zip(kids, tags):
-            same[k] = counts.get(t, len(tags)) / len(tags)
+            same[k] = counts[t] / len(tags)
     c = np.maximum(1.0, sums[:, 0])
     out = [
         np.log1p(sums[:, 0]),

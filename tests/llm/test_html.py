@@ -2,6 +2,7 @@ import html as references
 import random
 import re
 
+import numpy as np
 import pytest
 
 from craquelure.llm import boosting, html, queries
@@ -86,3 +87,10 @@ def test_odd_rows(spark, trees):
     assert texts[None, "u"] == "plain words only" and texts[5, "u"] == "<not a tag> A"
     assert html.extract(pages.limit(0), trees).count() == 0
     html.fit(pages.limit(0))
+
+
+@pytest.mark.parametrize("n", [500, 1500])
+def test_a_rare_sibling_stands_out_among_any_number(n):
+    page = html.parse("<p>words of a paragraph</p>" * n + "<div>an advert</div>")
+    rare = html.features(page)[page.tag.index("div")]
+    assert np.isclose(rare, 1 / (n + 1), rtol=1e-6, atol=0).any()
