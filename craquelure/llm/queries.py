@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from craquelure.llm import bpe, decontamination, html, licenses, lines, quality, simhash, suffixes, toxicity, warc
+from craquelure.llm import (
+    bpe,
+    decontamination,
+    divergence,
+    html,
+    licenses,
+    lines,
+    quality,
+    simhash,
+    suffixes,
+    toxicity,
+    warc,
+)
 from craquelure.llm.common import shared_folder, table
 
 QUERIES: dict = {}
@@ -175,3 +187,51 @@ from s left join kept using (doc_id) left join n using (doc_id)
 def op2_html(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
     return html.extract(pages, html.fit(pages)).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op13_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))
+
+
+ORACLES["op13_divergence"] = r"""
+with d as (
+  select row_number() over () as k, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text
+  from documents
+), w as (
+  select k, lang, source, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from d
+), c as (
+  select lang, source, term, count(*) as n, count(distinct k) as docs from w group by all
+), t as (
+  select lang, term, sum(n) as n from c group by lang, term having sum(docs) >= 10
+), l as (
+  select lang, count(*) as v, sum(n) as total from t group by lang
+), g as (
+  select distinct lang, source from d
+), gn as (
+  select g.lang, g.source, coalesce(l.v, 0) as v,
+    coalesce((select sum(c.n) from c semi join t using (lang, term) where c.lang = g.lang and c.source = g.source), 0) as total
+  from g left join l using (lang)
+), p as (
+  select gn.lang, gn.source, t.term, coalesce(c.n, 0) as n,
+    1 + (1000000000::hugeint * (coalesce(c.n, 0) + 2)) // (gn.total + 2 * gn.v)::hugeint as p
+  from gn join t on t.lang = gn.lang left join c on c.lang = gn.lang and c.source = gn.source and c.term = t.term
+), q as (
+  select lang, term, 1 + (1000000000::hugeint * (t.n + 2)) // (l.total + 2 * l.v)::hugeint as q from t join l using (lang)
+), pairs as (
+  select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value
+  from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+), every as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(pairs.value, 0) as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source
+    left join pairs on pairs.lang = a.lang and pairs.source = a.source and pairs.item = b.source
+  union all
+  select lang, source, 'term', term, (p - q) * (p - q) // (p + q) from p join q using (lang, term) where n > 0 and p > q
+), ranked as (
+  select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from every
+)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank from ranked
+where part = 'pair' or rank <= 10
+""".replace("\\x", "\x")
