@@ -36,7 +36,7 @@ K = 4
 ROWS = 64
 COLUMNS = 256
 # different terms a task gathers before it hands them on
-GATHERED = 200_000
+GATHERED = 400_000
 # groups or languages up to which they are sent to every task; a row has about 100 bytes
 SENT = 100_000
 
@@ -72,8 +72,9 @@ def gathered(docs: DataFrame) -> DataFrame:
         yield from _rows(found)
 
     schema = "lang string, source string, term string, n bigint, docs bigint"
-    partial = texts.mapInArrow(run, schema)
-    return partial.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # dealt by term, so that adding up, counting a term's documents and dropping rare ones is one shuffle
+    dealt = texts.mapInArrow(run, schema).repartition("lang", "term")
+    return dealt.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _rows(found: dict) -> Iterator[pa.RecordBatch]:
@@ -229,11 +230,12 @@ def _tile(key: tuple, table: pa.Table) -> pa.Table:
 
 def audit(docs: DataFrame, *, rows: int = ROWS, columns: int = COLUMNS, least_docs: int = LEAST_DOCS) -> DataFrame:
     """``lang, source, part, item, value, rank``: the other sources by distance, and the ``TOP`` terms a source is above its language in."""
-    cells = checkpointed(gathered(docs))
-    by_term = cells.filter("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    kept = by_term.filter(F.col("docs") >= least_docs).select("lang", "term", "n")
+    of_term = F.sum("docs").over(Window.partitionBy("lang", "term"))
+    cells = gathered(docs).withColumn("docs", of_term).filter((F.col("docs") >= least_docs) | F.col("term").isNull())
+    cells = checkpointed(cells.drop("docs"))
+    kept = cells.filter("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("n"))
     langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("total"))
-    used = cells.join(kept.select("lang", "term"), ["lang", "term"]).groupBy("lang", "source").agg(F.sum("n").alias("n"))
+    used = cells.filter("term is not null").groupBy("lang", "source").agg(F.sum("n").alias("n"))
     found = cells.filter("term is null").select("lang", "source")
     within = Window.partitionBy("lang")
     groups = found.join(langs, "lang", "left").join(used, ["lang", "source"], "left")

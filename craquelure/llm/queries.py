@@ -10,6 +10,7 @@ from craquelure.llm import (
     decontamination,
     divergence,
     html,
+    jaccard,
     licenses,
     lines,
     negatives,
@@ -264,3 +265,34 @@ select p.anchor_id, p.positive_id,
 from p join s on s.anchor_id = p.anchor_id and not s.same and 80 * p.score <= 100 * s.score and s.score <= p.score
 qualify row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id) <= 5
 """
+
+
+@query
+def op12_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.groups(table(spark, folder, "documents"))
+
+
+ORACLES["op12_jaccard"] = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents
+), s as (
+  select doc_id, unnest(list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else [array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)] end)) as shingle
+  from d
+), n as (
+  select doc_id, count(*) as n from s group by doc_id
+), p as (
+  select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b on a.shingle = b.shingle and a.doc_id <> b.doc_id
+  group by all
+), l as (
+  select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 85 * (x.n + y.n - i)
+), reach as (
+  select a, b from l union select reach.a, l.b from reach join l on reach.b = l.a
+), least as (
+  select a, min(b) as b from reach group by a
+)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(least.b, d.doc_id)) as component_id
+from d left join n on n.doc_id = d.doc_id left join least on least.a = d.doc_id
+"""
