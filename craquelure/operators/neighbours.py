@@ -7,15 +7,18 @@ same location are merged first wherever only counts matter.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Levels of the neighbour search around the one at which a cell of an even pane holds twice
-# the wanted points; a level halves the cell of the one before, level 0 is the whole pane.
-# Panes with crowded places (some such cell holds CROWDED times the wanted points) get finer ones.
-LEVELS_AROUND = [-2, -1, 0]
-LEVELS_CROWDED = [-4, -2, -1, 0, 2, 4, 7, 10]
-CROWDED = 8
+from craquelure.operators.ordered import python_groups
+
+# Points a tile of the neighbour search should have
+TILE_POINTS = 4096
+# What the cuts of tiles are chosen from: quantiles of a sketch with this accuracy
+SHARES = [i / 1024 for i in range(1, 1024)]
+ACCURACY = 10_000
 # the cell itself and the four cells "ahead"; the other four are reached from there
 HALF_BLOCK = [(0, 0), (1, -1), (1, 0), (1, 1), (0, 1)]
 
@@ -79,73 +82,142 @@ def pair_counts(points: DataFrame, keys, d_max: float, steps: int, weight: bool
     return apart.unionByName(same).groupBy(*keys, "step").agg(F.sum("pairs").alias("pairs"))
 
 
-def nearest(points: DataFrame, keys, ident: str, k: int, x="x_mm", y="y_mm") -> DataFrame:
-    """The ``k`` nearest points of every point, itself included: ``(id, rank, neighbour, dist)``.
+def _closest(qx, qy, px, py, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, point, distance) of the ``k`` nearest points of each query, nearest first, ties by the point's place in line."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    step = max(1, (1 << 20) // max(1, len(px)))
+    for at in range(0, len(qx), step):
+        dx, dy = qx[at : at + step, None] - px[None], qy[at : at + step, None] - py[None]
+        dist = np.sqrt(dx * dx + dy * dy)
+        if len(px) > k:
+            q, p = np.nonzero(dist <= np.partition(dist, k - 1, axis=1)[:, k - 1 : k])
+        else:
+            q, p = (v.ravel() for v in np.indices(dist.shape))
+        d = dist[q, p]
+        order = np.lexsort((p, d, q))
+        q, p, d = q[order], p[order], d[order]
+        some = np.arange(len(q)) - np.searchsorted(q, q) < k
+        found.append((q[some] + at, p[some], d[some]))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def nearest(points: DataFrame, keys, ident: str, k: int, x="x_mm", y="y_mm", tile_points: int = TILE_POINTS) -> DataFrame:
+    """The ``k`` nearest points of every point, itself included: ``(id, rank, neighbour, dist)``, ties by id.
+
+    A pane is cut into tiles of about ``tile_points`` points (see :func:`tiled`), and a tile
+    searches its own. A point farther from the tile's border than from its k-th nearest is
+    done; the others visit the tiles that their circle reaches. A pane that fits a tile has no
+    borders.
+    """
+    keys = list(keys)
+    d = points.select(*keys, ident, x, y).join(points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys)
+    types = {f.name: f.dataType.simpleString() for f in d.schema.fields}
+    found = ", ".join(f"`{c}` {types[c]}" for c in [*keys, ident]) + f", rank int, neighbour {types[ident]}, dist double"
+
+    def whole(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by(ident)
+        px, py = (table.column(c).to_numpy() for c in (x, y))
+        q, p, dist = _closest(px, py, px, py, k)
+        rank = np.arange(len(q)) - np.searchsorted(q, q) + 1
+        made = {c: pa.repeat(v, len(q)) for c, v in zip(keys, key)}
+        names = table.column(ident).combine_chunks()
+        made |= {ident: names.take(pa.array(q)), "rank": pa.array(rank, pa.int32())}
+        return pa.table(made | {"neighbour": names.take(pa.array(p)), "dist": pa.array(dist)})
+
+    placed = d.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
+    small = python_groups(placed.filter(F.col("_n") <= tile_points).drop("_n"), *keys).applyInArrow(whole, found)
+    large = _nearest_in_tiles(placed.filter(F.col("_n") > tile_points), keys, ident, k, x, y, tile_points)
+    return small.unionByName(large.select(*keys, ident, "rank", "neighbour", "dist"))
+
+
+def _cuts(quantiles: str, parts: Column) -> Column:
+    """Inner borders of ``parts`` equally full parts."""
+    places = F.transform(F.sequence(F.lit(1), parts - 1), lambda i: F.ceil(i * (len(SHARES) + 1) / parts).cast("int") - 1)
+    found = F.array_distinct(F.transform(places, lambda i: F.get(F.col(quantiles), i)))
+    return F.when(parts > 1, found).otherwise(F.array().cast("array<double>"))
+
 
-    1. Equal locations are searched once; of the points in one place only the ``k`` with
-       the smallest id can be among anybody's nearest (ties go by id), which a limited
-       ranking keeps before the shuffle.
-    2. Each location takes the finest grid level at which its own cell holds ``k`` points.
-       The levels follow the extent and the number of the key's locations; the coarsest
-       cell covers the whole pane, so a pane of fewer than ``k`` points gives all of them.
-    3. The k-th distance inside that cell bounds the true one, so the cells within that
-       radius hold the exact answer.
+def _part(value: Column, cuts: Column) -> Column:
+    return F.size(F.filter(cuts, lambda c: c <= value))
+
+
+def tiled(points: DataFrame, keys, x: str, y: str, tile_points: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Points with ``_strip, _tile`` and their box; the strips of each key ``_xs``; the tiles of each strip ``_ys``.
+
+    Strips along ``x`` hold equally many points, tiles along ``y`` equally many of a strip's, cut
+    by mergeable quantile sketches: a crowded place gets as many tiles as it has points for.
     """
     keys = list(keys)
+    sketch = lambda c: F.percentile_approx(F.col(c).cast("double"), SHARES, ACCURACY).alias("_q")
+    full = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"), sketch(x))
+    strips = full.select(*keys, _cuts("_q", F.ceil(F.sqrt(F.col("_m") / tile_points)).cast("int")).alias("_xs"))
+    d = points.join(strips, keys).withColumn("_strip", _part(F.col(x), F.col("_xs")))
+    full = d.groupBy(*keys, "_strip").agg(F.count(F.lit(1)).alias("_m"), sketch(y))
+    tiles = full.select(*keys, "_strip", _cuts("_q", F.ceil(F.col("_m") / tile_points).cast("int")).alias("_ys"))
+    d = d.join(tiles, [*keys, "_strip"]).withColumn("_tile", _part(F.col(y), F.col("_ys")))
+    least, most = F.lit(float("-inf")), F.lit(float("inf"))
+    for part, cuts, low, high in (("_strip", "_xs", "_x0", "_x1"), ("_tile", "_ys", "_y0", "_y1")):
+        d = d.withColumn(low, F.coalesce(F.get(cuts, F.col(part) - 1), least))
+        d = d.withColumn(high, F.coalesce(F.get(cuts, F.col(part)), most))
+    return d.drop("_xs", "_ys"), strips, tiles
+
+
+def _nearest_in_tiles(points: DataFrame, keys, ident: str, k: int, x: str, y: str, tile_points: int) -> DataFrame:
+    """:func:`nearest` for panes of several tiles. Equal locations are searched once; of the points in one place only
+    the ``k`` with the smallest id can be among anybody's nearest, which a limited ranking keeps before the shuffle."""
+    keys = list(keys)
     place = [*keys, x, y]
     rank_here = F.row_number().over(Window.partitionBy(*place).orderBy(ident))
     cand = points.select(*place, ident).withColumn("_r", rank_here).filter(F.col("_r") <= k).drop("_r")
-    loc = cand.select(*place).distinct()
-    extent = loc.groupBy(*keys).agg(
-        F.min(x).alias("_x0"),
-        F.min(y).alias("_y0"),
-        (F.greatest(F.max(x) - F.min(x), F.max(y) - F.min(y), F.lit(1e-9)) * 1.000001).alias("_top"),
-        F.greatest(F.lit(0.0), F.round(F.log2(F.count(F.lit(1)) / (2.0 * k)) / 2)).cast("int").alias("_even"),
-    )
-
-    def celled(df: DataFrame, level: str) -> DataFrame:
-        d = df.withColumn("_s", F.col("_top") / F.pow(F.lit(2.0), F.col(level)))
-        d = d.withColumn("_cx", F.floor((F.col(x) - F.col("_x0")) / F.col("_s")))
-        return d.withColumn("_cy", F.floor((F.col(y) - F.col("_y0")) / F.col("_s")))
-
-    even = celled(cand.join(extent, keys), "_even").groupBy(*keys, "_cx", "_cy").agg(F.count(F.lit(1)).alias("_n"))
-    crowd = even.groupBy(*keys).agg((F.max("_n") >= CROWDED * k).alias("_crowded"))
-    extent = extent.join(crowd, keys)
-    choice = lambda steps: F.array(F.lit(0), *[F.greatest(F.lit(0), F.col("_even") + step) for step in steps])
-    levels = F.array_distinct(F.when(F.col("_crowded"), choice(LEVELS_CROWDED)).otherwise(choice(LEVELS_AROUND)))
-
-    def levelled(df: DataFrame) -> DataFrame:
-        d = df.join(extent, keys).select("*", F.explode(levels).alias("_lvl")).drop("_even", "_crowded")
-        return celled(d, "_lvl")
-
-    at = [*keys, "_lvl", "_cx", "_cy"]
-    spread = levelled(cand)
-    full = spread.groupBy(*at).agg(F.count(F.lit(1)).alias("_n"))
-    full = full.filter((F.col("_n") >= k) | (F.col("_lvl") == 0)).select(*at)
-    own = levelled(loc).join(full, at, "left_semi")
-    finest = F.max(F.struct("_lvl", "_s", "_cx", "_cy", "_x0", "_y0")).alias("_q")
-    own = own.groupBy(*place).agg(finest).select(*place, "_q.*")
-
-    right = spread.select(*at, F.col(x).alias("_x"), F.col(y).alias("_y"), F.col(ident).alias("neighbour"))
-    dx, dy = F.col(x) - F.col("_x"), F.col(y) - F.col("_y")
-    by_dist = Window.partitionBy(*place).orderBy("dist", "neighbour")
-
-    inside = own.join(right, at).withColumn("dist", F.sqrt(dx * dx + dy * dy))
-    inside = inside.withColumn("rank", F.row_number().over(by_dist)).filter(F.col("rank") <= k)
-    # with fewer than k inside, the cell is the whole pane: no point is farther than its diagonal
-    bound = inside.groupBy(*place, "_lvl", "_s", "_x0", "_y0").agg(
-        F.when(F.count(F.lit(1)) >= k, F.max("dist")).otherwise(F.lit(1.5) * F.max("_s")).alias("_bound")
-    )
-    last = F.pow(F.lit(2.0), F.col("_lvl")).cast("bigint") - 1
-    low = lambda c, c0: F.greatest(F.lit(0), F.floor((F.col(c) - F.col("_bound") - F.col(c0)) / F.col("_s")))
-    high = lambda c, c0: F.least(last, F.floor((F.col(c) + F.col("_bound") - F.col(c0)) / F.col("_s")))
-    around = bound.withColumn("_cx", F.explode(F.sequence(low(x, "_x0"), high(x, "_x0"))))
-    around = around.withColumn("_cy", F.explode(F.sequence(low(y, "_y0"), high(y, "_y0"))))
-    hits = around.join(right, at).withColumn("dist", F.sqrt(dx * dx + dy * dy)).filter(F.col("dist") <= F.col("_bound"))
-    hits = hits.withColumn("rank", F.row_number().over(by_dist)).filter(F.col("rank") <= k)
-    return points.select(*place, ident).join(hits.select(*place, "rank", "neighbour", "dist"), place).select(
-        *keys, ident, "rank", "neighbour", "dist"
-    )
+    cand, strips, tiles = tiled(cand, keys, x, y, tile_points)
+    at = [*keys, "_strip", "_tile"]
+    types = {f.name: f.dataType.simpleString() for f in cand.schema.fields}
+    found = ", ".join(f"`{c}` {types[c]}" for c in place) + f", rank int, neighbour {types[ident]}, dist double"
+
+    def rows(key, qx, qy, rank, names, dist) -> pa.Table:
+        made = {c: pa.repeat(v, len(qx)) for c, v in zip(keys, key)}
+        made |= {x: pa.array(qx), y: pa.array(qy), "rank": pa.array(rank, pa.int32())}
+        return pa.table(made | {"neighbour": names, "dist": pa.array(dist)})
+
+    def own(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by(ident)
+        px, py = (table.column(c).to_numpy() for c in (x, y))
+        x0, x1, y0, y1 = (table.column(c)[0].as_py() for c in ("_x0", "_x1", "_y0", "_y1"))
+        qx, qy = np.unique(np.stack([px, py]), axis=1)
+        q, p, dist = _closest(qx, qy, px, py, k)
+        rank = np.arange(len(q)) - np.searchsorted(q, q) + 1
+        reach = np.full(len(qx), np.inf)
+        reach[q[rank == k]] = dist[rank == k] * (1 + 1e-9)
+        out = (qx - reach < x0) | (qx + reach >= x1) | (qy - reach < y0) | (qy + reach >= y1)
+        some, names = ~out[q], table.column(ident).combine_chunks()
+        inside = rows(key, qx[q[some]], qy[q[some]], rank[some], names.take(pa.array(p[some])), dist[some])
+        n = int(out.sum())
+        beyond = rows(key, qx[out], qy[out], np.zeros(n, np.int32), pa.nulls(n, names.type), reach[out])
+        return pa.concat_tables([inside, beyond])
+
+    def visited(key: tuple, table: pa.Table, guests: pa.Table) -> pa.Table:
+        table = table.sort_by(ident)
+        px, py = (table.column(c).to_numpy() for c in (x, y))
+        qx, qy, reach = (guests.column(c).to_numpy() for c in (x, y, "reach"))
+        q, p, dist = _closest(qx, qy, px, py, k) if len(px) else (np.zeros(0, np.int64),) * 3
+        some = dist <= reach[q]
+        q, p, dist = q[some], p[some], dist[some]
+        names = table.column(ident).combine_chunks().take(pa.array(p))
+        return rows(key, qx[q], qy[q], np.zeros(len(q), np.int32), names, dist)
+
+    groups = python_groups(cand, *at)
+    first = groups.applyInArrow(own, found)
+    guests = first.filter("rank = 0").select(*place, F.col("dist").alias("reach")).join(strips, keys)
+    low, high = (lambda c: F.col(c) - F.col("reach")), (lambda c: F.col(c) + F.col("reach"))
+    span = lambda c, cuts: F.explode(F.sequence(_part(low(c), F.col(cuts)), _part(high(c), F.col(cuts))))
+    guests = guests.withColumn("_strip", span(x, "_xs")).drop("_xs").join(tiles, [*keys, "_strip"])
+    guests = guests.withColumn("_tile", span(y, "_ys")).select(*at, x, y, "reach")
+    guests = guests.select(*(F.col(c).alias(c) for c in guests.columns))
+    met = groups.cogroup(guests.groupBy(*at)).applyInArrow(visited, found)
+    merged = F.row_number().over(Window.partitionBy(*place).orderBy("dist", "neighbour"))
+    met = met.withColumn("rank", merged).filter(F.col("rank") <= k)
+    every = first.filter("rank > 0").unionByName(met)
+    return points.select(*place, ident).join(every, place)
 
 
 # ---- contours that touch ----------------------------------------------------------------

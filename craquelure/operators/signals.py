@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -293,43 +295,146 @@ def butter_sections(kind: str, edges, fs: float, order: int = 4) -> np.ndarray:
     return sos
 
 
-def decay_length(sos: np.ndarray, tiny: float = 1e-17) -> int:
-    """Samples after which the impulse response is below double precision."""
-    radius = max(np.abs(np.roots(s[3:])).max() for s in sos)
-    return int(np.ceil(np.log(tiny) / np.log(min(radius, 1 - 1e-9)))) + 8
+def _modes(section) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, np.ndarray]:
+    """A section's state equations by its poles, and its state after a constant input of one.
 
-
-def impulse_response(sos: np.ndarray, length: int) -> np.ndarray:
-    x = np.zeros(length)
-    x[0] = 1.0
-    for b0, b1, b2, _, a1, a2 in sos:
-        y = np.zeros(length)
-        s1 = s2 = 0.0
-        for i, v in enumerate(x):
-            o = b0 * v + s1
-            s1, s2 = b1 * v - a1 * o + s2, b2 * v - a2 * o
-            y[i] = o
-        x = y
-    return x
-
-
-def _steady(x: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Causal filter started in the steady state of its first sample."""
-    size = 1 << int(np.ceil(np.log2(len(x) + len(h))))
-    y = np.fft.irfft(np.fft.rfft(x - x[0], size) * np.fft.rfft(h, size), size)[: len(x)]
-    return y + x[0] * h.sum()
-
-
-def zero_phase(x: np.ndarray, sos: np.ndarray, at_start: bool, at_end: bool) -> np.ndarray:
-    """Forward and backward pass; real ends are extended by odd reflection."""
-    taps = 2 * len(sos) + 1 - min((sos[:, 2] == 0).sum(), (sos[:, 5] == 0).sum())
-    pad = 3 * int(taps)
-    left = 2 * x[0] - x[pad:0:-1] if at_start else x[:0]
-    right = 2 * x[-1] - x[-2 : -pad - 2 : -1] if at_end else x[:0]
-    h = impulse_response(sos, decay_length(sos))
-    y = _steady(np.concatenate([left, x, right]), h)
-    y = _steady(y[::-1], h)[::-1]
-    return y[len(left) : len(left) + len(x)]
+    Powers of this matrix keep their precision where poles lie close to one (edges far below the
+    sampling rate); the differences that vanish there are taken in extended precision.
+    """
+    b0, b1, b2, _, a1, a2 = (np.longdouble(v) for v in section)
+    c1, c0 = b1 - a1 * b0, b2 - a2 * b0
+    inside = a1 * a1 / 4 - a2
+    root = np.sqrt(abs(inside))
+    if root < 1e-9:
+        # a double pole has no such form
+        a, b, c = np.array([[-a1, 1], [-a2, 0]]), np.array([c1, c0]), np.array([1, 0])
+        rest = c0 - a2 * (c1 + c0) / (1 + a1 + a2)
+        steady = np.array([(c1 + c0) / (1 + a1 + a2), rest])
+    elif inside < 0:
+        # w' = p w + x with one of the conjugate poles, y = b0 x + 2 Re(r w)
+        p = -a1 / 2 + 1j * root
+        r = (c1 * p + c0) / (2j * root)
+        a, b, c = np.array([[p.real, -p.imag], [p.imag, p.real]]), np.array([1, 0]), np.array([2 * r.real, -2 * r.imag])
+        steady = np.array([(1 / (1 - p)).real, (1 / (1 - p)).imag])
+    else:
+        p, q = -a1 / 2 + root, -a1 / 2 - root
+        a, b = np.diag([p, q]), np.array([1, 1])
+        c = np.array([(c1 * p + c0) / (p - q), (c1 * q + c0) / (q - p)])
+        steady = np.array([1 / (1 - p), 1 / (1 - q)])
+    return *(v.astype(float) for v in (a, b, c)), float(b0), steady.astype(float)
+
+
+def cascade(sos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """State equations of the sections one after another: ``s' = A s + B x``, ``y = C s + D x``."""
+    a, b, c, d = np.zeros((0, 0)), np.zeros(0), np.zeros(0), 1.0
+    for section in sos:
+        a2, b2, c2, d2, _ = _modes(section)
+        a = np.block([[a, np.zeros((len(a), 2))], [np.outer(b2, c), a2]])
+        b, c, d = np.concatenate([b, b2 * d]), np.concatenate([d2 * c, c2]), d2 * d
+    return a, b, c, d
+
+
+def steady_state(sos: np.ndarray) -> np.ndarray:
+    """State after a constant input of one."""
+    out, x = [], np.longdouble(1)
+    for section in sos:
+        out.append(_modes(section)[4] * float(x))
+        b0, b1, b2, _, a1, a2 = (np.longdouble(v) for v in section)
+        x *= (b0 + b1 + b2) / (1 + a1 + a2)
+    return np.concatenate(out)
+
+
+def recursion(x: np.ndarray, state: np.ndarray, system) -> tuple[np.ndarray, np.ndarray]:
+    """Output and last state. Stretches run side by side from state zero; then their first states follow one another."""
+    a, b, c, d = system
+    m = max(1, math.isqrt(len(x)))
+    stretches = len(x) // m
+    rows = x[: m * stretches].reshape(stretches, m).T
+    y, s = np.empty_like(rows), np.zeros((len(a), stretches))
+    reading, power = np.empty((m, len(a))), np.eye(len(a))
+    for i in range(m):
+        y[i] = c @ s + d * rows[i]
+        s = a @ s + b[:, None] * rows[i]
+        reading[i] = c @ power
+        power = a @ power
+    starts = np.empty_like(s)
+    for j in range(stretches):
+        starts[:, j] = state
+        state = power @ state + s[:, j]
+    out = np.empty(len(x))
+    out[: m * stretches] = (y + reading @ starts).T.ravel()
+    for i in range(m * stretches, len(x)):
+        out[i] = c @ state + d * x[i]
+        state = a @ state + b * x[i]
+    return out, state
+
+
+def echo(system, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(A^length, what state a forward pass that starts in a state leaves after the backward pass over its output).
+
+    The second is the sum of ``A^k B C A^k``; both by doubling the length.
+    """
+    a, b, c, _ = system
+    power, total = np.eye(len(a)), np.zeros_like(a)
+    step, part = a, np.outer(b, c)  # of 1, 2, 4 ... samples
+    while length:
+        if length & 1:
+            total = total + power @ part @ power
+            power = power @ step
+        step, part, length = step @ step, part + step @ part @ step, length >> 1
+    return power, total
+
+
+@dataclass
+class Pass:
+    """One zero-phase filter over a chunk; real ends are extended by odd reflection."""
+
+    sos: np.ndarray
+
+    def __post_init__(self):
+        self.system, self.steady = cascade(self.sos), steady_state(self.sos)
+        taps = 2 * len(self.sos) + 1 - min((self.sos[:, 2] == 0).sum(), (self.sos[:, 5] == 0).sum())
+        self.pad = 3 * int(taps)
+
+    def run(self, x: np.ndarray, ends: tuple[bool, bool], forward=0.0, backward=0.0):
+        """(filtered, last state forward, last state backward) from the states with which either pass comes in."""
+        left = 2 * x[0] - x[self.pad : 0 : -1] if ends[0] else x[:0]
+        right = 2 * x[-1] - x[-2 : -self.pad - 2 : -1] if ends[1] else x[:0]
+        whole = np.concatenate([left, x, right])
+        y, out = recursion(whole, self.steady * whole[0] if ends[0] else self.steady * 0 + forward, self.system)
+        z, back = recursion(y[::-1], self.steady * y[-1] if ends[1] else self.steady * 0 + backward, self.system)
+        return z[::-1][len(left) : len(left) + len(x)], out, back
+
+    def states(self, lengths: list[int], out: np.ndarray, back: np.ndarray) -> tuple[list, list]:
+        """States with which the passes enter each chunk, from what the chunks leave when entered with none."""
+        last = len(lengths) - 1
+        forward, backward = [self.steady * 0], [self.steady * 0] * len(lengths)
+        known = {}
+        for n in {*lengths[:1], *lengths[1:-1], *lengths[-1:]}:
+            known[n] = echo(self.system, n)
+        for i in range(last):
+            forward.append(known[lengths[i]][0] @ forward[i] + out[i])
+        for i in range(last, 0, -1):
+            power, back_of = known[lengths[i]]
+            if i == last:
+                # the backward pass starts from the last output, which the incoming state changes too
+                before = echo(self.system, lengths[i] - 1)[0]
+                back_of = back_of + np.outer(power @ self.steady, self.system[2] @ before)
+            left = back[i] + back_of @ forward[i]
+            backward[i - 1] = left if i == last else left + power @ backward[i]
+        return forward, backward
+
+
+@lru_cache(256)
+def _designed(kind: str, edges: tuple, order: int, n: int, t0: float, t1: float) -> Pass | bool | None:
+    """The filter of a series of ``n`` samples; None leaves the data, False cannot be applied."""
+    fs = 1.0 / (t1 - t0) if n > 1 and t1 > t0 else 0.0
+    if n > 1 and kind == "lowpass" and edges[0] > fs / 2:
+        return None
+    if fs == 0 or max(edges) >= fs / 2:
+        return False
+    found = Pass(butter_sections(kind, edges, fs, order))
+    return found if n > 3 * (2 * len(found.sos) + 1) else False
 
 
 def butterworth(df: DataFrame, kind: str, edges, keys=KEYS, order: int = 4) -> DataFrame:
@@ -338,52 +443,100 @@ def butterworth(df: DataFrame, kind: str, edges, keys=KEYS, order: int = 4) -> D
 
 
 def filter_chain(df: DataFrame, stages, keys=KEYS, order: int = 4, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Zero-phase Butterworth filters ``(kind, edges)`` one after the other, in one pass.
+    """Zero-phase Butterworth filters ``(kind, edges)`` one after the other.
 
-    The response of a filter dies out after a known number of samples, which is the
-    overlap of the chunks: the pieces equal the filters over the whole series to double
-    precision. A low-pass above half the sampling rate leaves the data unchanged; a band
+    A filter is a linear recurrence, so a chunk maps the state it is entered with to the one it
+    leaves: a power of the state matrix and an offset, for the forward and the backward pass.
+    Long series are read twice: once for the offsets, and, when the states of all chunks have
+    been added up along the series, once more with them. Rows are not copied, however slowly the
+    response dies out. A low-pass above half the sampling rate leaves the data unchanged; a band
     above it, or a series shorter than the end extension, gives missing values.
     """
+    keys = list(keys)
     stages = [(kind, tuple(np.atleast_1d(np.asarray(edges, float)))) for kind, edges in stages]
+    chunk_rows = max(chunk_rows, 64)
 
-    def sections(t0, t1):
-        """Sections per stage; None leaves the data, False cannot be applied."""
-        fs = 1.0 / (t1 - t0) if t1 > t0 else 0.0
-        out = []
-        for kind, edges in stages:
-            if kind == "lowpass" and edges[0] > fs / 2:
-                out.append(None)
-            elif fs == 0 or max(edges) >= fs / 2:
-                out.append(False)
-            else:
-                out.append(butter_sections(kind, edges, fs, order))
-        return out
-
-    def overlap(t0: pd.Series, t1: pd.Series) -> pd.Series:
-        known: dict = {}
-        for pair in zip(t0, t1):
-            if pair not in known:
-                known[pair] = sum(2 * decay_length(s) for s in sections(*pair) if isinstance(s, np.ndarray))
-        return pd.Series([known[pair] for pair in zip(t0, t1)], dtype="int64")
-
-    def run(x, first, n, info):
-        for sos in sections(info["_t0"], info["_t1"]) if n > 1 else [False]:
-            if sos is None:
-                continue
-            if sos is False or n <= 3 * (2 * len(sos) + 1):
-                return np.full(len(x), np.nan)
-            x = zero_phase(x, sos, first == 0, first + len(x) == n)
-        return x
+    def of(stage, pdf: pd.DataFrame):
+        return _designed(*stage, order, int(pdf["_n"].iloc[0]), float(pdf["_t0"].iloc[0]), float(pdf["_t1"].iloc[0]))
 
-    keys = list(keys)
-    heads = df.filter("seq < 2").groupBy(*keys).agg(
-        F.min(F.when(F.col("seq") == 0, F.col("t"))).alias("_h0"), F.min(F.when(F.col("seq") == 1, F.col("t"))).alias("_h1")
+    heads = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.coalesce(F.min(F.when(F.col("seq") == 0, F.col("t"))), F.lit(math.nan)).alias("_t0"),
+        F.coalesce(F.min(F.when(F.col("seq") == 1, F.col("t"))), F.lit(math.nan)).alias("_t1"),
     )
-    heads = heads.withColumn("_reach", F.pandas_udf(overlap, "bigint")("_h0", "_h1"))
-    d = df.join(heads, keys)
-    reach = F.col("_reach")
-    d = by_chunk(d, keys, run, reach, reach, {"_t0": F.first("_h0"), "_t1": F.first("_h1")}, chunk_rows)
+    d = df.select(*keys, "seq", "t", "value").join(heads, keys)
+    # the last chunk is as long as two, so an end extension lies within it
+    chunk = F.least(F.floor(F.col("seq") / chunk_rows), F.greatest(F.lit(0), F.floor(F.col("_n") / chunk_rows) - 1))
+    d = d.withColumn("_chunk", chunk)
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    head = "".join(f"`{k}` {types[k]}, " for k in keys)
+    rows = head + "seq bigint, t double, value double, smooth double"
+
+    def result(key, pdf: pd.DataFrame, y: np.ndarray, **more) -> pd.DataFrame:
+        out = {k: v for k, v in zip(keys, key)} | {c: pdf[c].to_numpy() for c in ("seq", "t", "value")}
+        return pd.DataFrame(out | {"smooth": y} | more)
+
+    def filtered(x: np.ndarray, found, *given) -> np.ndarray:
+        if found is None:
+            return x
+        return np.full(len(x), np.nan) if found is False else found.run(x, *given)[0]
+
+    def short(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq")
+        y = pdf["value"].to_numpy(dtype=float)
+        for stage in stages:
+            y = filtered(y, of(stage, pdf), (True, True))
+        return result(key, pdf, y)
+
+    def long(d: DataFrame, stage) -> DataFrame:
+        """One filter over the column ``smooth`` of series of several chunks."""
+
+        def ends(key, pdf: pd.DataFrame) -> tuple[bool, bool]:
+            return key[-1] == 0, pdf["seq"].iloc[-1] == pdf["_n"].iloc[0] - 1
+
+        def offsets(key, pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("seq")
+            found = of(stage, pdf)
+            out = {k: [v] for k, v in zip(keys, key)} | {"_chunk": [key[-1]]}
+            out |= {c: pdf[c].iloc[:1].to_numpy() for c in ("_n", "_t0", "_t1")}
+            if not found:
+                return pd.DataFrame(out | {"length": [0], "forward": [[]], "backward": [[]]})
+            at = ends(key, pdf)
+            _, a, b = found.run(pdf["smooth"].to_numpy(dtype=float), at)
+            length = len(pdf) + found.pad * (int(at[0]) + int(at[1]))
+            return pd.DataFrame(out | {"length": [length], "forward": [a.tolist()], "backward": [b.tolist()]})
+
+        def added_up(key, pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("_chunk")
+            found = of(stage, pdf)
+            a, b = pdf["forward"].tolist(), pdf["backward"].tolist()
+            if found:
+                a, b = found.states(pdf["length"].tolist(), [np.array(v) for v in a], [np.array(v) for v in b])
+            out = {k: v for k, v in zip(keys, key)} | {"_chunk": pdf["_chunk"].to_numpy()}
+            return pd.DataFrame(out | {"forward": [list(v) for v in a], "backward": [list(v) for v in b]})
+
+        def applied(key, pdf: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("seq")
+            a, b = (np.array(states[c].iloc[0]) for c in ("forward", "backward"))
+            y = filtered(pdf["smooth"].to_numpy(dtype=float), of(stage, pdf), ends(key, pdf), a, b)
+            more = {c: pdf[c].to_numpy() for c in ("_n", "_t0", "_t1", "_chunk")}
+            return result(key, pdf, y, **more)
+
+        stated = "forward array<double>, backward array<double>"
+        groups = python_groups(d, *keys, "_chunk")
+        left = groups.applyInPandas(
+            offsets, f"{head}_chunk bigint, _n bigint, _t0 double, _t1 double, length bigint, {stated}"
+        )
+        states = left.groupBy(*keys).applyInPandas(added_up, f"{head}_chunk bigint, {stated}")
+        both = groups.cogroup(states.groupBy(*keys, "_chunk"))
+        return both.applyInPandas(applied, f"{rows}, _n bigint, _t0 double, _t1 double, _chunk bigint")
+
+    is_long = F.col("_n") >= 2 * chunk_rows
+    parts = d.filter(is_long).withColumn("smooth", F.col("value"))
+    for stage in stages:
+        parts = long(parts, stage)
+    whole = python_groups(d.filter(~is_long).drop("_chunk"), *keys).applyInPandas(short, rows)
+    d = whole.unionByName(parts.drop("_n", "_t0", "_t1", "_chunk"))
     return d.withColumn("smooth", F.when(~F.isnan("smooth"), F.col("smooth")))
 
 
@@ -445,34 +598,68 @@ def local_maxima(df: DataFrame, height: float, keys=KEYS) -> DataFrame:
     return d.filter(top).select(*keys, F.floor((F.col("first") + F.col("last")) / 2).alias("seq"), "value")
 
 
-def peaks(df: DataFrame, height: float, distance: int, keys=KEYS) -> DataFrame:
-    """Local maxima thinned to a minimum distance, higher peaks first.
+def _spaced(pos: np.ndarray, value: np.ndarray, kept: np.ndarray, seen: tuple[float, float], distance: int) -> np.ndarray:
+    """Which of the sorted candidates stay: 1 kept, 0 removed, -1 not known from the candidates given.
 
-    Candidates farther apart than ``distance`` never compete, so each cluster of close
-    candidates is thinned on its own.
+    Higher candidates go first, later ones among equals. All candidates within ``seen`` are
+    given; one whose surroundings reach beyond, or which a higher unknown one competes
+    with, stays unknown unless something removes it. ``kept`` ones were decided before.
+    """
+    near = np.searchsorted(pos, pos - distance, side="right"), np.searchsorted(pos, pos + distance, side="left")
+    gone, doubtful = np.zeros(len(pos), bool), (pos - distance < seen[0]) | (pos + distance > seen[1])
+    out = np.zeros(len(pos), np.int8)
+    for i in np.lexsort((pos, value, kept))[::-1].tolist():
+        if kept[i] or not (gone[i] or doubtful[i]):
+            out[i] = 1
+            gone[near[0][i] : near[1][i]] = True
+        elif not gone[i]:
+            out[i] = -1
+            doubtful[near[0][i] : near[1][i]] = True
+    return out
+
+
+def peaks(df: DataFrame, height: float, distance: int, keys=KEYS, tile_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Local maxima thinned to a minimum distance, higher peaks first, later ones among equals.
+
+    A recording is cut into tiles, and a tile sees the candidates of a margin on either side.
+    What it can decide from them is final: a candidate that tops all undecided ones within
+    ``distance`` stays and removes them. Only what hangs on candidates beyond the margin goes to
+    the next round, with the peaks that have been kept near its borders; noise leaves next to
+    nothing. Heights that rise from tile to tile without a break take a round for each tile.
     """
     keys = list(keys)
-    c = local_maxima(df, height, keys)
-    c = running_sum(c, keys, {"_i": F.lit(1.0)}).withColumnRenamed("seq", "pos").withColumn("seq", F.col("_i").cast("bigint") - 1)
-    c = rolling(c.drop("_i"), keys, {"_p": neighbour("pos", -1)}, 1, 0)
-    new = F.when(F.col("_p").isNull() | (F.col("pos") - F.col("_p") >= distance), 1.0).otherwise(0.0)
-    c = running_sum(c, keys, {"_cluster": new})
+    margin = 8 * distance
+    tile_rows = max(tile_rows, 2 * margin)
+    c = local_maxima(df, height, keys).withColumn("kept", F.lit(False))
     types = {f.name: f.dataType.simpleString() for f in c.schema.fields}
-    schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["seq bigint", "value double"])
-
-    def thin(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        pos, value = pdf["pos"].to_numpy(), pdf["value"].to_numpy()
-        keep = np.ones(len(pos), bool)
-        for i in np.argsort(value, kind="stable")[::-1]:
-            if keep[i]:
-                near = np.abs(pos - pos[i]) < distance
-                near[i] = False
-                keep &= ~near
-        out = {k: v for k, v in zip(keys, key)}
-        return pd.DataFrame(out | {"seq": pos[keep], "value": value[keep]})
+    schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["seq bigint", "value double", "state tinyint"])
 
-    return python_groups(c.select(*keys, "_cluster", "pos", "value"), *keys, "_cluster").applyInPandas(thin, schema)
+    def decide(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq")
+        pos, kept = pdf["seq"].to_numpy(), pdf["kept"].to_numpy()
+        start = int(key[-1]) * tile_rows
+        low, high = start - margin, start + tile_rows + margin
+        state = _spaced(pos, pdf["value"].to_numpy(), kept, (low if start else -math.inf, high), distance)
+        own = (pos >= start) & (pos < start + tile_rows) & ~kept & (state != 0)
+        out = {k: v for k, v in zip(keys, key)}
+        return pd.DataFrame(out | {"seq": pos[own], "value": pdf["value"].to_numpy()[own], "state": state[own]})
+
+    def tiled(d: DataFrame) -> DataFrame:
+        first = F.greatest(F.lit(0), F.floor((F.col("seq") - margin) / tile_rows))
+        d = d.withColumn("_tile", F.explode(F.sequence(first, F.floor((F.col("seq") + margin) / tile_rows))))
+        return checkpointed(python_groups(d, *keys, "_tile").applyInPandas(decide, schema))
+
+    found = None
+    while True:
+        c = tiled(c)
+        kept = c.filter("state = 1").drop("state")
+        found = kept if found is None else found.unionByName(kept)
+        if c.filter("state = -1").isEmpty():
+            return found.select(*keys, "seq", "value")
+        # what later tiles must know of this round's peaks: those a neighbour's candidate may be near to
+        place = F.col("seq") % tile_rows
+        border = found.filter((place < distance) | (place >= tile_rows - distance)).withColumn("kept", F.lit(True))
+        c = c.filter("state = -1").drop("state").withColumn("kept", F.lit(False)).unionByName(border)
 
 
 def broken_immediately(

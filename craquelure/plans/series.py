@@ -83,7 +83,19 @@ def w5(t):
     return S.impact_index(t.channel, head=4)
 
 
-@query("w6_drop_index")
+# a cubic over nine samples by the orthogonal polynomials of nine points; the outermost window is read at the ends
+CUBIC = """p as (select *, count(*) over (partition by specimen_id, channel) as n from channel),
+o as (select * from (values (-4,28e0,-14e0),(-3,7e0,7e0),(-2,-8e0,13e0),(-1,-17e0,9e0),(0,-20e0,0e0),(1,-17e0,-9e0),(2,-8e0,-13e0),(3,7e0,-7e0),(4,28e0,14e0)) q(x,p2,p3)),
+w as (select a.x as at, b.x as x, 1e0/9e0 + a.x*b.x/60e0 + a.p2*b.p2/2772e0 + a.p3*b.p3/990e0 as w from o a cross join o b),
+c as (select *, greatest(4, least(seq, n-5)) as centre from p),
+sg as (select c.specimen_id, c.channel, c.seq, c.t, c.value, case when c.n >= 9 then sum(b.value*w) end as smooth from c
+ left join w on w.at = c.seq - c.centre left join p b on b.specimen_id = c.specimen_id and b.channel = c.channel and b.seq = c.centre + w.x group by 1,2,3,4,5,c.n)"""
+
+
+@query(
+    "w6_drop_index",
+    f"with {CUBIC} select specimen_id, channel, min(case when abs(abs(smooth/50e0)-1) < 0.01e0 then seq end) as drop from sg group by 1,2",
+)
 def w6(t):
     scaled = sampled(t).withColumn("value", F.col("value") / 50.0)
     return S.drop_index(scaled, 9, 3)
@@ -123,9 +135,9 @@ def w9(t):
     return d.filter("n >= 9 and seq >= 4 and seq < n - 4").select(*K, "seq", F.round("smooth", 6).alias("smooth"))
 
 
-@query("w9_savgol")
+@query("w9_savgol", f"with {CUBIC} select specimen_id, channel, seq, seq*2e-5 as t, value, round(smooth,6) as smooth from sg")
 def w9b(t):
-    return S.savgol(sampled(t), 9, 3)
+    return rounded(S.savgol(sampled(t), 9, 3), "smooth")
 
 
 MOTION = f"""with x as ({RATE}), n as (select *, count(*) over (partition by specimen_id, channel) as n from x), o as (select specimen_id, channel, avg(value) as off from n where seq >= n-5 group by 1,2),
@@ -177,48 +189,132 @@ def w11(t):
     return d.select(*K, "seq", F.round("smooth", 5).alias("smooth"))
 
 
-@query("w12_lowpass")
+def zero_phase_sql(source: str, name: str, kind: str, low: float, high: float = 0.0, fs: str = "(1e0/2e-5)") -> str:
+    """CTEs up to ``name``: a fourth-order Butterworth filter of ``source`` run forward and backward sample by sample.
+
+    Each of its two sections is written out over powers of the delay; a band section has four.
+    """
+    warped = [f"tan(pi()*{f}e0/{fs})" for f in (low, high or low)]
+    if kind in ("lowpass", "highpass"):
+        pad = 15
+        top = "k*k, 2*k*k, k*k, 0e0, 0e0" if kind == "lowpass" else "1e0, -2e0, 1e0, 0e0, 0e0"
+        below = "1+d*k+k*k, 2*(k*k-1), 1-d*k+k*k, 0e0, 0e0"
+    else:
+        pad = 27
+        square = "u*u, 2*u*v, v*v+2*u*u, 2*u*v, u*u"
+        top = "w*w, 0e0, -2*w*w, 0e0, w*w" if kind == "bandpass" else square
+        below = "u*u+d*w*u+w*w, 2*u*v+d*w*v, v*v+2*u*u-2*w*w, 2*u*v-d*w*v, u*u-d*w*u+w*w"
+    k, step = range(1, 5), []
+    for section, x in (("g", "x"), ("h", "y1")):
+        y = "y1" if section == "g" else "y"
+        step += [f"{section}.b[1]*{x}+r.{section}[1] as {y}"]
+        step += ["[" + ", ".join(f"{section}.b[{i + 1}]*{x}-{section}.a[{i + 1}]*{y}" + (f"+r.{section}[{i + 1}]" if i < 4 else "") for i in k) + f"] as {section}s"]
+
+    def steady(section: str, x: str) -> str:
+        rest = [f"list_sum([{section}.b[j]-{section}.a[j]*list_sum({section}.b)/list_sum({section}.a) for j in range({i + 1}, 6)])" for i in k]
+        return "[" + ", ".join(f"{x}*{r}" for r in rest) + "]"
+
+    def run(out: str, xs: str) -> str:
+        g0, h0 = steady("g", "xs[1]"), steady("h", "xs[1]*list_sum(g.b)/list_sum(g.a)")
+        return f"""{out} as (select specimen_id, channel, xs, 0 as i, cast([] as double[]) as ys, {g0} as g, {h0} as h from {xs}, {name}_f g, {name}_f h where g.number = 0 and h.number = 1
+ union all select specimen_id, channel, xs, i+1, list_append(ys, y), gs, hs from (select r.specimen_id, r.channel, r.xs, r.i, r.ys, r.xs[r.i+1] as x, {", ".join(step)} from {out} r, {name}_f g, {name}_f h where g.number = 0 and h.number = 1 and r.i < len(r.xs)))"""
+
+    return f"""{name}_p as (select number, 2*sin((2*number+1)*pi()/8e0) as d, {warped[0]} as k, 1+{warped[0]}*{warped[1]} as u, 2*{warped[0]}*{warped[1]}-2 as v, {warped[1]}-{warped[0]} as w from (values (0),(1)) q(number)),
+{name}_c as (select number, [{top}] as b, [{below}] as a from {name}_p),
+{name}_f as materialized (select number, [x/a[1] for x in b] as b, [x/a[1] for x in a] as a from {name}_c),
+{name}_l as (select specimen_id, channel, list(value order by seq) as v, count(*) as n from {source} group by 1,2),
+{name}_x as (select specimen_id, channel, list_concat(list_concat([2*v[1]-v[i] for i in range({pad + 1}, 1, -1)], v), [2*v[n]-v[i] for i in range(n-1, n-1-{pad}, -1)]) as xs from {name}_l where n > {pad}),
+{run(f"{name}_r", f"{name}_x")},
+{name}_y as (select specimen_id, channel, list_reverse(ys) as xs from {name}_r where i = len(xs)),
+{run(f"{name}_s", f"{name}_y")},
+{name}_z as (select specimen_id, channel, list_reverse(ys) as ys from {name}_s where i = len(xs)),
+{name} as (select s.* exclude (value), z.ys[s.seq+{pad + 1}] as value from {source} s left join {name}_z z using (specimen_id, channel))"""
+
+
+SAMPLED = f"sampled as ({RATE})"
+
+
+def filter_sql(*stages) -> str:
+    ctes, source = [SAMPLED], "sampled"
+    for i, stage in enumerate(stages):
+        ctes.append(zero_phase_sql(source, f"z{i}", *stage))
+        source = f"z{i}"
+    return (
+        "with recursive " + ",\n".join(ctes)
+        + f" select specimen_id, channel, s.seq, s.t, s.value, round({source}.value,6) as smooth from sampled s join {source} using (specimen_id, channel, seq)"
+    )
+
+
+@query("w12_lowpass", filter_sql(("lowpass", 5000)))
 def w12a(t):
-    return S.butterworth(sampled(t), "lowpass", 5000.0)
+    return rounded(S.butterworth(sampled(t), "lowpass", 5000.0), "smooth")
 
 
-@query("w12_highpass")
+@query("w12_highpass", filter_sql(("highpass", 1000)))
 def w12b(t):
-    return S.butterworth(sampled(t), "highpass", 1000.0)
+    return rounded(S.butterworth(sampled(t), "highpass", 1000.0), "smooth")
 
 
-@query("w12_bandpass")
+@query("w12_bandpass", filter_sql(("bandpass", 1000, 9000)))
 def w12d(t):
-    return S.butterworth(sampled(t), "bandpass", (1000.0, 9000.0))
+    return rounded(S.butterworth(sampled(t), "bandpass", (1000.0, 9000.0)), "smooth")
 
 
-@query("w12_stop_bands")
+@query("w12_stop_bands", filter_sql(*(("bandstop", int(a), int(b)) for a, b in S.EIGEN_BANDS)))
 def w12c(t):
-    return S.drop_bands(sampled(t))
-
-
-RUNS = """with g as (select *, lag(value) over w as p from channel window w as (partition by specimen_id, channel order by seq)), r as (select *, sum(case when p is null or p <> value then 1 else 0 end) over (partition by specimen_id, channel order by seq) as run from g),
-a as (select specimen_id, channel, run, min(seq) as f, max(seq) as l, min(value) as value from r group by 1,2,3), n as (select *, lag(value) over w as pv, lead(value) over w as nv from a window w as (partition by specimen_id, channel order by run)),
-pk as (select specimen_id, channel, cast(floor((f+l)/2e0) as bigint) as seq, value from n where pv < value and nv < value and value >= 60e0)"""
-
-
-@query("w13_local_maxima", RUNS + " select specimen_id, channel, seq, value from pk")
+    return rounded(S.drop_bands(sampled(t)), "smooth")
+
+
+def peaks_sql(source: str, name: str, height: float, distance: int = 0) -> str:
+    """CTEs up to ``name``: middles of plateaus above both sides; with ``distance`` the highest first, one by one."""
+    found = f"""{name}_g as (select *, lag(value) over w as p from {source} window w as (partition by specimen_id, channel order by seq)),
+{name}_r as (select *, sum(case when p is null or p <> value then 1 else 0 end) over (partition by specimen_id, channel order by seq) as run from {name}_g),
+{name}_a as (select specimen_id, channel, run, min(seq) as f, max(seq) as l, min(value) as value from {name}_r group by 1,2,3),
+{name}_n as (select *, lag(value) over w as pv, lead(value) over w as nv from {name}_a window w as (partition by specimen_id, channel order by run)),
+{name}{"_m" if distance else ""} as (select specimen_id, channel, cast(floor((f+l)/2e0) as bigint) as seq, value from {name}_n where pv < value and nv < value and value >= {height}e0)"""
+    if not distance:
+        return found
+    return f"""{found},
+{name}_o as (select *, row_number() over (partition by specimen_id, channel order by value desc, seq desc) as number from {name}_m),
+{name}_t as (select distinct specimen_id, channel, 0 as number, cast([] as bigint[]) as kept from {name}_o
+ union all select o.specimen_id, o.channel, t.number+1, case when len([x for x in t.kept if abs(x-o.seq) < {distance}]) = 0 then list_append(t.kept, o.seq) else t.kept end
+ from {name}_t t join {name}_o o on o.specimen_id = t.specimen_id and o.channel = t.channel and o.number = t.number+1),
+{name}_k as (select specimen_id, channel, unnest(kept) as seq from (select specimen_id, channel, arg_max(kept, number) as kept from {name}_t group by 1,2)),
+{name} as (select {name}_m.* from {name}_m join {name}_k using (specimen_id, channel, seq))"""
+
+
+@query("w13_local_maxima", f"with {peaks_sql('channel', 'pk', 60)} select specimen_id, channel, seq, value from pk")
 def w13(t):
     return S.local_maxima(t.channel, 60.0)
 
 
-@query("w13_spaced_peaks")
+@query("w13_spaced_peaks", f"with recursive {peaks_sql('channel', 'pk', 60, 6)} select specimen_id, channel, seq, value from pk")
 def w13b(t):
     return S.peaks(t.channel, 60.0, 6)
 
 
-@query("w14_broken_immediately")
+IMPACT = (
+    f"with recursive {SAMPLED}, hit as (select * from sampled where channel = 'click'), edge as (select * from sampled where channel = 'view'),\n"
+    + zero_phase_sql("hit", "low", "lowpass", 3500)
+    + ",\n"
+    + peaks_sql("low", "hp", 20, 10)
+    + ",\n"
+    + peaks_sql("edge", "ep", 60, 3)
+    + """,
+a as (select specimen_id, min(seq) as seq from hp group by 1), b as (select specimen_id, min(seq) as seq from ep group by 1),
+h as (select distinct specimen_id, coalesce(a.seq, 0)*2e-5 - 0.5e0 as t_impact from hit left join a using (specimen_id)),
+e as (select distinct specimen_id, coalesce(b.seq, 0)*2e-5 - 0.5e0 as t_fracture from edge left join b using (specimen_id))
+select specimen_id, round(t_impact,9) as t_impact, round(t_fracture,9) as t_fracture, t_fracture-t_impact < 1.5e0*(sqrt(2e0*450e0*450e0)/1500e3) as broken_immediately from h join e using (specimen_id)"""
+)
+
+
+@query("w14_broken_immediately", IMPACT)
 def w14(t):
     d = sampled(t)
     drop = d.filter("channel = 'click'").drop("channel")
     edge = d.filter("channel = 'view'").drop("channel")
     runtime = math.hypot(450.0, 450.0) / 1500e3
-    return S.broken_immediately(drop, edge, runtime, reaction_peak=(60.0, 3))
+    return rounded(S.broken_immediately(drop, edge, runtime, reaction_peak=(60.0, 3)), "t_impact", "t_fracture", digits=9)
 
 
 @query(
@@ -242,15 +338,30 @@ def w15b(t):
     return S.spectrum(t.channel).select(*K, "k", F.round("magnitude", 4).alias("magnitude"))
 
 
-@query("s11_spectrum_export")
+@query(
+    "s11_spectrum_export",
+    """with x as (select *, count(*) over (partition by specimen_id, channel) as n from channel),
+d as (select specimen_id, channel, f.k, n, sum(value*cos(2e0*pi()*f.k*seq/n)) as re, sum(value*sin(2e0*pi()*f.k*seq/n)) as im from x join (select unnest(range(0,2000)) as k) f on f.k < n group by 1,2,3,4)
+select specimen_id, channel, case when n > 1 then round(least(k,n-k)/(n*2e-5),4) end as Freq, round(sqrt(re*re+im*im),4) as Ampl from d""",
+)
 def s11(t):
     """The rows of the ``Freq;Ampl`` file."""
-    return S.spectrum(sampled(t)).selectExpr("specimen_id", "channel", "freq as Freq", "magnitude as Ampl")
+    d = S.spectrum(sampled(t)).selectExpr("specimen_id", "channel", "freq as Freq", "magnitude as Ampl")
+    return rounded(d, "Freq", "Ampl", digits=4)
 
 
-@query("w16_spectrogram")
+@query(
+    "w16_spectrogram",
+    """with n as (select *, count(*) over (partition by specimen_id, channel) as n from channel),
+f as (select distinct specimen_id, channel, n, unnest(range(0, cast(floor((n-16)/8e0) as int)+1)) as frame from n where n >= 16),
+w as (select i, case when i <= 2 then 0.5e0*(1+cos(pi()*(i/2e0-1))) when i >= 14 then 0.5e0*(1+cos(pi()*(i/2e0-7))) else 1e0 end as w from (select unnest(range(0,16)) as i)),
+x as (select f.specimen_id, f.channel, f.frame, w.i, w.w, value - avg(value) over (partition by f.specimen_id, f.channel, f.frame) as x from f cross join w join channel c on c.specimen_id=f.specimen_id and c.channel=f.channel and c.seq = f.frame*8+w.i),
+s as (select specimen_id, channel, frame, k, sum(x*w*cos(2e0*pi()*k*i/16)) as re, sum(x*w*sin(2e0*pi()*k*i/16)) as im, sum(w*w) as ww from x cross join (select unnest(range(0,9)) as k) group by 1,2,3,4)
+select specimen_id, channel, frame, round((frame*8+8)*2e-5,9) as time, round(k/(16*2e-5),4) as freq, round((case when k in (0,8) then 1 else 2 end)*(re*re+im*im)*2e-5/ww,6) as power from s""",
+)
 def w16(t):
-    return S.spectrogram(sampled(t), 16, 8)
+    d = S.spectrogram(sampled(t), 16, 8)
+    return rounded(rounded(rounded(d, "power", digits=6), "time", digits=9), "freq", digits=4)
 
 
 @query(

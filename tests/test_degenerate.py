@@ -16,8 +16,8 @@ def nearest_brute(points, k):
     return out
 
 
-@pytest.mark.parametrize("k", [1, 5, 40])
-def test_nearest_on_wide_and_crowded_panes(spark, k):
+@pytest.mark.parametrize("k, tile", [(1, 4096), (5, 4096), (40, 4096), (1, 8), (5, 20), (40, 70)])
+def test_nearest_on_wide_and_crowded_panes(spark, k, tile):
     r = random.Random(k)
     points = [("wide", i, float(x), 0.0) for i, x in enumerate([0, 100, 500, 1100, 1600, 2600])]
     points += [("one", 0, 7.0, 7.0)]
@@ -26,7 +26,7 @@ def test_nearest_on_wide_and_crowded_panes(spark, k):
     points += [("crowd", 500 + i, 2600 * r.random(), 2600 * r.random()) for i in range(60)]
     points += [("even", i, 500 * r.random(), 500 * r.random()) for i in range(300)]
     df = spark.createDataFrame(points, "key string, id int, x_mm double, y_mm double")
-    got = {(r.key, r.id, r.rank, r.neighbour) for r in neighbours.nearest(df, ["key"], "id", k).collect()}
+    got = {(r.key, r.id, r.rank, r.neighbour) for r in neighbours.nearest(df, ["key"], "id", k, tile_points=tile).collect()}
     assert got == nearest_brute(points, k)
 
 

@@ -21,10 +21,11 @@ def points(spark, n=300, seed=2, pile=0):
     return spark.createDataFrame(pdf), xy
 
 
-def test_nearest_equals_brute_force_with_a_pile_of_copies(spark):
+@pytest.mark.parametrize("tile", [4096, 25])
+def test_nearest_equals_brute_force_with_a_pile_of_copies(spark, tile):
     d, xy = points(spark, 260, pile=90)
     k = 7
-    got = neighbours.nearest(d, ["specimen_id"], "splinter_key", k).toPandas()
+    got = neighbours.nearest(d, ["specimen_id"], "splinter_key", k, tile_points=tile).toPandas()
     dist = np.hypot(*(xy[:, None, :] - xy[None, :, :]).transpose(2, 0, 1))
     keys = np.array([f"s{i:04d}" for i in range(len(xy))])
     for i, key in enumerate(keys):

@@ -82,10 +82,14 @@ def test_butterworth_response(kind, edges, passed, stopped):
         assert gain(f) == pytest.approx(np.sqrt(0.5), abs=1e-9)
 
 
-def test_zero_phase_is_the_two_pass_recursion():
+CASES = [("lowpass", 900.0, 1e4, 120), ("highpass", 1.0, 5e4, 3000), ("bandpass", (5.0, 100.0), 5e4, 3000), ("bandstop", (2e3, 2.2e3), 5e4, 700), ("bandpass", (10.0, 4900.0), 1e4, 500)]
+
+
+@pytest.mark.parametrize("kind,edges,fs,n", CASES)
+def test_zero_phase_is_the_two_pass_recursion(kind, edges, fs, n):
     rng = np.random.default_rng(0)
-    x = rng.normal(size=120)
-    sos = S.butter_sections("lowpass", 900.0, 10000.0)
+    x = np.cumsum(rng.normal(size=n)) * 0.1 + rng.normal(size=n)
+    sos = S.butter_sections(kind, edges, fs)
 
     def lfilter(x, steady):
         for b0, b1, b2, _, a1, a2 in sos:
@@ -100,11 +104,31 @@ def test_zero_phase_is_the_two_pass_recursion():
             x, steady = y, steady * gain
         return x
 
-    pad = 15
+    found = S.Pass(sos)
+    pad = found.pad
     ext = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
     y = lfilter(ext, ext[0])
     y = lfilter(y[::-1], y[-1])[::-1][pad:-pad]
-    np.testing.assert_allclose(S.zero_phase(x, sos, True, True), y, atol=1e-12)
+    np.testing.assert_allclose(found.run(x, (True, True))[0], y, atol=1e-9)
+    # the same from chunks and the states between them
+    cuts = [0, n // 4, n // 2, n]
+    parts, ends = [x[a:b] for a, b in zip(cuts, cuts[1:])], [(True, False), (False, False), (False, True)]
+    left = [found.run(p, e) for p, e in zip(parts, ends)]
+    lengths = [len(p) + pad * sum(e) for p, e in zip(parts, ends)]
+    states = found.states(lengths, [v[1] for v in left], [v[2] for v in left])
+    whole = np.concatenate([found.run(p, e, a, b)[0] for p, e, a, b in zip(parts, ends, *states)])
+    np.testing.assert_allclose(whole, y, atol=1e-9)
+
+
+def test_chunks_of_a_filter_copy_no_row(spark):
+    n = 5000
+    rng = np.random.default_rng(8)
+    x = np.cumsum(rng.normal(size=n)) * 0.1
+    pdf = pd.DataFrame({"k": "a", "seq": np.arange(n), "t": np.arange(n) * 2e-5, "value": x})
+    df = spark.createDataFrame(pdf).withColumn("seq", F.col("seq").cast("bigint"))
+    sos = S.butter_sections("highpass", 1.0, 1 / 2e-5)
+    got = collected(S.filter_chain(df, [("highpass", 1.0)], K, chunk_rows=600), "smooth")
+    np.testing.assert_allclose(got, S.Pass(sos).run(x, (True, True))[0], atol=1e-9)
 
 
 def test_lowpass_above_half_the_rate_changes_nothing(wave):
@@ -129,6 +153,30 @@ def test_peaks_with_plateaus_and_distance(spark):
     assert [r["seq"] for r in S.peaks(d, 2.0, 3, K).orderBy("seq").collect()] == [2, 5, 9, 14]
 
 
+def spaced(pos, value, distance):
+    """The highest candidate first, one after another."""
+    keep = {}
+    for i in sorted(range(len(pos)), key=lambda i: (value[i], pos[i]), reverse=True):
+        if all(abs(pos[i] - p) >= distance for p in keep):
+            keep[pos[i]] = value[i]
+    return sorted(keep)
+
+
+@pytest.mark.parametrize("shape", ["noise", "steps", "rising", "falling"])
+def test_spaced_peaks_in_tiles_equal_the_sequential_rule(spark, shape):
+    rng = np.random.default_rng(11)
+    n, distance = 3000, 9
+    x = {"noise": rng.normal(size=n), "steps": rng.integers(0, 5, n), "rising": np.arange(n) * 0.01 + np.arange(n) % 2, "falling": -np.arange(n) * 0.01 + np.arange(n) % 2}[shape]
+    pdf = pd.DataFrame({"k": np.repeat(["a", "b"], [n - 400, 400]), "seq": np.r_[np.arange(n - 400), np.arange(400)], "t": 0.0, "value": x.astype(float)})
+    df = spark.createDataFrame(pdf).withColumn("seq", F.col("seq").cast("bigint"))
+    tops = S.local_maxima(df, -1e9, K).toPandas()
+    got = S.peaks(df, -1e9, distance, K, tile_rows=200).toPandas()
+    for key in "ab":
+        t = tops[tops.k == key]
+        assert sorted(got[got.k == key]["seq"]) == spaced(t["seq"].tolist(), t["value"].tolist(), distance)
+    assert len(got) < len(tops)
+
+
 def test_stored_angles_carry_over_chunks(spark):
     rng = np.random.default_rng(5)
     pts = rng.random((41, 2)) * 10
