@@ -95,3 +95,14 @@ def broadcast_if_small(df: DataFrame, most: int) -> tuple[DataFrame, bool]:
     """
     small = df.count() <= most
     return (F.broadcast(df), True) if small else (df, False)
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names with an underscore before them, and as many more as it takes to differ from ``columns``."""
+    taken, found = {c.lower() for c in columns}, []
+    for name in names:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        found.append(name)
+    return found

@@ -80,6 +80,26 @@ def test_odd_rows(odd, empty, spark):
     assert (1, "y\n\n ") in got and (None, "") in got and len(got) == 4
 
 
+def test_lengths_around_two_blocks(spark):
+    r = random.Random(4)
+    docs = []
+    for n in (16, 17, 30, 31, 510, 511, 512, 513, 1030):
+        line = [r.choice("abcdé") for _ in range(n)]
+        for at in (0, n // 2 - 1, n // 2, n - 1):
+            for change in (["x"], [], [line[at], "y"]):
+                docs.append((len(docs), "".join(line[:at] + change + line[at + 1 :])))
+        docs.append((len(docs), "".join(line)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {x.doc_id: x.text for x in lines.dedup(df).collect()} == brute(docs)
+
+
+def test_clashing_columns(spark):
+    rows = [(1, "a\nb", 1, 2, 3, 4, 5), (2, "a\nc", 1, 2, 3, 4, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _doc int, _hash int, _exact int, _near int, __doc int")
+    out = lines.dedup(df)
+    assert out.columns == df.columns and sorted(x.text for x in out.collect()) == ["a\nb", "c"]
+
+
 def test_no_python_in_the_plan(spark, folder):
     plan = queries.op1_lines(spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
