@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from craquelure.llm.common import by_batch, checkpointed, with_text
+from craquelure.llm.common import by_batch, checkpointed, unused, with_text
 
 WORDS = 4
 BITS = 4
@@ -232,11 +232,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     each = groups(docs).groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "rows")
     kept = checkpointed(each.groupBy("root").agg(F.min(order).alias("kept")).select("kept.*"))
-    kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("rows").alias("_rows"))
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (_text_hash(docs["text"]) == F.col("_hash"))
-    if kept.filter("_rows > 1").isEmpty():
+    names = unused(docs.columns, "id", "hash", "rows")
+    kept = kept.select(*(F.col(c).alias(n) for c, n in zip(("doc_id", "text_hash", "rows"), names)))
+    of_id, of_hash, rows = (F.col(n) for n in names)
+    same = docs["doc_id"].eqNullSafe(of_id) & (_text_hash(docs["text"]) == of_hash)
+    if kept.filter(rows > 1).isEmpty():
         return docs.join(kept, same, "left_semi")
-    once = docs.join(kept.filter("_rows = 1"), same, "left_semi")
+    once = docs.join(kept.filter(rows == 1), same, "left_semi")
     # the same row several times
-    repeated = docs.join(kept.filter("_rows > 1"), same, "left_semi")
+    repeated = docs.join(kept.filter(rows > 1), same, "left_semi")
     return once.unionByName(repeated.dropDuplicates(["doc_id", "text"]))

@@ -103,3 +103,10 @@ def test_odd_rows(odd, empty, spark):
     nameless = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (None, "quite another text")], "doc_id long, text string")
     assert [r.component_id for r in simhash.groups(nameless).collect()] == [None] * 3
     assert simhash.one_of_each(nameless).count() == 2
+
+
+def test_clashing_columns(spark):
+    rows = [(1, "one text", 1, 2, 3), (2, "one text", 1, 2, 3), (3, "quite another one here", 1, 2, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id int, _hash int, _rows int")
+    out = simhash.one_of_each(df)
+    assert out.columns == df.columns and sorted(x.doc_id for x in out.collect()) == [1, 3]
