@@ -298,7 +298,9 @@ def _keep_far(points: np.ndarray, tolerance: float) -> np.ndarray:
 
 
 def simplified(points: np.ndarray, share: float) -> np.ndarray:
-    """Closed contour split at the point farthest from its first one, both halves thinned."""
+    """Closed contour split at the point farthest from its first one, both halves thinned; an empty one stays empty."""
+    if not len(points):
+        return points
     ring = np.vstack([points, points[:1]])
     tolerance = share * np.hypot(*np.diff(ring, axis=0).T).sum()
     split = int(np.hypot(*(points - points[0]).T).argmax())

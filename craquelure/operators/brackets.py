@@ -1,7 +1,8 @@
 """Bracket (as-of style) lookups: the table rows around a value.
 
-Neighbouring table rows become intervals; interval and value meet on an equi-join over
-coarse cells of the axis, so no inequality join over a whole key is planned.
+Axis and values are put in one order, stretch by stretch, and every value takes the last axis
+row before it and the first one from it on; what a stretch has none of comes from the stretches
+beside it. No inequality join is planned, and an axis may crowd anywhere.
 """
 
 from __future__ import annotations
@@ -9,36 +10,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS = 1024
+from craquelure.operators.ordered import stretches
+from craquelure.session import checkpointed
 
-
-def intervals(axis: DataFrame, keys, value: str) -> DataFrame:
-    """Consecutive distinct axis values per key as ``(lo, hi)``, single values as ``lo = hi``."""
-    keys = list(keys)
-    w = Window.partitionBy(*keys).orderBy(value)
-    d = axis.select(*keys, value).distinct()
-    d = d.withColumn("hi", F.lead(value).over(w)).withColumn("_first", F.lag(value).over(w).isNull())
-    d = d.filter(F.col("hi").isNotNull() | F.col("_first"))
-    return d.select(*keys, F.col(value).alias("lo"), F.coalesce("hi", value).alias("hi"))
+STRETCH_ROWS = 65536
 
 
-def bracket(df: DataFrame, axis: DataFrame, keys, position: str, value: str, out: str) -> DataFrame:
+def bracket(df: DataFrame, axis: DataFrame, keys, position: str, value: str, out: str, rows: int = STRETCH_ROWS) -> DataFrame:
     """Add ``<out>_lo``, ``<out>_hi`` with ``lo < position <= hi``; positions are clamped.
 
-    Rows whose key has no axis are dropped. ``<out>`` is the clamped position.
+    Rows whose key has no axis are dropped. ``<out>`` is the clamped position; at the low end it
+    is ``lo`` itself, and an axis of one value is both ends.
     """
     keys = list(keys)
-    steps = intervals(axis, keys, value)
-    span = axis.groupBy(*keys).agg(F.min(value).alias("_a"), F.max(value).alias("_b"))
-    width = F.greatest((F.col("_b") - F.col("_a")) / CELLS, F.lit(1e-300))
-    at = lambda c: F.least(F.floor((c - F.col("_a")) / width), F.lit(CELLS)).cast("int")
-    covered = steps.join(span, keys).withColumn("_cell", F.explode(F.sequence(at(F.col("lo")), at(F.col("hi")))))
-    d = df.join(span, keys).withColumn(out, F.greatest(F.col("_a"), F.least(F.col("_b"), F.col(position))))
-    d = d.withColumn("_cell", at(F.col(out))).withColumn("_low_end", F.col(out) == F.col("_a")).drop("_a", "_b")
-    covered = covered.select(*keys, "_cell", F.col("lo").alias(f"{out}_lo"), F.col("hi").alias(f"{out}_hi"), (F.col("lo") == F.col("_a")).alias("_first"))
-    lo, hi, v = F.col(f"{out}_lo"), F.col(f"{out}_hi"), F.col(out)
-    d = d.join(covered, keys + ["_cell"])
-    return d.filter(((lo < v) & (v <= hi)) | (F.col("_low_end") & F.col("_first"))).drop("_cell", "_low_end", "_first")
+    marks = checkpointed(axis.select(*keys, F.col(value).cast("double").alias(out)).distinct())
+    span = marks.groupBy(*keys).agg(F.min(out).alias("_a"), F.max(out).alias("_b"))
+    second = marks.join(span, keys).filter(F.col(out) > F.col("_a")).groupBy(*keys).agg(F.min(out).alias("_second"))
+    span = span.join(second, keys, "left")
+    clamped = F.greatest(F.col("_a"), F.least(F.col("_b"), F.col(position).cast("double")))
+    asked = df.join(span, keys).withColumn(out, clamped).withColumn("_axis", F.lit(False))
+    both = asked.unionByName(marks.withColumn("_axis", F.lit(True)), allowMissingColumns=True)
+    # read several times, and lookups follow one another
+    both = checkpointed(stretches(checkpointed(both), keys, out, rows))
+    mark = F.when(F.col("_axis"), F.col(out))
+
+    # a value stands before an equal axis row
+    cell = [*keys, "_cell"]
+    up = Window.partitionBy(*cell).orderBy(out, "_axis").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy(*cell).orderBy(F.desc(out), F.desc("_axis")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = both.groupBy(*cell).agg(F.min(mark).alias("_first"), F.max(mark).alias("_last"))
+    back = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    on = Window.partitionBy(*keys).orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(
+        *cell,
+        F.last("_last", ignorenulls=True).over(back).alias("_before"),
+        F.last("_first", ignorenulls=True).over(on).alias("_after"),
+    )
+    d = both.withColumn("_up", F.last(mark, ignorenulls=True).over(up))
+    d = d.withColumn("_down", F.last(mark, ignorenulls=True).over(down)).filter(~F.col("_axis")).join(ends, cell)
+    low_end = F.col(out) == F.col("_a")
+    lo = F.when(low_end, F.col("_a")).otherwise(F.coalesce("_up", "_before"))
+    hi = F.when(low_end, F.coalesce("_second", "_a")).otherwise(F.coalesce("_down", "_after"))
+    d = d.withColumn(f"{out}_lo", lo).withColumn(f"{out}_hi", hi)
+    return d.drop("_a", "_b", "_second", "_axis", "_cell", "_up", "_down", "_before", "_after")
 
 
 def weight(out: str):

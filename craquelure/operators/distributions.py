@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from craquelure.operators.ordered import stretches
+
 
 def weighted_median(counts: DataFrame, keys, value: str, count: str) -> DataFrame:
     """Exact median per key from value counts (midpoint of the two middle values)."""
@@ -29,19 +31,14 @@ def weighted_median(counts: DataFrame, keys, value: str, count: str) -> DataFram
     )
 
 
-def cumulative(df: DataFrame, keys, order: str, sums: dict) -> DataFrame:
+def cumulative(df: DataFrame, keys, order: str, sums: dict, rows: int = 65536) -> DataFrame:
     """Running sums along a numeric column with distinct values per key.
 
-    The value range of each key is cut into equal stretches: a stretch is ordered in one
-    task, the stretches before it enter as totals.
+    A stretch (see :func:`ordered.stretches`) is ordered in one task, the stretches before it
+    enter as totals.
     """
     keys = list(keys)
-    limits = df.groupBy(*keys).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    n = F.least(F.ceil(F.col("_n") / 65536), F.lit(1 << 20))
-    share = (F.col(order) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    d = df.join(limits, keys).withColumn(
-        "_cell", F.coalesce(F.least(F.floor(share * n), n - 1), F.lit(0)).cast("bigint")
-    ).drop("_lo", "_hi", "_n")
+    d = stretches(df, keys, order, rows)
     for name, expr in sums.items():
         d = d.withColumn(f"_v_{name}", expr)
     before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)

@@ -212,3 +212,115 @@ def fitted_curve(df: DataFrame, model: str | Callable, x: str, y: str, start, bo
     d = quality.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     d = d.withColumn("x", F.col("lo") + F.col("k") * ((F.col("hi") - F.col("lo")) / (points - 1)))
     return d.select("k", "x", f(F.col("x"), lit, F).alias("y"), "r2", F.array(*lit).alias("params"))
+
+
+def nonlinear_groups(
+    df: DataFrame, keys, models: dict[str, list], x: str, y: str, bounds: dict | None = None, steps: int = 80, tolerance: float = 1e-14
+) -> DataFrame:
+    """Damped Gauss-Newton for every key and model at once: ``(keys, model, n, params, sse, r2)``.
+
+    ``models`` maps names of :data:`MODELS` to start values. The fits are rows of a table of
+    states. A step joins the points with the states still open, adds up the normal equations of
+    all of them in one aggregation of column expressions, and updates each state; a state that
+    no longer improves is closed. A fit that fails has no parameters.
+    """
+    keys, bounds = list(keys), bounds or {}
+    spark = df.sparkSession
+    most = max(len(v) for v in models.values())
+    upper = [(i, j) for i in range(most) for j in range(i, most)]
+    place = [*keys, "model"]
+    d = df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).dropna()
+    d = checkpointed(d)
+    spread = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.var_pop("_y") * F.count("_y")).alias("_all"))
+    clipped = {m: _clip(v, bounds.get(m)).tolist() for m, v in models.items()}
+    given = F.explode(F.map_from_entries(F.array(*[
+        F.struct(F.lit(m).alias("key"), F.array(*[F.lit(float(a)) for a in v]).alias("value")) for m, v in clipped.items()
+    ]))).alias("model", "trial")
+    nothing = F.array().cast("array<double>")
+    states = spread.select(*keys, "n", given).select(
+        *place, "n", "trial", nothing.alias("params"), nothing.alias("sums"), F.lit(1e-3).alias("damping"), F.lit(True).alias("open")
+    )
+    states = checkpointed(states)
+    schema = states.schema
+
+    def value(name: str, shift: int | None = None, h: Column | None = None) -> Column:
+        p = [F.get("trial", F.lit(k)) + (h if k == shift else 0.0) for k in range(len(models[name]))]
+        return MODELS[name](F.col("_x"), p, F)
+
+    def slope(k: int) -> Column:
+        h = F.greatest(F.abs(F.get("trial", F.lit(k))), F.lit(1e-3)) * 1e-6
+        out = F.lit(0.0)
+        for name, start in models.items():
+            if k < len(start):
+                out = F.when(F.col("model") == name, (value(name, k, h) - value(name, k, -h)) / (2 * h)).otherwise(out)
+        return out
+
+    def sums(states: DataFrame) -> DataFrame:
+        rows = d.join(states.select(*place, "trial"), keys)
+        fit = F.lit(None).cast("double")
+        for name in models:
+            fit = F.when(F.col("model") == name, value(name)).otherwise(fit)
+        rows = rows.select(*place, (F.col("_y") - fit).alias("_r"), *[slope(k).alias(f"_j{k}") for k in range(most)])
+        r, j = F.col("_r"), [F.col(f"_j{k}") for k in range(most)]
+        parts = [F.sum(r * r), *[F.sum(v * r) for v in j], *[F.sum(j[a] * j[b]) for a, b in upper]]
+        parts.append(F.count(r + sum(j, F.lit(0.0))).cast("double"))
+        return rows.groupBy(*place).agg(F.array(*parts).alias("found"))
+
+    def step(frames):
+        for pdf in frames:
+            rows = [_advanced(r, len(models[r["model"]]), upper, most, bounds.get(r["model"]), tolerance) for r in pdf.to_dict("records")]
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    for _ in range(steps):
+        live = states.filter("open")
+        if live.isEmpty():
+            break
+        moved = live.join(sums(live), place, "left").mapInPandas(step, schema)
+        states = checkpointed(states.filter("not open").unionByName(moved))
+    out = states.join(spread.select(*keys, "_all"), keys)
+    sse = F.get("sums", F.lit(0))
+    params = F.when(F.size("params") > 0, F.col("params"))
+    return out.select(*place, "n", params.alias("params"), sse.alias("sse"), (1 - F.try_divide(sse, F.col("_all"))).alias("r2"))
+
+
+def _clip(p, bounds) -> np.ndarray:
+    p = np.asarray(p, float)
+    return p if bounds is None else np.clip(p, *np.asarray(bounds, float).T)
+
+
+def _advanced(row: dict, m: int, upper, most: int, bounds, tolerance: float) -> dict:
+    """A state after the sums of its trial parameters are known."""
+    found = row.pop("found")
+    found = None if found is None else np.asarray(found, float)
+    usable = found is not None and np.isfinite(found).all() and found[-1] == row["n"] >= m
+    params, known = np.asarray(row["params"], float), np.asarray(row["sums"], float)
+    if not len(params) and not usable:
+        return row | {"open": False}
+    if usable and (not len(params) or found[0] <= known[0]):
+        flat = len(params) and known[0] - found[0] <= tolerance * known[0]
+        params, known = np.asarray(row["trial"], float), found
+        row |= {"params": params.tolist(), "sums": known.tolist(), "damping": max(row["damping"] / 10, 1e-12)}
+        if flat or known[0] == 0:
+            return row | {"open": False}
+    else:
+        row["damping"] *= 10
+        if row["damping"] > 1e8:
+            return row | {"open": False}
+    a = np.zeros((most, most))
+    for v, (i, j) in zip(known[1 + most :], upper):
+        a[i, j] = a[j, i] = v
+    a, right = a[:m, :m], known[1 : 1 + m]
+    move = np.linalg.lstsq(a + row["damping"] * np.diag(np.diag(a) + 1e-300), right, rcond=None)[0]
+    return row | {"trial": _clip(params + move, bounds).tolist()}
+
+
+def curves(fits: DataFrame, spans: DataFrame, keys, points: int = 100) -> DataFrame:
+    """``(keys, model, k, x, y)``: each fit over an even axis from ``lo`` to ``hi`` of its key."""
+    d = fits.filter("params is not null").join(spans, list(keys))
+    d = d.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    d = d.withColumn("x", F.col("lo") + F.col("k") * ((F.col("hi") - F.col("lo")) / (points - 1)))
+    y = F.lit(None).cast("double")
+    p = [F.get("params", F.lit(k)) for k in range(4)]
+    for name, f in MODELS.items():
+        y = F.when(F.col("model") == name, f(F.col("x"), p, F)).otherwise(y)
+    return d.select(*keys, "model", "k", "x", y.alias("y"))

@@ -12,13 +12,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from craquelure.operators.ordered import python_groups
+from craquelure.operators.ordered import cuts_of, part_of, python_groups, quantiles
 
 # Points a tile of the neighbour search should have
 TILE_POINTS = 4096
-# What the cuts of tiles are chosen from: quantiles of a sketch with this accuracy
-SHARES = [i / 1024 for i in range(1, 1024)]
-ACCURACY = 10_000
 # the cell itself and the four cells "ahead"; the other four are reached from there
 HALF_BLOCK = [(0, 0), (1, -1), (1, 0), (1, 1), (0, 1)]
 
@@ -130,17 +127,6 @@ def nearest(points: DataFrame, keys, ident: str, k: int, x="x_mm", y="y_mm", til
     return small.unionByName(large.select(*keys, ident, "rank", "neighbour", "dist"))
 
 
-def _cuts(quantiles: str, parts: Column) -> Column:
-    """Inner borders of ``parts`` equally full parts."""
-    places = F.transform(F.sequence(F.lit(1), parts - 1), lambda i: F.ceil(i * (len(SHARES) + 1) / parts).cast("int") - 1)
-    found = F.array_distinct(F.transform(places, lambda i: F.get(F.col(quantiles), i)))
-    return F.when(parts > 1, found).otherwise(F.array().cast("array<double>"))
-
-
-def _part(value: Column, cuts: Column) -> Column:
-    return F.size(F.filter(cuts, lambda c: c <= value))
-
-
 def tiled(points: DataFrame, keys, x: str, y: str, tile_points: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Points with ``_strip, _tile`` and their box; the strips of each key ``_xs``; the tiles of each strip ``_ys``.
 
@@ -148,13 +134,12 @@ def tiled(points: DataFrame, keys, x: str, y: str, tile_points: int) -> tuple[Da
     by mergeable quantile sketches: a crowded place gets as many tiles as it has points for.
     """
     keys = list(keys)
-    sketch = lambda c: F.percentile_approx(F.col(c).cast("double"), SHARES, ACCURACY).alias("_q")
-    full = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"), sketch(x))
-    strips = full.select(*keys, _cuts("_q", F.ceil(F.sqrt(F.col("_m") / tile_points)).cast("int")).alias("_xs"))
-    d = points.join(strips, keys).withColumn("_strip", _part(F.col(x), F.col("_xs")))
-    full = d.groupBy(*keys, "_strip").agg(F.count(F.lit(1)).alias("_m"), sketch(y))
-    tiles = full.select(*keys, "_strip", _cuts("_q", F.ceil(F.col("_m") / tile_points).cast("int")).alias("_ys"))
-    d = d.join(tiles, [*keys, "_strip"]).withColumn("_tile", _part(F.col(y), F.col("_ys")))
+    full = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"), quantiles(x).alias("_q"))
+    strips = full.select(*keys, cuts_of("_q", F.ceil(F.sqrt(F.col("_m") / tile_points)).cast("int")).alias("_xs"))
+    d = points.join(strips, keys).withColumn("_strip", part_of(F.col(x), F.col("_xs")))
+    full = d.groupBy(*keys, "_strip").agg(F.count(F.lit(1)).alias("_m"), quantiles(y).alias("_q"))
+    tiles = full.select(*keys, "_strip", cuts_of("_q", F.ceil(F.col("_m") / tile_points).cast("int")).alias("_ys"))
+    d = d.join(tiles, [*keys, "_strip"]).withColumn("_tile", part_of(F.col(y), F.col("_ys")))
     least, most = F.lit(float("-inf")), F.lit(float("inf"))
     for part, cuts, low, high in (("_strip", "_xs", "_x0", "_x1"), ("_tile", "_ys", "_y0", "_y1")):
         d = d.withColumn(low, F.coalesce(F.get(cuts, F.col(part) - 1), least))
@@ -209,7 +194,7 @@ def _nearest_in_tiles(points: DataFrame, keys, ident: str, k: int, x: str, y: st
     first = groups.applyInArrow(own, found)
     guests = first.filter("rank = 0").select(*place, F.col("dist").alias("reach")).join(strips, keys)
     low, high = (lambda c: F.col(c) - F.col("reach")), (lambda c: F.col(c) + F.col("reach"))
-    span = lambda c, cuts: F.explode(F.sequence(_part(low(c), F.col(cuts)), _part(high(c), F.col(cuts))))
+    span = lambda c, cuts: F.explode(F.sequence(part_of(low(c), F.col(cuts)), part_of(high(c), F.col(cuts))))
     guests = guests.withColumn("_strip", span(x, "_xs")).drop("_xs").join(tiles, [*keys, "_strip"])
     guests = guests.withColumn("_tile", span(y, "_ys")).select(*at, x, y, "reach")
     guests = guests.select(*(F.col(c).alias(c) for c in guests.columns))

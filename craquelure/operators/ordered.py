@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK_ROWS = 1 << 17
+# Quantiles that cuts are chosen from, and the accuracy of the sketch they are read from
+SHARES = [i / 1024 for i in range(1, 1024)]
+ACCURACY = 10_000
 
 
 def key_stats(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
@@ -27,6 +30,34 @@ def key_stats(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
     return df.join(stats, list(keys))
 
 
+def cuts_of(quantiles: str, parts: Column) -> Column:
+    """Inner borders of ``parts`` equally full parts, out of the quantiles for ``SHARES``."""
+    places = F.transform(F.sequence(F.lit(1), parts - 1), lambda i: F.ceil(i * (len(SHARES) + 1) / parts).cast("int") - 1)
+    found = F.array_distinct(F.transform(places, lambda i: F.get(F.col(quantiles), i)))
+    return F.when(parts > 1, found).otherwise(F.array().cast("array<double>"))
+
+
+def part_of(value: Column, cuts: Column) -> Column:
+    return F.size(F.filter(cuts, lambda c: c <= value))
+
+
+def quantiles(column: str) -> Column:
+    return F.percentile_approx(F.col(column).cast("double"), SHARES, ACCURACY)
+
+
+def stretches(df: DataFrame, keys: Sequence[str], column: str, rows: int, out: str = "_cell") -> DataFrame:
+    """Numbers, along ``column``, the stretches of about ``rows`` rows each key is cut into.
+
+    The cuts come from a mergeable quantile sketch, so a burst gets as many stretches as it has
+    rows for. Equal values stay together, and a key has ``len(SHARES) + 1`` stretches at most.
+    """
+    keys = list(keys)
+    full = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"), quantiles(column).alias("_q"))
+    parts = F.ceil(F.col("_m") / rows).cast("int")
+    d = df.join(full.select(*keys, cuts_of("_q", parts).alias("_cuts")), keys)
+    return d.withColumn(out, part_of(F.col(column), F.col("_cuts")).cast("bigint")).drop("_cuts")
+
+
 def sequence_number(
     df: DataFrame,
     keys: Sequence[str],
@@ -37,18 +68,11 @@ def sequence_number(
 ) -> DataFrame:
     """0-based row number per key, ordered by the numeric ``position`` and ``ties``.
 
-    Each series is cut into equal stretches of ``position`` sized for about
-    ``chunk_rows`` rows; rows are numbered inside a stretch and shifted by the number
-    of rows in the stretches before it.
+    Rows are numbered inside :func:`stretches` of about ``chunk_rows`` rows and shifted by the
+    number of rows in the stretches before.
     """
     keys = list(keys)
-    d = key_stats(
-        df, keys, _lo=F.min(position), _hi=F.max(position), _n=F.count(F.lit(1))
-    )
-    cells = F.ceil(F.col("_n") / chunk_rows)
-    share = (F.col(position) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    cell = F.coalesce(F.least(F.floor(share * cells), cells - 1), F.lit(0)).cast("bigint")
-    d = d.withColumn("_cell", cell).drop("_lo", "_hi", "_n")
+    d = stretches(df, keys, position, chunk_rows)
     before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         d.groupBy(*keys, "_cell")

@@ -703,18 +703,26 @@ def fourier_bins(df: DataFrame, bins, keys=KEYS) -> DataFrame:
 
 
 def _factor(n: int, direct: int) -> int:
-    """1 for series one task can take, else the largest divisor not above the square root."""
+    """1 for series one task can take, else the largest divisor not above the square root; 0 if that leaves too long a rest."""
     if n <= direct:
         return 1
-    return next(k for k in range(math.isqrt(n), 0, -1) if n % k == 0)
+    p = next(k for k in range(math.isqrt(n), 0, -1) if n % k == 0)
+    return p if n // p <= direct else 0
+
+
+def _chirp(seq: np.ndarray, n: int) -> np.ndarray:
+    """``exp(i pi seq^2 / n)``, the square reduced in whole numbers."""
+    return np.exp(1j * np.pi * (seq * seq % (2 * n)) / n)
 
 
 def spectrum(df: DataFrame, keys=KEYS, direct: int = CHUNK_ROWS) -> DataFrame:
     """Full discrete Fourier transform, ``(keys, k, freq, magnitude)``.
 
     A series longer than ``direct`` with ``n = p*q`` is done as ``p`` transforms of length
-    ``q``, a phase factor, and ``q`` transforms of length ``p`` with a shuffle in between,
-    so no task holds it whole (unless its length is prime).
+    ``q``, a phase factor, and ``q`` transforms of length ``p`` with a shuffle in between. Where
+    ``n`` has no such factors (it may be prime) the transform is written as a convolution with a
+    chirp, which has any length from ``2n - 1`` on: a power of two, done in the same two steps
+    there and back. No task holds a series longer than ``direct`` whole.
     """
     keys = list(keys)
     heads = df.groupBy(*keys).agg(
@@ -753,8 +761,73 @@ def spectrum(df: DataFrame, keys=KEYS, direct: int = CHUNK_ROWS) -> DataFrame:
         stage_one, f"{head}, _j bigint, _m bigint, _n bigint, _p bigint, re double, im double"
     )
     two = python_groups(one, *keys, "_m").applyInPandas(stage_two, result)
+    odd = _chirped(d.filter("_p = 0"), heads.filter("_p = 0"), keys, head, result)
     freq = F.least(F.col("k"), F.col("_n") - F.col("k")) / (F.col("_n") * F.nullif(F.col("_t1") - F.col("_t0"), F.lit(0.0)))
-    return short.unionByName(two).join(heads, keys).select(*keys, "k", freq.alias("freq"), "magnitude")
+    every = short.unionByName(two).unionByName(odd).join(heads, keys)
+    return every.select(*keys, "k", freq.alias("freq"), "magnitude")
+
+
+def _chirped(d: DataFrame, heads: DataFrame, keys: list[str], head: str, result: str) -> DataFrame:
+    """Magnitudes by a circular convolution of length ``2^a * 2^b`` with a chirp.
+
+    Rows of the series (``_side`` 0) and of the chirp (1) go through the first step each, meet
+    under their frequency, and their product goes back.
+    """
+
+    def lengths(n: int) -> tuple[int, int]:
+        bits = (2 * n - 2).bit_length()
+        return 1 << bits // 2, 1 << bits - bits // 2
+
+    def first_step(x: np.ndarray, out: dict, j: int, side: int, n: int, p: int, q: int) -> pd.DataFrame:
+        y = np.fft.fft(x) * np.exp(-2j * np.pi * j * np.arange(q) / (p * q))
+        return pd.DataFrame(out | {"_side": side, "_j": j, "_m": np.arange(q), "_n": n, "re": y.real, "im": y.imag})
+
+    def series(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        n, j = int(pdf["_n"].iloc[0]), int(key[-1])
+        p, q = lengths(n)
+        seq, x = pdf["seq"].to_numpy(), np.zeros(q, complex)
+        x[(seq - j) // p] = pdf["value"].to_numpy(dtype=float) * _chirp(seq, n).conj()
+        return first_step(x, dict(zip(keys, key)), j, 0, n, p, q)
+
+    def chirp(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        n, j = int(pdf["_n"].iloc[0]), int(key[-1])
+        p, q = lengths(n)
+        at = j + p * np.arange(q)
+        at = np.minimum(at, p * q - at)
+        return first_step(np.where(at < n, _chirp(np.minimum(at, n), n), 0), dict(zip(keys, key)), j, 1, n, p, q)
+
+    def product(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        n, m = int(pdf["_n"].iloc[0]), int(key[-1])
+        p, q = lengths(n)
+        y = np.ones(p, complex)
+        for side in (0, 1):
+            rows = pdf[pdf["_side"] == side].sort_values("_j")
+            x = np.zeros(p, complex)
+            x[rows["_j"].to_numpy()] = rows["re"].to_numpy() + 1j * rows["im"].to_numpy()
+            y = y * np.fft.fft(x)
+        y = np.fft.ifft(y) * np.exp(2j * np.pi * m * np.arange(p) / (p * q))
+        out = dict(zip(keys, key))
+        return pd.DataFrame(out | {"_m": m, "_s": np.arange(p), "_n": n, "re": y.real, "im": y.imag})
+
+    def back(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_m")
+        n, s = int(pdf["_n"].iloc[0]), int(key[-1])
+        p, q = lengths(n)
+        y = np.abs(np.fft.ifft(pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()))
+        k = s + p * np.arange(q)
+        return pd.DataFrame(dict(zip(keys, key)) | {"k": k[k < n], "magnitude": y[k < n]})
+
+    parts = F.pandas_udf(lambda v: pd.Series([lengths(int(n))[0] for n in v], dtype="int64"), "bigint")
+    heads = heads.select(*keys, "_n", parts("_n").alias("_parts"))
+    rows = d.select(*keys, "seq", "value").join(heads, keys).withColumn("_j", F.col("seq") % F.col("_parts"))
+    step = f"{head}, _side int, _j bigint, _m bigint, _n bigint, re double, im double"
+    a = python_groups(rows.drop("_parts"), *keys, "_j").applyInPandas(series, step)
+    every = heads.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1)))
+    b = python_groups(every.drop("_parts"), *keys, "_j").applyInPandas(chirp, step)
+    met = python_groups(a.unionByName(b), *keys, "_m").applyInPandas(
+        product, f"{head}, _m bigint, _s bigint, _n bigint, re double, im double"
+    )
+    return python_groups(met, *keys, "_s").applyInPandas(back, result)
 
 
 def spectrogram(df: DataFrame, frame: int = 1024, overlap: int = 512, keys=KEYS) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from craquelure.functions import mechanics as M
+from craquelure.functions import mechanics as M, tables as TB
 from craquelure.operators import fits
 from craquelure.plans.catalog import U, with_energy
 from craquelure.plans.registry import query
@@ -45,6 +45,19 @@ def r1c(t):
     return f.select("thickness", "n", F.posexplode("coef").alias("power", "coefficient"))
 
 
+@query(
+    "r1_quintic_moments",
+    f"with {DATA} select thickness, k, round(sum(pow(s/100e0,k)*n50),3) as moment from d cross join (select unnest(range(0,6)) as k) group by 1,2",
+)
+def r1d(t):
+    """Moments of the fitted quintic: least squares has those of the points, and no other curve of its degree has."""
+    d = data(t)
+    f = fits.polynomial(d, ["thickness"], "s", "n50", 5).select("thickness", "coef")
+    d = d.join(f, "thickness").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    moment = F.sum(F.pow(F.col("s") / 100.0, F.col("k").cast("double")) * fits.evaluate("coef", F.col("s")))
+    return d.groupBy("thickness", "k").agg(F.round(moment, 3).alias("moment"))
+
+
 @query(
     "r2_logarithm_and_proportion",
     f"with {DATA} select thickness, round(regr_slope(n50,ln(s)),6) as a_log, round(regr_intercept(n50,ln(s)),5) as b_log, round(sum(s*s)/sum(s*n50),6) as a_inv from d group by 1",
@@ -81,6 +94,53 @@ def r3b(t):
     return short.select("n", F.posexplode("coef").alias("term", "coefficient"))
 
 
+SEEL = ", ".join(f"({t},{s}e0,{n}e0)" for t, s, n in TB.COUNTS_AND_STRESSES)
+BOTH = f"{DATA}, b as (select thickness as h, s, cast(n50 as double) as n50 from d union all select h, s, n50 from (values {SEEL}) as l(h, s, n50))"
+
+
+def with_literature(t):
+    """Own counts and the published ones, as a fit takes them."""
+    own = data(t).select(F.col("thickness").cast("int").alias("thickness"), "s", "n50")
+    return own.unionByName(TB.literature_stresses(t.spark))
+
+
+@query(
+    "u1_counts_with_literature",
+    f"with {BOTH} select h as thickness, count(*) as n, round(avg(s),6) as s, round(avg(n50),6) as n50 from b group by 1",
+)
+def u1b(t):
+    d = with_literature(t).groupBy("thickness")
+    return d.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("s"), 6).alias("s"), F.round(F.avg("n50"), 6).alias("n50"))
+
+
+TERMS = ("1e0", "h", "s", "s*s", "s*s*s", "s*h", "h*h", "h*h*h")
+
+
+def model_sql(n: int) -> str:
+    rows = " union all ".join(f"select {k} as term, avg(({e})*n50) as m, avg(({e})*({e})) as q from b" for k, e in enumerate(TERMS[:n]))
+    return f"with {BOTH} select term, round(m/sqrt(q),6) as moment from ({rows})"
+
+
+def model_moments(t, long: bool):
+    """Moments of the fitted N50 model with every term: least squares has those of the points."""
+    d = with_literature(t).withColumn("k", F.lit(1))
+    terms = fits.n50_terms(F.col("thickness"), F.col("s"), long)
+    d = d.join(fits.linear(d, ["k"], terms, F.col("n50")).select("k", "coef"), "k")
+    fitted = fits.predict("coef", terms)
+    moments = [F.round(F.avg(e * fitted) / F.sqrt(F.avg(e * e)), 6) for e in terms]
+    return d.agg(F.array(*moments).alias("m")).select(F.posexplode("m").alias("term", "moment"))
+
+
+@query("r3_model_with_literature", model_sql(6))
+def r3c(t):
+    return model_moments(t, False)
+
+
+@query("r3_long_model_with_literature", model_sql(8))
+def r3d(t):
+    return model_moments(t, True)
+
+
 @query("r4_nonlinear_models")
 def r4(t):
     """All four nonlinear models on the same points; each step is one aggregation."""
@@ -105,6 +165,40 @@ def r5(t):
     return fits.fitted_curve(data(t), "exponential", "s", "n50", [3.0, 0.01]).select("k", "x", "y", "r2")
 
 
+# the exponent by thirds of its interval; the factor follows from it
+EXPONENT = f"""{DATA}, v as (select thickness, list(s) as xs, list(cast(n50 as double)) as ys, count(*) as n, avg(n50) as mean from d group by 1),
+r as (select *, -0.2e0 as lo, 0.2e0 as hi, 0 as i from v union all select thickness, xs, ys, n, mean, case when a > b then lo+(hi-lo)/3 else lo end, case when a > b then hi else hi-(hi-lo)/3 end, i+1 from (
+ select *, list_sum([ys[j]*ys[j] for j in range(1,n+1)]) - pow(list_sum([ys[j]*exp((lo+(hi-lo)/3)*xs[j]) for j in range(1,n+1)]),2)/list_sum([exp(2*(lo+(hi-lo)/3)*xs[j]) for j in range(1,n+1)]) as a,
+  list_sum([ys[j]*ys[j] for j in range(1,n+1)]) - pow(list_sum([ys[j]*exp((hi-(hi-lo)/3)*xs[j]) for j in range(1,n+1)]),2)/list_sum([exp(2*(hi-(hi-lo)/3)*xs[j]) for j in range(1,n+1)]) as b from r where i < 110)),
+e as (select thickness, xs, ys, n, mean, (lo+hi)/2 as p1, list_sum([ys[j]*exp((lo+hi)/2*xs[j]) for j in range(1,n+1)])/list_sum([exp((lo+hi)*xs[j]) for j in range(1,n+1)]) as p0 from r where i = 110)"""
+
+
+def per_thickness(t, **models):
+    return fits.nonlinear_groups(data(t), ["thickness"], models, "s", "n50")
+
+
+@query(
+    "r4_exponential_per_thickness",
+    f"""with recursive {EXPONENT} select thickness, n, round(p0,4) as a, round(p1,6) as b, round(1-list_sum([pow(ys[j]-p0*exp(p1*xs[j]),2) for j in range(1,n+1)])/list_sum([pow(y-mean,2) for y in ys]),6) as r2 from e""",
+)
+def r4b(t):
+    """One fit for every thickness, all of them at once."""
+    d = per_thickness(t, exponential=[3.0, 0.01])
+    p = [F.get("params", F.lit(k)) for k in range(2)]
+    return d.select("thickness", "n", F.round(p[0], 4).alias("a"), F.round(p[1], 6).alias("b"), F.round("r2", 6).alias("r2"))
+
+
+@query(
+    "r5_curve_per_thickness",
+    f"""with recursive {EXPONENT}, x as (select thickness, p0, p1, list_min(xs) as lo, list_max(xs) as hi, unnest(range(0,100)) as k from e)
+select thickness, k, round(lo+k*((hi-lo)/99e0),6) as x, round(p0*exp(p1*(lo+k*((hi-lo)/99e0))),3) as y from x""",
+)
+def r5b(t):
+    spans = data(t).groupBy("thickness").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
+    d = fits.curves(per_thickness(t, exponential=[3.0, 0.01]), spans, ["thickness"])
+    return d.select("thickness", "k", F.round("x", 6).alias("x"), F.round("y", 3).alias("y"))
+
+
 @query(
     "r6_lines_per_thickness",
     f"with {DATA} select thickness, round(regr_slope(peri,u),6) as slope, round(regr_intercept(peri,u),4) as intercept, round(regr_r2(peri,u),8) as r2, round(1e0/regr_slope(peri,u),6) as inverse_slope from d group by 1",

@@ -248,3 +248,26 @@ def m12(t):
         F.round(TB.mid_stress(u_d), 6).alias("sig_m"),
         F.round(TB.energy_from_mid_stress_squared(F.col("sm2")), 5).alias("u_from_stress"),
     )
+
+
+ENERGIES = ", ".join(f"({t},{n}e0,{u}e0)" for t, n, u in TB.COUNTS_AND_ENERGIES)
+
+
+@query(
+    "m12_counts_beside_literature",
+    f"""with l as (select h, n50, u, u/(h*1e-3) as u_d, sqrt(u/(h*1e-3)*5e0/4e6*70e3/(1e0-0.25e0)) as sig_m from (values {ENERGIES}) as q(h, n50, u)),
+n as (select specimen_id, count(*) filter (where x_mm between 375e0 and 425e0 and y_mm between 375e0 and 425e0) as n50 from splinter group by 1)
+select specimen_id, n.n50, round(min(abs(l.n50-n.n50)),6) as gap, round(arg_min(l.u, struct_pack(g := abs(l.n50-n.n50), u := l.u)),6) as u, round(arg_min(u_d, struct_pack(g := abs(l.n50-n.n50), u := l.u)),4) as u_d, round(arg_min(l.sig_m, struct_pack(g := abs(l.n50-n.n50), u := l.u)),6) as sig_m
+ from n join specimen p using (specimen_id) join l on l.h = p.thickness group by 1,2""",
+)
+def m12b(t):
+    """The published row of the same thickness whose count is nearest to the pane's own, by energy among equals."""
+    from craquelure.operators.exclusions import in_box
+
+    own = t.splinter.groupBy("specimen_id").agg(F.count_if(in_box(375.0, 375.0, 425.0, 425.0)).alias("n50"))
+    rows = TB.literature_energies(t.spark).withColumnRenamed("n50", "published")
+    d = own.join(t.specimen.select("specimen_id", "thickness"), "specimen_id").join(rows, "thickness")
+    best = F.min(F.struct(F.abs(F.col("published") - F.col("n50")).alias("gap"), "u", "u_d", "sig_m")).alias("b")
+    d = d.groupBy("specimen_id", "n50").agg(best)
+    rounded = [F.round(f"b.{c}", n).alias(c) for c, n in (("gap", 6), ("u", 6), ("u_d", 4), ("sig_m", 6))]
+    return d.select("specimen_id", "n50", *rounded)

@@ -188,6 +188,23 @@ def test_settings_defaults_and_overrides(spark):
     assert (rows[2]["ip_x"], rows[2]["excluded_positions_radius"]) == (50.0, 100.0)
 
 
+@pytest.mark.parametrize("rows", [65536, 40])
+def test_bracket_on_a_crowded_axis(spark, rows):
+    rng = np.random.default_rng(4)
+    axis = {"a": np.unique(np.round(np.r_[rng.random(900) * 1e-3, rng.random(60) * 100, 50.0], 6)), "b": np.array([3.0]), "c": np.array([1.0, 2.0])}
+    marks = [(k, float(v)) for k, values in axis.items() for v in values for _ in range(2)]
+    asked = [(i, k, float(v)) for i, (k, v) in enumerate([(k, v) for k in "abc" for v in np.r_[rng.random(300) * 110 - 5, rng.random(100) * 1e-3, axis[k][:40], -9.0, 999.0]])]
+    q = spark.createDataFrame([*asked, (-1, "none", 1.0)], "i int, k string, x double")
+    got = brackets.bracket(q, spark.createDataFrame(marks, "k string, v double"), ["k"], "x", "v", "b", rows=rows).collect()
+    assert len(got) == len(asked)
+    for r in got:
+        v = axis[r.k]
+        b = min(max(r.x, v[0]), v[-1])
+        at = max(int(np.searchsorted(v, b)), 1)
+        lo, hi = (v[0], v[0]) if len(v) == 1 else (v[at - 1], v[at])
+        assert (r.b, r.b_lo, r.b_hi) == (b, lo, hi)
+
+
 def test_bracket_lookup_clamps(spark):
     axis = spark.createDataFrame([(1, v) for v in (1.0, 2.0, 4.0, 8.0)], "k int, v double")
     q = spark.createDataFrame([(1, i, x) for i, x in enumerate([0.5, 1.0, 2.0, 3.0, 8.0, 9.0])], "k int, i int, x double")
@@ -330,3 +347,31 @@ def test_skewed_pane_keeps_every_splinter(spark):
     placed = cells.polar(d)
     total = kernels.aggregate(placed, ["specimen_id", "rb"], ["area"]).agg(F.sum("n")).first()[0]
     assert total == placed.count() > n // 2
+
+
+def test_nonlinear_fits_of_all_groups(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for key, p in {"a": (2.0, 0.03), "b": (40.0, -0.01), "c": (7.0, 0.0)}.items():
+        rows += [(key, float(x), float(p[0] * np.exp(p[1] * x) + 0.1 * rng.normal())) for x in rng.random(60) * 80 + 20]
+    rows += [("few", 1.0, 2.0), ("null", None, 3.0)]
+    d = spark.createDataFrame(rows, "k string, x double, y double")
+    starts = {"exponential": [3.0, 0.01], "hyperbolic": [5.0, 10.0, 50.0]}
+    bounds = {"hyperbolic": [(-1e6, 1e6), (-1e6, 1e6), (1e-3, 1e6)]}
+    got = {(r.k, r.model): r for r in fits.nonlinear_groups(d, ["k"], starts, "x", "y", bounds).collect()}
+    assert got["few", "exponential"].params is None and ("null", "exponential") not in got
+    for key in "abc":
+        x, y = np.array([r[1:] for r in rows if r[0] == key]).T
+        r = got[key, "exponential"]
+        res, e = y - r.params[0] * np.exp(r.params[1] * x), np.exp(r.params[1] * x)
+        # both partial derivatives of the squared residual vanish
+        assert abs(e @ res) < 1e-5 * np.abs(e) @ np.abs(res) and abs((x * e) @ res) < 1e-5 * np.abs(x * e) @ np.abs(res)
+        assert r.sse == pytest.approx(res @ res, rel=1e-9) and r.r2 == pytest.approx(1 - res @ res / ((y - y.mean()) ** 2).sum(), abs=1e-9)
+        one = fits.nonlinear(d.filter(f"k = '{key}'"), "hyperbolic", "x", "y", starts["hyperbolic"], bounds["hyperbolic"])
+        p = got[key, "hyperbolic"].params
+        q = lambda p: ((y - p[0] - p[1] / (p[2] + x)) ** 2).sum()
+        assert q(p) <= q(one) * (1 + 1e-6)
+
+
+def test_simplified_empty_contour():
+    assert G.simplified(np.zeros((0, 2)), 0.02).shape == (0, 2)

@@ -34,6 +34,16 @@ def test_sequence_number_over_many_stretches(spark):
     assert got["seq"].tolist() == list(range(len(t)))
 
 
+def test_stretches_of_a_burst_are_equally_full(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.random(18000) * 0.01, rng.random(2000)])
+    d = spark.createDataFrame(pd.DataFrame({"k": 1, "x": x}))
+    n = [r["count"] for r in O.stretches(d, K, "x", 500).groupBy("_cell").count().collect()]
+    assert len(n) == 40 and max(n) < 2 * np.median(n)
+    few = O.stretches(d.filter("x < 0.0002"), K, "x", 500)
+    assert {r["_cell"] for r in few.collect()} == {0}
+
+
 def test_rolling_and_running_sums_cross_chunks(wave):
     df, pdf = wave
     x = pdf[pdf.k == "a"]["value"].to_numpy()
@@ -146,6 +156,18 @@ def test_spectrum_equals_fft(wave, direct):
         np.testing.assert_allclose(got, np.abs(np.fft.fft(pdf[pdf.k == key]["value"].to_numpy())), atol=1e-8)
 
 
+@pytest.mark.parametrize("n, direct", [(1009, 64), (2 * 499, 64), (24, 8)])
+def test_spectrum_of_awkward_lengths(spark, n, direct):
+    rng = np.random.default_rng(n)
+    rows = [(key, i, i * 1e-3, float(v)) for key in "ab" for i, v in enumerate(rng.normal(size=n - (key == "b")))]
+    got = S.spectrum(spark.createDataFrame(rows, "k2 string, seq bigint, t double, value double"), ["k2"], direct).toPandas()
+    for key in "ab":
+        mine = got[got.k2 == key].sort_values("k")
+        want = np.abs(np.fft.fft([r[3] for r in rows if r[0] == key]))
+        np.testing.assert_allclose(mine["magnitude"], want, atol=1e-8)
+        assert mine["freq"].iloc[1] == pytest.approx(1000 / len(want))
+
+
 def test_peaks_with_plateaus_and_distance(spark):
     x = [0, 3, 3, 3, 1, 5, 1, 4, 1, 6, 0, 2, 0, 0, 7, 0]
     d = spark.createDataFrame([("a", i, float(i), float(v)) for i, v in enumerate(x)], "k string, seq bigint, t double, value double")
