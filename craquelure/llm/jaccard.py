@@ -6,16 +6,20 @@ for (a + b)(UNION - SHARED) / (UNION + SHARED) different shingles at most. Sizes
 bands, each with a layout: the sketch of its documents is cut into so many parts that one part at
 least of any linked pair is equal (pigeonhole). The set bits of a part are XOR-ed into one hash,
 and documents of a band meet where a part's hashes are equal; a document also stands in the band
-below if a smaller partner can be there. A layout has a few parts more than needed, so that parts
-without any bit can be left out: a document with more empty parts than that keeps them.
+below if a smaller partner can be there. A layout has more parts than needed, so that a pair has several
+equal ones and each document leaves out its weakest parts, those with the fewest bits: less meets
+by chance, and never an empty part unless a document has too many of them.
 
-Documents with equal sets are merged first. Then links are looked for in two rounds:
+Documents with equal sets are merged first. Then links are looked for in three rounds, and what a
+round finds is joined to components:
 
 1. In each group of equal parts every document is verified against the least one: as many pairs
-   as rows. What is found is joined to components.
+   as rows.
 2. Where documents that were not the least one of their group still lie in several components,
-   they are compared by whole sketches in bounded blocks. Pairs of different components whose
-   sketches are near enough to be linked are verified.
+   they are compared by whole sketches in bounded blocks. Of the pairs that may be linked a block
+   hands over the nearest ones that would join its components: fewer pairs than documents.
+3. Pairs that may be linked and still lie in different components are verified one and all. A
+   sketch is so wide that those are only pairs next to the bound.
 
 So every pair that shares a part is verified, lies in one component already, or is ruled out by
 the bound of its sketches: components are exact, and no group emits its pairs. Shingles and
@@ -95,7 +99,7 @@ def differing(sizes: int) -> int:
 
 @lru_cache(4096)
 def layouts(n: int) -> list[tuple[int, int, int]]:
-    """(least size of the band, parts, parts that may be empty) of the bands a set of ``n`` shingles stands in."""
+    """(least size of the band, parts, parts that may be left out) of the bands a set of ``n`` shingles stands in."""
     edges = [1]
     while edges[-1] <= n:
         edges.append(max(edges[-1] + 1, int(edges[-1] * BAND)))
@@ -106,7 +110,7 @@ def layouts(n: int) -> list[tuple[int, int, int]]:
             break
         apart = differing(most + most * UNION // SHARED)
         if apart:
-            spare = 1 + apart // 32
+            spare = 1 + apart // 4
             found.append((least, apart + 1 + spare, spare))
     return found
 
@@ -121,16 +125,21 @@ def part_keys(u: np.ndarray) -> np.ndarray:
         bits = np.zeros(parts, np.uint64)
         bits[part[starts]] = np.bitwise_xor.reduceat(u * _ODD[1], starts)
         numbers = np.arange(parts, dtype=np.uint64)
-        if parts - len(starts) <= spare:
-            bits, numbers = bits[part[starts]], part[starts]
+        # of two linked sets more than ``spare`` parts are equal, so one of those stays in both
+        sizes = np.bincount(part.astype(np.int64), minlength=parts)
+        strong = sizes >= np.partition(sizes, spare)[spare]
+        bits, numbers = bits[strong], numbers[strong]
         found.append(_mixed(_mixed(bits) ^ (numbers * _ODD[2] + np.uint64(least))))
     return np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
 
 
 def sketch(u: np.ndarray) -> np.ndarray:
-    """The whole sketch in words of 64 bits; half as many are made by an XOR of the halves."""
+    """The whole sketch in words of 64 bits; half as many are made by an XOR of the halves.
+
+    With 16 bits for each shingle that may differ few of those that do meet in one bit.
+    """
     words = 1
-    while 16 * words < differing(2 * len(u)):
+    while 4 * words < differing(2 * len(u)):
         words *= 2
     place = (_mixed(u * _ODD[3]) & np.uint64(64 * words - 1)).astype(np.int64)
     odd = (np.bincount(place, minlength=64 * words) & 1).astype(np.uint8)
@@ -231,24 +240,35 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``a, b``: the linked ones of the distinct pairs ``a, b``. A document in many pairs is sent once for every ``CHUNK`` of them."""
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
-    each = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), "chunks").alias("chunk"))
-    each = each.join(sets.withColumnRenamed("class", "b"), "b").select("a", "chunk", "b", "hashes")
-    heads = many.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
-    heads = heads.join(sets.withColumnRenamed("class", "a"), "a")
-    rows = heads.select("a", "chunk", F.lit(None).cast("long").alias("b"), "hashes").unionByName(each)
+    each = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), "chunks").alias("chunk"), F.col("b").alias("class"))
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")
+    heads = many.select("a", F.lit(None).cast("long").alias("b"), chunk, F.col("a").alias("class"))
+    wanted, _ = broadcast_if_small(checkpointed(heads.unionByName(each)), SENT)
+    rows = sets.join(wanted, "class").select("a", "chunk", "b", "hashes")
     dealt = rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.asc_nulls_first("b"))
     return dealt.mapInArrow(_verified, "a bigint, b bigint")
 
 
-def _near(names: np.ndarray, label: np.ndarray, n: np.ndarray, own: np.ndarray, sketches: list[bytes], within: bool):
-    """Pairs of a block that lie in different components and may be linked by size and sketch."""
+def _apart(bits: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Bits in which the sketches of the pairs differ."""
+    step = max(1, (1 << 21) // bits.shape[1])
+    cuts = range(0, len(i), step)
+    far = [np.bitwise_count(bits[i[a : a + step]] ^ bits[j[a : a + step]]).sum(1, dtype=np.int64) for a in cuts]
+    return np.concatenate(far) if far else np.zeros(0, np.int64)
+
+
+def _near(label: np.ndarray, n: np.ndarray, own: np.ndarray, sketches: list[bytes], within: bool):
+    """(row, row, share of bits apart): pairs of a block that lie in different components and may be linked."""
     order = np.argsort(n, kind="stable")
-    names, label, n, own = names[order], label[order], n[order], own[order]
+    label, n, own = label[order], n[order], own[order]
     words = min(len(s) for s in sketches) // 8
     bits = np.zeros((len(n), words), np.uint64)
     for i, at in enumerate(order.tolist()):
         bits[i] = np.bitwise_xor.reduce(np.frombuffer(sketches[at], np.uint64).reshape(-1, words), axis=0)
-    step = max(1, (1 << 21) // (len(n) * words))
+    # a sketch folded again bounds as well, only less closely
+    rough = np.bitwise_xor.reduce(bits.reshape(len(n), -1, max(1, words // 4)), axis=1)
+    step = max(1, (1 << 20) // len(n))
+    found = []
     for at in range(0, len(n), step):
         rows = np.arange(at, min(at + step, len(n)))
         until = int(np.searchsorted(n, n[rows[-1]] * UNION // SHARED, side="right"))
@@ -258,46 +278,72 @@ def _near(names: np.ndarray, label: np.ndarray, n: np.ndarray, own: np.ndarray,
             & (within | (own[rows, None] != own[None, at:until]))
         )
         i, j = i + at, j + at
-        if len(i):
-            far = np.zeros(len(i), np.int64)
-            for w in range(words):
-                far += np.bitwise_count(bits[i, w] ^ bits[j, w])
+        for part in (rough, bits):
+            far = _apart(part, i, j)
             some = far <= (n[i] + n[j]) * (UNION - SHARED) // (UNION + SHARED)
-            i, j = i[some], j[some]
-            yield np.minimum(names[i], names[j]), np.maximum(names[i], names[j])
-
-
-def _blocks_compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key and pair of blocks: pairs to verify."""
-    columns = ("class", "label", "n", "own")
-    held: list[pa.RecordBatch] = []
-    at = None
-
-    def compared() -> Iterator[pa.RecordBatch]:
+            i, j, far = i[some], j[some], far[some]
+        found.append((order[i], order[j], far / (n[i] + n[j])))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def _joining(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Numbers of the edges of a forest over the labels ``a, b``, near ones first: each component takes its nearest."""
+    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    ends = ends.reshape(2, -1)
+    edges, kept = np.argsort(far, kind="stable"), []
+    root = np.arange(len(names))
+    while True:
+        edges = edges[root[ends[0, edges]] != root[ends[1, edges]]]
+        if not len(edges):
+            return np.array(kept, np.int64)
+        both = root[ends[:, edges]].T.ravel()
+        best = edges[np.unique(np.unique(both, return_index=True)[1] // 2)]
+        for e in best.tolist():
+            x, y = root[ends[0, e]], root[ends[1, e]]
+            if x != y:
+                root[root == x] = y
+                kept.append(e)
+
+
+def _blocks_compared(joining: bool):
+    """From rows sorted by key and pair of blocks: pairs to verify; ``joining``: only a forest of each block."""
+
+    def compared(held: list[pa.RecordBatch], within: bool) -> pa.RecordBatch | None:
         table = pa.Table.from_batches(held)
-        if table.num_rows > 1 and len(set(table.column("label").to_pylist())) > 1:
-            values = (table.column(c).to_numpy() for c in columns)
-            for a, b in _near(*values, table.column("sketch").to_pylist(), at[1] == at[2]):
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        names = [batch.column(c).to_numpy() for c in ("key", "x", "y")]
-        cuts = np.flatnonzero(np.any([v[1:] != v[:-1] for v in names], axis=0)) + 1
-        for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
-            here = tuple(int(v[start]) for v in names)
-            if here != at and held:
-                yield from compared()
-                held = []
-            at = here
-            held.append(batch.slice(start, end - start))
-    if held:
-        yield from compared()
-
-
-def _second_round(shared: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame:
+        names, label, n, own = (table.column(c).to_numpy() for c in ("class", "label", "n", "own"))
+        if len(np.unique(label)) < 2:
+            return None
+        i, j, far = _near(label, n, own, table.column("sketch").to_pylist(), within)
+        if joining:
+            some = _joining(label[i], label[j], far)
+            i, j = i[some], j[some]
+        a, b = np.minimum(names[i], names[j]), np.maximum(names[i], names[j])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        at = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = [batch.column(c).to_numpy() for c in ("key", "x", "y")]
+            cuts = np.flatnonzero(np.any([v[1:] != v[:-1] for v in names], axis=0)) + 1
+            for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                here = tuple(int(v[start]) for v in names)
+                if here != at and held:
+                    made = compared(held, at[1] == at[2])
+                    held = []
+                    if made is not None:
+                        yield made
+                at = here
+                held.append(batch.slice(start, end - start))
+        if held and (made := compared(held, at[1] == at[2])) is not None:
+            yield made
+
+    return run
+
+
+def _across(shared: DataFrame, label: DataFrame, sets: DataFrame, joining: bool) -> DataFrame:
     """``a, b``: pairs of different components that meet in a part beside its least document and may be linked."""
     rows = shared.select("key", "class").join(label, "class", "left")
     rows = rows.select("key", "class", F.coalesce("label", "class").alias("label"))
@@ -319,7 +365,8 @@ def _second_round(shared: DataFrame, label: DataFrame, sets: DataFrame) -> DataF
             "sketch": pa.array([sketch(u).tobytes() for u in sets], pa.binary()),
         }
 
-    wanted = sets.join(rows.select("class").distinct(), "class")
+    wanted, _ = broadcast_if_small(checkpointed(rows.select("class").distinct()), SENT)
+    wanted = sets.join(wanted, "class", "left_semi")
     sketches = by_batch(wanted.select("class", "hashes"), "n bigint, sketch binary", run, keep=("class",))
     own = F.pmod(F.xxhash64("class"), F.col("blocks").cast("long")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -327,7 +374,7 @@ def _second_round(shared: DataFrame, label: DataFrame, sets: DataFrame) -> DataF
     each = each.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
     names = ("key", "x", "y", "class", "label", "n", "own", "sketch")
     dealt = each.select(*names).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    return dealt.mapInArrow(_blocks_compared, "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(_blocks_compared(joining), "a bigint, b bigint").distinct()
 
 
 def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -347,11 +394,19 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     pairs = checkpointed(shared.select(F.col("centre").alias("a"), F.col("class").alias("b")).distinct())
     wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
     wanted, _ = broadcast_if_small(checkpointed(chosen.join(wanted, "class")), SENT)
-    sets = checkpointed(_sets(texts.join(wanted, _same())).dropDuplicates(["class"]))
+    sets = checkpointed(_sets(texts.join(wanted, _same())))
+    if sets.count() > wanted.count():
+        # the same row several times
+        sets = checkpointed(sets.dropDuplicates(["class"]))
     found = checkpointed(verify(pairs, sets))
-    label = components(found).select(F.col("fp").alias("class"), F.col("root").alias("label"))
-    more = checkpointed(_second_round(shared, label, sets).join(pairs, ["a", "b"], "left_anti"))
-    return found if more.isEmpty() else found.unionByName(verify(more, sets))
+    for joining in (True, False):
+        label = components(found).select(F.col("fp").alias("class"), F.col("root").alias("label"))
+        more = _across(shared, label, sets, joining).join(pairs, ["a", "b"], "left_anti")
+        more = checkpointed(more)
+        if not more.isEmpty():
+            pairs = pairs.unionByName(more)
+            found = checkpointed(found.unionByName(verify(more, sets)))
+    return found
 
 
 def groups(docs: DataFrame) -> DataFrame:

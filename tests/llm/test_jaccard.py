@@ -117,3 +117,22 @@ def test_odd_rows(odd, empty, spark):
     assert found(empty) == []
     rows = [(None, "a b c d e"), (None, "A b c d e"), (None, ""), (5, "a b c d e"), (4, None), (4, None), (5, "other words")]
     assert found(spark.createDataFrame(rows, SCHEMA)) == brute(rows)
+
+
+def test_forest_joins_what_the_edges_join():
+    r = np.random.default_rng(2)
+    for edges in (0, 1, 5, 60, 400):
+        a, b = r.integers(0, 60, edges) * 10, r.integers(0, 60, edges) * 10
+        a, b = a[a != b], b[a != b]
+        far = r.random(len(a))
+        kept = jaccard._joining(a, b, far)
+
+        def parts(some):
+            root = {int(x): int(x) for x in np.unique(np.concatenate([a, b]))}
+            for x, y in zip(a[some].tolist(), b[some].tolist()):
+                x, y = root[x], root[y]
+                root = {k: y if v == x else v for k, v in root.items()}
+            return {k: min(q for q in root if root[q] == v) for k, v in root.items()}
+
+        every = parts(np.arange(len(a)))
+        assert parts(kept) == every and len(kept) == len(every) - len(set(every.values()))
