@@ -43,12 +43,11 @@ STRINGS = LENGTH - TOKEN + 1
 # bytes that are hashed in one numpy pass
 STRETCH = 1 << 19
 
-# place of a suffix: signature of the text, anchor, bytes before it in its segment, further strings
-_SIG, _POS, _LEFT = 46, 14, 7
-_SIGNATURES = 1 << 17
+# place of a suffix in its text: anchor, bytes before it in its segment, further strings
+_POS, _LEFT = 14, 7
 _NO_ID = (1 << 63) - 1
 _COPY, _CANDIDATE, _OPEN = 0, 1, 2
-_SUFFIX = "token bigint, seg bigint, doc bigint, place bigint"
+_SUFFIX = "token bigint, seg bigint, doc bigint, sig bigint, place bigint"
 
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -56,11 +55,11 @@ _BYTES2 = np.random.default_rng(21).integers(0, 1 << 64, 256, dtype=np.uint64)
 
 
 def documents(docs: DataFrame) -> DataFrame:
-    """``doc_id, doc, sig, text``: the id in the order of documents, and a signature of the text."""
+    """``doc_id, doc, sig, text``: the id in the order of documents, and a hash of the text."""
     return with_text(docs, "doc_id").select(
         "doc_id",
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"),
-        F.xxhash64("text").bitwiseAND(F.lit(_SIGNATURES - 1)).alias("sig"),
+        F.xxhash64("text").alias("sig"),
         "text",
     )
 
@@ -141,12 +140,13 @@ def suffixes(texts: DataFrame) -> DataFrame:
             for first, parts in _stretches(batch.column("text").to_pylist()):
                 a = anchored(parts)
                 row = a["text"] + first
-                place = (sigs[row] << _SIG) | (a["anchor"] << _POS) | (a["left"] << _LEFT) | (a["strings"] - 1)
+                place = (a["anchor"] << _POS) | (a["left"] << _LEFT) | (a["strings"] - 1)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "token": pa.array(a["token"].view(np.int64)),
                         "seg": pa.array(a["seg"].view(np.int64)),
                         "doc": pa.array(docs[row]),
+                        "sig": pa.array(sigs[row]),
                         "place": pa.array(place),
                     }
                 )
@@ -184,6 +184,11 @@ def multikey_order(rows: int, keys) -> tuple[np.ndarray, np.ndarray]:
     return order, np.cumsum(fresh) - 1
 
 
+def _buckets(df: DataFrame) -> int:
+    """A bucket is held whole by its task, so there are more of them than partitions of other shuffles, and none are merged."""
+    return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _gathered(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
     """All rows of a bucket; the splitters bound their number."""
     held = [b for b in batches if b.num_rows]
@@ -202,13 +207,18 @@ def compare_suffixes(found: DataFrame) -> DataFrame:
         bucket = _gathered(batches)
         if bucket is None:
             return
-        columns = [bucket.column(n).to_numpy() for n in ("token", "seg", "doc", "place")]
+        names = ("token", "seg", "doc", "sig", "place")
+        columns = [bucket.column(n).to_numpy() for n in names]
+        del bucket
         order, _ = multikey_order(len(columns[0]), [lambda i, c=c: c[i] for c in columns])
-        token, seg, doc, place = (c[order] for c in columns)
+        for i, c in enumerate(columns):
+            columns[i] = c[order]
+        del c, order
+        token, seg, doc, sig, place = columns
         new_token = np.r_[True, token[1:] != token[:-1]]
         first = new_token | np.r_[True, seg[1:] != seg[:-1]]
         lead = np.flatnonzero(first)[np.cumsum(first) - 1]
-        copy = (doc != doc[lead]) | (place != place[lead])
+        copy = (doc != doc[lead]) | (sig != sig[lead]) | (place != place[lead])
         segments = np.bincount(np.cumsum(new_token) - 1, weights=first)[np.cumsum(new_token) - 1]
         outer = _outer(token)
         kind = np.full(len(token), -1, np.int32)
@@ -217,11 +227,12 @@ def compare_suffixes(found: DataFrame) -> DataFrame:
         kind[first & outer] = _OPEN
         some = np.flatnonzero(kind >= 0)
         yield pa.RecordBatch.from_pydict(
-            {n: pa.array(c[some]) for n, c in zip(("kind", "token", "seg", "doc", "place"), (kind, token, seg, doc, place))}
+            {n: pa.array(c[some]) for n, c in zip(("kind", *names), (kind, token, seg, doc, sig, place))}
         )
 
     arrow_bounds(found.sparkSession)
-    return found.repartitionByRange("token", "seg", "doc", "place").mapInArrow(run, f"kind int, {_SUFFIX}")
+    ranged = found.repartitionByRange(_buckets(found), "token", "seg", "doc", "sig", "place")
+    return ranged.mapInArrow(run, f"kind int, {_SUFFIX}")
 
 
 def packed(texts: DataFrame) -> DataFrame:
@@ -243,7 +254,7 @@ def _unpack(data: bytes) -> bytes:
 
 
 def _anchor(place: Column) -> Column:
-    return F.shiftright(place, _POS).bitwiseAND(F.lit((1 << (_SIG - _POS)) - 1))
+    return F.shiftright(place, _POS)
 
 
 def segments(candidates: DataFrame, texts: DataFrame) -> DataFrame:
@@ -254,7 +265,6 @@ def segments(candidates: DataFrame, texts: DataFrame) -> DataFrame:
     many = candidates.groupBy("token").agg(F.count(F.lit(1)).alias("many"))
     wanted = (
         candidates.join(many, "token")
-        .withColumn("sig", F.shiftright("place", _SIG))
         .groupBy("doc", "sig")
         .agg(F.collect_list(F.struct("token", "place", "many")).alias("wanted"))
     )
@@ -262,23 +272,24 @@ def segments(candidates: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = {"token": [], "doc": [], "place": [], "many": [], "before": [], "suffix": []}
-            for doc, data, wanted in zip(*(batch.column(n).to_pylist() for n in ("doc", "bytes", "wanted"))):
+            made = {"token": [], "doc": [], "sig": [], "place": [], "many": [], "before": [], "suffix": []}
+            for doc, sig, data, wanted in zip(*(batch.column(n).to_pylist() for n in ("doc", "sig", "bytes", "wanted"))):
                 raw = _unpack(data)
                 for w in wanted:
                     place = w["place"]
-                    anchor, left = place >> _POS & (1 << (_SIG - _POS)) - 1, place >> _LEFT & 127
+                    anchor, left = place >> _POS, place >> _LEFT & 127
                     made["token"].append(w["token"])
                     made["doc"].append(doc)
+                    made["sig"].append(sig)
                     made["place"].append(place)
                     made["many"].append(w["many"])
                     made["before"].append(raw[anchor - left : anchor])
                     made["suffix"].append(raw[anchor : anchor - left + (place & 127) + LENGTH])
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            kinds = (*[pa.int64()] * 5, pa.binary(), pa.binary())
             yield pa.RecordBatch.from_pydict({n: pa.array(v, k) for (n, v), k in zip(made.items(), kinds)})
 
     arrow_bounds(rows.sparkSession)
-    schema = "token bigint, doc bigint, place bigint, many bigint, before binary, suffix binary"
+    schema = "token bigint, doc bigint, sig bigint, place bigint, many bigint, before binary, suffix binary"
     return rows.mapInArrow(run, schema)
 
 
@@ -303,12 +314,12 @@ def compare_strings(found: DataFrame) -> DataFrame:
         bucket = _gathered(batches)
         if bucket is None:
             return
-        token, doc, place = (bucket.column(n).to_numpy() for n in ("token", "doc", "place"))
-        order = np.lexsort((place, doc, token))
-        token, doc, place = token[order], doc[order], place[order]
+        columns = [bucket.column(n).to_numpy() for n in ("token", "doc", "sig", "place")]
+        order = np.lexsort(columns[::-1])
         # a repeated row is the same place again
-        own = np.r_[True, (token[1:] != token[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])]
-        order, token, doc, place = order[own], token[own], doc[own], place[own]
+        own = np.r_[True, np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0)]
+        order = order[own]
+        token, doc, sig, place = (c[order] for c in columns)
         many = bucket.column("many").to_numpy()[order]
         before, suffix = (
             bucket.column(n).combine_chunks().take(pa.array(order)).to_pylist() for n in ("before", "suffix")
@@ -331,7 +342,7 @@ def compare_strings(found: DataFrame) -> DataFrame:
         order, group = multikey_order(len(row), levels)
         copy = np.zeros(len(row), bool)
         copy[order[1:]] = group[1:] == group[:-1]
-        start = (place >> _POS & (1 << (_SIG - _POS)) - 1) - left
+        start = (place >> _POS) - left
         begins = copy & np.r_[True, ~copy[:-1] | (row[1:] != row[:-1])]
         first = np.flatnonzero(begins)
         runs = np.add.reduceat(copy, first) if len(first) else np.zeros(0, np.int64)
@@ -351,14 +362,14 @@ def compare_strings(found: DataFrame) -> DataFrame:
             {
                 "string": pa.array(strings, pa.binary()),
                 "doc": pa.array(doc[row[both]]),
-                "sig": pa.array(place[row[both]] >> _SIG),
+                "sig": pa.array(sig[row[both]]),
                 "start": pa.array(start[row[both]] + inner[both]),
                 "strings": pa.array(np.concatenate([runs, np.ones(len(undecided))]).astype(np.int64)),
             }
         )
 
     arrow_bounds(found.sparkSession)
-    ranged = found.repartitionByRange("token", "suffix", "doc", "place")
+    ranged = found.repartitionByRange(_buckets(found), "token", "suffix", "doc", "sig", "place")
     return ranged.mapInArrow(run, "string binary, doc bigint, sig bigint, start bigint, strings bigint")
 
 
@@ -374,17 +385,17 @@ def copied_runs(texts: DataFrame) -> DataFrame:
     """``doc, sig, start, strings``: runs of strings that also start earlier."""
     compared = _kept(compare_suffixes(suffixes(texts)), "suffixes")
     left_open = compared.filter(F.col("kind") == _OPEN)
-    here = F.struct("doc", "place")
+    here = F.struct("doc", "sig", "place")
     segment = left_open.groupBy("token", "seg").agg(F.min(here).alias("first"))
     several = segment.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token")
-    candidates = compared.filter(F.col("kind") == _CANDIDATE).select("token", "doc", "place").unionByName(
-        segment.join(several, "token").select("token", "first.doc", "first.place")
+    candidates = compared.filter(F.col("kind") == _CANDIDATE).select("token", "doc", "sig", "place").unionByName(
+        segment.join(several, "token").select("token", "first.*")
     )
-    later = left_open.join(segment, ["token", "seg"]).filter(here != F.col("first")).select("doc", "place")
-    copies = compared.filter(F.col("kind") == _COPY).select("doc", "place").unionByName(later)
+    later = left_open.join(segment, ["token", "seg"]).filter(here != F.col("first")).select("doc", "sig", "place")
+    copies = compared.filter(F.col("kind") == _COPY).select("doc", "sig", "place").unionByName(later)
     whole = copies.select(
         "doc",
-        F.shiftright("place", _SIG).alias("sig"),
+        "sig",
         (_anchor(F.col("place")) - F.shiftright("place", _LEFT).bitwiseAND(F.lit(127))).alias("start"),
         (F.col("place").bitwiseAND(F.lit(127)) + 1).alias("strings"),
     )

@@ -89,3 +89,21 @@ def test_odd_rows(odd, empty):
     assert sum(r.doc_id == 4 and not r.spans for r in rows) == 2
     assert all(r.spans for r in rows if r.doc_id in (6, 7))
     assert suffixes.dedup(empty).count() == 0
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_many_texts_under_one_id_keep_their_own_spans(spark, doc_id):
+    r = random.Random(9)
+    passage = "".join(r.choice("abcdef ") for _ in range(150))
+    texts = []
+    for i in range(5000):
+        own = "".join(r.choice("ghijkl ") for _ in range(r.randrange(20, 160)))
+        texts.append(own + passage + str(i) if i % 3 == 0 else own)
+    rows = suffixes.dedup(spark.createDataFrame([(doc_id, t) for t in texts], "doc_id long, text string")).collect()
+    # which of the texts comes first is settled by their hashes: all but one lose the passage, and nothing else goes
+    gone = sorted(sum(s.end - s.start for s in r.spans) for r in rows)
+    several = len([t for t in texts if passage in t])
+    assert len(rows) == len(texts) and gone[: len(texts) - several + 1] == [0] * (len(texts) - several + 1)
+    assert all(150 <= n <= 165 for n in gone[len(texts) - several + 1 :])
+    assert sorted(r.n_bytes for r in rows) == sorted(len(t) for t in texts)
+    assert sum(bytes(r.kept).decode() in set(texts) for r in rows) == len(texts) - several + 1
