@@ -8,8 +8,12 @@ likelihoods per byte. It is summed over the whole text and over every window of
 bytes from a word's start, each divided by its length, and a logistic curve through the
 mean and the highest windows, fitted on a bounded sample, gives the probability.
 
-All counting and smoothing are DataFrame aggregates and joins, and every counted n-gram has
-its ratio. Up to ``GRAMS_SENT`` of them go to the tasks as an exact table. Beyond that, texts
+An n-gram that training never saw is predicted by what its context holds back for the shared
+distribution. That distribution cancels in the ratio, so a context's ratio of the two shares
+is all there is to keep; a context that no class saw tells nothing.
+
+All counting and smoothing are DataFrame aggregates and joins, and every counted n-gram and
+context has its ratio. Up to ``RATIOS_SENT`` go to the tasks as an exact table. Beyond that, texts
 are dealt into chunks of about ``CHUNK`` characters, the different n-grams of a chunk are
 joined with all ratios, and the chunk is scored with what it finds; the scores are the same.
 (Texts are dealt by id and text, so rows that agree in both share a chunk.)
@@ -36,10 +40,10 @@ from craquelure.llm.common import arrow_bounds, broadcast_if_small, by_batch, ch
 
 ORDER = 6
 # lengths of the n-grams that the shared distribution backs off to
-BACKOFF = (5, 3, 1)
+BACKOFF = (5, 4, 3, 2, 1)
 DISCOUNT = 0.75
 # ratios up to this many (12 to 16 bytes each) are sent to the tasks, more are joined by a shuffle
-GRAMS_SENT = 1 << 22
+RATIOS_SENT = 1 << 22
 # characters of the texts that meet in one group of that join, about
 CHUNK = 1 << 22
 SPAN = 12
@@ -58,6 +62,8 @@ _LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 # neither an n-gram nor a window reaches the next text
 _GAP = b" " * max(ORDER, SPAN)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+# above the bytes of an n-gram; set in the key of a context
+_IS_CONTEXT = 1 << (8 * ORDER)
 
 
 def fold() -> Column:
@@ -80,6 +86,17 @@ def _keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw, key, starts
 
 
+def _predicted(raw: np.ndarray) -> np.ndarray:
+    """Where a byte is predicted: letters, and the blank that ends a word."""
+    used = raw != 32
+    used[1:] |= used[:-1]
+    return used
+
+
+def _context_keys(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(8)) | np.uint64(_IS_CONTEXT)
+
+
 def _stretches(texts: list[str]) -> Iterator[list[str]]:
     """Neighbouring texts of about ``STRETCH`` characters; one list, if empty, where there are none."""
     held, size = [], 0
@@ -117,10 +134,7 @@ def count(rows: DataFrame) -> DataFrame:
         for k in range(4):
             for some in _stretches([t for t, own in zip(texts, kind) if own == k]):
                 raw, key, _ = _keys(some)
-                # predicted bytes: a letter, or the blank that ends a word
-                used = raw != 32
-                used[1:] |= used[:-1]
-                g, c = np.unique(key[used], return_counts=True)
+                g, c = np.unique(key[_predicted(raw)], return_counts=True)
                 grams.append(g.astype(np.int64))
                 n.append([c * (k == j) for j in range(4)])
         made = {name: pa.array(np.concatenate([x[j] for x in n]).astype(np.int64)) for j, name in enumerate(names)}
@@ -164,9 +178,10 @@ def shared_backoff(grams: DataFrame, discount: float = DISCOUNT) -> DataFrame:
 
 
 def ratios(grams: DataFrame, discount: float = DISCOUNT) -> DataFrame:
-    """``gram, seen, ratio, early``: log of the last byte's probability in toxic over that in ordinary texts.
+    """``gram, ratio, early``: log of the last byte's probability in toxic over that in ordinary texts.
 
-    ``early`` leaves the counts of the calibrating fold out of both classes.
+    A row with the bit ``_IS_CONTEXT`` stands for every n-gram after its context that was never
+    counted. ``early`` leaves the counts of the calibrating fold out of both classes.
     """
     counts = {
         "toxic": F.col("toxic") + F.col("late_toxic"),
@@ -184,28 +199,26 @@ def ratios(grams: DataFrame, discount: float = DISCOUNT) -> DataFrame:
     kinds = [F.count_if(F.col(f"n_{k}") > 0).alias(f"kinds_{k}") for k in counts]
     contexts = here.groupBy("context").agg(*sums, *kinds)
 
-    def likelihood(kind: str) -> Column:
-        own = F.greatest(F.col(f"n_{kind}") - discount, F.lit(0.0))
-        held_back = discount * F.col(f"kinds_{kind}") * F.col("backoff")
+    def held_back(kind: str) -> Column:
         # a context that the class never saw leaves the shared distribution alone
-        return F.when(F.col(f"all_{kind}") > 0, (own + held_back) / F.col(f"all_{kind}")).otherwise(F.col("backoff"))
-
-    early_seen = F.col("n_early_toxic") + F.col("n_early_plain") > 0
-    return (
-        here.join(contexts, "context")
-        .join(shared_backoff(grams, discount), "suffix")
-        .select(
-            "gram",
-            (F.col("n_toxic") + F.col("n_plain")).alias("seen"),
-            F.ln(likelihood("toxic") / likelihood("plain")).alias("ratio"),
-            F.when(early_seen, F.ln(likelihood("early_toxic") / likelihood("early_plain"))).otherwise(0.0).alias("early"),
-        )
-    )
+        return F.coalesce(F.try_divide(discount * F.col(f"kinds_{kind}"), F.col(f"all_{kind}")), F.lit(1.0))
+
+    def likelihood(kind: str) -> Column:
+        own = F.try_divide(F.greatest(F.col(f"n_{kind}") - discount, F.lit(0.0)), F.col(f"all_{kind}"))
+        return F.coalesce(own, F.lit(0.0)) + held_back(kind) * F.col("backoff")
+
+    def both(of: Callable[[str], Column]) -> list[Column]:
+        pairs = (("ratio", "toxic", "plain"), ("early", "early_toxic", "early_plain"))
+        return [F.ln(of(one) / of(other)).alias(name) for name, one, other in pairs]
+
+    counted = here.join(contexts, "context").join(shared_backoff(grams, discount), "suffix")
+    unseen = contexts.select(F.col("context").bitwiseOR(F.lit(_IS_CONTEXT)).alias("gram"), *both(held_back))
+    return counted.select("gram", *both(likelihood)).unionByName(unseen)
 
 
 @dataclass
 class Ratios:
-    """Ratios by n-gram: mixed keys in order, and where each run of leading bits starts."""
+    """Ratios by n-gram or context: mixed keys in order, and where each run of leading bits starts."""
 
     keys: np.ndarray
     ratio: np.ndarray
@@ -224,20 +237,28 @@ class Ratios:
         return cls(keys, ratio[order].astype(np.float32), bits, starts)
 
     def __call__(self, grams: np.ndarray) -> np.ndarray:
-        """The ratio of each n-gram, 0 for one that was never counted."""
+        """The ratio of each n-gram; its context's for one never counted, 0 without either."""
+        found, missing = self._look_up(grams)
+        found[missing] = self._look_up(_context_keys(grams[missing]))[0]
+        return found
+
+    def _look_up(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ratio of each key, and which keys have none."""
         keys = grams * _MIX
         slot = (keys >> np.uint64(64 - self.bits)).astype(np.int32)
         at, end = self.starts[slot], self.starts[slot + 1]
         found = np.zeros(len(keys), np.float32)
+        missing = np.ones(len(keys), bool)
         left = np.flatnonzero(at < end)
         while len(left):
             here = at[left]
             hit = self.keys[here] == keys[left]
             found[left[hit]] = self.ratio[here[hit]]
+            missing[left[hit]] = False
             left = left[~hit]
             at[left] += 1
             left = left[at[left] < end[left]]
-        return found
+        return found, missing
 
 
 @dataclass
@@ -253,7 +274,9 @@ class Model:
 
     def _evidence(self, texts: list[str]) -> np.ndarray:
         raw, key, starts = _keys(texts)
-        ratio = self.ratios(key)
+        used = _predicted(raw)
+        ratio = np.zeros(len(raw), np.float32)
+        ratio[used] = self.ratios(key[used])
         letter = raw != 32
         total = np.concatenate([[0.0], np.cumsum(ratio, dtype=np.float64)])
         letters = np.concatenate([[0], np.cumsum(letter)])
@@ -292,9 +315,13 @@ class Joined:
         dealt = rows.withColumn(chunk, F.pmod(dealt_by, F.lit(-(-size // CHUNK) or 1)).cast("int"))
         weights = self.weights
 
+        def of(raw: np.ndarray, keys: np.ndarray) -> np.ndarray:
+            return np.unique(keys[_predicted(raw)])
+
         def different(key: tuple, group: pa.Table) -> pa.Table:
             texts = [t or "" for t in group.column("text").to_pylist()]
-            grams = np.unique(np.concatenate([np.unique(_keys(some)[1]) for some in _stretches(texts)]))
+            grams = np.unique(np.concatenate([of(*_keys(some)[:2]) for some in _stretches(texts)]))
+            grams = np.concatenate([grams, np.unique(_context_keys(grams))])
             number = np.full(len(grams), key[0].as_py(), np.int32)
             return pa.table({chunk: pa.array(number), "gram": pa.array(grams.astype(np.int64))})
 
@@ -333,7 +360,7 @@ def _logistic(evidence: np.ndarray, toxic: np.ndarray, ridge: float = 0.1) -> np
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, *, calibration: int = CALIBRATION, most: int = GRAMS_SENT
+    docs: DataFrame, labels: DataFrame, *, calibration: int = CALIBRATION, most: int = RATIOS_SENT
 ) -> Model | Joined | None:
     """Models from all labelled training rows; the curve is fitted with counts that leave its own fold out.
 
@@ -342,7 +369,8 @@ def fit(
     rows = labelled(docs, labels)
     grams = checkpointed(count(rows))
     table = ratios(grams).select("gram", *(F.col(n).cast("float").alias(n) for n in ("ratio", "early")))
-    if grams.count() <= most:
+    # a context has one n-gram at least, so there are no more contexts than n-grams
+    if 2 * grams.count() <= most:
         held = table.toArrow()
         model = lambda name, weights: Model(
             Ratios.of(held.column("gram").to_numpy(), held.column(name).to_numpy()), weights

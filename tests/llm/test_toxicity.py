@@ -22,8 +22,7 @@ def brute_ratios(toxic, plain):
                     counts[kind][raw[i - 5 : i + 1]] += 1
     level = {6: set(counts["t"]) | set(counts["p"])}
     kinds = {}
-    below = {5: 3, 3: 1}
-    for above, n in ((6, 5), (5, 3), (3, 1)):
+    for above, n in ((6, 5), (5, 4), (4, 3), (3, 2), (2, 1)):
         kinds[n] = Counter(g[-n:] for g in level[above])
         level[n] = set(kinds[n])
 
@@ -32,7 +31,7 @@ def brute_ratios(toxic, plain):
         if n == 1:
             return kinds[1][g] * 0.99 / sum(kinds[1].values()) + 0.01 / 256
         same = [c for h, c in kinds[n].items() if h[:-1] == g[:-1]]
-        return (max(kinds[n][g] - D, 0) + D * len(same) * shared(g[-below[n] :])) / sum(same)
+        return (max(kinds[n][g] - D, 0) + D * len(same) * shared(g[1:])) / sum(same)
 
     contexts = {k: defaultdict(list) for k in counts}
     for k, c in counts.items():
@@ -45,20 +44,61 @@ def brute_ratios(toxic, plain):
             return shared(g[1:])
         return (max(counts[k][g] - D, 0) + D * len(here) * shared(g[1:])) / sum(here)
 
-    return {int.from_bytes(g, "big"): math.log(likelihood("t", g) / likelihood("p", g)) for g in level[6]}
+    def ratio(g):
+        """Of any n-gram, counted or not; where no shared level knows its end any share will do."""
+        if g in level[6]:
+            return math.log(likelihood("t", g) / likelihood("p", g))
+        held = {k: D * len(c[g[:-1]]) / sum(c[g[:-1]]) if g[:-1] in c else 1 for k, c in contexts.items()}
+        return math.log(held["t"] / held["p"])
+
+    return level[6], ratio
+
+
+TOXIC = ["you stupid idiot", "what an Idiot!", "scum and so on", "you stupid fool"]
+PLAIN = ["you and so on", "what a nice day", "an ordinary idea, stupendous", ""]
+
+
+def table_of(spark):
+    rows = [(t, 1, 1) for t in TOXIC] + [(t, 0, 1) for t in PLAIN]
+    return toxicity.ratios(toxicity.count(spark.createDataFrame(rows, "text string, toxic int, fold long")))
 
 
 def test_ratios_equal_their_definition(spark):
-    toxic = ["you stupid idiot", "what an Idiot!", "scum and so on"]
-    plain = ["you and so on", "what a nice day", "an ordinary idea, stupendous", ""]
-    rows = [(t, 1) for t in toxic] + [(t, 0) for t in plain]
-    grams = toxicity.count(spark.createDataFrame([(*r, 1) for r in rows], "text string, toxic int, fold long"))
-    got = {r.gram: r.ratio for r in toxicity.ratios(grams).collect()}
-    want = brute_ratios(toxic, plain)
+    got = {r.gram: r.ratio for r in table_of(spark).collect()}
+    counted, ratio = brute_ratios(TOXIC, PLAIN)
+    want = {int.from_bytes(g, "big"): ratio(g) for g in counted}
+    # a byte that no counted n-gram ends in
+    want |= {toxicity._IS_CONTEXT | int.from_bytes(g[:-1], "big"): ratio(g[:-1] + b"\xff") for g in counted}
     assert got.keys() == want.keys()
     assert max(abs(got[g] - want[g]) for g in want) < 1e-9
 
 
+def test_scores_equal_their_definition(spark):
+    """Mean and windows byte by byte, with n-grams and contexts that training never saw."""
+    held = table_of(spark).toArrow()
+    table = toxicity.Ratios.of(held.column("gram").to_numpy(), held.column("ratio").to_numpy())
+    model = toxicity.Model(table, np.array([-1.0, 2.0, 3.0, 1.0, 0.5]))
+    _, ratio = brute_ratios(TOXIC, PLAIN)
+    texts = ["you stupix idiom", "  what  an idea", "zzz", "", "stupid! stupid? 12 idiocy", "you stupid idiot"]
+    evidence, scores = model.evidence(texts), model.score(texts)
+    for text, got, score in zip(texts, evidence, scores):
+        inside = toxicity.normal(text)
+        raw = b" " * 12 + inside + b" " * 12
+        at = [
+            ratio(raw[i - 5 : i + 1]) if i >= 6 and (raw[i] != 32 or raw[i - 1] != 32) else 0.0 for i in range(len(raw))
+        ]
+        letters = sum(b != 32 for b in raw)
+        mean = sum(at[12 : 12 + len(inside)]) / max(1, letters)
+        words = [i for i in range(12, 12 + len(inside)) if raw[i] != 32 and raw[i - 1] == 32]
+        windows = sorted((max(0.0, sum(at[i : i + 12]) / 12) for i in words), reverse=True)[:3]
+        want = [mean, *windows, *[0.0] * (3 - len(windows))]
+        assert got == pytest.approx(want, abs=1e-5)
+        z = -1 + float(np.dot([2.0, 3.0, 1.0, 0.5], want))
+        assert score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-5)
+    # the changed letter alone: its context stood in toxic texts only
+    assert ratio(b"stupix") != 0
+
+
 def test_held_out_accuracy(spark, folder):
     rows = queries.op7_toxicity(spark, folder).collect()
     assert len(rows) == spark.read.parquet(f"{folder}/documents.parquet").count()
