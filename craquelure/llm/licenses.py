@@ -4,7 +4,8 @@ The index holds, for every template, its words of highest inverse document frequ
 their positions; frequencies are counted over all documents. A text looks up the words it
 shares with the index, postings of one template that agree on the relative position vote
 for an alignment, and an alignment counts when the template's mandatory phrases stand
-there and enough of its words agree.
+there and a share of at least ``AGREE`` of its words agrees. So many places are indexed that
+an alignment which agrees that well has ``VOTES`` of them, wherever it differs.
 
 Words are runs of ASCII digits, lower-cased ASCII letters and non-ASCII characters.
 Defined results: a missing or empty text has no words, no labels and score 0; a missing
@@ -65,7 +66,7 @@ TEMPLATES = (
     ("mpl-2", "subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     ("proprietary", "all rights reserved", ("all rights reserved",)),
 )
-RARE_WORDS = 4
+VOTES = 2
 AGREE = 0.75
 _KEEP = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
@@ -102,7 +103,7 @@ def document_frequencies(docs: DataFrame) -> tuple[dict[bytes, int], int]:
 class Index:
     """Postings of the rarest words of every template."""
 
-    def __init__(self, frequencies: dict[bytes, int], total: int, rare_words: int = RARE_WORDS):
+    def __init__(self, frequencies: dict[bytes, int], total: int, votes: int = VOTES):
         def idf(word: bytes) -> float:
             return math.log((total + 1) / (frequencies.get(word, 0) + 1))
 
@@ -111,11 +112,14 @@ class Index:
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         self.needed = []
         for t, (_, template) in enumerate(self.templates):
-            rarest = sorted(set(template), key=lambda w: (-idf(w), w))[:rare_words]
-            places = [(i, w) for i, w in enumerate(template) if w in rarest]
-            for i, w in places:
-                self.postings[w].append((t, i))
-            self.needed.append(min(2, len(places)))
+            differing = len(template) - math.ceil(AGREE * len(template))
+            places = []
+            for w in sorted(set(template), key=lambda w: (-idf(w), w)):
+                if len(places) >= differing + votes:
+                    break
+                places += [i for i, own in enumerate(template) if own == w]
+                self.postings[w] += [(t, i) for i, own in enumerate(template) if own == w]
+            self.needed.append(len(places) - differing)
         self.keys = frozenset(self.postings)
 
     def scan(self, text_words: list[bytes]) -> list[tuple[str, int, int, float]]:

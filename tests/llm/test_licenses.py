@@ -1,3 +1,4 @@
+import random
 import re
 
 from craquelure.llm import licenses, queries
@@ -42,6 +43,38 @@ def test_index_aligns_a_changed_notice():
     assert index.scan(licenses.words("permission " * 500 + "software")) == []
 
 
+def test_index_finds_every_alignment_that_agrees():
+    """Against all alignments, with the rarest words changed first and with words changed anywhere."""
+    r = random.Random(3)
+    counts = {w: r.randrange(1, 100) for w in sorted(licenses._template_words())}
+    index = licenses.Index(counts, 100)
+
+    def every(text):
+        found = []
+        for t, (label, template) in enumerate(index.templates):
+            for start in range(-len(template), len(text)):
+                here = text[max(0, start) : max(0, start + len(template))]
+                pairs = [(start + i, w) for i, w in enumerate(template) if 0 <= start + i < len(text)]
+                share = sum(text[i] == w for i, w in pairs) / len(template)
+                if share >= licenses.AGREE and all(licenses._inside(here, p) for p in index.mandatory[t]):
+                    found.append((label, max(0, start), min(start + len(template), len(text)), share))
+        return sorted(found, key=lambda x: (x[1], x[2], x[0]))
+
+    hits = 0
+    for _ in range(3):
+        for t, (_, template) in enumerate(index.templates):
+            fixed = {w for p in index.mandatory[t] for w in p}
+            free = [i for i, w in enumerate(template) if w not in fixed]
+            for changed in (sorted(free, key=lambda i: counts[template[i]]), r.sample(free, len(free))):
+                text = list(template)
+                for i in changed[: len(template) // 4]:
+                    text[i] = b"other"
+                text = [b"x", b"the", *text, b"of", b"y"]
+                assert index.scan(text) == every(text)
+                hits += bool(every(text))
+    assert hits > 60
+
+
 def test_overlapping_and_adjacent_phrases():
     w = licenses.words("cc-by-nc cc by nc. Under the MIT License under the mit license")
     assert sorted(licenses.phrase_places(w)) == [(0, "cc-by-nc"), (3, "cc-by-nc"), (6, "mit"), (10, "mit")]
