@@ -38,8 +38,16 @@ from craquelure.llm.common import by_batch, with_text
 SAMPLE = 200
 LAYOUTS = 3
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<([!?])[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+# an attribute by the rules of HTML: a stray quote is a name, an unquoted value ends at a blank or ">";
+# a quote that is never closed counts as unquoted. Nothing is given back, so a page is read in linear time
+_VALUE = r"""(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+))"""
+_NAMED = rf"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+{_VALUE})?+"
+_ATTRIBUTE = re.compile(_NAMED)
+_TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:[!?]|/(?![a-zA-Z]))[^>]*+>?|"
+    r"<(?P<slash>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attributes>(?:[\s/]++|" + _NAMED + r")*+)(?P<end>>?)",
+    re.S,
+)
 _WORD = re.compile(r"[a-z]+")
 # fixed values: how HTML treats its elements
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -113,7 +121,7 @@ def _signs(tag: str, attributes: str) -> tuple[int, int]:
                         bits |= 1 << _SIGN_OF[w]
             elif name == "hidden" or (name == "style" and "display:none" in value.replace(" ", "")):
                 bits |= 1 << (len(_SIGNS) - 1)
-            elif name == "data-y":
+            elif name == "data-y" and value in ("0", "1"):
                 label = int(value)
     return bits, label
 
@@ -122,6 +130,8 @@ def parse(source: str) -> Page:
     page = Page(["body"], [-1], [0], [1])
     open_tags: list[tuple[str, int]] = [("body", 0)]
     pieces: list[str] = []
+    opened = Counter()
+    unclosed: set[str] = set()
     links, link_chars = 0, 0
     at, end = 0, len(source)
 
@@ -151,19 +161,24 @@ def parse(source: str) -> Page:
         if m.start() > at:
             add(source[at : m.start()])
         at = m.end()
-        name = m[3]
-        if name is None:
+        name = m["name"]
+        # what the page's end cuts off is no text
+        if name is None or not m["end"]:
             continue
         name = name.lower()
-        if m[2]:
+        if m["slash"]:
             if name == "a":
                 links = max(0, links - 1)
             elif name not in _INLINE and name not in _VOID:
-                _close(open_tags, name, flush)
+                _close(open_tags, opened, name, flush)
             continue
         if name in _HIDDEN:
-            if not m[4].rstrip().endswith("/") or name not in ("svg", "math"):
-                closing = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
+            if not m["attributes"].rstrip().endswith("/") or name not in ("svg", "math"):
+                closing = None
+                if name not in unclosed:
+                    closing = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*+>?", re.I).search(source, at)
+                if closing is None:
+                    unclosed.add(name)
                 at = closing.end() if closing else (end if name in ("script", "style", "textarea", "title") else at)
             continue
         if name == "a":
@@ -175,27 +190,29 @@ def parse(source: str) -> Page:
         flush()
         if name in _VOID or name in ("html", "body", "head"):
             continue
-        if name in _CLOSES_P and any(t == "p" for t, _ in open_tags):
-            _close(open_tags, "p", flush)
+        if name in _CLOSES_P and opened["p"]:
+            _close(open_tags, opened, "p", flush)
         for same in _SAME.get(name, ()):
-            _close(open_tags, same, flush, _SCOPE)
+            _close(open_tags, opened, same, flush, _SCOPE)
         links = 0
-        bits, label = _signs(name, m[4])
+        bits, label = _signs(name, m["attributes"])
         above = open_tags[-1][1]
         page.tag.append(name)
         page.parent.append(above)
         page.signs.append(bits)
         page.label.append(page.label[above] if label < 0 else label)
         open_tags.append((name, len(page.tag) - 1))
+        opened[name] += 1
     flush()
     return page
 
 
-def _close(open_tags: list, name: str, flush, scope: frozenset = frozenset()) -> None:
+def _close(open_tags: list, opened: Counter, name: str, flush, scope: frozenset = frozenset()) -> None:
     """End the innermost open element of that name, and what is still open in it."""
-    for i in range(len(open_tags) - 1, 0, -1):
+    for i in range(len(open_tags) - 1, 0, -1) if opened[name] else ():
         if open_tags[i][0] == name:
             flush()
+            opened.subtract(t for t, _ in open_tags[i:])
             del open_tags[i:]
             return
         if open_tags[i][0] in scope:

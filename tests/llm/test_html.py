@@ -1,6 +1,7 @@
 import html as references
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -60,6 +61,48 @@ def test_parser():
     assert html.parse("<p>cut off <b").text and html.parse("<script>never ends").text == []
 
 
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ('<p class="a"">Hello world text</p>', ["Hello world text"]),
+        ("<article><p title=it's>Hello world</p><p>don't</p></article>", ["Hello world", "don't"]),
+        ("<!--> <p>y</p> -->", ["y", "-->"]),
+        ("<!---><p>y</p><!-- a --!><p>z</p><!-- never closed <p>x", ["y", "z"]),
+        ('<p a="x" b = \'>\' c="</p>" d>kept</p>', ["kept"]),
+        ('<p title="never closed>one</p><p>two</p>', ["one", "two"]),
+        ("<p>one</></ x>two</p/ y>three<?php x ?><!DOCTYPE html>", ["onetwo", "three"]),
+        ("<script>a</scripts>b</script x><p>c", ["c"]),
+        ("<p>1 < 2, a <3 b</p><p>cut off <b", ["1 < 2, a <3 b", "cut off"]),
+        ("<p =x>a</p><p/x/y=z/>b", ["a", "b"]),
+        ("<p data-y=abc>a</p><p data-y>b", ["a", "b"]),
+    ],
+)
+def test_malformed_tags(source, text):
+    assert html.parse(source).text == text
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        "<div>" * 100_000 + "deep",
+        "<div>" * 50_000 + "</em></section>" * 50_000 + "deep",
+        "<a b=\"" * 50_000 + "'" + "<p 'x" * 50_000 + ">deep",
+        "<p x=\"y'>" * 99_999 + "deep",
+        "<p " * 100_000 + ">deep",
+        "<svg><noscript>" * 50_000 + "deep",
+        "<! <? </ <!-" * 30_000 + ">deep",
+        "<!-->" * 100_000 + "deep",
+        "< a" * 100_000 + "deep",
+        "<p" + " " * 100_000 + "x" + "\t" * 100_000 + "=" * 100_000 + ">deep",
+    ],
+)
+def test_hostile_pages_take_linear_time(source):
+    start = time.process_time()
+    page = html.parse(source)
+    assert time.process_time() - start < 2
+    assert page.text[-1].endswith("deep") or source.startswith("<a b")
+
+
 def test_decoding_is_consistent():
     page = html.parse("<div><p>x</p><div><p>y</p></div></div>")
     # nodes: body, div, p, div, p
