@@ -10,7 +10,10 @@ mean and the highest windows, fitted on a bounded sample, gives the probability.
 
 An n-gram that training never saw is predicted by what its context holds back for the shared
 distribution. That distribution cancels in the ratio, so a context's ratio of the two shares
-is all there is to keep; a context that no class saw tells nothing.
+is all there is to keep; a context that no class saw tells nothing. Where one class has far more
+texts, its contexts hold less back, and an n-gram new to both speaks for the other class. So the
+unseen part of a text's mean has a weight of its own, and windows, of which only the highest are
+looked at, add up counted n-grams alone.
 
 All counting and smoothing are DataFrame aggregates and joins, and every counted n-gram and
 context has its ratio. Up to ``RATIOS_SENT`` go to the tasks as an exact table. Beyond that, texts
@@ -40,7 +43,7 @@ from craquelure.llm.common import arrow_bounds, broadcast_if_small, by_batch, ch
 
 ORDER = 6
 # lengths of the n-grams that the shared distribution backs off to
-BACKOFF = (5, 4, 3, 2, 1)
+BACKOFF = (5, 3, 1)
 DISCOUNT = 0.75
 # ratios up to this many (12 to 16 bytes each) are sent to the tasks, more are joined by a shuffle
 RATIOS_SENT = 1 << 22
@@ -50,8 +53,8 @@ SPAN = 12
 # characters that are counted or scored in one numpy pass
 STRETCH = 1 << 19
 HIGHEST = 3
-# weights of one, of the mean and of the highest windows that the curve's fit starts from
-PRIOR = (-5.0, 2.0, 6.0, 3.0, 1.0)
+# weights of one, of the mean's counted and unseen part and of the highest windows that the curve's fit starts from
+PRIOR = (-5.0, 2.0, 0.0, 6.0, 3.0, 1.0)
 # labelled rows that fit the logistic curve, at most
 CALIBRATION = 20_000
 # labels up to this many rows (12 bytes each) are sent to the tasks, more are joined by a shuffle
@@ -181,7 +184,8 @@ def ratios(grams: DataFrame, discount: float = DISCOUNT) -> DataFrame:
     """``gram, ratio, early``: log of the last byte's probability in toxic over that in ordinary texts.
 
     A row with the bit ``_IS_CONTEXT`` stands for every n-gram after its context that was never
-    counted. ``early`` leaves the counts of the calibrating fold out of both classes.
+    counted. ``early`` leaves the counts of the calibrating fold out of both classes; it is missing
+    where nothing else counted the n-gram.
     """
     counts = {
         "toxic": F.col("toxic") + F.col("late_toxic"),
@@ -213,7 +217,10 @@ def ratios(grams: DataFrame, discount: float = DISCOUNT) -> DataFrame:
 
     counted = here.join(contexts, "context").join(shared_backoff(grams, discount), "suffix")
     unseen = contexts.select(F.col("context").bitwiseOR(F.lit(_IS_CONTEXT)).alias("gram"), *both(held_back))
-    return counted.select("gram", *both(likelihood)).unionByName(unseen)
+    ratio, early = both(likelihood)
+    # an n-gram of the calibrating fold alone is new to the counts without it
+    early = F.when(F.col("n_early_toxic") + F.col("n_early_plain") > 0, early).alias("early")
+    return counted.select("gram", ratio, early).unionByName(unseen)
 
 
 @dataclass
@@ -238,9 +245,14 @@ class Ratios:
 
     def __call__(self, grams: np.ndarray) -> np.ndarray:
         """The ratio of each n-gram; its context's for one never counted, 0 without either."""
-        found, missing = self._look_up(grams)
-        found[missing] = self._look_up(_context_keys(grams[missing]))[0]
-        return found
+        return sum(self.parts(grams))
+
+    def parts(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ratios of counted n-grams and those of the contexts of others, 0 elsewhere."""
+        counted, missing = self._look_up(grams)
+        unseen = np.zeros_like(counted)
+        unseen[missing] = self._look_up(_context_keys(grams[missing]))[0]
+        return counted, unseen
 
     def _look_up(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ratio of each key, and which keys have none."""
@@ -269,28 +281,29 @@ class Model:
     weights: np.ndarray
 
     def evidence(self, texts: list[str]) -> np.ndarray:
-        """Mean ratio of each text and its highest windows' mean ratios."""
+        """Mean ratio of each text, by counted and unseen n-grams, and its highest windows' mean ratios."""
         return np.concatenate([self._evidence(some) for some in _stretches(texts)])
 
     def _evidence(self, texts: list[str]) -> np.ndarray:
         raw, key, starts = _keys(texts)
         used = _predicted(raw)
-        ratio = np.zeros(len(raw), np.float32)
-        ratio[used] = self.ratios(key[used])
+        counted, unseen = np.zeros((2, len(raw)), np.float32)
+        counted[used], unseen[used] = self.ratios.parts(key[used])
         letter = raw != 32
-        total = np.concatenate([[0.0], np.cumsum(ratio, dtype=np.float64)])
+        seen = np.concatenate([[0.0], np.cumsum(counted, dtype=np.float64)])
+        new = np.concatenate([[0.0], np.cumsum(unseen, dtype=np.float64)])
         letters = np.concatenate([[0], np.cumsum(letter)])
         first = np.flatnonzero(letter[1:] & ~letter[:-1]) + 1
-        window = (total[np.minimum(first + SPAN, len(raw))] - total[first]) / SPAN
+        window = (seen[np.minimum(first + SPAN, len(raw))] - seen[first]) / SPAN
         edge = np.searchsorted(first, starts)
-        out = np.zeros((len(texts), 1 + HIGHEST))
+        out = np.zeros((len(texts), 2 + HIGHEST))
         for i in range(len(texts)):
             a, b = starts[i], starts[i + 1] - len(_GAP)
-            out[i, 0] = (total[b] - total[a]) / max(1, letters[b] - letters[a])
+            out[i, :2] = np.array([seen[b] - seen[a], new[b] - new[a]]) / max(1, letters[b] - letters[a])
             found = window[edge[i] : edge[i + 1]]
             if len(found):
                 top = np.partition(found, -HIGHEST)[-HIGHEST:] if len(found) > HIGHEST else found
-                out[i, 1 : 1 + len(top)] = np.sort(np.maximum(top, 0))[::-1]
+                out[i, 2 : 2 + len(top)] = np.sort(np.maximum(top, 0))[::-1]
         return out
 
     def score(self, texts: list[str]) -> np.ndarray:
@@ -330,7 +343,7 @@ class Joined:
             return fn(group.drop_columns([chunk]), Model(ratios, weights))
 
         grams = dealt.select(chunk, "text").groupBy(chunk).applyInArrow(different, f"`{chunk}` int, gram bigint")
-        known = grams.join(self.table.select("gram", F.col(self.name).alias("ratio")), "gram")
+        known = grams.join(self.table.select("gram", F.col(self.name).alias("ratio")).dropna(), "gram")
         known = known.select(chunk, "gram", "ratio")
         return dealt.groupBy(chunk).cogroup(known.groupBy(chunk)).applyInArrow(judge, schema)
 
@@ -372,9 +385,10 @@ def fit(
     # a context has one n-gram at least, so there are no more contexts than n-grams
     if 2 * grams.count() <= most:
         held = table.toArrow()
-        model = lambda name, weights: Model(
-            Ratios.of(held.column("gram").to_numpy(), held.column(name).to_numpy()), weights
-        )
+
+        def model(name: str, weights: np.ndarray) -> Model:
+            own = held.filter(held.column(name).is_valid())
+            return Model(Ratios.of(own.column("gram").to_numpy(), own.column(name).to_numpy()), weights)
     else:
         model = partial(Joined, checkpointed(table))
 
@@ -386,7 +400,7 @@ def fit(
         x = model.evidence(group.column("text").to_pylist())
         return {"toxic": group.column("toxic"), "evidence": pa.array(x.tolist(), pa.list_(pa.float64()))}
 
-    early = model("early", np.zeros(2 + HIGHEST))
+    early = model("early", np.zeros(len(PRIOR)))
     seen = _measured(
         sample.select("doc_id", "toxic", "text"), early, "toxic int, evidence array<double>", measure
     ).limit(calibration).collect()

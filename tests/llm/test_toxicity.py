@@ -22,7 +22,8 @@ def brute_ratios(toxic, plain):
                     counts[kind][raw[i - 5 : i + 1]] += 1
     level = {6: set(counts["t"]) | set(counts["p"])}
     kinds = {}
-    for above, n in ((6, 5), (5, 4), (4, 3), (3, 2), (2, 1)):
+    below = {5: 3, 3: 1}
+    for above, n in ((6, 5), (5, 3), (3, 1)):
         kinds[n] = Counter(g[-n:] for g in level[above])
         level[n] = set(kinds[n])
 
@@ -31,7 +32,7 @@ def brute_ratios(toxic, plain):
         if n == 1:
             return kinds[1][g] * 0.99 / sum(kinds[1].values()) + 0.01 / 256
         same = [c for h, c in kinds[n].items() if h[:-1] == g[:-1]]
-        return (max(kinds[n][g] - D, 0) + D * len(same) * shared(g[1:])) / sum(same)
+        return (max(kinds[n][g] - D, 0) + D * len(same) * shared(g[-below[n] :])) / sum(same)
 
     contexts = {k: defaultdict(list) for k in counts}
     for k, c in counts.items():
@@ -77,8 +78,8 @@ def test_scores_equal_their_definition(spark):
     """Mean and windows byte by byte, with n-grams and contexts that training never saw."""
     held = table_of(spark).toArrow()
     table = toxicity.Ratios.of(held.column("gram").to_numpy(), held.column("ratio").to_numpy())
-    model = toxicity.Model(table, np.array([-1.0, 2.0, 3.0, 1.0, 0.5]))
-    _, ratio = brute_ratios(TOXIC, PLAIN)
+    model = toxicity.Model(table, np.array([-1.0, 2.0, 1.5, 3.0, 1.0, 0.5]))
+    counted, ratio = brute_ratios(TOXIC, PLAIN)
     texts = ["you stupix idiom", "  what  an idea", "zzz", "", "stupid! stupid? 12 idiocy", "you stupid idiot"]
     evidence, scores = model.evidence(texts), model.score(texts)
     for text, got, score in zip(texts, evidence, scores):
@@ -87,13 +88,15 @@ def test_scores_equal_their_definition(spark):
         at = [
             ratio(raw[i - 5 : i + 1]) if i >= 6 and (raw[i] != 32 or raw[i - 1] != 32) else 0.0 for i in range(len(raw))
         ]
+        # windows look at counted n-grams alone
+        seen = [x if i >= 5 and raw[i - 5 : i + 1] in counted else 0.0 for i, x in enumerate(at)]
         letters = sum(b != 32 for b in raw)
-        mean = sum(at[12 : 12 + len(inside)]) / max(1, letters)
+        means = [sum(x[12 : 12 + len(inside)]) / max(1, letters) for x in (seen, [a - b for a, b in zip(at, seen)])]
         words = [i for i in range(12, 12 + len(inside)) if raw[i] != 32 and raw[i - 1] == 32]
-        windows = sorted((max(0.0, sum(at[i : i + 12]) / 12) for i in words), reverse=True)[:3]
-        want = [mean, *windows, *[0.0] * (3 - len(windows))]
+        windows = sorted((max(0.0, sum(seen[i : i + 12]) / 12) for i in words), reverse=True)[:3]
+        want = [*means, *windows, *[0.0] * (3 - len(windows))]
         assert got == pytest.approx(want, abs=1e-5)
-        z = -1 + float(np.dot([2.0, 3.0, 1.0, 0.5], want))
+        z = -1 + float(np.dot([2.0, 1.5, 3.0, 1.0, 0.5], want))
         assert score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-5)
     # the changed letter alone: its context stood in toxic texts only
     assert ratio(b"stupix") != 0
