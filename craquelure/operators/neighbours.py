@@ -9,13 +9,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from craquelure.operators.ordered import cuts_of, part_of, python_groups, quantiles
+from craquelure.operators.ordered import cuts_of, in_runs, part_of, python_groups, quantiles
+from craquelure.session import checkpointed
 
 # Points a tile of the neighbour search should have
 TILE_POINTS = 4096
+# A block of the pair counts has 2**BLOCK_BITS cells a side; pairs that are looked at together
+BLOCK_BITS = 3
+PAIRS_AT_ONCE = 1 << 20
+# hashes of eight bytes that may go to every task
+SPOTS_SENT = 1 << 20
 # the cell itself and the four cells "ahead"; the other four are reached from there
 HALF_BLOCK = [(0, 0), (1, -1), (1, 0), (1, 1), (0, 1)]
 
@@ -58,25 +65,110 @@ def pairs_within(points: DataFrame, keys, ident: str, d_max: float, x="x_mm", y=
     return p.select(*[F.col(f"a.{k}").alias(k) for k in keys], F.least(a, b).alias("id_a"), F.greatest(a, b).alias("id_b"), "dist")
 
 
+def _in_blocks(points: DataFrame, d_max: float, x: str, y: str) -> DataFrame:
+    """Points with their cell ``_cx, _cy``, once for each block ``_bx, _by`` that looks at them.
+
+    A block looks at its own cells and at those that :data:`HALF_BLOCK` reaches from them. A point
+    without a place keeps block 0.
+    """
+    none = F.lit(0).cast("bigint")
+    d = cell(points, d_max, x, y).withColumn("_cx", F.coalesce("_cx", none)).withColumn("_cy", F.coalesce("_cy", none))
+    block = lambda c: F.shiftright(c, BLOCK_BITS)
+    d = d.withColumn("_xs", F.sequence(block(F.col("_cx") - 1), block(F.col("_cx"))))
+    d = d.withColumn("_ys", F.sequence(block(F.col("_cy") - 1), block(F.col("_cy") + 1)))
+    d = d.withColumn("_bx", F.explode("_xs")).withColumn("_by", F.explode("_ys"))
+    return d.select(*points.columns, "_cx", "_cy", "_bx", "_by")
+
+
+def _merged(columns: list[np.ndarray], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first row of each distinct combination, its total weight); values are told apart by their bits."""
+    bits = [(c + 0.0).view(np.int64) if c.dtype.kind == "f" else c for c in columns]
+    order = np.lexsort(bits[::-1])
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.logical_or.reduce([b[order][1:] != b[order][:-1] for b in bits])
+    first = np.flatnonzero(new)
+    return order[first], np.add.reduceat(weight[order], first) if len(first) else weight[:0]
+
+
 def pair_counts(points: DataFrame, keys, d_max: float, steps: int, weight: bool = False, x="x_mm", y="y_mm", size=None) -> DataFrame:
     """Ordered pairs per key and distance step ``(k-1, k] * d_max/steps``; step 0 = same place.
 
-    Coinciding points are merged into one location with a count, so a pile of copies costs
-    one row. ``weight`` applies the translation edge correction with pane columns ``size``.
+    A pane is cut into blocks of ``2**BLOCK_BITS`` cells a side, and a point crosses one shuffle
+    for each block that looks at it. Coinciding points are merged into one location with a count,
+    so a pile of copies costs one row. ``weight`` applies the translation edge correction with
+    pane columns ``size``.
     """
     keys = list(keys)
     extra = list(size or []) if weight else []
-    loc = points.groupBy(*keys, *extra, x, y).agg(F.count(F.lit(1)).cast("double").alias("_w"))
-    pairs = half_block_pairs(loc, keys, d_max, [x, y], x, y)
-    value = 2 * F.col("a._w") * F.col("b._w")
-    if weight:
-        w, h = F.col(f"a.{size[0]}"), F.col(f"a.{size[1]}")
-        dx, dy = F.abs(F.col(f"a.{x}") - F.col(f"b.{x}")), F.abs(F.col(f"a.{y}") - F.col(f"b.{y}"))
-        value = value * (w * h) / ((w - dx) * (h - dy))
-    step = F.least(F.ceil(F.col("dist") / (d_max / steps)), F.lit(steps)).cast("int")
-    apart = pairs.select(*[F.col(f"a.{k}").alias(k) for k in keys], step.alias("step"), value.alias("pairs"))
-    same = loc.filter("_w > 1").select(*keys, F.lit(0).alias("step"), (F.col("_w") * (F.col("_w") - 1)).alias("pairs"))
-    return apart.unionByName(same).groupBy(*keys, "step").agg(F.sum("pairs").alias("pairs"))
+    at = [*keys, "_bx", "_by"]
+    side, inner = 1 << BLOCK_BITS, (1 << BLOCK_BITS) + 2
+    types = {f.name: f.dataType.simpleString() for f in points.schema.fields}
+    schema = "".join(f"`{k}` {types[k]}, " for k in keys) + "step int, pairs double"
+    d = points.select(*keys, *extra, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    d = _in_blocks(d, d_max, "_x", "_y").withColumn("_w", F.lit(1.0))
+
+    def values(table: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Coordinates and sizes as numbers, and which of them are missing."""
+        columns = [table.column(c) for c in ("_x", "_y", *extra)]
+        missing = [c.is_null().to_numpy().astype(np.int64) for c in columns]
+        return [pc.fill_null(c.cast(pa.float64()), 0.0).to_numpy() for c in columns], missing
+
+    def shrink(table: pa.Table) -> pa.Table:
+        numbers, missing = values(table)
+        kept, w = _merged([*numbers, *missing], table.column("_w").to_numpy())
+        out = table.take(pa.array(kept))
+        return out.set_column(out.column_names.index("_w"), "_w", pa.array(w))
+
+    def count(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        lengths = np.diff(np.append(starts, table.num_rows))
+        group = np.repeat(np.arange(len(starts)), lengths)
+        numbers, missing = values(table)
+        bx, by, cx, cy = (table.column(c).to_numpy() for c in ("_bx", "_by", "_cx", "_cy"))
+        rx, ry = cx - side * bx, cy - side * by + 1
+        spot = (group * inner + rx) * inner + ry
+        kept, w = _merged([spot, *numbers, *missing], table.column("_w").to_numpy())
+        spot, group = spot[kept], group[kept]
+        own = (rx[kept] < side) & (ry[kept] >= 1) & (ry[kept] <= side)
+        px, py, *sizes = (v[kept] for v in numbers)
+        placed = np.isfinite(px) & np.isfinite(py) & (missing[0][kept] + missing[1][kept] == 0)
+        piled = np.flatnonzero(own & (w > 1))
+        groups, found, totals = [group[piled]], [np.zeros(len(piled), np.int64)], [w[piled] * (w[piled] - 1)]
+        # locations are in the order of their cells, those without a place left out
+        cells, px, py, w, group = spot[placed], px[placed], py[placed], w[placed], group[placed]
+        sizes, looking = [v[placed] for v in sizes], np.flatnonzero(own[placed])
+        for i, j in HALF_BLOCK:
+            target = cells[looking] + i * inner + j
+            low = looking + 1 if (i, j) == (0, 0) else np.searchsorted(cells, target)
+            many = np.searchsorted(cells, target, "right") - low
+            ends = np.cumsum(many)
+            begin = 0
+            while begin < len(looking):
+                before = ends[begin - 1] if begin else 0
+                end = max(begin + 1, int(np.searchsorted(ends, before + PAIRS_AT_ONCE, "right")))
+                n = many[begin:end]
+                a = np.repeat(looking[begin:end], n)
+                b = np.arange(n.sum()) - np.repeat(ends[begin:end] - n - before, n) + np.repeat(low[begin:end], n)
+                dx, dy = px[a] - px[b], py[a] - py[b]
+                dist = np.sqrt(dx * dx + dy * dy)
+                near = dist <= d_max
+                a, b, dist = a[near], b[near], dist[near]
+                value = 2 * w[a] * w[b]
+                if weight:
+                    across, up = np.abs(dx[near]), np.abs(dy[near])
+                    value = value * (sizes[0][a] * sizes[1][a]) / ((sizes[0][a] - across) * (sizes[1][a] - up))
+                step = np.minimum(np.ceil(dist / (d_max / steps)), steps).astype(np.int64)
+                code, back = np.unique(group[a] * (steps + 1) + step, return_inverse=True)
+                groups.append(code // (steps + 1))
+                found.append(code % (steps + 1))
+                totals.append(np.bincount(back, value, len(code)))
+                begin = end
+        group = np.concatenate(groups)
+        out = {k: table.column(k).take(pa.array(starts[group])) for k in keys}
+        out |= {"step": pa.array(np.concatenate(found), pa.int32()), "pairs": pa.array(np.concatenate(totals), pa.float64())}
+        return pa.table(out)
+
+    return in_runs(d, at, [], count, schema, shrink).groupBy(*keys, "step").agg(F.sum("pairs").alias("pairs"))
 
 
 def _closest(qx, qy, px, py, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,22 +300,27 @@ def _nearest_in_tiles(points: DataFrame, keys, ident: str, k: int, x: str, y: st
 # ---- contours that touch ----------------------------------------------------------------
 
 
-def contested(contour_points: DataFrame, keys, owner) -> DataFrame:
-    """Contour points claimed more than once by different ``owner`` values.
+def contested(contour_points: DataFrame, keys) -> DataFrame:
+    """Contour points in places that occur more than once.
 
-    Found by one aggregate over numbers only; the few points that are left then go
-    through the self join instead of all of them.
+    One hash per point crosses the shuffle and is counted behind it. The hashes that occur twice
+    are kept and counted: few go to every task, so that the points themselves are not shuffled at
+    all; too many are joined by a shuffle. Equal hashes of different places only leave more
+    points for the joins on the places that follow.
     """
-    place = [*keys, "px", "py"]
-    tag = F.xxhash64(*owner)
-    shared = contour_points.groupBy(*place).agg(F.min(tag).alias("_a"), F.max(tag).alias("_b")).filter("_a <> _b")
-    return contour_points.join(shared.select(*place), place, "left_semi")
+    spot = F.xxhash64(*keys, "px", "py")
+    spots = contour_points.select(spot.alias("_spot")).repartition("_spot")
+    twice = spots.groupBy("_spot").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("_spot")
+    twice = checkpointed(twice)
+    if twice.count() <= SPOTS_SENT:
+        twice = F.broadcast(twice)
+    return contour_points.withColumn("_spot", spot).join(twice, "_spot", "left_semi").drop("_spot")
 
 
 def common_points(contour_points: DataFrame, keys=("specimen_id",), ident: str = "splinter_key") -> DataFrame:
     """Pairs of splinters with a common contour point (``id_a < id_b``) and their number."""
     keys = list(keys)
-    p = contested(contour_points, keys, [ident]).select(*keys, ident, "px", "py").distinct()
+    p = contested(contour_points, keys).select(*keys, ident, "px", "py").distinct()
     on = [*keys, "px", "py"]
     pairs = p.withColumnRenamed(ident, "id_a").join(p.withColumnRenamed(ident, "id_b"), on).filter("id_a < id_b")
     return pairs.groupBy(*keys, "id_a", "id_b").agg(F.count(F.lit(1)).alias("n"))
@@ -237,7 +334,7 @@ def touching(contour_points: DataFrame, keys=("specimen_id",), ident: str = "spl
 def shared_points(contour_points: DataFrame, keys=("specimen_id",), ident="splinter_key") -> DataFrame:
     """Matching entries of the flat point list, the earlier entry first."""
     keys = list(keys)
-    p = contested(contour_points, keys, [ident, "k"])
+    p = contested(contour_points, keys)
     p = p.select(*keys, "px", "py", F.struct(ident, "k").alias("e"))
     pairs = p.withColumnRenamed("e", "a").join(p.withColumnRenamed("e", "b"), [*keys, "px", "py"]).filter("a < b")
     return pairs.select(

@@ -8,12 +8,17 @@ running totals are chunk totals plus the position inside the chunk.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK_ROWS = 1 << 17
+# Rows that a call on whole groups takes together
+RUN_ROWS = 1 << 16
 # Quantiles that cuts are chosen from, and the accuracy of the sketch they are read from
 SHARES = [i / 1024 for i in range(1, 1024)]
 ACCURACY = 10_000
@@ -165,3 +170,64 @@ def python_groups(df: DataFrame, *keys: str):
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *keys).groupBy(*keys)
+
+
+def _run_starts(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
+    """First rows of the runs of equal ``keys``; missing values equal each other."""
+    new = np.zeros(max(0, table.num_rows - 1), bool)
+    for key in keys:
+        c = table.column(key).combine_chunks()
+        a, b = c[:-1], c[1:]
+        differ = pc.fill_null(pc.not_equal(a, b), False)
+        if c.null_count:
+            differ = pc.or_(differ, pc.xor(pc.is_null(a), pc.is_null(b)))
+        new |= differ.to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.flatnonzero(new) + 1]) if table.num_rows else np.zeros(0, np.int64)
+
+
+def in_runs(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    fn: Callable[[pa.Table, np.ndarray], pa.Table],
+    schema: str,
+    shrink: Callable[[pa.Table], pa.Table] | None = None,
+    rows: int = RUN_ROWS,
+) -> DataFrame:
+    """``fn(table, starts)`` on whole groups of ``keys``, many small ones in a call.
+
+    Partitions are sorted by ``keys`` and ``order``, so that a group is a run of rows from one of
+    ``starts`` to the next. A call of Python for every group would cost more than the work on it.
+    A group longer than a batch is gathered first; ``shrink`` may make what was gathered smaller.
+    """
+    keys = list(keys)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = df.repartition(n, *keys).sortWithinPartitions(*keys, *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, enough = [], 0, rows
+
+        def given(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if table.num_rows:
+                yield from fn(table, starts).to_batches()
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size < enough:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            starts = _run_starts(table, keys)
+            last = int(starts[-1])
+            yield from given(table.slice(0, last), starts[:-1])
+            rest = table.slice(last)
+            if shrink is not None and last == 0:
+                rest = shrink(rest)
+            held, size = rest.combine_chunks().to_batches(), rest.num_rows
+            # a long group is not looked through again for every batch
+            enough = max(rows, 2 * size)
+        if size:
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield from given(table, _run_starts(table, keys))
+
+    return d.mapInArrow(run, schema)

@@ -23,10 +23,11 @@ def k_function(points: DataFrame, keys, d_max: float, area: Column, steps: int =
     keys = list(keys)
     counts = N.pair_counts(points, keys, d_max, steps, weight, size=size)
     totals = points.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("_n"), area.alias("_area"))
-    every = totals.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps))))
-    d = every.join(counts, [*keys, "step"], "left")
-    up_to = Window.partitionBy(*keys).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_pairs", F.sum(F.coalesce("pairs", F.lit(0.0))).over(up_to)).filter("step > 0")
+    # one row per key carries the counts of its steps, at most ``steps + 1``
+    curves = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("step", "pairs"))).alias("_c"))
+    d = totals.join(curves, keys, "left").withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
+    up_to = F.filter("_c", lambda p: p["step"] <= F.col("step"))
+    d = d.withColumn("_pairs", F.coalesce(F.aggregate(up_to, F.lit(0.0), lambda total, p: total + p["pairs"]), F.lit(0.0)))
     d = d.withColumn("d", F.col("step") * (d_max / steps))
     d = d.withColumn("k", F.col("_area") * F.col("_pairs") / (F.col("_n") * F.col("_n")))
     d = d.withColumn("l", F.sqrt(F.col("k") / math.pi)).withColumn("lc", F.col("l") - F.col("d"))

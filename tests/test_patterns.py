@@ -375,3 +375,23 @@ def test_nonlinear_fits_of_all_groups(spark):
 
 def test_simplified_empty_contour():
     assert G.simplified(np.zeros((0, 2)), 0.02).shape == (0, 2)
+
+
+@pytest.mark.parametrize("sent", [neighbours.SPOTS_SENT, 0])
+def test_shared_contour_points_with_few_and_with_many_places(spark, monkeypatch, sent):
+    monkeypatch.setattr(neighbours, "SPOTS_SENT", sent)
+    random = np.random.default_rng(5)
+    rows = [(int(random.integers(2)), f"s{i % 40}", i // 40, *(int(v) for v in random.integers(0, 9, 2))) for i in range(240)]
+    rows += [rows[0], (None, "s1", 9, 1, 1), (None, "s2", 9, 1, 1), (0, "s1", 8, None, 1), (0, "s2", 8, None, 1)]
+    d = spark.createDataFrame(rows, "specimen_id long, splinter_key string, k int, px int, py int")
+    whole = [r for r in set(rows) if None not in r]
+    want = {}
+    for a in whole:
+        for b in whole:
+            if (a[0], *a[3:]) == (b[0], *b[3:]) and a[1] < b[1]:
+                want.setdefault((a[0], a[1], b[1]), set()).add(a[3:])
+    got = {(r.specimen_id, r.id_a, r.id_b): r.n for r in neighbours.common_points(d).collect()}
+    assert got == {k: len(v) for k, v in want.items()}
+    pairs = sum((a[0], *a[3:]) == (b[0], *b[3:]) and a[1:3] < b[1:3] for a in rows[1:241] for b in rows[1:241])
+    once = spark.createDataFrame(rows[:240], d.schema)
+    assert neighbours.shared_points(once).count() == pairs
