@@ -14,11 +14,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from craquelure.functions.mechanics import DROP_MASS_KG, GRAVITY
-from craquelure.operators.ordered import CHUNK_ROWS, chunk_of, framed, key_stats, neighbour, python_groups, rolling, running_sum
+from craquelure.operators.ordered import CHUNK_ROWS, chunk_of, framed, in_runs, key_stats, neighbour, python_groups, rolling, running_sum
 from craquelure.session import checkpointed
 
 KEYS = ("specimen_id", "channel")
@@ -168,6 +169,11 @@ def wiener(df: DataFrame, size: int = 17, keys=KEYS) -> DataFrame:
     return d.withColumn("smooth", F.when(F.col("_v") < F.col("_noise"), F.col("_m")).otherwise(kept)).drop("_m", "_q", "_v", "_noise")
 
 
+def without_nan(values: np.ndarray | pa.ChunkedArray) -> pa.Array:
+    """Numbers with the undefined ones missing."""
+    return pa.array(np.asarray(values, float), from_pandas=True)
+
+
 def by_chunk(df: DataFrame, keys, fn: Callable, before, after_, stats: dict | None = None, chunk_rows: int = CHUNK_ROWS, out="smooth") -> DataFrame:
     """Run ``fn(values, first, n, info) -> values`` on chunks with their neighbour rows.
 
@@ -185,20 +191,24 @@ def by_chunk(df: DataFrame, keys, fn: Callable, before, after_, stats: dict | No
     schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["seq bigint", "t double", "value double", f"{out} double"])
     info = list(stats)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        seq = pdf["seq"].to_numpy()
-        x = pdf["value"].to_numpy(dtype=float)
-        y = fn(x, int(seq[0]), int(pdf["_n"].iloc[0]), {c: pdf[c].iloc[0] for c in info})
-        own = seq // chunk_rows == key[-1]
-        result = {k: v for k, v in zip(keys, key)}
-        result |= {"seq": seq[own], "t": pdf["t"].to_numpy()[own], "value": x[own], out: y[own]}
-        return pd.DataFrame(result)
+    def run(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        number = {c: table.column(c).to_numpy() for c in ("_chunk", "seq", "_n")}
+        x = table.column("value").cast(pa.float64()).to_numpy().astype(float)
+        own = number["seq"] // chunk_rows == number["_chunk"]
+        y = np.empty(len(x))
+        more = {c: table.column(c) for c in info}
+        for start, end in zip(starts, [*starts[1:], len(x)]):
+            given = {c: v[int(start)].as_py() for c, v in more.items()}
+            y[start:end] = fn(x[start:end], int(number["seq"][start]), int(number["_n"][start]), given)
+        made = {c: table.column(c) for c in [*keys, "seq"]} | {"t": without_nan(table.column("t"))}
+        return pa.table(made | {"value": without_nan(x), out_name: without_nan(y)}).filter(pa.array(own))
 
-    cols = [*keys, "_chunk", "seq", "t", "value", "_n", *info]
-    return python_groups(d.select(*cols), *keys, "_chunk").applyInPandas(run, schema)
+    out_name = out
+    cols = [*keys, "_chunk", "seq", F.col("t").cast("double").alias("t"), "value", "_n", *info]
+    return in_runs(d.select(*cols), [*keys, "_chunk"], ["seq"], run, schema)
 
 
+@lru_cache(1024)
 def savgol_weights(window: int, order: int, at: float) -> np.ndarray:
     """Weights that read the least-squares polynomial of a window at position ``at``."""
     x = np.arange(window) - at
@@ -481,12 +491,17 @@ def filter_chain(df: DataFrame, stages, keys=KEYS, order: int = 4, chunk_rows: i
             return x
         return np.full(len(x), np.nan) if found is False else found.run(x, *given)[0]
 
-    def short(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        y = pdf["value"].to_numpy(dtype=float)
-        for stage in stages:
-            y = filtered(y, of(stage, pdf), (True, True))
-        return result(key, pdf, y)
+    def short(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        x = table.column("value").cast(pa.float64()).to_numpy().astype(float)
+        n, t0, t1 = (table.column(c).to_numpy() for c in ("_n", "_t0", "_t1"))
+        y = np.empty(len(x))
+        for start, end in zip(starts, [*starts[1:], len(x)]):
+            part = x[start:end]
+            for stage in stages:
+                part = filtered(part, _designed(*stage, order, int(n[start]), float(t0[start]), float(t1[start])), (True, True))
+            y[start:end] = part
+        made = {c: table.column(c) for c in [*keys, "seq"]} | {c: without_nan(table.column(c)) for c in ("t", "value")}
+        return pa.table(made | {"smooth": without_nan(y)})
 
     def long(d: DataFrame, stage) -> DataFrame:
         """One filter over the column ``smooth`` of series of several chunks."""
@@ -535,7 +550,8 @@ def filter_chain(df: DataFrame, stages, keys=KEYS, order: int = 4, chunk_rows: i
     parts = d.filter(is_long).withColumn("smooth", F.col("value"))
     for stage in stages:
         parts = long(parts, stage)
-    whole = python_groups(d.filter(~is_long).drop("_chunk"), *keys).applyInPandas(short, rows)
+    whole = d.filter(~is_long).select(*keys, "seq", *[F.col(c).cast("double").alias(c) for c in ("t", "value", "_t0", "_t1")], "_n")
+    whole = in_runs(whole, keys, ["seq"], short, rows)
     d = whole.unionByName(parts.drop("_n", "_t0", "_t1", "_chunk"))
     return d.withColumn("smooth", F.when(~F.isnan("smooth"), F.col("smooth")))
 

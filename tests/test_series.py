@@ -223,3 +223,14 @@ def test_recordings_without_the_drop_channel_are_rejected(spark):
     rows = [(s, c, i * dt) for s, c, dt in [(1, "Fall_g1", 1e-5), (2, "Fall_g1", 1e-3), (3, "Acc_1", 1e-5)] for i in range(5)]
     d = spark.createDataFrame(rows, "specimen_id int, channel string, t double")
     assert [r[0] for r in S.acceptable(d).collect()] == [1]
+
+
+def test_short_series_are_handed_to_python_together(spark):
+    rows = [(s, "a", i, i * 1.0, None if i == 3 and s == 2 else float(i * s)) for s in range(40) for i in range(12)]
+    d = spark.createDataFrame(rows, "specimen_id int, channel string, seq bigint, t double, value double")
+    smoothed = S.savgol(d, 5, 2)
+    # one call of Python for each of many short series costs more than the work on them
+    assert "FlatMapGroups" not in smoothed._jdf.queryExecution().toString()
+    got = {(r.specimen_id, r.seq): r for r in smoothed.collect()}
+    assert len(got) == len(rows) and got[2, 3].value is None and got[2, 3].smooth is None
+    assert all(abs(got[s, i].smooth - i * s) < 1e-9 for s in range(3, 40) for i in range(12))
