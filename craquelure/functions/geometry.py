@@ -311,13 +311,56 @@ def simplified(points: np.ndarray, share: float) -> np.ndarray:
     return ring[np.concatenate([first, second[1:-1], [False]])]
 
 
+def _far(ring: list[complex], stack: list[tuple[int, int]], tolerance: float) -> list[bool]:
+    """:func:`_keep_far` for a few points, on plain numbers: an array for each short line costs more than its sums."""
+    keep = [False] * len(ring)
+    while stack:
+        a, b = stack.pop()
+        keep[a] = keep[b] = True
+        if b - a < 2:
+            continue
+        first, d = ring[a], ring[b] - ring[a]
+        norm, most, at = abs(d), -1.0, a
+        for i in range(a + 1, b):
+            p = ring[i] - first
+            off = abs(d.real * p.imag - d.imag * p.real) / norm if norm else abs(p)
+            if off > most:
+                most, at = off, i
+        if most > tolerance:
+            stack += [(a, at), (at, b)]
+    return keep
+
+
+def simplified_together(points: np.ndarray, share: float) -> list[list[list[float]]]:
+    """:func:`simplified` for contours of the same small number of points, ``points[contour, point, axis]``."""
+    ring = np.concatenate([points, points[:, :1]], axis=1)
+    side, away = np.diff(ring, axis=1), points - points[:, :1]
+    tolerance = (share * np.hypot(side[..., 0], side[..., 1]).sum(1)).tolist()
+    split = np.hypot(away[..., 0], away[..., 1]).argmax(1).tolist()
+    out = []
+    for rows, line, limit, at in zip(ring.tolist(), (ring[..., 0] + 1j * ring[..., 1]).tolist(), tolerance, split):
+        if at == 0:
+            out.append(rows[:1])
+            continue
+        last = len(line) - 1
+        keep = _far(line, [(0, at), (at, last)], limit)
+        out.append([p for p, kept in zip(rows[:last], keep) if kept])
+    return out
+
+
 def simplify(contour: str = "contour", share: float = 0.02) -> Column:
     """Thinned contour as ``array<array<double>>``."""
 
     def thin(contours: pa.Array) -> pa.Array:
         x, y, start, n = flat(contours)
         points = np.column_stack([x, y]).astype(float)
-        thinned = [simplified(points[a : a + k], share).tolist() for a, k in zip(start, n)]
+        thinned = [[]] * len(n)
+        for k in np.unique(n[(n > 0) & (n <= TOGETHER)]):
+            rows = np.flatnonzero(n == k)
+            for i, found in zip(rows, simplified_together(points[start[rows][:, None] + np.arange(k)], share)):
+                thinned[i] = found
+        for i in np.flatnonzero(n > TOGETHER):
+            thinned[i] = simplified(points[start[i] : start[i] + n[i]], share).tolist()
         return pa.array(thinned, pa.list_(pa.list_(pa.float64())))
 
     return F.arrow_udf(thin, "array<array<double>>")(contour)

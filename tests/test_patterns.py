@@ -395,3 +395,21 @@ def test_shared_contour_points_with_few_and_with_many_places(spark, monkeypatch,
     pairs = sum((a[0], *a[3:]) == (b[0], *b[3:]) and a[1:3] < b[1:3] for a in rows[1:241] for b in rows[1:241])
     once = spark.createDataFrame(rows[:240], d.schema)
     assert neighbours.shared_points(once).count() == pairs
+
+
+def test_contours_of_one_length_are_thinned_together_like_one_by_one():
+    random = np.random.default_rng(3)
+    for k in (1, 2, 3, 8, 21):
+        contours = random.integers(0, 40, (300, k, 2)).astype(float)
+        contours[::5] = contours[::5, :1]
+        assert G.simplified_together(contours, 0.02) == [G.simplified(c, 0.02).tolist() for c in contours]
+
+
+def test_gaps_of_several_values_are_filled_in_frames_that_only_grow(spark):
+    rows = [(k, p, float(p) if p in (2, 5) else None, None if p < 4 else 1.0) for k in (1, None) for p in range(8)]
+    d = spark.createDataFrame(rows, "k int, p int, v double, w double")
+    filled = kernels.fill_gaps(d, ["k"], "p", ["v", "w"])
+    # a frame that ends at the last row is gone through again for every row
+    assert "unboundedfollowing" not in filled._jdf.queryExecution().toString().lower()
+    got = filled.filter("k = 1").orderBy("p").collect()
+    assert [r.v for r in got] == [2.0, 2.0, 2.0, 3.0, 4.0, 5.0, 5.0, 5.0] and {r.w for r in got} == {1.0}
