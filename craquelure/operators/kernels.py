@@ -55,25 +55,25 @@ def aggregate(cells: DataFrame, keys, props, window_size: Column | None = None)
 def fill_gaps(grid: DataFrame, keys, flat: str, values) -> DataFrame:
     """Linear interpolation of missing values along the flattened grid, ends held.
 
-    A grid has a fixed number of cells per key, so ordering one key's grid is bounded.
+    A grid has a fixed number of cells per key, so ordering one key's grid is bounded. The next
+    known cell is the last one in descending order: a frame that ends at the grid's last cell
+    would be gone through once more for every cell.
     """
-    w = Window.partitionBy(*keys).orderBy(flat)
-    back, on = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    d = grid
-    for v in values:
-        known = F.when(clean(v).isNotNull(), F.struct(F.col(flat).alias("p"), F.col(v).alias("v")))
-        a, b = F.last(known, ignorenulls=True).over(back), F.first(known, ignorenulls=True).over(on)
-        d = d.withColumn("_a", a).withColumn("_b", b)
-        share = F.try_divide(F.col(flat) - F.col("_a.p"), F.col("_b.p") - F.col("_a.p"))
-        between = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * share
-        d = d.withColumn(
-            v,
-            F.when(F.col("_b").isNull(), F.col("_a.v"))
-            .when(F.col("_a").isNull(), F.col("_b.v"))
-            .when(F.col("_a.p") == F.col("_b.p"), F.col("_a.v"))
-            .otherwise(between),
-        ).drop("_a", "_b")
-    return d
+    values = list(values)
+    before = Window.rowsBetween(Window.unboundedPreceding, 0).partitionBy(*keys)
+
+    def latest(order: Column, out: str) -> list[Column]:
+        known = [F.when(clean(v).isNotNull(), F.struct(F.col(flat).alias("p"), F.col(v).alias("v"))) for v in values]
+        return [F.last(k, ignorenulls=True).over(before.orderBy(order)).alias(f"{out}{n}") for n, k in enumerate(known)]
+
+    d = grid.select("*", *latest(F.asc(flat), "_a")).select("*", *latest(F.desc(flat), "_b"))
+    filled = {}
+    for n, v in enumerate(values):
+        a, b = F.col(f"_a{n}"), F.col(f"_b{n}")
+        share = F.try_divide(F.col(flat) - a["p"], b["p"] - a["p"])
+        between = a["v"] + (b["v"] - a["v"]) * share
+        filled[v] = F.when(b.isNull(), a["v"]).when(a.isNull(), b["v"]).when(a["p"] == b["p"], a["v"]).otherwise(between)
+    return d.withColumns(filled).drop(*[f"_{s}{n}" for s in "ab" for n in range(len(values))])
 
 
 def skipped_cells(grid: DataFrame, keys, value: str, skip: Column, fill: str = "mean", normalise: bool = False) -> DataFrame:

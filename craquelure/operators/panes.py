@@ -29,7 +29,9 @@ def window_grid(splinters: DataFrame, props, kw: float = 50.0, n_points=25, size
 def filled_grid(values: DataFrame, panes: DataFrame, props, n_points=25, kw: float = 50.0, size=(500.0, 500.0)) -> DataFrame:
     """All windows of all panes, gaps interpolated along the flattened grid (row = ``j``)."""
     nx, ny = cells.grid_points(n_points, size, kw)
-    grid = cells.full_grid(panes.select("specimen_id"), nx, ny)
+    # a pane is a few bytes but hundreds of cells: panes are spread before they grow
+    n = int(panes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grid = cells.full_grid(panes.select("specimen_id").repartition(n, "specimen_id"), nx, ny)
     d = grid.join(values, ["specimen_id", "i", "j"], "left")
     d = d.withColumn("_flat", F.col("j") * (nx - 1) + F.col("i"))
     return kernels.fill_gaps(d, ["specimen_id"], "_flat", props).drop("_flat")
