@@ -1,11 +1,13 @@
 """Quality rules: statistics of a text, and an isolation forest over them.
 
-The forest is grown on a bounded sample of labelled rows (``SAMPLE`` at most, chosen by a
-hash of ``doc_id``). Half of each label's rows grow it: a split takes a ratio the more often,
-the better that ratio alone tells the two labels apart, so that what is only unusual (a short
-text, a telephone number) weighs less than what makes a text bad. The cut through the anomaly
-scores is the one of the best balanced accuracy on the other half. Statistics and scores cover
-every row.
+Every labelled row counts. Every other row of each label grows the forest: it is dealt to one
+of the trees, to more of them where a tree would get fewer than ``SUBSAMPLE`` rows. All trees
+grow by a level at a time, out of the ranges of their open nodes. A split takes a ratio the more
+often, the better that ratio alone tells the two labels apart, so that what is only unusual (a
+short text, a telephone number) weighs less than what makes a text bad. The cut through the
+anomaly scores is the one of the best balanced accuracy on the other rows. The driver sees the
+ranges of the open nodes and the counts of the ``STEPS`` possible scores, whatever the number
+of rows.
 
 Defined results: a missing or empty text has no words and fails the base rule; a missing
 ``doc_id`` is kept; repeated rows are judged alike, once each; other columns are ignored;
@@ -14,17 +16,26 @@ without labels of both kinds there is no forest and the base rule alone decides.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from craquelure.llm.common import by_batch, with_text
+from craquelure.llm.common import broadcast_if_small, by_batch, checkpointed, with_text
+from craquelure.operators.ordered import cuts_of, part_of, quantiles
 
-SAMPLE = 8192
 TREES, SUBSAMPLE = 100, 256
+# a score is a multiple of 1 / STEPS
+STEPS = 100_000
+# labels that may go to every task; beyond them the ratios are shuffled, never the texts
+LABELS_SENT = 1 << 20
+# different values of a ratio that are counted together
+VALUES = 1 << 16
+# rows of a label that are numbered together
+PART_ROWS = 4096
 # how often a ratio without any bearing on the labels is split by, against 1 for one that tells them apart
 LEAST_WEIGHT = 0.001
 WINDOW = 5
@@ -120,7 +131,7 @@ class Forest:
     threshold: float = np.inf
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """0 to 1; higher is stranger."""
+        """0 to 1 in steps of ``1 / STEPS``; higher is stranger."""
         total = np.zeros(len(x))
         row = np.arange(len(x))
         for feature, cut, length in zip(self.feature, self.cut, self.length):
@@ -133,68 +144,144 @@ class Forest:
                 right = x[row, np.maximum(f, 0)] > cut[node]
                 node = np.where(inner, 2 * node + 1 + right, node)
             total += length[node]
-        return np.exp2(-total / (len(self.feature) * self.typical))
+        return np.rint(np.exp2(-total / (len(self.feature) * self.typical)) * STEPS) / STEPS
 
+    def of(self, batch: pa.RecordBatch) -> pa.Array:
+        """The scores of a batch with a column ``ratios``."""
+        return pa.array(self.score(batch.column("ratios").flatten().to_numpy().reshape(-1, FEATURES)))
 
-def _unfinished(n: int) -> float:
+
+def _unfinished(n: float) -> float:
     """Mean path length of an unsuccessful search among ``n`` rows."""
     return 0.0 if n < 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
-def bearing(x: np.ndarray, good: np.ndarray) -> np.ndarray:
-    """How well each column alone tells the labels apart: 0 (as chance) to 1, ``LEAST_WEIGHT`` at least."""
-    fine, bad = np.sort(x[good], axis=0), x[~good]
-    if not len(fine) or not len(bad):
-        return np.ones(x.shape[1])
-    below = [np.searchsorted(f, b) + np.searchsorted(f, b, "right") for f, b in zip(fine.T, bad.T)]
-    return np.maximum(np.abs(np.mean(below, 1) / len(fine) - 1), LEAST_WEIGHT)
+def bearing(rows: DataFrame) -> np.ndarray:
+    """How well each ratio alone tells the labels apart: 0 (as chance) to 1, ``LEAST_WEIGHT`` at least.
+
+    The good rows below a value are counted along stretches of the values.
+    """
+    good = (F.col("quality") == 1).cast("long")
+    values = rows.select(F.posexplode("ratios").alias("ratio", "value"), good.alias("good"))
+    values = values.groupBy("ratio", "value").agg(F.sum("good").alias("fine"), F.sum(1 - F.col("good")).alias("bad"))
+    full = values.groupBy("ratio").agg(F.count(F.lit(1)).alias("_m"), quantiles("value").alias("_q"))
+    cuts = full.select("ratio", cuts_of("_q", F.ceil(F.col("_m") / VALUES).cast("int")).alias("_cuts"))
+    # one row for each ratio
+    cells = values.join(F.broadcast(cuts), "ratio").withColumn("_cell", part_of(F.col("value"), F.col("_cuts")))
+    before = Window.partitionBy("ratio").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    totals = cells.groupBy("ratio", "_cell").agg(F.sum("fine").alias("_fine"))
+    starts = totals.select("ratio", "_cell", F.coalesce(F.sum("_fine").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("ratio", "_cell").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    placed = cells.drop("_cuts").withColumn("_up_to", F.sum("fine").over(inside)).join(starts, ["ratio", "_cell"])
+    below = 2 * (F.col("_start") + F.col("_up_to")) - F.col("fine")
+    sums = placed.groupBy("ratio").agg(
+        F.sum((F.col("bad") * below).cast("decimal(38,0)")).cast("double").alias("below"),
+        F.sum("fine").alias("fine"),
+        F.sum("bad").alias("bad"),
+    )
+    share = {r.ratio: r.below / (r.fine * r.bad) for r in sums.collect()}
+    return np.maximum(np.abs(np.array([share[i] for i in range(FEATURES)]) - 1), LEAST_WEIGHT)
+
+
+def _dealt(mark: np.ndarray, trees: int, copies: int) -> np.ndarray:
+    """For each row the ``copies`` trees that its 64 bits and theirs put first, as rows x copies."""
+    if copies >= trees:
+        return np.tile(np.arange(trees), (len(mark), 1))
+    z = mark.view(np.uint64)[:, None] ^ (np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.argpartition(z ^ (z >> np.uint64(31)), copies - 1, axis=1)[:, :copies]
 
 
 def grow(
-    x: np.ndarray, weight: np.ndarray, seed: int = 7, trees: int = TREES, subsample: int = SUBSAMPLE
+    rows: DataFrame, n: int, weight: np.ndarray, seed: int = 7, trees: int = TREES, subsample: int = SUBSAMPLE
 ) -> Forest:
-    """An isolation forest that splits by a column as often as its weight says."""
-    random = np.random.default_rng(seed)
-    size = min(subsample, len(x))
-    depth = max(1, int(np.ceil(np.log2(max(2, size)))))
+    """An isolation forest of all ``n`` rows that splits by a ratio as often as its weight says.
+
+    ``rows`` has the columns ``mark`` (bits that tell rows apart) and ``ratios``. A level is one pass:
+    a task finds the ranges of the ratios in the open nodes, and Spark puts those of all tasks together.
+    """
+    copies = int(min(trees, max(1, -(-trees * subsample // n))))
+    depth = max(1, int(np.ceil(np.log2(max(2, min(subsample, n))))))
     nodes = 2 ** (depth + 1) - 1
-    feature = np.full((trees, nodes), -1, np.int64)
-    cut = np.zeros((trees, nodes))
-    length = np.zeros((trees, nodes))
-    for t in range(trees):
-        stack = [(0, 0, x[random.choice(len(x), size, replace=False)])]
-        while stack:
-            node, level, rows = stack.pop()
-            low, high = rows.min(0), rows.max(0)
-            open_to = np.flatnonzero(high > low)
-            if level == depth or len(rows) < 2 or not len(open_to):
-                length[t, node] = level + _unfinished(len(rows))
+    forest = Forest(
+        np.full((trees, nodes), -1, np.int64),
+        np.zeros((trees, nodes)),
+        np.zeros((trees, nodes)),
+        max(_unfinished(n * copies / trees), 1e-9),
+    )
+    lows, highs = ([f"{side}{i}" for i in range(FEATURES)] for side in ("low", "high"))
+    schema = "place int, n bigint, " + ", ".join(f"{c} double" for c in lows + highs)
+
+    def ranges(level: int):
+        first, wide = 2**level - 1, 2**level
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            count = np.zeros(trees * wide, np.int64)
+            low, high = (np.full((trees * wide, FEATURES), v) for v in (np.inf, -np.inf))
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = batch.column("ratios").flatten().to_numpy().reshape(-1, FEATURES)
+                tree = _dealt(batch.column("mark").to_numpy(), trees, copies)
+                row = np.repeat(np.arange(len(x)), copies)
+                tree, node = tree.ravel(), np.zeros(len(row), np.int64)
+                for _ in range(level):
+                    f = forest.feature[tree, node]
+                    row, tree, node, f = (v[f >= 0] for v in (row, tree, node, f))
+                    node = 2 * node + 1 + (x[row, f] > forest.cut[tree, node])
+                place = tree * wide + node - first
+                order = np.argsort(place, kind="stable")
+                place, row = place[order], row[order]
+                at, start, many = np.unique(place, return_index=True, return_counts=True)
+                if not len(at):
+                    continue
+                count[at] += many
+                low[at] = np.minimum(low[at], np.minimum.reduceat(x[row], start))
+                high[at] = np.maximum(high[at], np.maximum.reduceat(x[row], start))
+            some = np.flatnonzero(count)
+            columns = [pa.array(some, pa.int32()), pa.array(count[some])]
+            columns += [pa.array(side[some, i]) for side in (low, high) for i in range(FEATURES)]
+            yield pa.RecordBatch.from_arrays(columns, ["place", "n", *lows, *highs])
+
+        return run
+
+    for level in range(depth + 1):
+        found = rows.select("mark", "ratios").mapInArrow(ranges(level), schema)
+        sides = [F.min(c).alias(c) for c in lows] + [F.max(c).alias(c) for c in highs]
+        table = found.groupBy("place").agg(F.sum("n").alias("n"), *sides).toArrow().sort_by("place")
+        place, many = table.column("place").to_numpy(), table.column("n").to_numpy()
+        low, high = (np.stack([table.column(c).to_numpy() for c in side], 1) for side in (lows, highs))
+        random = np.random.default_rng([seed, level])
+        for p, size, a, b in zip(place, many, low, high):
+            tree, node = int(p) >> level, int(p) % 2**level + 2**level - 1
+            open_to = np.flatnonzero(b > a)
+            if level == depth or not len(open_to):
+                forest.length[tree, node] = level + _unfinished(int(size))
                 continue
             f = random.choice(open_to, p=weight[open_to] / weight[open_to].sum())
-            at = random.uniform(low[f], high[f])
-            feature[t, node], cut[t, node] = f, at
-            right = rows[:, f] > at
-            if right.all() or not right.any():  # rounding put the cut on a border
-                feature[t, node] = -1
-                length[t, node] = level + _unfinished(len(rows))
-                continue
-            stack += [(2 * node + 1, level + 1, rows[~right]), (2 * node + 2, level + 1, rows[right])]
-    return Forest(feature, cut, length, max(_unfinished(size), 1e-9))
+            forest.feature[tree, node] = f
+            # rows up to the cut go left: the highest must stay right of it
+            forest.cut[tree, node] = min(random.uniform(a[f], b[f]), np.nextafter(b[f], a[f]))
+    return forest
 
 
-def best_cut(scores: np.ndarray, good: np.ndarray) -> float:
-    """The cut of the best balanced accuracy, halfway to the next score; where none is bad, the highest score."""
-    at = np.unique(scores)
-    fine, bad = np.sort(scores[good]), np.sort(scores[~good])
-    if not len(bad):
+def best_cut(scores: np.ndarray, good: np.ndarray, count: np.ndarray | None = None) -> float:
+    """The cut of the best balanced accuracy, halfway to the next score; where none is bad, the highest score.
+
+    A score may stand for ``count`` rows.
+    """
+    count = np.ones(len(scores)) if count is None else count
+    at, place = np.unique(scores, return_inverse=True)
+    fine, bad = (np.cumsum(np.bincount(place, count * kind, len(at))) for kind in (good, ~good))
+    if not bad[-1]:
         return float(at[-1])
-    gain = np.searchsorted(fine, at, "right") / len(fine) - np.searchsorted(bad, at, "right") / len(bad)
-    best = int(np.argmax(gain))
+    best = int(np.argmax(fine / fine[-1] - bad / bad[-1]))
     return float(at[best : best + 2].mean())
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Forest | None:
-    """A forest and its threshold from at most ``sample`` labelled rows.
+def fit(docs: DataFrame, labels: DataFrame, *, sent: int = LABELS_SENT) -> Forest | None:
+    """A forest and its threshold from all labelled rows that pass the base rule.
 
     A document that is labelled twice is bad if one label says so.
     """
@@ -203,29 +290,37 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Forest |
         .dropna()
         .groupBy("doc_id")
         .agg(F.min("quality").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(sample)
     )
-    # the sample's size is bounded by its parameter, so it may go to every task
-    known = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(F.broadcast(chosen), "doc_id")
-    measured = statistics(known, "quality", "text_hash").filter(~F.col("base_failed"))
-    rows = (
-        measured.select("doc_id", "quality", "ratios", "text_hash")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "text_hash")
-        .limit(sample)
-        .collect()
-    )
-    x = np.array([r.ratios for r in rows], float).reshape(-1, FEATURES)
-    good = np.array([r.quality == 1 for r in rows], bool)
-    if len(x) < 8 or good.all() or not good.any():
-        return None
-    grown = np.zeros(len(x), bool)
-    for kind in (good, ~good):
-        grown[np.flatnonzero(kind)[::2]] = True
-    if not good[~grown].any():
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    chosen, small = broadcast_if_small(chosen, sent)
+    if small:
+        measured = statistics(texts.join(chosen, "doc_id"), "quality", "text_hash")
+    else:
+        measured = statistics(texts, "text_hash").join(chosen, "doc_id")
+    measured = measured.filter(~F.col("base_failed")).select("doc_id", "text_hash", "quality", "ratios")
+    good = F.col("quality") == 1
+    # read once for each step of the fit
+    measured = checkpointed(measured.withColumn("_h", F.xxhash64("doc_id", "text_hash")))
+    n = {r.good: r.n for r in measured.groupBy(good.alias("good")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if sum(n.values()) < 8 or len(n) < 2 or n[True] < 2:
         return None
-    forest = grow(x[grown], bearing(x[grown], good[grown]))
-    forest.threshold = best_cut(forest.score(x[~grown]), good[~grown])
+    # every other row of each label, counted in parts that a task can hold
+    parts = F.when(good, -(-n[True] // PART_ROWS)).otherwise(-(-n[False] // PART_ROWS))
+    inside = Window.partitionBy(good, "_part").orderBy("_h", "doc_id", "text_hash")
+    numbered = measured.withColumn("_part", F.pmod("_h", parts)).withColumn("_seq", F.row_number().over(inside) - 1)
+    rows = checkpointed(
+        numbered.select(
+            F.xxhash64("_h", "_seq").alias("mark"), ((F.col("_seq") + F.col("_part")) % 2 == 0).alias("grows"), "quality", "ratios"
+        )
+    )
+    grown, others = rows.filter("grows"), rows.filter("not grows")
+    forest = grow(grown, grown.count(), bearing(grown))
+    scored = by_batch(
+        others.select("quality", "ratios"), "anomaly double", lambda b: {"anomaly": forest.of(b)}, keep=("quality",)
+    )
+    scores = scored.groupBy("anomaly", (F.col("quality") == 1).alias("good")).agg(F.count(F.lit(1)).alias("n"))
+    at = scores.toArrow()
+    forest.threshold = best_cut(*(at.column(c).to_numpy() for c in ("anomaly", "good", "n")))
     return forest
 
 
@@ -236,11 +331,7 @@ def judge(docs: DataFrame, forest: Forest | None) -> DataFrame:
     threshold = forest.threshold if forest else np.inf
 
     def run(batch: pa.RecordBatch) -> dict:
-        if forest is None:
-            score = np.zeros(batch.num_rows)
-        else:
-            score = forest.score(batch.column("ratios").values.to_numpy().reshape(-1, FEATURES))
-        return {"anomaly": pa.array(score)}
+        return {"anomaly": forest.of(batch) if forest else pa.array(np.zeros(batch.num_rows))}
 
     scored = by_batch(measured, "anomaly double", run, keep=kept)
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") <= F.lit(threshold)))

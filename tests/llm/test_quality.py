@@ -78,3 +78,48 @@ def test_the_forest_does_not_depend_on_the_order_of_rows(spark):
     other = quality.fit(docs.repartition(7).orderBy("text"), labels.orderBy("quality", ascending=False))
     assert one.threshold == other.threshold
     assert (one.cut == other.cut).all() and (one.feature == other.feature).all()
+
+
+def test_every_labelled_row_counts(spark):
+    # more labelled rows than a bounded sample held; the few bad ones come last by the hash that chose it
+    n, words = 12_000, "plain words that say what they mean and end here now".split()
+    ids = spark.range(n).selectExpr("id", "row_number() over (order by xxhash64(id), id) as place").collect()
+    bad = {r.id for r in ids if r.place > n - 200}
+    rows = [(i, " ".join(words[:9] + [str(i % 97), "again" * (1 + i % 3)]) + (" ### $$$ &&&" if i in bad else "")) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i not in bad)) for i in range(n)], "doc_id long, quality int")
+    forest = quality.fit(docs, labels)
+    assert forest is not None
+    assert {r.doc_id for r in quality.judge(docs, forest).filter("not kept").collect()} == bad
+    # labels that are too many for every task: the same forest
+    other = quality.fit(docs, labels, sent=0)
+    assert other.threshold == forest.threshold
+    assert (other.cut == forest.cut).all() and (other.length == forest.length).all()
+
+
+def test_bearing_and_ranges_equal_the_plain_computation(spark):
+    random = np.random.default_rng(5)
+    x = np.round(random.random((300, quality.FEATURES)), 2)
+    good = random.random(300) < 0.7
+    x[~good, 0] += 0.5
+    rows = spark.createDataFrame(
+        [(i * 7919, int(g), [float(v) for v in r]) for i, (r, g) in enumerate(zip(x, good))],
+        "mark long, quality int, ratios array<double>",
+    ).repartition(5)
+    below = (x[good][None] < x[~good][:, None]).sum((0, 1)) + (x[good][None] <= x[~good][:, None]).sum((0, 1))
+    want = np.maximum(np.abs(below / (good.sum() * (~good).sum()) - 1), quality.LEAST_WEIGHT)
+    weight = quality.bearing(rows)
+    assert np.allclose(weight, want)
+    forest = quality.grow(rows, 300, weight, trees=4, subsample=300)
+    # every row is in every tree: leaves and cuts follow from the rows alone
+    for t in range(4):
+        stack = [(0, 0, x)]
+        while stack:
+            node, level, part = stack.pop()
+            f = forest.feature[t, node]
+            if f < 0:
+                assert len(part) and np.isclose(forest.length[t, node], level + quality._unfinished(len(part)))
+                continue
+            right = part[:, f] > forest.cut[t, node]
+            assert right.any() and not right.all()
+            stack += [(2 * node + 1, level + 1, part[~right]), (2 * node + 2, level + 1, part[right])]
