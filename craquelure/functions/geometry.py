@@ -17,8 +17,13 @@ from pyspark.sql import functions as F
 
 # Sums over the edges of a contour, relative to its first point and free of rounding:
 # a = 2 m00, bx/by = 6 m10/m01, cxx/cyy = 12 m20/m02, cxy = 24 m11; peri/open are the
-# lengths with and without the closing edge.
-MEASURES = "struct<a:bigint,bx:bigint,by:bigint,cxx:bigint,cyy:bigint,cxy:bigint,peri:double,open:double>"
+# lengths with and without the closing edge. mu20/mu02/mu11 are the central second moments,
+# orientation-free; as expressions they are needed so often that the code Spark makes of them
+# gets too long for the JVM's compiler.
+MEASURES = (
+    "struct<a:bigint,bx:bigint,by:bigint,cxx:bigint,cyy:bigint,cxy:bigint,peri:double,open:double,"
+    "mu20:double,mu02:double,mu11:double>"
+)
 
 
 def flat(contours: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -61,10 +66,19 @@ def _measure(contours: pa.Array) -> pa.Array:
         add(np.where(closing, 0.0, length)),
     ]
     return pa.StructArray.from_arrays(
-        [pa.array(t) for t in total], ["a", "bx", "by", "cxx", "cyy", "cxy", "peri", "open"]
+        [pa.array(t) for t in total] + _central(*total[:6]),
+        ["a", "bx", "by", "cxx", "cyy", "cxy", "peri", "open", "mu20", "mu02", "mu11"],
     )
 
 
+def _central(a, bx, by, cxx, cyy, cxy) -> list[pa.Array]:
+    """Central second moments (20, 02, 11) out of the sums over the edges; missing without an area."""
+    a, flatly = a.astype(float), a == 0
+    sign, m00, mx, my = np.sign(a), np.where(flatly, 1.0, a / 2.0), bx / 6.0, by / 6.0
+    found = [cxx / 12.0 - mx * mx / m00, cyy / 12.0 - my * my / m00, cxy / 24.0 - mx * my / m00]
+    return [pa.array(sign * mu, mask=flatly) for mu in found]
+
+
 def measures(contour: str | Column) -> Column:
     """Moments and lengths of each contour, a whole Arrow batch of edges at a time."""
     return F.arrow_udf(_measure, MEASURES)(contour)
@@ -110,13 +124,7 @@ class Shape:
     @property
     def central(self) -> tuple[Column, Column, Column]:
         """Central second moments (20, 02, 11), orientation-free."""
-        sign = F.signum(self.m["a"].cast("double"))
-        m00 = self.m["a"] / 2.0
-        mx, my = self.m["bx"] / 6.0, self.m["by"] / 6.0
-        mu20 = self.m["cxx"] / 12.0 - F.try_divide(mx * mx, m00)
-        mu02 = self.m["cyy"] / 12.0 - F.try_divide(my * my, m00)
-        mu11 = self.m["cxy"] / 24.0 - F.try_divide(mx * my, m00)
-        return sign * mu20, sign * mu02, sign * mu11
+        return self.m["mu20"], self.m["mu02"], self.m["mu11"]
 
     @property
     def orientation_deg(self) -> Column:

@@ -91,6 +91,19 @@ def test_degenerate_contour_has_no_centroid(spark):
     assert row.c0 is None and row.c1 is None
 
 
+def test_code_of_the_axes_is_short_enough_to_be_compiled(spark, capsys):
+    d = square(spark, [(0, 0), (40, 0), (80, 0), (80, 20), (80, 40), (40, 40), (0, 40), (0, 20)])
+    major, minor = G.Shape(F.col("m")).axis_lengths
+    d = d.withColumn("m", G.measures("contour")).select(major.alias("major"), minor.alias("minor"))
+    row = d.first()
+    assert row.major == pytest.approx(4 * 80 / math.sqrt(12)) and row.minor == pytest.approx(4 * 40 / math.sqrt(12))
+    capsys.readouterr()
+    d.explain("codegen")
+    # HotSpot leaves methods beyond 8000 bytes interpreted
+    sizes = [int(part.split(";")[0]) for part in capsys.readouterr().out.split("maxMethodCodeSize:")[1:]]
+    assert sizes and max(sizes) < 8000
+
+
 def test_hull_of_random_contours_matches_brute_force():
     rng = np.random.default_rng(4)
     x, y = rng.integers(0, 20, (50, 11)).astype(float), rng.integers(0, 20, (50, 11)).astype(float)
