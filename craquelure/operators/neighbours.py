@@ -174,12 +174,28 @@ def pair_counts(points: DataFrame, keys, d_max: float, steps: int, weight: bool
 def _closest(qx, qy, px, py, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, point, distance) of the ``k`` nearest points of each query, nearest first, ties by the point's place in line."""
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-    step = max(1, (1 << 20) // max(1, len(px)))
+    # few enough distances at once that they stay in the processor's cache
+    step = min(max(1, (1 << 15) // max(1, len(px))), max(1, len(qx)))
+    held = np.empty((2, step, len(px)))
     for at in range(0, len(qx), step):
-        dx, dy = qx[at : at + step, None] - px[None], qy[at : at + step, None] - py[None]
-        dist = np.sqrt(dx * dx + dy * dy)
+        dist, dy = held[:, : min(step, len(qx) - at)]
+        np.subtract(qx[at : at + step, None], px[None], out=dist)
+        np.subtract(qy[at : at + step, None], py[None], out=dy)
+        dist *= dist
+        dy *= dy
+        dist += dy
+        np.sqrt(dist, out=dist)
         if len(px) > k:
-            q, p = np.nonzero(dist <= np.partition(dist, k - 1, axis=1)[:, k - 1 : k])
+            reached = dist <= np.partition(dist, k - 1, axis=1)[:, k - 1 : k]
+            if (np.count_nonzero(reached, axis=1) == k).all():
+                p = (np.flatnonzero(reached) % len(px)).reshape(-1, k)
+                d = np.take_along_axis(dist, p, 1)
+                # points come in their order, which a stable sort keeps among equal distances
+                order = np.argsort(d, axis=1, kind="stable")
+                p, d = (np.take_along_axis(v, order, 1).ravel() for v in (p, d))
+                found.append((np.repeat(np.arange(at, at + len(dist)), k), p, d))
+                continue
+            q, p = np.nonzero(reached)
         else:
             q, p = (v.ravel() for v in np.indices(dist.shape))
         d = dist[q, p]
@@ -190,8 +206,11 @@ def _closest(qx, qy, px, py, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
-def nearest(points: DataFrame, keys, ident: str, k: int, x="x_mm", y="y_mm", tile_points: int = TILE_POINTS) -> DataFrame:
-    """The ``k`` nearest points of every point, itself included: ``(id, rank, neighbour, dist)``, ties by id.
+def _nearest(
+    points: DataFrame, keys, ident: str, k: int, x: str, y: str, tile_points: int, totals: bool = False
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The ``k`` nearest points of every point: in lists ``near`` for panes of one tile; the points of larger panes,
+    and ``(rank, neighbour, dist)`` for each of their places. With ``totals`` a list is added up where it was found.
 
     A pane is cut into tiles of about ``tile_points`` points (see :func:`tiled`), and a tile
     searches its own. A point farther from the tile's border than from its k-th nearest is
@@ -201,24 +220,59 @@ def nearest(points: DataFrame, keys, ident: str, k: int, x="x_mm", y="y_mm", til
     keys = list(keys)
     d = points.select(*keys, ident, x, y).join(points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys)
     types = {f.name: f.dataType.simpleString() for f in d.schema.fields}
-    found = ", ".join(f"`{c}` {types[c]}" for c in [*keys, ident]) + f", rank int, neighbour {types[ident]}, dist double"
-
-    def whole(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by(ident)
-        px, py = (table.column(c).to_numpy() for c in (x, y))
-        q, p, dist = _closest(px, py, px, py, k)
-        rank = np.arange(len(q)) - np.searchsorted(q, q) + 1
-        made = {c: pa.repeat(v, len(q)) for c, v in zip(keys, key)}
-        names = table.column(ident).combine_chunks()
-        made |= {ident: names.take(pa.array(q)), "rank": pa.array(rank, pa.int32())}
-        return pa.table(made | {"neighbour": names.take(pa.array(p)), "dist": pa.array(dist)})
+    each = ", ".join(f"`{c}` {types[c]}" for c in [*keys, ident])
+    each += ", n bigint, farthest double, total double" if totals else f", near array<struct<neighbour:{types[ident]},dist:double>>"
+
+    def whole(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        """A row for each point: its nearest in a list, or their number, largest and total distance."""
+        made = []
+        for first, n in zip(starts, np.diff(np.append(starts, table.num_rows))):
+            pane = table.slice(first, n).sort_by(ident)
+            px, py = (pane.column(c).to_numpy() for c in (x, y))
+            q, p, dist = _closest(px, py, px, py, k)
+            ends = np.searchsorted(q, np.arange(n + 1))
+            out = pane.select([*keys, ident])
+            if totals:
+                out = out.append_column("n", pa.array(np.diff(ends), pa.int64()))
+                # nearest first: the last one is the farthest
+                out = out.append_column("farthest", pa.array(np.append(dist, 0.0)[ends[1:] - 1]))
+                made.append(out.append_column("total", pa.array(np.bincount(q, dist, n))))
+                continue
+            names = pane.column(ident).combine_chunks().take(pa.array(p))
+            near = pa.StructArray.from_arrays([names, pa.array(dist)], ["neighbour", "dist"])
+            made.append(out.append_column("near", pa.ListArray.from_arrays(pa.array(ends, pa.int32()), near)))
+        return pa.concat_tables(made).combine_chunks()
 
     placed = d.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
-    small = python_groups(placed.filter(F.col("_n") <= tile_points).drop("_n"), *keys).applyInArrow(whole, found)
-    large = _nearest_in_tiles(placed.filter(F.col("_n") > tile_points), keys, ident, k, x, y, tile_points)
+    small = in_runs(placed.filter(F.col("_n") <= tile_points).drop("_n"), keys, [], whole, each, rows=tile_points)
+    large = placed.filter(F.col("_n") > tile_points)
+    return small, large, _nearest_in_tiles(large, keys, ident, k, x, y, tile_points)
+
+
+def nearest(points: DataFrame, keys, ident: str, k: int, x="x_mm", y="y_mm", tile_points: int = TILE_POINTS) -> DataFrame:
+    """The ``k`` nearest points of every point, itself included: ``(id, rank, neighbour, dist)``, ties by id."""
+    keys = list(keys)
+    small, large, places = _nearest(points, keys, ident, k, x, y, tile_points)
+    small = small.select(*keys, ident, F.posexplode("near").alias("rank", "_near"))
+    small = small.select(*keys, ident, (F.col("rank") + 1).alias("rank"), "_near.neighbour", "_near.dist")
+    large = large.select(*keys, x, y, ident).join(places, [*keys, x, y])
     return small.unionByName(large.select(*keys, ident, "rank", "neighbour", "dist"))
 
 
+def nearest_totals(points: DataFrame, keys, ident: str, k: int, x="x_mm", y="y_mm", tile_points: int = TILE_POINTS) -> DataFrame:
+    """Number, largest and total distance of the points that :func:`nearest` finds: ``(id, n, farthest, total)``.
+
+    A row for each point that has any; the pairs are added up where they were found.
+    """
+    keys = list(keys)
+    small, large, places = _nearest(points, keys, ident, k, x, y, tile_points, totals=True)
+    totals = places.groupBy(*keys, x, y).agg(
+        F.count(F.lit(1)).alias("n"), F.max("dist").alias("farthest"), F.sum("dist").alias("total")
+    )
+    large = large.select(*keys, x, y, ident).join(totals, [*keys, x, y])
+    return small.filter("n > 0").unionByName(large.select(small.columns))
+
+
 def tiled(points: DataFrame, keys, x: str, y: str, tile_points: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Points with ``_strip, _tile`` and their box; the strips of each key ``_xs``; the tiles of each strip ``_ys``.
 
@@ -240,7 +294,7 @@ def tiled(points: DataFrame, keys, x: str, y: str, tile_points: int) -> tuple[Da
 
 
 def _nearest_in_tiles(points: DataFrame, keys, ident: str, k: int, x: str, y: str, tile_points: int) -> DataFrame:
-    """:func:`nearest` for panes of several tiles. Equal locations are searched once; of the points in one place only
+    """:func:`nearest` for each place in panes of several tiles; of the points in one place only
     the ``k`` with the smallest id can be among anybody's nearest, which a limited ranking keeps before the shuffle."""
     keys = list(keys)
     place = [*keys, x, y]
@@ -293,8 +347,7 @@ def _nearest_in_tiles(points: DataFrame, keys, ident: str, k: int, x: str, y: st
     met = groups.cogroup(guests.groupBy(*at)).applyInArrow(visited, found)
     merged = F.row_number().over(Window.partitionBy(*place).orderBy("dist", "neighbour"))
     met = met.withColumn("rank", merged).filter(F.col("rank") <= k)
-    every = first.filter("rank > 0").unionByName(met)
-    return points.select(*place, ident).join(every, place)
+    return first.filter("rank > 0").unionByName(met)
 
 
 # ---- contours that touch ----------------------------------------------------------------

@@ -48,9 +48,9 @@ rk as (select *, row_number() over (partition by splinter_key order by dist, nei
     f"with {NEAR.format(k=30)} select splinter_key, count(*) as n, round(max(dist),6) as farthest, round(sum(dist),4) as total from rk group by 1",
 )
 def j5(t):
-    d = N.nearest(pts(t), ID, "splinter_key", 30)
+    d = N.nearest_totals(pts(t), ID, "splinter_key", 30)
     return d.groupBy("splinter_key").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.max("dist"), 6).alias("farthest"), F.round(F.sum("dist"), 4).alias("total")
+        F.sum("n").alias("n"), F.round(F.max("farthest"), 6).alias("farthest"), F.round(F.sum("total"), 4).alias("total")
     )
 
 

@@ -30,6 +30,29 @@ def test_nearest_on_wide_and_crowded_panes(spark, k, tile):
     assert got == nearest_brute(points, k)
 
 
+@pytest.mark.parametrize("tile", [4096, 20])
+def test_totals_of_nearest_equal_the_pairs(spark, tile):
+    r = random.Random(3)
+    points = [("piles", i, float(i % 3), 5.0) for i in range(60)] + [("one", 0, 7.0, 7.0), ("one", 1, None, 7.0)]
+    points += [("even", i, float(r.randrange(50)), float(r.randrange(50))) for i in range(300)]
+    points += [("twice", 1, 3.0, 4.0), ("twice", 1, 0.0, 0.0), (None, 1, 1.0, 1.0)]
+    df = spark.createDataFrame(points, "key string, id int, x_mm double, y_mm double")
+    pairs = neighbours.nearest(df, ["key"], "id", 7, tile_points=tile)
+    want = pairs.groupBy("key", "id").agg(F.count("rank").alias("n"), F.max("dist").alias("far"), F.sum("dist").alias("total"))
+    totals = neighbours.nearest_totals(df, ["key"], "id", 7, tile_points=tile)
+    got = totals.groupBy("key", "id").agg(F.sum("n").alias("n"), F.max("farthest").alias("far"), F.sum("total").alias("total"))
+    rows = lambda d: sorted((r.key, r.id, r.n, round(r.far, 9), round(r.total, 6)) for r in d.collect())
+    assert rows(got) == rows(want) and len(rows(got)) == 362
+
+
+def test_panes_share_a_call_and_their_pairs_are_added_up_there(spark):
+    df = spark.createDataFrame([(0, 1, 0.0, 0.0)], "key int, id int, x_mm double, y_mm double")
+    plan = neighbours.nearest_totals(df, ["key"], "id", 3)._jdf.queryExecution().optimizedPlan().toString()
+    small = plan.split("\n")
+    # panes of one tile go many at a time, and a point comes back as one row
+    assert any("MapInArrow" in line and "farthest" in line for line in small)
+
+
 @pytest.fixture
 def values(spark):
     rows = [("same", 3.0)] * 5 + [("zero", 0.0)] * 3 + [("one", 2.0)] + [("fine", float(v)) for v in (1, 2, 2, 3, 9)]
