@@ -22,19 +22,48 @@ DETECTABLE_AREA = 490.0**2 - math.pi * 20.0**2
 
 def window_grid(splinters: DataFrame, props, kw: float = 50.0, n_points=25, size=(500.0, 500.0), keys=("specimen_id",)) -> DataFrame:
     """Overlapping square windows: one row per non-empty window and property aggregates."""
+    if set(props) <= {"count", "intensity"}:
+        return _counted_windows(splinters, list(props), kw, n_points, size, list(keys))
     placed = cells.windows(splinters, kw, n_points, size[0], size[1], size)
     return kernels.aggregate(placed, [*keys, "i", "j"], props, F.lit(float(kw) ** 2))
 
 
+def _counted_windows(splinters: DataFrame, props, kw: float, n_points, size, keys) -> DataFrame:
+    """Windows of properties that counts and summed areas give.
+
+    Splinters that lie in the same windows are added up before they are copied to each of them. What is
+    left of a key are at most the places its windows tell apart, so a key's windows are made in one task.
+    """
+    spark = splinters.sparkSession
+    ranges = cells.window_ranges(splinters.select(*keys, "x_mm", "y_mm", "area"), kw, n_points, size[0], size[1], size)
+    d = ranges.groupBy(*keys, "_is", "_js").agg(F.count(F.lit(1)).alias("_n"), F.sum("area").alias("_area"))
+    d = d.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
+    for index in ("i", "j"):
+        d = d.withColumn(index, F.explode(F.sequence(f"_{index}s.first", f"_{index}s.last")))
+    d = d.groupBy(*keys, "i", "j").agg(F.sum("_n").alias("n"), F.sum("_area").alias("_area"))
+    named = {"count": F.col("n").cast("double"), "intensity": F.try_divide("n", "_area")}
+    out = [c for p in props for c in (named[p].alias(p), F.lit(0.0).alias(f"{p}_std"))]
+    return d.select(*keys, "i", "j", "n", *out)
+
+
 def filled_grid(values: DataFrame, panes: DataFrame, props, n_points=25, kw: float = 50.0, size=(500.0, 500.0)) -> DataFrame:
-    """All windows of all panes, gaps interpolated along the flattened grid (row = ``j``)."""
+    """All windows of all panes, gaps interpolated along the flattened grid (row = ``j``).
+
+    ``values`` has a row for a window at most. Panes meet their values by the pane alone, where the gaps are filled too.
+    """
     nx, ny = cells.grid_points(n_points, size, kw)
-    # a pane is a few bytes but hundreds of cells: panes are spread before they grow
     n = int(panes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grid = cells.full_grid(panes.select("specimen_id").repartition(n, "specimen_id"), nx, ny)
-    d = grid.join(values, ["specimen_id", "i", "j"], "left")
-    d = d.withColumn("_flat", F.col("j") * (nx - 1) + F.col("i"))
-    return kernels.fill_gaps(d, ["specimen_id"], "_flat", props).drop("_flat")
+    others = [c for c in values.columns if c not in ("specimen_id", "i", "j")]
+    # a pane that is listed twice has its grid twice; panes are spread before they grow
+    listed = panes.groupBy("specimen_id").agg(F.count(F.lit(1)).alias("_panes"))
+    grid = cells.full_grid(listed.repartition(n, "specimen_id"), nx, ny)
+    known = values.filter(F.col("specimen_id").isNotNull()).repartition(n, "specimen_id")
+    d = grid.unionByName(known, allowMissingColumns=True).groupBy("specimen_id", "i", "j").agg(
+        F.max("_panes").alias("_panes"), *[F.first(c, ignorenulls=True).alias(c) for c in others]
+    )
+    d = d.filter("_panes is not null").withColumn("_pane", F.explode(F.sequence(F.lit(1), F.col("_panes").cast("int"))))
+    d = d.select("specimen_id", "_pane", "i", "j", *others, (F.col("j") * (nx - 1) + F.col("i")).alias("_flat"))
+    return kernels.fill_gaps(d, ["specimen_id", "_pane"], "_flat", props).drop("_flat", "_pane")
 
 
 def pane_intensity(splinters: DataFrame, panes: DataFrame, kw: float = 50.0, n_points: int = 25) -> DataFrame:
