@@ -235,13 +235,16 @@ class Ratios:
     @classmethod
     def of(cls, grams: np.ndarray, ratio: np.ndarray) -> Ratios:
         # an odd factor modulo 2**64 can be undone, so different n-grams have different keys
-        keys = grams.astype(np.uint64) * _MIX
+        keys = grams.astype(np.uint64)
+        keys *= _MIX
         order = np.argsort(keys)
-        keys = keys[order]
+        keys, ratio = keys[order], ratio[order].astype(np.float32, copy=False)
+        del order
         bits = max(1, len(keys).bit_length())
-        slots = np.bincount((keys >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-        starts = np.concatenate([[0], np.cumsum(slots)]).astype(np.int32)
-        return cls(keys, ratio[order].astype(np.float32), bits, starts)
+        starts = np.zeros((1 << bits) + 1, np.int32)
+        slots = np.bincount((keys >> np.uint64(64 - bits)).view(np.int64), minlength=1 << bits)
+        starts[1:] = np.cumsum(slots, out=slots)
+        return cls(keys, ratio, bits, starts)
 
     def __call__(self, grams: np.ndarray) -> np.ndarray:
         """The ratio of each n-gram; its context's for one never counted, 0 without either."""
@@ -372,6 +375,15 @@ def _logistic(evidence: np.ndarray, toxic: np.ndarray, ridge: float = 0.1) -> np
     return weights
 
 
+def _fetched(table: DataFrame) -> dict[str, np.ndarray]:
+    """The columns of a table, missing numbers as NaN; what Arrow took to bring them goes back at once."""
+    brought = table.toArrow()
+    columns = {name: np.array(brought.column(name).to_numpy()) for name in brought.column_names}
+    del brought
+    pa.default_memory_pool().release_unused()
+    return columns
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, *, calibration: int = CALIBRATION, most: int = RATIOS_SENT
 ) -> Model | Joined | None:
@@ -384,11 +396,13 @@ def fit(
     table = ratios(grams).select("gram", *(F.col(n).cast("float").alias(n) for n in ("ratio", "early")))
     # a context has one n-gram at least, so there are no more contexts than n-grams
     if 2 * grams.count() <= most:
-        held = table.toArrow()
+        held = _fetched(table)
 
         def model(name: str, weights: np.ndarray) -> Model:
-            own = held.filter(held.column(name).is_valid())
-            return Model(Ratios.of(own.column("gram").to_numpy(), own.column(name).to_numpy()), weights)
+            # a column is used once, and the driver has little room
+            own = held.pop(name)
+            there = ~np.isnan(own)
+            return Model(Ratios.of(held["gram"][there], own[there]), weights)
     else:
         model = partial(Joined, checkpointed(table))
 
@@ -404,6 +418,7 @@ def fit(
     seen = _measured(
         sample.select("doc_id", "toxic", "text"), early, "toxic int, evidence array<double>", measure
     ).limit(calibration).collect()
+    del early
     toxic = np.array([r.toxic for r in seen], float)
     if not len(toxic) or toxic.min() == toxic.max():
         return None

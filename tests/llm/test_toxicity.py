@@ -170,3 +170,37 @@ def test_joined_ratios_score_as_sent_ones(spark, folder, odd, monkeypatch):
 def test_a_score_does_not_depend_on_the_next_text(model):
     alone = model.score(["go away, a"])[0]
     assert model.score(["go away, a", "stupid idiot"])[0] == pytest.approx(alone, abs=1e-12)
+
+
+def test_the_fit_leaves_the_driver_little_more_than_the_model(spark, monkeypatch):
+    import pyarrow as pa
+
+    rows = 1 << 18
+    pool = pa.default_memory_pool()
+    before = pool.bytes_allocated()
+    table = spark.range(rows).selectExpr(
+        "id * 7919 as gram", "cast(id % 97 as float) as ratio", "cast(if(id % 3 = 0, null, id % 89) as float) as early"
+    )
+    held = toxicity._fetched(table)
+    assert pool.bytes_allocated() - before < 1 << 20
+    assert {n: (len(a), a.dtype.name) for n, a in held.items()} == {
+        "gram": (rows, "int64"), "ratio": (rows, "float32"), "early": (rows, "float32")
+    }
+    by_gram = np.argsort(held["gram"])
+    number = np.arange(rows)
+    assert (held["gram"][by_gram] == number * 7919).all() and (held["ratio"][by_gram] == number % 97).all()
+    early = held["early"][by_gram]
+    assert (np.isnan(early) == (number % 3 == 0)).all() and (early[number % 3 > 0] == (number % 89)[number % 3 > 0]).all()
+
+
+def test_sent_ratios_take_little_more_than_themselves_to_build():
+    import tracemalloc
+
+    rows = 1 << 18
+    grams, ratio = np.arange(rows) * 7919, (np.arange(rows) % 97).astype(np.float32)
+    tracemalloc.start()
+    found = toxicity.Ratios.of(grams, ratio)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (found(grams.astype(np.uint64)) == ratio).all()
+    assert most < 48 * rows
