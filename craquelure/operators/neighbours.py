@@ -1,12 +1,15 @@
 """Pairs within a distance, nearest neighbours, touching contours.
 
-Points are bucketed by grid cell and joined on the cell, never compared across a pane.
-The cell is part of the join key, so one huge pane spreads over its cells. Points at the
+Points are bucketed by grid cell and compared with the cells around, never across a pane.
+Blocks of cells are part of the shuffle's key, so one huge pane spreads over them. Points at the
 same location are merged first wherever only counts matter.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,6 +23,8 @@ from craquelure.session import checkpointed
 TILE_POINTS = 4096
 # A block of the pair counts has 2**BLOCK_BITS cells a side; pairs that are looked at together
 BLOCK_BITS = 3
+# The same for the lists of pairs, where a point carries its name: fewer copies
+PAIR_BLOCK_BITS = 4
 PAIRS_AT_ONCE = 1 << 20
 # hashes of eight bytes that may go to every task
 SPOTS_SENT = 1 << 20
@@ -27,53 +32,19 @@ SPOTS_SENT = 1 << 20
 HALF_BLOCK = [(0, 0), (1, -1), (1, 0), (1, 1), (0, 1)]
 
 
-def _dist(a: str, b: str, x: str, y: str) -> Column:
-    dx, dy = F.col(f"{a}.{x}") - F.col(f"{b}.{x}"), F.col(f"{a}.{y}") - F.col(f"{b}.{y}")
-    return F.sqrt(dx * dx + dy * dy)
-
-
 def cell(df: DataFrame, size: float, x="x_mm", y="y_mm") -> DataFrame:
     return df.withColumn("_cx", F.floor(F.col(x) / size)).withColumn("_cy", F.floor(F.col(y) / size))
 
 
-def half_block_pairs(points: DataFrame, keys, d_max: float, order, x="x_mm", y="y_mm") -> DataFrame:
-    """Every unordered pair of rows within ``d_max`` once, as aliases ``a`` and ``b``.
-
-    A row looks into its own cell and four of the eight neighbours; inside a cell
-    ``order`` (columns that identify a row) decides which of the two is ``a``.
-    """
-    keys = list(keys)
-    b = cell(points, d_max, x, y)
-    ahead = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in HALF_BLOCK])
-    a = b.withColumn("_o", F.explode(ahead)).withColumn("_cx", F.col("_cx") + F.col("_o.i"))
-    a = a.withColumn("_cy", F.col("_cy") + F.col("_o.j"))
-    a, b = a.alias("a"), b.alias("b")
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*keys, "_cx", "_cy"]]
-    same_cell = (F.col("a._o.i") == 0) & (F.col("a._o.j") == 0)
-    first = F.struct(*[F.col(f"a.{c}") for c in order]) < F.struct(*[F.col(f"b.{c}") for c in order])
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    return a.join(b, cond & (~same_cell | first)).withColumn("dist", _dist("a", "b", x, y)).filter(F.col("dist") <= d_max)
-
-
-def pairs_within(points: DataFrame, keys, ident: str, d_max: float, x="x_mm", y="y_mm") -> DataFrame:
-    """Pairs ``(id_a, id_b, dist)`` with ``id_a < id_b`` and distance up to ``d_max``."""
-    keys = list(keys)
-    p = half_block_pairs(points.select(*keys, ident, x, y), keys, d_max, [ident], x, y)
-    a, b = F.col(f"a.{ident}"), F.col(f"b.{ident}")
-    return p.select(*[F.col(f"a.{k}").alias(k) for k in keys], F.least(a, b).alias("id_a"), F.greatest(a, b).alias("id_b"), "dist")
-
-
-def _in_blocks(points: DataFrame, d_max: float, x: str, y: str) -> DataFrame:
-    """Points with their cell ``_cx, _cy``, once for each block ``_bx, _by`` that looks at them.
+def _in_blocks(points: DataFrame, d_max: float, x: str, y: str, bits: int = BLOCK_BITS) -> DataFrame:
+    """Points with their cell ``_cx, _cy``, once for each block ``_bx, _by`` of ``2**bits`` cells that looks at them.
 
     A block looks at its own cells and at those that :data:`HALF_BLOCK` reaches from them. A point
     without a place keeps block 0.
     """
     none = F.lit(0).cast("bigint")
     d = cell(points, d_max, x, y).withColumn("_cx", F.coalesce("_cx", none)).withColumn("_cy", F.coalesce("_cy", none))
-    block = lambda c: F.shiftright(c, BLOCK_BITS)
+    block = lambda c: F.shiftright(c, bits)
     d = d.withColumn("_xs", F.sequence(block(F.col("_cx") - 1), block(F.col("_cx"))))
     d = d.withColumn("_ys", F.sequence(block(F.col("_cy") - 1), block(F.col("_cy") + 1)))
     d = d.withColumn("_bx", F.explode("_xs")).withColumn("_by", F.explode("_ys"))
@@ -91,6 +62,72 @@ def _merged(columns: list[np.ndarray], weight: np.ndarray) -> tuple[np.ndarray,
     return order[first], np.add.reduceat(weight[order], first) if len(first) else weight[:0]
 
 
+def _candidates(looking: np.ndarray, low: np.ndarray, many: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, other row) for each of ``looking`` with ``many`` rows from ``low`` on, about ``PAIRS_AT_ONCE`` at a time."""
+    ends = np.cumsum(many)
+    begin = 0
+    while begin < len(looking):
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + PAIRS_AT_ONCE, "right")))
+        n = many[begin:end]
+        a = np.repeat(looking[begin:end], n)
+        yield a, np.arange(n.sum()) - np.repeat(ends[begin:end] - n - before, n) + np.repeat(low[begin:end], n)
+        begin = end
+
+
+def pairs_within(points: DataFrame, keys, ident: str, d_max: float, x="x_mm", y="y_mm") -> DataFrame:
+    """Pairs ``(id_a, id_b, dist)`` with ``id_a < id_b`` and distance up to ``d_max``.
+
+    A point crosses one shuffle for each block of ``2**PAIR_BLOCK_BITS`` cells a side that looks at it.
+    There a row looks into its own cell and four of the eight neighbours; inside a cell ``ident``
+    decides which of two rows looks at the other. Rows without a key or a place have no pair.
+    """
+    keys = list(keys)
+    at = [*keys, "_bx", "_by"]
+    side, inner = 1 << PAIR_BLOCK_BITS, (1 << PAIR_BLOCK_BITS) + 2
+    types = {f.name: f.dataType.simpleString() for f in points.schema.fields}
+    schema = "".join(f"`{k}` {types[k]}, " for k in keys) + f"id_a {types[ident]}, id_b {types[ident]}, dist double"
+    d = points.select(*keys, F.col(ident).alias("_id"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    there = [F.col(k).isNotNull() for k in keys] + [F.abs(c) < F.lit(float("inf")) for c in ("_x", "_y")]
+    d = _in_blocks(d.filter(reduce(Column.__and__, there)), d_max, "_x", "_y", PAIR_BLOCK_BITS).drop("_cx", "_cy")
+
+    def pairs(table: pa.Table, starts: np.ndarray) -> Iterator[pa.Table]:
+        lengths = np.diff(np.append(starts, table.num_rows))
+        group = np.repeat(np.arange(len(starts)), lengths)
+        px, py, bx, by = (table.column(c).to_numpy() for c in ("_x", "_y", "_bx", "_by"))
+        # the place among the cells that the block looks at
+        rx = np.floor(px / d_max).astype(np.int64) - side * bx
+        ry = np.floor(py / d_max).astype(np.int64) - side * by + 1
+        spot = (group * inner + rx) * inner + ry
+        name = table.column("_id").combine_chunks()
+        rank = pc.rank(name, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
+        nameless = name.is_null().to_numpy(zero_copy_only=False)
+        order = np.lexsort((rank, spot))
+        cells, px, py, rank = spot[order], px[order], py[order], rank[order]
+        looking = np.flatnonzero(((rx < side) & (ry >= 1) & (ry <= side))[order])
+        # behind the rows of a cell that share a name
+        last = np.ones(len(order), bool)
+        last[:-1] = (cells[1:] != cells[:-1]) | (rank[1:] != rank[:-1])
+        behind = np.flatnonzero(last) + 1
+        behind = behind[np.cumsum(last) - last]
+        for i, j in HALF_BLOCK:
+            target = cells[looking] + i * inner + j
+            low = behind[looking] if (i, j) == (0, 0) else np.searchsorted(cells, target)
+            for a, b in _candidates(looking, low, np.searchsorted(cells, target, "right") - low):
+                dx, dy = px[a] - px[b], py[a] - py[b]
+                dist = np.sqrt(dx * dx + dy * dy)
+                near = dist <= d_max
+                a, b, dist = a[near], b[near], dist[near]
+                swap = rank[a] > rank[b]
+                a, b = order[np.where(swap, b, a)], order[np.where(swap, a, b)]
+                # a missing name gives way to the other, as in ``least``
+                first, second = pa.array(np.where(nameless[a], b, a)), pa.array(b)
+                out = {k: table.column(k).take(second) for k in keys}
+                yield pa.table(out | {"id_a": name.take(first), "id_b": name.take(second), "dist": pa.array(dist)})
+
+    return in_runs(d, at, [], pairs, schema)
+
+
 def pair_counts(points: DataFrame, keys, d_max: float, steps: int, weight: bool = False, x="x_mm", y="y_mm", size=None) -> DataFrame:
     """Ordered pairs per key and distance step ``(k-1, k] * d_max/steps``; step 0 = same place.
 
@@ -140,15 +177,7 @@ def pair_counts(points: DataFrame, keys, d_max: float, steps: int, weight: bool
         for i, j in HALF_BLOCK:
             target = cells[looking] + i * inner + j
             low = looking + 1 if (i, j) == (0, 0) else np.searchsorted(cells, target)
-            many = np.searchsorted(cells, target, "right") - low
-            ends = np.cumsum(many)
-            begin = 0
-            while begin < len(looking):
-                before = ends[begin - 1] if begin else 0
-                end = max(begin + 1, int(np.searchsorted(ends, before + PAIRS_AT_ONCE, "right")))
-                n = many[begin:end]
-                a = np.repeat(looking[begin:end], n)
-                b = np.arange(n.sum()) - np.repeat(ends[begin:end] - n - before, n) + np.repeat(low[begin:end], n)
+            for a, b in _candidates(looking, low, np.searchsorted(cells, target, "right") - low):
                 dx, dy = px[a] - px[b], py[a] - py[b]
                 dist = np.sqrt(dx * dx + dy * dy)
                 near = dist <= d_max
@@ -162,7 +191,6 @@ def pair_counts(points: DataFrame, keys, d_max: float, steps: int, weight: bool
                 groups.append(code // (steps + 1))
                 found.append(code % (steps + 1))
                 totals.append(np.bincount(back, value, len(code)))
-                begin = end
         group = np.concatenate(groups)
         out = {k: table.column(k).take(pa.array(starts[group])) for k in keys}
         out |= {"step": pa.array(np.concatenate(found), pa.int32()), "pairs": pa.array(np.concatenate(totals), pa.float64())}

@@ -189,7 +189,7 @@ def in_runs(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    fn: Callable[[pa.Table, np.ndarray], pa.Table],
+    fn: Callable[[pa.Table, np.ndarray], pa.Table | Iterator[pa.Table]],
     schema: str,
     shrink: Callable[[pa.Table], pa.Table] | None = None,
     rows: int = RUN_ROWS,
@@ -199,6 +199,7 @@ def in_runs(
     Partitions are sorted by ``keys`` and ``order``, so that a group is a run of rows from one of
     ``starts`` to the next. A call of Python for every group would cost more than the work on it.
     A group longer than a batch is gathered first; ``shrink`` may make what was gathered smaller.
+    What is much longer than its rows is better given back as several tables.
     """
     keys = list(keys)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -209,7 +210,9 @@ def in_runs(
 
         def given(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
             if table.num_rows:
-                yield from fn(table, starts).to_batches()
+                made = fn(table, starts)
+                for part in [made] if isinstance(made, pa.Table) else made:
+                    yield from part.to_batches()
 
         for batch in batches:
             held.append(batch)
