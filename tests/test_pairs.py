@@ -58,3 +58,12 @@ def test_a_point_is_not_shuffled_for_each_cell(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     copies = neighbours._in_blocks(df, 2.0, "x", "y", neighbours.PAIR_BLOCK_BITS).count()
     assert copies < 1.25 * 20_000
+
+
+def test_points_on_cell_borders(spark):
+    """A lattice of 7.5 mm, so that every point lies on the border of a cell and many on that of a block."""
+    rows = [(1, f"{i:03}-{j:03}", 7.5 * i, 7.5 * j) for i in range(-18, 18) for j in range(-3, 18)]
+    df = spark.createDataFrame(rows, "pane int, name string, x double, y double")
+    found = neighbours.pairs_within(df, ["pane"], "name", 7.5, "x", "y")
+    got = {(r.id_a, r.id_b, r.dist) for r in found.collect()}
+    assert len(got) == found.count() == 35 * 21 + 36 * 20 and {d for _, _, d in got} == {7.5}
