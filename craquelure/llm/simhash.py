@@ -1,13 +1,17 @@
-"""SimHash near-dedup: fingerprints, a vantage-point tree over them, and components of links.
+"""SimHash near-dedup: fingerprints, shards of them with vantage-point trees, and components of links.
 
-A vantage point splits fingerprints by their Hamming distance to it. Two linked ones differ
-by ``BITS`` at most, so by the triangle inequality their distances to any vantage point do
-too: only those within ``BITS`` below the radius have to stand on both sides. The upper
-tree is built from a bounded sample of fingerprints and cuts all of them into shards; a
-pair that a boundary parts meets in the outer shard. Within a shard the fingerprints are
-ordered by distance to another vantage point and compared exactly with those whose distance
-the bound allows. A shard gives away a forest of its links, one row a fingerprint at most,
-and components are found by alternating large and small stars over all forests.
+Two linked fingerprints differ by ``BITS`` at most. Of ``m`` blocks of their bits ``m - BITS`` at
+least are then the same, so a fingerprint goes to a shard for each choice of so many blocks, and
+linked ones meet in one of them (pigeonhole). ``m`` grows with the number of fingerprints, so a
+shard keeps its size where bits are independent.
+
+A vantage point splits fingerprints by their Hamming distance to it. By the triangle inequality
+the distances of linked ones to any vantage point differ by ``BITS`` at most, so only those within
+``BITS`` below the radius have to stand on both sides. A tree of such points cuts a large shard
+where that leaves fewer pairs. Its fingerprints are ordered by distance to another vantage point
+and compared exactly with those whose distance the bound allows. A shard gives away a forest of
+its links, one row a fingerprint at most, and components are found by alternating large and small
+stars over all forests.
 
 Equal fingerprints are merged before the tree, so a group of copies is one point of it.
 
@@ -19,6 +23,7 @@ repeated rows get the same result, once each; other columns are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +31,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from craquelure.llm.common import by_batch, checkpointed, unused, with_text
+from craquelure.operators.ordered import in_runs
 
 WORDS = 4
 BITS = 4
 SEED = 42
-# fingerprints a shard should have, levels and sampled fingerprints the upper tree may have
-SHARD = 2048
-LEVELS = 12
+# fingerprints a shard should have; as many times that it may have before there are more blocks or a tree
+SHARD = 512
+FULL = 8
+# levels a shard's tree may have, and fingerprints it is grown from
+LEVELS = 4
 SAMPLE = 16_384
 _ROWS = 64
 
@@ -74,7 +82,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Tree:
-    """The upper tree in heap order; ``radius`` below 0 marks a leaf."""
+    """A tree in heap order; ``radius`` below 0 marks a leaf."""
 
     vantage: np.ndarray
     radius: np.ndarray
@@ -163,29 +171,58 @@ def _merge(root: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     return moved[root]
 
 
+def masks(count: int) -> np.ndarray:
+    """Bits under each of which two linked fingerprints may be the same, and under one of which they are."""
+    wanted = max(0, int(np.ceil(np.log2(max(1, count) / SHARD))))
+    if not wanted:
+        return np.zeros(1, np.uint64)
+    m = BITS + 1
+    # longer shards until the next number of blocks, which costs more copies
+    while m < 2 * BITS and (m - BITS) * (64 // m) + np.log2(FULL) < wanted:
+        m += 1
+    taken = -(-wanted // (m - BITS))
+    blocks = [sum(1 << int(b) for b in block[:taken]) for block in np.array_split(np.arange(64), m)]
+    return np.array([sum(some) for some in combinations(blocks, m - BITS)], np.uint64)
+
+
+def cut(points: np.ndarray) -> list[np.ndarray]:
+    """The points in parts in which all linked ones meet."""
+    if len(points) <= FULL * SHARD:
+        return [points]
+    sample = np.random.default_rng(5).choice(points, min(SAMPLE, len(points)), replace=False)
+    tree = grow(sample, min(LEVELS, int(np.ceil(np.log2(len(points) / SHARD)))))
+    shard, row = tree.shards(points)
+    order = np.argsort(shard, kind="stable")
+    parts = np.split(points[row[order]], np.flatnonzero(np.diff(shard[order])) + 1)
+    # where most points are close to each other, the boundaries hold them all
+    return parts if sum(len(p) ** 2 for p in parts) < len(points) ** 2 else [points]
+
+
 def links(points: DataFrame) -> DataFrame:
     """``a, b``: links that connect what any links of the distinct ``fp`` connect."""
-    n = points.count()
-    levels = min(LEVELS, max(0, int(np.ceil(np.log2(max(1, n) / SHARD)))))
-    tree = Tree(np.zeros(1, np.uint64), np.full(1, -1, np.int16))
-    if levels:
-        sample = points.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()
-        tree = grow(np.array([r.fp for r in sample], np.int64).view(np.uint64), levels)
+    same = masks(points.count())
 
     def route(batch: pa.RecordBatch) -> dict:
-        fp = batch.column("fp").to_numpy()
-        shard, row = tree.shards(fp.view(np.uint64))
-        return {"shard": pa.array(shard), "fp": pa.array(fp[row])}
-
-    def compare(bucket: pa.Table) -> pa.Table:
-        fp = np.unique(bucket.column("fp").to_numpy())
-        root = forest(fp.view(np.uint64))
-        some = np.flatnonzero(root != np.arange(len(fp)))
-        return pa.table({"a": fp[some], "b": fp[root[some]]})
-
-    # shards are small in bytes and costly to compare: a task for each, however few bytes it reads
-    sharded = by_batch(points, "shard int, fp bigint", route).repartition(2**levels, "shard")
-    return sharded.groupBy("shard").applyInArrow(compare, "a bigint, b bigint")
+        fp = batch.column("fp").to_numpy().view(np.uint64)
+        bits = (fp & same[:, None]).ravel().view(np.int64)
+        mask = np.repeat(np.arange(len(same), dtype=np.int32), len(fp))
+        return {"mask": pa.array(mask), "bits": pa.array(bits), "fp": pa.array(np.tile(fp.view(np.int64), len(same)))}
+
+    def compare(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        fp, a, b = table.column("fp").to_numpy().view(np.uint64), [], []
+        for shard in np.split(fp, starts[1:]):
+            if len(shard) < 2:
+                continue
+            for part in cut(np.unique(shard)):
+                root = forest(part)
+                some = np.flatnonzero(root != np.arange(len(part)))
+                a.append(part[some])
+                b.append(part[root[some]])
+        a, b = (np.concatenate([fp[:0], *x]).view(np.int64) for x in (a, b))
+        return pa.table({"a": a, "b": b})
+
+    sharded = by_batch(points, "mask int, bits bigint, fp bigint", route)
+    return in_runs(sharded, ["mask", "bits"], [], compare, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
